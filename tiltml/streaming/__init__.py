@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The batch jobs this library re-expresses have no streams, watermarks or
+state, so no streaming operator is provided. A fitted spark.ml model's
+``transform`` already works on a streaming DataFrame, and
+``tiltml.sources.sinks`` writers can be used from ``foreachBatch``.
+"""
