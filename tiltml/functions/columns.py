@@ -112,9 +112,13 @@ def columns_to_array(cols: Sequence[str]) -> Column:
 
 
 def array_element(col: str | Column, position: int) -> Column:
-    """1-based array element; NULL when out of range (ANSI-safe)."""
+    """1-based array element; NULL when out of range (ANSI-safe).
+
+    Written as the 0-based ``get`` (``try_element_at`` inside a filter hits a
+    code-generation failure in Spark 4.1 and falls back to interpretation).
+    """
     c = F.col(col) if isinstance(col, str) else col
-    return F.try_element_at(c, F.lit(position))
+    return F.get(c, F.lit(position - 1))
 
 
 def pack_cells(df: DataFrame, columns: Sequence[str], weight: Mapping[str, Column] | Column) -> DataFrame:

@@ -54,9 +54,16 @@ SIG_DIGITS = 9
 
 def sig_round(x, digits: int = SIG_DIGITS):
     """Round to ``digits`` significant digits (float sums differ in the last
-    bits between engines because the order of addition differs)."""
-    e = F.pow(F.lit(10.0), F.ceil(F.log10(F.abs(x))))
-    return F.when((x == F.lit(0.0)) | x.isNull() | F.isnan(x), x).otherwise(F.round(x / e, digits) * e)
+    bits between engines because the order of addition differs).
+
+    Only exact powers of ten (10^0..10^22) scale the value, so after the
+    decimal rounding every engine lands on the same double.
+    """
+    p = F.ceil(F.log10(F.abs(x)))
+    up = F.pow(F.lit(10.0), p)
+    down = F.pow(F.lit(10.0), -p)
+    scaled = F.when(p >= 0, F.round(x / up, digits) * up).otherwise(F.round(x * down, digits) / down)
+    return F.when((x == F.lit(0.0)) | x.isNull() | F.isnan(x), x).otherwise(scaled)
 
 
 def _scratch(spark: SparkSession, name: str) -> str:

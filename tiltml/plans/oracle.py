@@ -27,8 +27,10 @@ def u(seed: int, salt: str | None = None, keys=KEYS) -> str:
 
 def sig(x: str, digits: int) -> str:
     """Twin of ``catalog.sig_round``: round to ``digits`` significant digits."""
-    e = f"pow(10.0, ceil(log10(abs({x}))))"
-    return f"(CASE WHEN {x} = 0 OR {x} IS NULL OR isnan({x}) THEN {x} ELSE round({x} / {e}, {digits}) * {e} END)"
+    p = f"ceil(log10(abs({x})))"
+    scaled = (f"CASE WHEN {p} >= 0 THEN round({x} / pow(10.0, {p}), {digits}) * pow(10.0, {p}) "
+              f"ELSE round({x} * pow(10.0, -{p}), {digits}) / pow(10.0, -{p}) END")
+    return f"(CASE WHEN {x} = 0 OR {x} IS NULL OR isnan({x}) THEN {x} ELSE {scaled} END)"
 
 
 def row_sum(cols) -> str:
