@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from tiltml.functions.hashing import hash_u
 from tiltml.operators.features import maxabs_scale, select_by_chi2, slice_vector
 from tiltml.operators.filters import confident_predicate, noise_retention_predicate
-from tiltml.operators.models import gbt_classifier, rf_classifier
+from tiltml.operators.models import fit_concurrently, gbt_classifier, rf_classifier
 from tiltml.operators.sampling import (SAMPLING_SEED, SPLIT_SEED_FOLDS, kfold_assign,
                                        kfold_complement, oversample, random_split, union_many)
-from tiltml.sources.sinks import persist
+from tiltml.sources.sinks import persist, spread
 
 # The cascade's five boosting configurations (cycled over 30 rounds),
 # its 0.3/0.7 split, confidence threshold, and the noise filter's 4 folds of 10 trees.
@@ -38,7 +38,7 @@ SYNTHETIC_P_ONE = 0.7
 def noise_filter(df: DataFrame, k: int = NOISE_FOLDS, seed: int = SPLIT_SEED_FOLDS,
                  keys: Sequence[str] | None = None, num_trees: int = NOISE_TREES,
                  model_seed: int = 42, features_col: str = "features", label_col: str = "label",
-                 keep: Sequence[str] = ()) -> DataFrame:
+                 keep: Sequence[str] = (), parallelism: int = 4) -> DataFrame:
     """Cross-validated majority noise filter.
 
     Rows get a fold in ``0..k-1``; for each fold a random forest is fit on
@@ -47,13 +47,14 @@ def noise_filter(df: DataFrame, k: int = NOISE_FOLDS, seed: int = SPLIT_SEED_FOL
     minority row survives; the output is a subset of the input.
 
     One fold column replaces k splits + unions of k-1 parts; the folded
-    input is persisted once and read by all k fits.
+    input is persisted once and read by all k fits, which are submitted
+    concurrently (``parallelism``).
     """
-    folded = persist(kfold_assign(df.select(*keep, features_col, label_col), k, seed, keys))
+    folded = persist(spread(kfold_assign(df.select(*keep, features_col, label_col), k, seed, keys)))
     est = rf_classifier({"nTrees": num_trees, "seed": model_seed}, features_col, label_col)
+    models = fit_concurrently([(est, kfold_complement(folded, i)) for i in range(k)], parallelism)
     parts = []
-    for i in range(k):
-        model = est.fit(kfold_complement(folded, i))
+    for i, model in enumerate(models):
         scored = model.transform(folded.filter(F.col("fold") == F.lit(i)))
         parts.append(scored.filter(noise_retention_predicate(label_col, "prediction"))
                      .select(*keep, features_col, label_col))
@@ -66,7 +67,7 @@ def confidence_cascade(df: DataFrame, rounds: int = CASCADE_ROUNDS,
                        keys: Sequence[str] | None = None, threshold: float = CASCADE_THRESHOLD,
                        features_col: str = "features", label_col: str = "label",
                        keep: Sequence[str] = (), model_seed: int | None = None,
-                       cut_lineage_every: int | None = None) -> DataFrame:
+                       cut_lineage_every: int | None = None, parallelism: int = 5) -> DataFrame:
     """Stacking set from a cascade of boosted-tree models.
 
     Split train/test; round ``i`` fits a model with ``configs[i % len]`` on
@@ -77,22 +78,27 @@ def confidence_cascade(df: DataFrame, rounds: int = CASCADE_ROUNDS,
     A configuration seen before is the same fit (same data, parameters and
     seed), and its survivors already passed that model, so a repeated round
     re-emits that round's prediction column without refitting or rescoring:
-    5 fits and 5 scorings for 30 rounds, with identical output.
+    5 fits and 5 scorings for 30 rounds, with identical output. All fits use
+    the same train table and are submitted concurrently (``parallelism``).
     """
     train, test = random_split(df.select(*keep, features_col, label_col), split, seed, keys)
-    train = persist(train)
+    train = persist(spread(train))
     m = len(configs)
-    cur = test
+    distinct = min(rounds, m)
+    ests = []
+    for ci in range(distinct):
+        params = dict(configs[ci])
+        if model_seed is not None:
+            params["seed"] = model_seed
+        ests.append((gbt_classifier(params, features_col, label_col), train))
+    models = fit_concurrently(ests, parallelism)
+    cur = spread(test)
     for i in range(rounds):
         ci = i % m
         if i >= m:
             cur = cur.withColumn(f"label{i}", F.col(f"label{ci}"))
             continue
-        params = dict(configs[ci])
-        if model_seed is not None:
-            params["seed"] = model_seed
-        model = gbt_classifier(params, features_col, label_col).fit(train)
-        scored = model.transform(cur).withColumn("probability", vector_to_array(F.col("probability")))
+        scored = models[ci].transform(cur).withColumn("probability", vector_to_array(F.col("probability")))
         cur = (scored.filter(confident_predicate("probability", label_col, threshold))
                .withColumnRenamed("prediction", f"label{i}")
                .drop("rawPrediction", "probability", "prediction"))

@@ -133,6 +133,27 @@ def weighted_gbt_classifier(params: Mapping, features_col: str = "features",
     return est
 
 
+def fit(estimator, train: DataFrame):
+    """Fit with the training input spread over the session's task slots."""
+    from tiltml.sources.sinks import spread
+    return estimator.fit(spread(train))
+
+
+def fit_concurrently(jobs, parallelism: int = 4) -> list:
+    """Fit independent ``(estimator, train)`` pairs from a thread pool.
+
+    Each fit is a series of Spark jobs; submitting several at once lets the
+    scheduler interleave them across idle task slots (the same scheme as
+    ``CrossValidator(parallelism=...)``). Results keep the input order.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+    jobs = list(jobs)
+    if parallelism <= 1 or len(jobs) <= 1:
+        return [est.fit(df) for est, df in jobs]
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(jobs))) as pool:
+        return list(pool.map(lambda job: job[0].fit(job[1]), jobs))
+
+
 def fit_predict(estimator, train: DataFrame, test: DataFrame) -> DataFrame:
     """Fit on train and score test (adds rawPrediction, probability, prediction)."""
-    return estimator.fit(train).transform(test)
+    return fit(estimator, train).transform(test)

@@ -28,3 +28,17 @@ def preview(df: DataFrame, n: int = 20, truncate: bool = False) -> DataFrame:
 def persist(df: DataFrame) -> DataFrame:
     """Cache a reused table; spills to disk instead of failing or recomputing."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when the input has fewer partitions than the
+    session can run at once (e.g. a single-row-group file).
+
+    Iterative fits read their input many times, so one shuffle up front buys
+    full parallelism for every pass. On a large input the partition count
+    already exceeds the target and this is a no-op (no shuffle).
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
