@@ -52,7 +52,8 @@ def noise_filter(df: DataFrame, k: int = NOISE_FOLDS, seed: int = SPLIT_SEED_FOL
     """
     folded = persist(spread(kfold_assign(df.select(*keep, features_col, label_col), k, seed, keys)))
     est = rf_classifier({"nTrees": num_trees, "seed": model_seed}, features_col, label_col)
-    models = fit_concurrently([(est, kfold_complement(folded, i)) for i in range(k)], parallelism)
+    models = fit_concurrently([(est, kfold_complement(folded, i)) for i in range(k)], parallelism,
+                              cache_input=False)
     parts = []
     for i, model in enumerate(models):
         scored = model.transform(folded.filter(F.col("fold") == F.lit(i)))
@@ -91,7 +92,7 @@ def confidence_cascade(df: DataFrame, rounds: int = CASCADE_ROUNDS,
         if model_seed is not None:
             params["seed"] = model_seed
         ests.append((gbt_classifier(params, features_col, label_col), train))
-    models = fit_concurrently(ests, parallelism)
+    models = fit_concurrently(ests, parallelism, cache_input=False)
     cur = spread(test)
     for i in range(rounds):
         ci = i % m

@@ -133,13 +133,23 @@ def weighted_gbt_classifier(params: Mapping, features_col: str = "features",
     return est
 
 
-def fit(estimator, train: DataFrame):
-    """Fit with the training input spread over the session's task slots."""
+def fit(estimator, train: DataFrame, cache_input: bool = True):
+    """Fit with the training input spread over the session's task slots and
+    persisted for the fit's passes (released afterwards; an input the caller
+    already cached is used as is)."""
+    from pyspark import StorageLevel
+
     from tiltml.sources.sinks import spread
-    return estimator.fit(spread(train))
+    if not cache_input or train.storageLevel != StorageLevel(False, False, False, False, 1):
+        return estimator.fit(train)
+    data = spread(train).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return estimator.fit(data)
+    finally:
+        data.unpersist()
 
 
-def fit_concurrently(jobs, parallelism: int = 4) -> list:
+def fit_concurrently(jobs, parallelism: int = 4, cache_input: bool = True) -> list:
     """Fit independent ``(estimator, train)`` pairs from a thread pool.
 
     Each fit is a series of Spark jobs; submitting several at once lets the
@@ -149,9 +159,9 @@ def fit_concurrently(jobs, parallelism: int = 4) -> list:
     from concurrent.futures import ThreadPoolExecutor
     jobs = list(jobs)
     if parallelism <= 1 or len(jobs) <= 1:
-        return [est.fit(df) for est, df in jobs]
+        return [fit(est, df, cache_input) for est, df in jobs]
     with ThreadPoolExecutor(max_workers=min(parallelism, len(jobs))) as pool:
-        return list(pool.map(lambda job: job[0].fit(job[1]), jobs))
+        return list(pool.map(lambda job: fit(job[0], job[1], cache_input), jobs))
 
 
 def fit_predict(estimator, train: DataFrame, test: DataFrame) -> DataFrame:

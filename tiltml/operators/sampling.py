@@ -8,9 +8,12 @@ Two draw methods for every operator:
   same rows at any partitioning and after task retries, and reproducible by
   the DuckDB oracle.
 
-Neither needs a shuffle or a sort: a draw is a projection + filter (and a
-``explode`` for copies when sampling with replacement). Class counts come
-from one aggregate; only those counts reach the driver.
+Neither needs a shuffle or a sort: a draw is a projection + filter (and an
+``explode`` for copies when sampling with replacement). In hash mode a
+balancing operator is a single pass over its input: each row gets a copy
+count (1 for a kept class, the draw for the sampled class) instead of a
+union of two filtered scans. Class counts come from one aggregate; only
+those counts reach the driver.
 """
 
 from __future__ import annotations
@@ -55,6 +58,28 @@ def sample_fraction(df: DataFrame, fraction: float, seed: int, with_replacement:
             .select(*cols))
 
 
+def _resample_one_pass(df: DataFrame, label_col: str, keep_all: Sequence[float],
+                       sampled: float, fraction: float, seed: int, keys: Sequence[str],
+                       extra_for_kept: bool = False) -> DataFrame:
+    """One scan: rows of ``keep_all`` classes stay once, rows of ``sampled``
+    get ``floor(f) + (u < frac)`` copies (plus one when ``extra_for_kept``)."""
+    lab = F.col(label_col)
+    u = hash_u(keys, seed)
+    copies = copies_from_fraction(u, fraction)
+    if extra_for_kept:
+        copies = copies + F.lit(1)
+    n = F.when(lab == F.lit(sampled), copies)
+    for v in keep_all:
+        n = n.when(lab == F.lit(v), F.lit(1))
+    n = n.otherwise(F.lit(0))
+    cols = df.columns
+    staged = df.withColumn("__tilt_copies", n).filter(F.col("__tilt_copies") >= F.lit(1))
+    if fraction + (1 if extra_for_kept else 0) <= 1:
+        return staged.select(*cols)
+    return (staged.select(*cols, F.explode(F.sequence(F.lit(1), F.col("__tilt_copies"))).alias("__tilt_copy"))
+            .select(*cols))
+
+
 def undersample(df: DataFrame, ratio: float = 1.0, label_col: str = "class",
                 seed: int = SAMPLING_SEED, keys: Sequence[str] | None = None,
                 minority: float = 1.0, majority: float = 0.0,
@@ -69,6 +94,8 @@ def undersample(df: DataFrame, ratio: float = 1.0, label_col: str = "class",
     n_min, n_maj = counts[minority], counts[majority]
     factor = float(int(ratio)) if truncate_ratio else float(ratio)
     fraction = (float(n_min) / float(n_maj)) * factor if n_maj else 0.0
+    if keys:
+        return _resample_one_pass(df, label_col, [minority], majority, fraction, seed, keys)
     maj = df.filter(F.col(label_col) == F.lit(majority))
     mino = df.filter(F.col(label_col) == F.lit(minority))
     sampled = sample_fraction(maj, fraction, seed, with_replacement=True, keys=keys)
@@ -88,6 +115,11 @@ def oversample(df: DataFrame, ratio: float = 1.0, label_col: str = "label",
     counts = count_by_value(df, label_col, [minority, majority])
     n_min, n_maj = counts[minority], counts[majority]
     fraction = (float(n_maj) / float(n_min)) * float(ratio) if n_min else 0.0
+    if keys:
+        if keep_originals and fraction > 1:
+            return _resample_one_pass(df, label_col, [majority], minority, fraction - 1.0, seed, keys,
+                                      extra_for_kept=True)
+        return _resample_one_pass(df, label_col, [majority], minority, fraction, seed, keys)
     maj = df.filter(F.col(label_col) == F.lit(majority))
     mino = df.filter(F.col(label_col) == F.lit(minority))
     if keep_originals and fraction > 1:
@@ -113,6 +145,8 @@ def balance(df: DataFrame, label_col: str = "class", seed: int = SAMPLING_SEED,
     major_val = b if minor_val == a else a
     fraction = float(minor_n) / float(major_n) if major_n else 0.0
     sampled_val = 0.0 if always_sample_class0 else major_val
+    if keys and sampled_val != minor_val:
+        return _resample_one_pass(df, label_col, [minor_val], sampled_val, fraction, seed, keys)
     minor_df = df.filter(F.col(label_col) == F.lit(minor_val))
     sampled = sample_fraction(df.filter(F.col(label_col) == F.lit(sampled_val)), fraction, seed,
                               with_replacement=True, keys=keys)
