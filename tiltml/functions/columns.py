@@ -144,3 +144,15 @@ def uniform_column(seed: int, keys: Sequence[str] | None = None, salt: str | Non
         from tiltml.functions.hashing import hash_u
         return hash_u(keys, seed, salt)
     return F.rand(seed)
+
+
+def label_remap(df: DataFrame, label_col: str = "label", source: float = 0.0, target: float = -1.0) -> DataFrame:
+    """Relabel one class value (e.g. 0 -> -1 for a margin-based learner)."""
+    return df.withColumn(label_col, F.when(F.col(label_col) == F.lit(source), F.lit(target))
+                         .otherwise(F.col(label_col)).cast("double"))
+
+
+def limit_rows(df: DataFrame, n: int, order_by: Sequence[str] | None = None) -> DataFrame:
+    """First ``n`` rows; with ``order_by`` the rows are deterministic (top-n per
+    task, then one merge of at most n rows per task)."""
+    return (df.orderBy(*order_by) if order_by else df).limit(n)

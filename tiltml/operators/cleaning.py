@@ -161,3 +161,37 @@ def prepare_chain(train: DataFrame, test: DataFrame, oversample_ratio: float = 1
         return slice_vector(x, idx, "scaledFeatures", "selectedFeatures").select(
             *keep, F.col("selectedFeatures").alias("features"), "label")
     return out(tr_s), out(te_s)
+
+
+def median_band_filter(df: DataFrame, value, float32: bool = True, strict_reference: bool = False,
+                       buckets: int = 4096) -> DataFrame:
+    """Keep rows whose value lies in the band ``median -/+ margin``.
+
+    ``margin = (|max - median| - |median - min|) / 2`` from one max/min
+    aggregate and an exact distributed median (three scalars to the driver).
+    With a negative margin the lower bound exceeds the upper one: by default
+    the band runs between the two bounds; ``strict_reference=True`` keeps
+    ``inf < v < sup`` literally (then nothing survives). ``float32`` rounds
+    the three statistics to single precision as the original job did.
+    """
+    import numpy as np
+
+    from tiltml.operators.quantiles import exact_median
+    v = F.col(value) if isinstance(value, str) else value
+    staged = df.withColumn("__tilt_band", v.cast("double"))
+    r = staged.agg(F.max("__tilt_band").alias("mx"), F.min("__tilt_band").alias("mn")).first()
+    med = exact_median(staged, "__tilt_band", buckets=buckets)
+    if med is None:
+        return df.limit(0)
+    if float32:
+        mx, mn, md = np.float32(r["mx"]), np.float32(r["mn"]), np.float32(med)
+        margin = float(np.float32(abs(mx - md)) - np.float32(abs(md - mn))) / 2.0
+        med_d = float(md)
+    else:
+        margin = (abs(r["mx"] - med) - abs(med - r["mn"])) / 2.0
+        med_d = med
+    sup, inf = med_d + margin, med_d - margin
+    if not strict_reference:
+        inf, sup = min(inf, sup), max(inf, sup)
+    band = (F.col("__tilt_band") > F.lit(inf)) & (F.col("__tilt_band") < F.lit(sup))
+    return staged.filter(band).drop("__tilt_band")

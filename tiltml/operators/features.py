@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import (PCA, ChiSqSelector, MaxAbsScaler, QuantileDiscretizer,
+from pyspark.ml.feature import (PCA, ChiSqSelector, MaxAbsScaler, QuantileDiscretizer, StringIndexer,
                                 UnivariateFeatureSelector, VectorAssembler, VectorSlicer)
 from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import DataFrame
@@ -109,3 +109,16 @@ def pca_project(train: DataFrame, test: DataFrame | None, k: int, input_col: str
         keep = [c for c in d.columns if c not in (input_col, "pcaFeatures")]
         return model.transform(d).select(*keep, F.col("pcaFeatures").alias("features"))
     return proj(train), (proj(test) if test is not None else None)
+
+
+def string_index(df: DataFrame, input_col: str, output_col: str | None = None,
+                 order: str = "frequencyDesc", handle_invalid: str = "error") -> DataFrame:
+    """Index a string column (most frequent value -> 0.0; ties alphabetical).
+
+    The fit is one aggregate of value counts; only the distinct values reach
+    the driver.
+    """
+    out = output_col or f"{input_col}_idx"
+    model = StringIndexer(inputCol=input_col, outputCol=out, stringOrderType=order,
+                          handleInvalid=handle_invalid).fit(df)
+    return model.transform(df)

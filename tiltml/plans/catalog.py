@@ -50,6 +50,9 @@ MLP_PARAMS = {"layers": [4, 8, 2], "stepsize": 0.03, "blockSize": 128, "seed": 1
 FM_PARAMS = {"maxiter": 50, "regParam": 0.01, "seed": 1234}
 PCA_K = 3
 SIG_DIGITS = 9
+LIMIT_ROWS = 1000
+FDR = 0.05
+CHI2_BINARY_FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
 
 def sig_round(x, digits: int = SIG_DIGITS):
@@ -444,6 +447,44 @@ def q_prepare_chain(spark, d):
     return out(tr, "train").unionByName(out(te, "test"))
 
 
+# --------------------------------------------------------------------------- dormant variants
+
+def q_median_band_filter(spark, d):
+    b = FX.ml_binary(spark, d)
+    return X.median_band_filter(b, C.row_sum(FEATS)).select(*KEYS, "class", C.row_sum(FEATS).alias("sumTotal"))
+
+
+def q_instance_filter(spark, d):
+    b = FX.ml_binary(spark, d)
+    maxima = EV.class_row_maxima(b, FEATS, "class")
+    w = EV.evolved_weights(b, FEATS, maxima, "class", weight_mode="const")
+    return EV.instance_filter(b, w).select(*KEYS, "class")
+
+
+def q_label_remap(spark, d):
+    return C.label_remap(FX.ml_binary(spark, d), "class").select(*KEYS, "class")
+
+
+def q_string_index(spark, d):
+    li = FX.table(spark, d, "lineitem").select(*KEYS, "l_returnflag")
+    return FT.string_index(li, "l_returnflag", "flag_idx")
+
+
+def q_confusion_counts(spark, d):
+    return A.confusion_counts(FX.formula_predictions(spark, d), positive=1.0)
+
+
+def q_limit_rows(spark, d):
+    return C.limit_rows(FX.ml_binary(spark, d), LIMIT_ROWS, KEYS)
+
+
+def q_chi2_fdr_select(spark, d):
+    ml = assemble_features(FX.ml_binary(spark, d), CHI2_BINARY_FEATURES, "class")
+    model = FT.chi2_selector("fdr", fdr=FDR).fit(ml)
+    chosen = [CHI2_BINARY_FEATURES[i] for i in model.selectedFeatures]
+    return spark.createDataFrame([(c,) for c in chosen], "feature string")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -45,8 +45,17 @@ def _params(config: Mapping) -> dict:
 def gbt_job(spark: SparkSession, config: Mapping) -> DataFrame:
     """Train boosted trees on ``dataset``, score ``test``: (tp..score), class 0 positive."""
     _require(config, "dataset", "test", "params")
+    p = _params(config)
     train, test = prepare_data(spark, config, cast_double=bool(config.get("cast_double")))
-    pred = MD.fit_predict(MD.gbt_classifier(_params(config)), train, test)
+    if p.get("prepare"):
+        # variant: oversample -> scale -> chi-square selection before boosting
+        train, test = X.prepare_chain(train, test, float(p.get("ratio", 1.5)),
+                                      str(p.get("selectorType", "percentile")), float(p.get("percentil", 0.5)),
+                                      keys=config.get("keys"))
+    if p.get("k"):
+        # variant: PCA(k) fit on train before boosting
+        train, test = FT.pca_project(train, test, int(p["k"]))
+    pred = MD.fit_predict(MD.gbt_classifier(p), train, test)
     return A.evaluate_scores(pred, positive=0.0)
 
 

@@ -184,6 +184,24 @@ def evolved_selection_sql() -> str:
             f"lg AS ({long}) SELECT lg.* FROM lg JOIN top ON lg.\"column\" = top.\"column\"")
 
 
+def median_band_sql() -> str:
+    st = row_sum(FEATS)
+    margin = "(CAST(abs(mx - md) - abs(md - mn) AS DOUBLE) / 2.0)"
+    return (f"{B}, s AS (SELECT *, {st} AS st FROM b), "
+            "m AS (SELECT CAST(max(st) AS FLOAT) AS mx, CAST(min(st) AS FLOAT) AS mn, "
+            "CAST(quantile_cont(st, 0.5) AS FLOAT) AS md FROM s), "
+            f"bd AS (SELECT CAST(md AS DOUBLE) + {margin} AS sup, CAST(md AS DOUBLE) - {margin} AS inf FROM m) "
+            f"SELECT {K}, class, st AS sumTotal FROM s, bd WHERE st > least(inf, sup) AND st < greatest(inf, sup)")
+
+
+def instance_filter_sql() -> str:
+    coeffs = EV.evolution_coefficients(EV.DEFAULT_ITERATIONS)
+    ws = [f"(1.0::DOUBLE * {EV.sql_horner(f'({c} / mc)', coeffs)})" for c in FEATS]
+    return (f"{B}, {evolution_scores_sql('b')}, r AS (SELECT *, {row_sum(ws)} AS rs FROM x), "
+            "t AS (SELECT avg(rs) AS a, min(rs) AS mn FROM r) "
+            f"SELECT {K}, class FROM r, t WHERE rs >= a - mn")
+
+
 def build() -> dict[str, str]:
     hu = {c: u(Q.WEIGHT_SEED, c) for c in FEATS}
     n = len(FEATS)
@@ -256,6 +274,17 @@ def build() -> dict[str, str]:
     o["chi2_statistic"] = chi2_sql()
     o["nb_classify"] = nb_sql()
     o["synthetic_bernoulli"] = synthetic_sql()
+    o["median_band_filter"] = median_band_sql()
+    o["instance_filter"] = instance_filter_sql()
+    o["label_remap"] = f"{B} SELECT {K}, CAST(CASE WHEN class = 0.0 THEN -1.0 ELSE class END AS DOUBLE) AS class FROM b"
+    o["string_index"] = (f"WITH c AS (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag), "
+                         "r AS (SELECT l_returnflag, CAST(row_number() OVER (ORDER BY n DESC, l_returnflag) - 1 AS DOUBLE) "
+                         f"AS flag_idx FROM c) SELECT {', '.join('l.' + k for k in KEYS)}, l.l_returnflag, r.flag_idx "
+                         "FROM lineitem l JOIN r ON l.l_returnflag = r.l_returnflag")
+    o["confusion_counts"] = (f"{FP} SELECT count_if(label = 1.0 AND prediction = 1.0) AS tp, "
+                             "count_if(label = 0.0 AND prediction = 1.0) AS fp, count_if(label = 1.0 AND prediction = 0.0) AS fn, "
+                             "count_if(label = 0.0 AND prediction = 0.0) AS tn FROM f")
+    o["limit_rows"] = f"{B} SELECT * FROM b ORDER BY {K} LIMIT {Q.LIMIT_ROWS}"
     return o
 
 
