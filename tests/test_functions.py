@@ -81,3 +81,17 @@ def test_sig_round(spark):
     df = spark.createDataFrame([(123456.789012345,), (-1.70894456574e-06,), (0.0,), (float("nan"),)], "x double")
     vals = [r.y for r in df.select(sig_round(F.col("x"), 6).alias("y")).collect()]
     assert vals[0] == 123457.0 and vals[1] == -1.70894e-06 and vals[2] == 0.0 and math.isnan(vals[3])
+
+
+def test_xxhash64_draws_partition_independent(spark):
+    from tiltml.functions.hashing import DRAW_HASH_CONF
+    spark.conf.set(DRAW_HASH_CONF, "xxhash64")
+    try:
+        df = spark.range(5000).withColumn("k2", F.col("id") % 7)
+        a = df.select("id", hash_u(["id", "k2"], 3).alias("u"))
+        b = df.repartition(11).select("id", hash_u(["id", "k2"], 3).alias("u"))
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+        r = a.agg(F.min("u"), F.max("u"), F.avg("u")).first()
+        assert 0.0 <= r[0] and r[1] < 1.0 and abs(r[2] - 0.5) < 0.03
+    finally:
+        spark.conf.unset(DRAW_HASH_CONF)

@@ -8,6 +8,12 @@ executor is lost and its tasks rerun, and in any engine that has ``md5``
 
 Keys must be integral, string or timestamp columns: their text form is the
 same in Spark and DuckDB (doubles are not).
+
+The session setting ``spark.tiltml.draw.hash`` picks the hash: ``md5``
+(default; reproducible in DuckDB) or ``xxhash64`` (Spark's built-in, about
+5x cheaper per row, equally deterministic and partition-independent, but
+with no SQL twin). Large deployments that do not need cross-engine
+reproducibility set ``xxhash64``.
 """
 
 from __future__ import annotations
@@ -18,6 +24,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TWO_POW_32 = 4294967296.0
+TWO_POW_53 = 9007199254740992.0
+DRAW_HASH_CONF = "spark.tiltml.draw.hash"
+
+
+def _draw_hash() -> str:
+    from pyspark.sql import SparkSession
+    s = SparkSession.getActiveSession()
+    return (s.conf.get(DRAW_HASH_CONF, "md5") if s is not None else "md5").lower()
 
 
 def _key_cols(keys: Sequence[str | Column]) -> list[Column]:
@@ -33,6 +47,9 @@ def hash_u(keys: Sequence[str | Column], seed: int, salt: str | None = None) ->
     parts: list[Column] = [F.lit(str(seed))] + _key_cols(keys)
     if salt is not None:
         parts.append(F.lit(salt))
+    if _draw_hash() == "xxhash64":
+        # top 53 bits of a 64-bit hash -> [0, 1)
+        return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(TWO_POW_53)
     hexed = F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8)
     return F.conv(hexed, 16, 10).cast("double") / F.lit(TWO_POW_32)
 
