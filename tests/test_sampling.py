@@ -95,3 +95,18 @@ def test_union_many_positional_and_by_name(spark):
     assert sorted(tuple(r) for r in S.union_all(a, b).collect()) == [(1, 2), (4, 3)]
     assert sorted(tuple(r) for r in S.union_all(a, b, by_name=False).collect()) == [(1, 2), (3, 4)]
     assert S.union_many([a, a, a]).count() == 3
+
+
+def test_large_copy_counts_are_split_across_tasks(spark):
+    # 3 minority rows against 30,000 majority rows: each minority row gets ~15,000 copies
+    from pyspark.sql import functions as F
+    df = spark.range(30003).select(F.col("id").alias("k"),
+                                   F.when(F.col("id") < 3, F.lit(1.0)).otherwise(F.lit(0.0)).alias("label"))
+    out = S.oversample(df, 1.5, "label", 7, ["k"])
+    c = count_by_value(out, "label", [0.0, 1.0])
+    assert c[0.0] == 30000 and c[1.0] == 45000        # 3 rows x 15000 exact copies (integer fraction)
+    per_task = out.filter("label = 1").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(per_task) > 1 and max(r["count"] for r in per_task) < 45000
+    # below the chunk size the copies expand locally: f = 1003 / 3 * 1.5 = 501.5
+    few = S.oversample(df.filter("k < 3 or k >= 29000"), 1.5, "label", 7, ["k"])
+    assert 3 * 501 <= count_by_value(few, "label", [1.0])[1.0] <= 3 * 502

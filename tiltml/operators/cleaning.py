@@ -147,10 +147,16 @@ def prepare_chain(train: DataFrame, test: DataFrame, oversample_ratio: float = 1
     chi-square test needs categories) and the chosen indices are sliced out
     of the scaled vector, so scaling reaches the output.
     """
-    over = oversample(train, oversample_ratio, "label", seed, keys)
+    # train is read by the class counts, the scaler fit and the scaled copy:
+    # spread + persist it once, keep the scaled table, then release train
+    base = persist(spread(train))
+    over = oversample(base, oversample_ratio, "label", seed, keys)
     tr_s, te_s = maxabs_scale(over, test, refit_on_test=refit_on_test)
     tr_s = persist(tr_s)
-    d = len(tr_s.select("scaledFeatures").first()[0]) if tr_s.head(1) else 0
+    tr_s.count()                       # materialise every partition before releasing train
+    first = tr_s.select("scaledFeatures").head(1)
+    base.unpersist()
+    d = len(first[0][0]) if first else 0
     cols = [f"__f{i}" for i in range(d)]
     arr = vector_to_array(F.col("scaledFeatures"))
     wide = tr_s.select(*[F.get(arr, F.lit(i)).alias(c) for i, c in enumerate(cols)], "label")

@@ -27,6 +27,10 @@ from pyspark.sql import functions as F
 from tiltml.functions.hashing import copies_from_fraction, hash_u
 from tiltml.operators.aggregates import count_by_value
 
+# Copies of one row generated inside a single task; beyond this the copies of a
+# row are split into chunks that are spread over tasks before expanding.
+COPY_CHUNK = 1024
+
 # Seeds used by the balancing and splitting jobs.
 SAMPLING_SEED = 12345678
 SPLIT_SEED_70_30 = 1234
@@ -37,6 +41,30 @@ def _draw(seed: int, keys: Sequence[str] | None, salt: str | None = None) -> Col
     return hash_u(keys, seed, salt) if keys else F.rand(seed)
 
 
+def _expand_copies(staged: DataFrame, cols: Sequence[str], copies_col: str, max_copies: int) -> DataFrame:
+    """Repeat each row ``copies_col`` times.
+
+    Up to ``COPY_CHUNK`` copies are expanded where the row is read. A larger
+    count (a tiny class oversampled against a huge one) would put a large
+    share of the output in the task holding that row, so each row first
+    becomes ``ceil(n / COPY_CHUNK)`` chunk rows, the chunk rows are spread
+    round-robin over the shuffle partitions, and each chunk expands there.
+    """
+    n = F.col(copies_col)
+    if max_copies <= 1:
+        return staged.select(*cols)
+    if max_copies <= COPY_CHUNK:
+        return staged.select(*cols, F.explode(F.sequence(F.lit(1), n)).alias("__tilt_copy")).select(*cols)
+    chunk = F.lit(COPY_CHUNK)
+    chunks = staged.select(*cols, n.alias("__tilt_n"),
+                           F.explode(F.sequence(F.lit(0), ((n - 1) / chunk).cast("int"))).alias("__tilt_c"))
+    sized = chunks.select(*cols, F.least(chunk, F.col("__tilt_n") - F.col("__tilt_c") * chunk).alias("__tilt_m"))
+    parts = int(staged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (sized.repartition(parts)
+            .select(*cols, F.explode(F.sequence(F.lit(1), F.col("__tilt_m"))).alias("__tilt_copy"))
+            .select(*cols))
+
+
 def sample_fraction(df: DataFrame, fraction: float, seed: int, with_replacement: bool = False,
                     keys: Sequence[str] | None = None, salt: str | None = None) -> DataFrame:
     """Sample rows at ``fraction`` (may exceed 1 with replacement)."""
@@ -52,10 +80,7 @@ def sample_fraction(df: DataFrame, fraction: float, seed: int, with_replacement:
     n = "__tilt_copies"
     cols = df.columns
     staged = df.withColumn(n, copies_from_fraction(u, fraction)).filter(F.col(n) >= F.lit(1))
-    if fraction <= 1:
-        return staged.select(*cols)
-    return (staged.select(*cols, F.explode(F.sequence(F.lit(1), F.col(n))).alias("__tilt_copy"))
-            .select(*cols))
+    return _expand_copies(staged, cols, n, int(fraction // 1) + 1)
 
 
 def _resample_one_pass(df: DataFrame, label_col: str, keep_all: Sequence[float],
@@ -74,10 +99,10 @@ def _resample_one_pass(df: DataFrame, label_col: str, keep_all: Sequence[float],
     n = n.otherwise(F.lit(0))
     cols = df.columns
     staged = df.withColumn("__tilt_copies", n).filter(F.col("__tilt_copies") >= F.lit(1))
+    max_copies = int(fraction // 1) + 1 + (1 if extra_for_kept else 0)
     if fraction + (1 if extra_for_kept else 0) <= 1:
-        return staged.select(*cols)
-    return (staged.select(*cols, F.explode(F.sequence(F.lit(1), F.col("__tilt_copies"))).alias("__tilt_copy"))
-            .select(*cols))
+        max_copies = 1
+    return _expand_copies(staged, cols, "__tilt_copies", max_copies)
 
 
 def undersample(df: DataFrame, ratio: float = 1.0, label_col: str = "class",
