@@ -135,8 +135,9 @@ def evolved_selection_job(spark: SparkSession, config: Mapping) -> DataFrame:
     _require(config, "dataset", "output")
     p = _params(config)
     keys = config.get("keys")
-    raw = persist(spark.read.parquet(str(config["dataset"])))
-    bal = S.undersample(raw, 1.0, "class", S.SAMPLING_SEED, keys)
+    raw = spark.read.parquet(str(config["dataset"]))
+    # the balanced table is read by the maxima, the weight sums and the projection
+    bal = persist(S.undersample(raw, 1.0, "class", S.SAMPLING_SEED, keys))
     out = EV.evolved_feature_selection(
         bal, int(p.get("k", EV.DEFAULT_TOP_K)), label_col="class",
         iterations=int(p.get("iterations", EV.DEFAULT_ITERATIONS)),
@@ -144,8 +145,8 @@ def evolved_selection_job(spark: SparkSession, config: Mapping) -> DataFrame:
         seed=int(p.get("seed", 0)), keys=keys,
         with_instance_filter=bool(p.get("instance_filter", False)))
     sink_parquet(out, str(config["output"]))
-    raw.unpersist()
-    return out
+    bal.unpersist()
+    return spark.read.parquet(str(config["output"]))
 
 
 def cascade_job(spark: SparkSession, config: Mapping) -> DataFrame:
