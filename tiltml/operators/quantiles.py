@@ -7,6 +7,9 @@ shuffled per task), then the range shrinks to the bucket(s) holding the
 target ranks. It stops when at most ``max_collect`` values remain (those
 few are brought to the driver and indexed) or when the range collapses to
 a single value, which also covers one value holding a third of all rows.
+The full input is read twice (count/min/max, first histogram); the rows
+still in range after that (about 1/``buckets`` of them) are persisted and
+later passes read only those.
 """
 
 from __future__ import annotations
@@ -17,33 +20,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _kth_values(df: DataFrame, value: Column, ranks: list[int], buckets: int, max_collect: int) -> dict[int, float]:
+def _kth_values(df: DataFrame, value: Column, ranks: list[int], lo: float, hi: float,
+                buckets: int, max_collect: int) -> dict[int, float]:
+    from pyspark import StorageLevel
     v = value.cast("double")
-    stats = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
-    lo, hi = stats["lo"], stats["hi"]
     below = 0                                       # rows strictly under the current range
     want = sorted(set(ranks))
-    while True:
-        in_range = df.filter(v.between(F.lit(lo), F.lit(hi)))
-        if lo == hi:
-            return {k: lo for k in want}
-        width = hi - lo
-        b = F.least(F.floor((v - F.lit(lo)) / F.lit(width) * F.lit(buckets)), F.lit(buckets - 1)).cast("int")
-        hist = sorted(tuple(r) for r in in_range.groupBy(b.alias("b"))
-                      .agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("mn"), F.max(v).alias("mx")).collect())
-        total = sum(h[1] for h in hist)
-        if total <= max_collect:
-            vals = sorted(r[0] for r in in_range.select(v).collect())
-            return {k: vals[k - below] for k in want}
-        acc, first, last, new_below = below, None, None, below
-        for _, n, mn, mx in hist:
-            if first is None and want[0] < acc + n:
-                first, new_below = (mn, mx), acc
-            if want[-1] < acc + n:
-                last = (mn, mx)
-                break
-            acc += n
-        lo, hi, below = first[0], last[1], new_below
+    source, cached = df, None
+    try:
+        while True:
+            if lo == hi:
+                return {k: lo for k in want}
+            in_range = source.filter(v.between(F.lit(lo), F.lit(hi)))
+            width = hi - lo
+            b = F.least(F.floor((v - F.lit(lo)) / F.lit(width) * F.lit(buckets)), F.lit(buckets - 1)).cast("int")
+            hist = sorted(tuple(r) for r in in_range.groupBy(b.alias("b"))
+                          .agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("mn"), F.max(v).alias("mx")).collect())
+            total = sum(h[1] for h in hist)
+            if total <= max_collect:
+                vals = sorted(r[0] for r in in_range.select(v).collect())
+                return {k: vals[k - below] for k in want}
+            acc, first, last, new_below = below, None, None, below
+            for _, n, mn, mx in hist:
+                if first is None and want[0] < acc + n:
+                    first, new_below = (mn, mx), acc
+                if want[-1] < acc + n:
+                    last = (mn, mx)
+                    break
+                acc += n
+            lo, hi, below = first[0], last[1], new_below
+            if cached is None:
+                # later passes read only the rows left in range (about 1/buckets of the input)
+                cached = df.filter(v.between(F.lit(lo), F.lit(hi))).select(value).persist(StorageLevel.MEMORY_AND_DISK)
+                source = cached
+    finally:
+        if cached is not None:
+            cached.unpersist()
 
 
 def exact_quantile(df: DataFrame, value: str | Column, q: float = 0.5, buckets: int = 4096,
@@ -56,12 +68,13 @@ def exact_quantile(df: DataFrame, value: str | Column, q: float = 0.5, buckets:
     """
     v = F.col(value) if isinstance(value, str) else value
     data = df.select(v.cast("double").alias("__q")).filter(F.col("__q").isNotNull() & ~F.isnan("__q"))
-    n = data.count()
+    stats = data.agg(F.count(F.lit(1)).alias("n"), F.min("__q").alias("lo"), F.max("__q").alias("hi")).first()
+    n = stats["n"]
     if n == 0:
         return None
     pos = (n - 1) * q
     lower, upper = math.floor(pos), math.ceil(pos)
-    vals = _kth_values(data, F.col("__q"), [lower, upper], buckets, max_collect)
+    vals = _kth_values(data, F.col("__q"), [lower, upper], stats["lo"], stats["hi"], buckets, max_collect)
     if lower == upper:
         return vals[lower]
     return (upper - pos) * vals[lower] + (pos - lower) * vals[upper]

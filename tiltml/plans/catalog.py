@@ -367,7 +367,9 @@ def q_pca_project(spark, d):
     train, test = S.random_split(emb, [0.7, 0.3], SPLIT_SEED, ["vec_id"])
     ptr, pte = FT.pca_project(train, test, PCA_K)
     names = [f"pc{i}" for i in range(PCA_K)]
-    return pte.select("vec_id", *_vec_cols(pte, "features", names), "label")
+    out = lambda x, part: x.select("vec_id", *_vec_cols(x, "features", names), "label",
+                                   F.lit(part).alias("part"))
+    return out(ptr, "train").unionByName(out(pte, "test"))
 
 
 # --------------------------------------------------------------------------- classifiers
