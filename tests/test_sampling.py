@@ -110,3 +110,14 @@ def test_large_copy_counts_are_split_across_tasks(spark):
     # below the chunk size the copies expand locally: f = 1003 / 3 * 1.5 = 501.5
     few = S.oversample(df.filter("k < 3 or k >= 29000"), 1.5, "label", 7, ["k"])
     assert 3 * 501 <= count_by_value(few, "label", [1.0])[1.0] <= 3 * 502
+
+
+@pytest.mark.parametrize("op", [
+    lambda df, seed: S.undersample(df, 1.0, "class", seed, KEYS),
+    lambda df, seed: S.random_split(df, [0.5, 0.5], seed, KEYS)[0],
+    lambda df, seed: S.kfold_assign(df, 3, seed, KEYS).filter("fold = 0"),
+])
+def test_seed_controls_every_draw(mlb, op):
+    a, b, c = op(mlb, 1), op(mlb, 1), op(mlb, 2)
+    assert _rows(a) == _rows(b)
+    assert _rows(a) != _rows(c)

@@ -95,3 +95,12 @@ def test_flagship_entry(spark):
     df = E.entry(spark)
     assert df.columns == ["tp", "fp", "fn", "tn", "tpr", "tnr", "score"]
     assert df.count() == 1
+
+
+def test_gbt_job_variants_prepare_and_pca(spark, tables):
+    # oversample -> scale -> chi-square before boosting, and PCA before boosting
+    r = J.gbt_job(spark, dict(tables, params={"maxIter": 3, "depth": 3, "stepsize": 0.4,
+                                              "prepare": True, "percentil": 0.5})).first()
+    assert r.tp + r.fp + r.fn + r.tn > 0
+    r = J.gbt_job(spark, dict(tables, params={"maxIter": 3, "depth": 3, "stepsize": 0.4, "k": 2})).first()
+    assert r.tp + r.fp + r.fn + r.tn > 0
