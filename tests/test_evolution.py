@@ -66,3 +66,18 @@ def test_instance_filter_keeps_rows(spark, small):
     w = EV.evolved_weights(small, feats, maxima, "class", 10, "const")
     kept = EV.instance_filter(small, w).count()
     assert 0 < kept <= 40
+
+
+def test_wide_table_selection(spark):
+    # 300 features: wide row sums fold over an array, column sums go long-form
+    import time
+    base = spark.range(400).select(F.col("id").alias("k"), (F.col("id") % 5 == 0).cast("double").alias("class"))
+    feats = [(hash_u(["k"], i) * F.lit(float(i % 17 + 1))).alias(f"f{i}") for i in range(300)]
+    df = base.select("k", *feats, "class")
+    t = time.time()
+    out = EV.evolved_feature_selection(df, k=200, label_col="class", weight_mode="hash", seed=5,
+                                       keys=["k"], keep=["k"])
+    assert len(out.columns) == 202 and out.count() == 400
+    assert time.time() - t < 120
+    scores = EV.weight_evolution(df, [f"f{i}" for i in range(300)], "class", weight_mode="const")
+    assert scores.count() == 300

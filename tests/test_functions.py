@@ -95,3 +95,21 @@ def test_xxhash64_draws_partition_independent(spark):
         assert 0.0 <= r[0] and r[1] < 1.0 and abs(r[2] - 0.5) < 0.03
     finally:
         spark.conf.unset(DRAW_HASH_CONF)
+
+
+def test_wide_row_sum_keeps_left_fold_and_nulls(spark):
+    import random
+    random.seed(1)
+    n = 150
+    vals = [[random.uniform(-1e6, 1e6) for _ in range(n)] for _ in range(20)]
+    vals[3][77] = None
+    df = spark.createDataFrame(vals, ", ".join(f"c{i} double" for i in range(n)))
+    got = [r.s for r in df.select(C.row_sum([f"c{i}" for i in range(n)]).alias("s")).collect()]
+    for row, g in zip(vals, got):
+        if None in row:
+            assert g is None
+        else:
+            acc = row[0]
+            for v in row[1:]:
+                acc = acc + v
+            assert g == acc
