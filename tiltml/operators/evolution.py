@@ -32,9 +32,11 @@ CUT_CONSTANT_CLASS0 = 10000
 DEFAULT_TOP_K = 200
 
 # Above this many feature columns the per-column sums are computed in long
-# form (one (column, weight) row per cell, map-side partial sums) instead of
-# one very wide aggregate, which code generation gives up on.
-WIDE_AGG_LIMIT = 256
+# form: cells are unpivoted to (column, value) rows, one weight expression
+# serves every column, and a map-side partial groupBy(column) sums them. The
+# plan then stays the same size whatever the width (a wide aggregate of N
+# polynomial expressions costs seconds of planning and code generation).
+WIDE_AGG_LIMIT = 64
 
 
 def evolution_coefficients(iterations: int) -> list[int]:
@@ -64,15 +66,18 @@ def sql_horner(x: str, coeffs: Sequence[int]) -> str:
     return expr
 
 
-def initial_weight(mode: str, column: str, seed: int, keys: Sequence[str] | None,
+def initial_weight(mode: str, column: str | Column, seed: int, keys: Sequence[str] | None,
                    index: int = 0) -> Column:
     """``w0`` per cell: "const" (1.0), "hash" (hash-u by row key and column
-    name) or "rand" (``rand(seed + index)``, partition-dependent)."""
+    name; the name may be a column in long form) or "rand" (``rand(seed +
+    index)``, partition-dependent)."""
     if mode == "const":
         return F.lit(1.0)
     if mode == "hash":
         if not keys:
             raise ValueError("weight_mode='hash' needs key columns")
+        if isinstance(column, Column):
+            return hash_u(list(keys) + [column], seed)
         return hash_u(keys, seed, salt=column)
     if mode == "rand":
         return F.rand(seed + index)
@@ -120,16 +125,28 @@ def evolve_cells(df: DataFrame, features: Sequence[str] | None = None, label_col
                               for c in feats], F.col(label_col))
 
 
-def _long_sums(df: DataFrame, named: dict[str, Column]) -> DataFrame:
-    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), e.cast("double").alias("w"))
-                                for n, e in named.items()]))
-    return df.select(cells.alias("c")).groupBy(F.col("c.column").alias("column")).agg(F.sum("c.w").alias("score"))
+def long_scores(df: DataFrame, features: Sequence[str], maxima: dict, label_col: str = "class",
+                iterations: int = DEFAULT_ITERATIONS, weight_mode: str = "const", seed: int = 0,
+                keys: Sequence[str] | None = None) -> DataFrame:
+    """``(column, score)`` from unpivoted cells with one weight expression."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value"))
+                                for c in features]))
+    ids = list(keys or [])
+    long = df.select(*ids, F.col(label_col), cells.alias("c")).select(*ids, label_col, "c.column", "c.value")
+    lab = F.col(label_col)
+    m = F.when(lab == F.lit(0.0), F.lit(maxima.get(0.0))).when(lab == F.lit(1.0), F.lit(maxima.get(1.0)))
+    w0 = initial_weight(weight_mode, F.col("column"), seed, keys) if weight_mode != "rand" else F.rand(seed)
+    w = w0 * horner(F.col("value") / m, evolution_coefficients(iterations))
+    return long.groupBy("column").agg(F.sum(w).alias("score"))
 
 
 def column_scores(df: DataFrame, weights: dict[str, Column]) -> DataFrame:
-    """Per-column sum of weights over all rows, long form ``(column, score)``."""
+    """Per-column sum of the given weight expressions, long form ``(column, score)``."""
     if len(weights) > WIDE_AGG_LIMIT:
-        return _long_sums(df, weights)
+        cells = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), e.cast("double").alias("w"))
+                                    for n, e in weights.items()]))
+        return (df.select(cells.alias("c")).groupBy(F.col("c.column").alias("column"))
+                .agg(F.sum("c.w").alias("score")))
     names = list(weights)
     alias = {n: f"s{i}" for i, n in enumerate(names)}
     row = df.agg(*[F.sum(weights[n]).alias(alias[n]) for n in names])
@@ -138,14 +155,21 @@ def column_scores(df: DataFrame, weights: dict[str, Column]) -> DataFrame:
     return row.select(stacked.alias("c")).select("c.column", "c.score")
 
 
+def _scores(df: DataFrame, feats: Sequence[str], maxima: dict, label_col: str, iterations: int,
+            weight_mode: str, seed: int, keys: Sequence[str] | None) -> DataFrame:
+    if len(feats) > WIDE_AGG_LIMIT:
+        return long_scores(df, feats, maxima, label_col, iterations, weight_mode, seed, keys)
+    w = evolved_weights(df, feats, maxima, label_col, iterations, weight_mode, seed, keys)
+    return column_scores(df, w)
+
+
 def weight_evolution(df: DataFrame, features: Sequence[str] | None = None, label_col: str = "class",
                      iterations: int = DEFAULT_ITERATIONS, weight_mode: str = "const", seed: int = 0,
                      keys: Sequence[str] | None = None, float32_max: bool = True) -> DataFrame:
     """Per-feature evolved weight totals ``(column, score)``."""
     feats = list(features) if features is not None else feature_columns(df, exclude=set(keys or ()) | {label_col, "label"})
     maxima = class_row_maxima(df, feats, label_col, float32_max)
-    w = evolved_weights(df, feats, maxima, label_col, iterations, weight_mode, seed, keys)
-    return column_scores(df, w)
+    return _scores(df, feats, maxima, label_col, iterations, weight_mode, seed, keys)
 
 
 def top_k_columns(scores: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
@@ -192,9 +216,13 @@ def evolved_feature_selection(df: DataFrame, k: int = DEFAULT_TOP_K, features: S
     feats = list(features) if features is not None else feature_columns(
         df, exclude=set(keys or ()) | set(keep) | {label_col, "label"})
     maxima = class_row_maxima(df, feats, label_col, float32_max)
-    w = evolved_weights(df, feats, maxima, label_col, iterations, weight_mode, seed, keys)
-    chosen = [r["column"] for r in top_k_columns(column_scores(df, w), k).collect()]
-    base = instance_filter(df, w) if with_instance_filter else df
+    scores = _scores(df, feats, maxima, label_col, iterations, weight_mode, seed, keys)
+    chosen = [r["column"] for r in top_k_columns(scores, k).collect()]
+    if with_instance_filter:
+        w = evolved_weights(df, feats, maxima, label_col, iterations, weight_mode, seed, keys)
+        base = instance_filter(df, w)
+    else:
+        base = df
     return project_selected(base, chosen, label_col, keep)
 
 
