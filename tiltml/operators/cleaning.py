@@ -38,7 +38,7 @@ SYNTHETIC_P_ONE = 0.7
 def noise_filter(df: DataFrame, k: int = NOISE_FOLDS, seed: int = SPLIT_SEED_FOLDS,
                  keys: Sequence[str] | None = None, num_trees: int = NOISE_TREES,
                  model_seed: int = 42, features_col: str = "features", label_col: str = "label",
-                 keep: Sequence[str] = (), parallelism: int = 4) -> DataFrame:
+                 keep: Sequence[str] = (), parallelism: int = 4, materialize: bool = True) -> DataFrame:
     """Cross-validated majority noise filter.
 
     Rows get a fold in ``0..k-1``; for each fold a random forest is fit on
@@ -48,7 +48,8 @@ def noise_filter(df: DataFrame, k: int = NOISE_FOLDS, seed: int = SPLIT_SEED_FOL
 
     One fold column replaces k splits + unions of k-1 parts; the folded
     input is persisted once and read by all k fits, which are submitted
-    concurrently (``parallelism``).
+    concurrently (``parallelism``). With ``materialize`` the result is written
+    once to the shared checkpoint folder and the folded input is released.
     """
     folded = persist(spread(kfold_assign(df.select(*keep, features_col, label_col), k, seed, keys)))
     est = rf_classifier({"nTrees": num_trees, "seed": model_seed}, features_col, label_col)
@@ -59,7 +60,12 @@ def noise_filter(df: DataFrame, k: int = NOISE_FOLDS, seed: int = SPLIT_SEED_FOL
         scored = model.transform(folded.filter(F.col("fold") == F.lit(i)))
         parts.append(scored.filter(noise_retention_predicate(label_col, "prediction"))
                      .select(*keep, features_col, label_col))
-    return union_many(parts)
+    out = union_many(parts)
+    if materialize:
+        from tiltml.session import materialize as write_table
+        out = write_table(out, "noise-filter")
+        folded.unpersist()
+    return out
 
 
 def confidence_cascade(df: DataFrame, rounds: int = CASCADE_ROUNDS,
@@ -93,6 +99,7 @@ def confidence_cascade(df: DataFrame, rounds: int = CASCADE_ROUNDS,
             params["seed"] = model_seed
         ests.append((gbt_classifier(params, features_col, label_col), train))
     models = fit_concurrently(ests, parallelism, cache_input=False)
+    train.unpersist()                      # scoring needs only the fitted models
     cur = spread(test)
     for i in range(rounds):
         ci = i % m

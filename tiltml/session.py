@@ -69,3 +69,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the session's shared checkpoint folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    One pass computes the data (a reliable ``checkpoint()`` computes it twice
+    unless cached); the result has no lineage to recompute after an executor
+    loss, and caches it depended on can be released.
+    """
+    import uuid
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tiltml-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
