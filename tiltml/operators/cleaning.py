@@ -15,7 +15,7 @@ from tiltml.operators.filters import confident_predicate, noise_retention_predic
 from tiltml.operators.models import fit_concurrently, gbt_classifier, rf_classifier
 from tiltml.operators.sampling import (SAMPLING_SEED, SPLIT_SEED_FOLDS, kfold_assign,
                                        kfold_complement, oversample, random_split, union_many)
-from tiltml.sources.sinks import persist, spread
+from tiltml.sources.sinks import persist, share_of_slots, spread
 
 # The cascade's five boosting configurations (cycled over 30 rounds),
 # its 0.3/0.7 split, confidence threshold, and the noise filter's 4 folds of 10 trees.
@@ -51,7 +51,8 @@ def noise_filter(df: DataFrame, k: int = NOISE_FOLDS, seed: int = SPLIT_SEED_FOL
     concurrently (``parallelism``). With ``materialize`` the result is written
     once to the shared checkpoint folder and the folded input is released.
     """
-    folded = persist(spread(kfold_assign(df.select(*keep, features_col, label_col), k, seed, keys)))
+    folded = kfold_assign(df.select(*keep, features_col, label_col), k, seed, keys)
+    folded = persist(spread(folded, share_of_slots(df.sparkSession, min(k, parallelism))))
     est = rf_classifier({"nTrees": num_trees, "seed": model_seed}, features_col, label_col)
     models = fit_concurrently([(est, kfold_complement(folded, i)) for i in range(k)], parallelism,
                               cache_input=False)
@@ -89,9 +90,9 @@ def confidence_cascade(df: DataFrame, rounds: int = CASCADE_ROUNDS,
     the same train table and are submitted concurrently (``parallelism``).
     """
     train, test = random_split(df.select(*keep, features_col, label_col), split, seed, keys)
-    train = persist(spread(train))
     m = len(configs)
     distinct = min(rounds, m)
+    train = persist(spread(train, share_of_slots(df.sparkSession, min(distinct, parallelism))))
     ests = []
     for ci in range(distinct):
         params = dict(configs[ci])

@@ -30,15 +30,23 @@ def persist(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, target: int | None = None) -> DataFrame:
     """Round-robin repartition when the input has fewer partitions than the
     session can run at once (e.g. a single-row-group file).
 
     Iterative fits read their input many times, so one shuffle up front buys
-    full parallelism for every pass. On a large input the partition count
-    already exceeds the target and this is a no-op (no shuffle).
+    parallelism for every pass. ``target`` (default: the session's task
+    slots) is lower when several fits share the slots, since each task of a
+    pass carries fixed overhead. On a large input the partition count already
+    exceeds the slots and this is a no-op (no shuffle).
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
         return df
-    return df.repartition(target)
+    return df.repartition(target or slots)
+
+
+def share_of_slots(spark, concurrent: int) -> int:
+    """Partitions per input when ``concurrent`` fits share the task slots."""
+    slots = spark.sparkContext.defaultParallelism
+    return max(1, -(-slots // max(1, concurrent)))
