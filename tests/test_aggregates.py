@@ -62,3 +62,17 @@ def test_covariance_modes_agree(spark):
 def test_class_max_values_bounded(spark):
     df = spark.createDataFrame([(1.0, 0.0), (5.0, 0.0), (2.0, 1.0)], "v double, class double")
     assert A.class_max_values(df, "v", "class") == {0.0: 5.0, 1.0: 2.0}
+
+
+def test_wide_covariance_matches_pairwise(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from tiltml.functions.hashing import hash_u
+    df = spark.range(500).select(*[(hash_u(["id"], i) * F.lit(float(i + 1)) + F.col("id") * F.lit(0.01 * i)).alias(f"c{i}")
+                                   for i in range(6)]).cache()
+    cols = [f"c{i}" for i in range(6)]
+    pair = {(r.col_a, r.col_b): r.covariance for r in A.feature_covariance(df, cols).collect()}
+    monkeypatch.setattr(A, "PAIRWISE_LIMIT", 2)
+    gram = {(r.col_a, r.col_b): r.covariance for r in A.feature_covariance(df, cols).collect()}
+    assert set(pair) == set(gram) and len(pair) == 21
+    for k in pair:
+        assert math.isclose(pair[k], gram[k], rel_tol=1e-8, abs_tol=1e-10)

@@ -115,6 +115,29 @@ def accuracy(df: DataFrame, prediction_col: str = "prediction", label_col: str =
     return agg.select("n", "correct", safe_div(F.col("correct"), F.col("n")).alias("accuracy"))
 
 
+# Above this many features the covariance comes from one Gramian aggregate
+# (Correlation over an assembled vector) instead of N*(N+1)/2 separate sums.
+PAIRWISE_LIMIT = 32
+
+
+def _covariance_from_gramian(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``cov_ij = corr_ij * sd_i * sd_j``: Spark's correlation (one tree aggregate
+    of the d x d Gramian) and ``Summarizer`` variances; d x d values reach the driver."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation, Summarizer
+    vec = VectorAssembler(inputCols=cols, outputCol="__cov_v", handleInvalid="skip").transform(df).select("__cov_v")
+    vec = vec.persist()
+    try:
+        corr = Correlation.corr(vec, "__cov_v", "pearson").first()[0].toArray()
+        var = vec.select(Summarizer.variance(F.col("__cov_v")).alias("v")).first()["v"].toArray()
+    finally:
+        vec.unpersist()
+    import math
+    rows = [(a, cols[j], float(corr[i][j] * math.sqrt(var[i]) * math.sqrt(var[j])))
+            for i, a in enumerate(cols) for j in range(i, len(cols))]
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, covariance double")
+
+
 def feature_covariance(df: DataFrame, columns: Sequence[str], decimal_scale: int | None = None) -> DataFrame:
     """Sample covariance of every feature pair, long form ``(col_a, col_b, covariance)``.
 
@@ -122,8 +145,13 @@ def feature_covariance(df: DataFrame, columns: Sequence[str], decimal_scale: int
     ``decimal_scale`` the sums run in exact DECIMAL arithmetic (order of
     addition no longer matters, so every engine gets the same bits), then
     ``(n*Sxy - Sx*Sy) / (n*(n-1))`` in double; else built-in ``covar_samp``.
+    Wider than ``PAIRWISE_LIMIT`` features (without ``decimal_scale``), one
+    Gramian aggregate replaces the pairwise sums. Rows with a NULL feature
+    are skipped there (``covar_samp`` skips per pair).
     """
     cols = list(columns)
+    if len(cols) > PAIRWISE_LIMIT and decimal_scale is None:
+        return _covariance_from_gramian(df, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     if decimal_scale is None:
         row = df.agg(*[F.covar_samp(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
