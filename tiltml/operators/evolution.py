@@ -207,7 +207,8 @@ def evolved_feature_selection(df: DataFrame, k: int = DEFAULT_TOP_K, features: S
                               label_col: str = "class", iterations: int = DEFAULT_ITERATIONS,
                               weight_mode: str = "const", seed: int = 0,
                               keys: Sequence[str] | None = None, float32_max: bool = True,
-                              with_instance_filter: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+                              with_instance_filter: bool = False, keep: Sequence[str] = (),
+                              cache_input: bool = True) -> DataFrame:
     """Evolve weights, keep the top-``k`` columns by weight total, emit raw values + class.
 
     The name map is kept explicitly, so any column name (including ones
@@ -215,14 +216,23 @@ def evolved_feature_selection(df: DataFrame, k: int = DEFAULT_TOP_K, features: S
     """
     feats = list(features) if features is not None else feature_columns(
         df, exclude=set(keys or ()) | set(keep) | {label_col, "label"})
-    maxima = class_row_maxima(df, feats, label_col, float32_max)
-    scores = _scores(df, feats, maxima, label_col, iterations, weight_mode, seed, keys)
-    chosen = [r["column"] for r in top_k_columns(scores, k).collect()]
-    if with_instance_filter:
-        w = evolved_weights(df, feats, maxima, label_col, iterations, weight_mode, seed, keys)
-        base = instance_filter(df, w)
-    else:
-        base = df
+    from pyspark import StorageLevel
+    # the maxima and the weight sums both read the input: cache it for those
+    # passes only (unless the caller already did), then release it
+    owned = cache_input and df.storageLevel == StorageLevel(False, False, False, False, 1)
+    src = df.persist(StorageLevel.MEMORY_AND_DISK) if owned else df
+    try:
+        maxima = class_row_maxima(src, feats, label_col, float32_max)
+        scores = _scores(src, feats, maxima, label_col, iterations, weight_mode, seed, keys)
+        chosen = [r["column"] for r in top_k_columns(scores, k).collect()]
+        if with_instance_filter:
+            w = evolved_weights(df, feats, maxima, label_col, iterations, weight_mode, seed, keys)
+            base = instance_filter(df, w)
+        else:
+            base = df
+    finally:
+        if owned:
+            src.unpersist()
     return project_selected(base, chosen, label_col, keep)
 
 
