@@ -25,4 +25,6 @@ def test_query_matches_oracle(spark, duck_small, name):
 def test_every_query_has_oracle_or_is_a_model_fit():
     no_sql = set(E.queries()) - set(ORACLE)
     assert no_sql <= {"gbt_classify", "rf_classify", "mlp_classify", "fm_classify", "weighted_gbt_classify",
-                      "pca_project", "noise_filter", "confidence_cascade", "prepare_chain", "chi2_fdr_select"}
+                      "pca_project", "noise_filter", "confidence_cascade", "prepare_chain", "chi2_fdr_select",
+                      "job_gbt_score", "job_rf_score", "job_mlp_score", "job_fm_score",
+                      "job_pca_weighted_gbt_score", "job_pca_preview", "job_feature_preparation"}

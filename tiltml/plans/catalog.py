@@ -24,6 +24,7 @@ from tiltml.operators import features as FT
 from tiltml.operators import filters as FL
 from tiltml.operators import models as MD
 from tiltml.operators import sampling as S
+from tiltml.plans import jobs as J
 from tiltml.session import checkpoint_dir
 from tiltml.sources import fixtures as FX
 from tiltml.sources.readers import assemble_features, prepare_data, scan_delimited
@@ -486,6 +487,92 @@ def q_chi2_fdr_select(spark, d):
     return spark.createDataFrame([(c,) for c in chosen], "feature string")
 
 
+# --------------------------------------------------------------------------- jobs (J1-J9, J11)
+
+JOB_PCA_PARAMS = {"k": PCA_K, "scale_pos_weight": 4.0, "num_round": GBT_PARAMS["maxIter"],
+                  "depth": GBT_PARAMS["depth"], "seed": GBT_PARAMS["seed"]}
+SYNTHETIC_JOB_SEED = 0
+
+
+def _job_tables(spark, d) -> dict:
+    """``ml_binary`` split 70/30 by hash, written as train/test parquet in the shared folder."""
+    train, test = _split_train_test(FX.ml_binary(spark, d))
+    tp, sp = _scratch(spark, "job-train"), _scratch(spark, "job-test")
+    sink_parquet(train, tp)
+    sink_parquet(test, sp)
+    return {"dataset": tp, "test": sp, "keys": KEYS}
+
+
+def _job_full_table(spark, d) -> str:
+    path = _scratch(spark, "job-dataset")
+    sink_parquet(FX.ml_binary(spark, d), path)
+    return path
+
+
+def q_job_gbt_score(spark, d):
+    return J.gbt_job(spark, dict(_job_tables(spark, d), params=GBT_PARAMS))
+
+
+def q_job_rf_score(spark, d):
+    return J.rf_job(spark, dict(_job_tables(spark, d), params=RF_PARAMS))
+
+
+def q_job_mlp_score(spark, d):
+    return J.mlp_job(spark, dict(_job_tables(spark, d), params=MLP_PARAMS))
+
+
+def q_job_fm_score(spark, d):
+    return J.fm_job(spark, dict(_job_tables(spark, d), params=FM_PARAMS))
+
+
+def q_job_nb_accuracy(spark, d):
+    return J.nb_job(spark, {"dataset": _job_full_table(spark, d), "keys": KEYS})
+
+
+def q_job_pca_weighted_gbt_score(spark, d):
+    return J.pca_weighted_gbt_job(spark, dict(_job_tables(spark, d), params=JOB_PCA_PARAMS))
+
+
+def q_job_pca_preview(spark, d):
+    tr, te = J.pca_preview_job(spark, dict(_job_tables(spark, d), params={"k": PCA_K}))
+    names = [f"pc{i}" for i in range(PCA_K)]
+    out = lambda x, part: x.select(*KEYS, *_vec_cols(x, "features", names), "label",
+                                   F.lit(part).alias("part"))
+    return out(tr, "train").unionByName(out(te, "test"))
+
+
+def q_job_feature_preparation(spark, d):
+    cfg = dict(_job_tables(spark, d), trainOut=_scratch(spark, "prep-train"), testOut=_scratch(spark, "prep-test"),
+               params={"percentil": 0.5})
+    J.feature_preparation_job(spark, cfg)
+    tr, te = spark.read.parquet(cfg["trainOut"]), spark.read.parquet(cfg["testOut"])
+    n = len(tr.select("features").first()[0]) if tr.head(1) else 0
+    names = [f"f{i}" for i in range(n)]
+    out = lambda x, part: x.select(*KEYS, *_vec_cols(x, "features", names), "label",
+                                   F.lit(part).alias("part"))
+    return out(tr, "train").unionByName(out(te, "test"))
+
+
+def q_job_evolved_selection(spark, d):
+    cfg = {"dataset": _job_full_table(spark, d), "output": _scratch(spark, "evolved"), "keys": KEYS,
+           "params": {"k": TOP_K_SELECT, "weight_mode": "const"}}
+    sel = J.evolved_selection_job(spark, cfg)
+    chosen = [c for c in sel.columns if c in FEATS]
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+                                for c in chosen]))
+    return sel.select(*KEYS, "class", cells.alias("kv")).select(*KEYS, "class", "kv.column", "kv.value")
+
+
+def q_job_synthetic(spark, d):
+    ml = assemble_features(FX.ml_binary(spark, d), FEATS, "class", keep=KEYS)
+    src = _scratch(spark, "synthetic-in")
+    sink_parquet(ml, src)
+    out = J.synthetic_job(spark, {"dataset": src, "output": _scratch(spark, "synthetic-out"), "keys": KEYS,
+                                  "params": {"seed": SYNTHETIC_JOB_SEED}})
+    names = [f"label{i}" for i in range(X.SYNTHETIC_COLUMNS)]
+    return out.select(*KEYS, *_vec_cols(out, "features", names), "label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -42,11 +42,20 @@ def _params(config: Mapping) -> dict:
     return dict(config.get("params") or {})
 
 
+def _keys(config: Mapping) -> list[str]:
+    return list(config.get("keys") or [])
+
+
+def _load(spark: SparkSession, config: Mapping):
+    """Train/test ML tables; key columns (``config['keys']``) are carried, never features."""
+    return prepare_data(spark, config, cast_double=bool(config.get("cast_double")), keep=_keys(config))
+
+
 def gbt_job(spark: SparkSession, config: Mapping) -> DataFrame:
     """Train boosted trees on ``dataset``, score ``test``: (tp..score), class 0 positive."""
     _require(config, "dataset", "test", "params")
     p = _params(config)
-    train, test = prepare_data(spark, config, cast_double=bool(config.get("cast_double")))
+    train, test = _load(spark, config)
     if p.get("prepare"):
         # variant: oversample -> scale -> chi-square selection before boosting
         train, test = X.prepare_chain(train, test, float(p.get("ratio", 1.5)),
@@ -62,7 +71,7 @@ def gbt_job(spark: SparkSession, config: Mapping) -> DataFrame:
 def rf_job(spark: SparkSession, config: Mapping) -> DataFrame:
     """Random forest train + score, class 1 positive."""
     _require(config, "dataset", "test")
-    train, test = prepare_data(spark, config, cast_double=bool(config.get("cast_double")))
+    train, test = _load(spark, config)
     pred = MD.fit_predict(MD.rf_classifier(_params(config)), train, test)
     return A.evaluate_scores(pred, positive=1.0)
 
@@ -70,7 +79,7 @@ def rf_job(spark: SparkSession, config: Mapping) -> DataFrame:
 def mlp_job(spark: SparkSession, config: Mapping) -> DataFrame:
     """Multilayer perceptron train + score (with the train/test row counts)."""
     _require(config, "dataset", "test", "params")
-    train, test = prepare_data(spark, config, cast_double=bool(config.get("cast_double")))
+    train, test = _load(spark, config)
     pred = MD.fit_predict(MD.mlp_classifier(_params(config)), train, test)
     counts = A.count_by_value(train, "label", [0.0, 1.0])
     return A.evaluate_scores(pred, positive=0.0).select(
@@ -80,7 +89,7 @@ def mlp_job(spark: SparkSession, config: Mapping) -> DataFrame:
 def fm_job(spark: SparkSession, config: Mapping) -> DataFrame:
     """Factorization machine train + score."""
     _require(config, "dataset", "test", "params")
-    train, test = prepare_data(spark, config, cast_double=bool(config.get("cast_double")))
+    train, test = _load(spark, config)
     pred = MD.fit_predict(MD.fm_classifier(_params(config)), train, test)
     return A.evaluate_scores(pred, positive=0.0)
 
@@ -89,11 +98,11 @@ def nb_job(spark: SparkSession, config: Mapping) -> DataFrame:
     """Shift features by +10, label from ``class``, 70/30 split, naive Bayes, accuracy."""
     _require(config, "dataset")
     raw = spark.read.parquet(str(config["dataset"]))
-    feats = feature_columns(raw)
+    keys = _keys(config)
+    feats = feature_columns(raw, exclude={"class", "label", *keys})
     df = derive_label(shift_features(raw, NB_SHIFT, feats), "class", "label")
-    ml = assemble_features(df, feats, label_source=None, keep=list(config.get("keys") or []) + ["label"])
-    ml = ml.select(*[c for c in ml.columns if c != "label"], "label")
-    train, test = S.random_split(ml, [0.7, 0.3], S.SPLIT_SEED_70_30, config.get("keys"))
+    ml = assemble_features(df, feats, label_source=None, keep=keys)   # keys, features, label
+    train, test = S.random_split(ml, [0.7, 0.3], S.SPLIT_SEED_70_30, keys or None)
     pred = MD.fit_predict(MD.nb_classifier(), train, test)
     return A.accuracy(pred)
 
@@ -102,7 +111,7 @@ def pca_weighted_gbt_job(spark: SparkSession, config: Mapping) -> DataFrame:
     """PCA(k) fit on train, then boosting with a positive-class weight; score."""
     _require(config, "dataset", "test", "params")
     p = _params(config)
-    train, test = prepare_data(spark, config, cast_double=bool(config.get("cast_double")))
+    train, test = _load(spark, config)
     ptr, pte = FT.pca_project(train, test, int(p["k"]))
     weighted = MD.positive_class_weight(ptr, float(p.get("scale_pos_weight", 1.0)))
     pred = MD.fit_predict(MD.weighted_gbt_classifier(p), weighted, pte)
@@ -112,7 +121,7 @@ def pca_weighted_gbt_job(spark: SparkSession, config: Mapping) -> DataFrame:
 def pca_preview_job(spark: SparkSession, config: Mapping, n: int = 20) -> tuple[DataFrame, DataFrame]:
     """PCA(k) projections of train and test (first ``n`` rows each)."""
     _require(config, "dataset", "test", "params")
-    train, test = prepare_data(spark, config, cast_double=bool(config.get("cast_double")))
+    train, test = _load(spark, config)
     ptr, pte = FT.pca_project(train, test, int(_params(config)["k"]))
     return ptr.limit(n), pte.limit(n)
 
@@ -121,10 +130,10 @@ def feature_preparation_job(spark: SparkSession, config: Mapping) -> tuple[DataF
     """Oversample 1.5 -> max-abs scale -> chi-square select; write trainOut/testOut."""
     _require(config, "dataset", "test", "trainOut", "testOut")
     p = _params(config)
-    train, test = prepare_data(spark, config, cast_double=bool(config.get("cast_double")))
+    train, test = _load(spark, config)
     tr, te = X.prepare_chain(train, test, float(p.get("ratio", 1.5)),
                              str(p.get("selectorType", "percentile")), float(p.get("percentil", 0.5)),
-                             keys=config.get("keys"))
+                             keys=config.get("keys"), keep=_keys(config))
     sink_parquet(tr, str(config["trainOut"]))
     sink_parquet(te, str(config["testOut"]))
     return tr, te
@@ -143,7 +152,7 @@ def evolved_selection_job(spark: SparkSession, config: Mapping) -> DataFrame:
         iterations=int(p.get("iterations", EV.DEFAULT_ITERATIONS)),
         weight_mode=str(p.get("weight_mode", "hash" if keys else "rand")),
         seed=int(p.get("seed", 0)), keys=keys,
-        with_instance_filter=bool(p.get("instance_filter", False)))
+        with_instance_filter=bool(p.get("instance_filter", False)), keep=list(keys or []))
     sink_parquet(out, str(config["output"]))
     bal.unpersist()
     return spark.read.parquet(str(config["output"]))

@@ -202,6 +202,15 @@ def instance_filter_sql() -> str:
             f"SELECT {K}, class FROM r, t WHERE rs >= a - mn")
 
 
+def job_synthetic_sql() -> str:
+    cols = []
+    for i in range(30):
+        uu = sql_hash_u(KEYS, Q.SYNTHETIC_JOB_SEED, f"label{i}")
+        th = f"(CASE WHEN label = 1.0 THEN {dbl(1.0 - 0.7)} ELSE {dbl(1.0 - 0.7)} END)"
+        cols.append(f"(CASE WHEN {uu} >= {th} THEN 1.0 ELSE 0.0 END + 0.0) AS label{i}")
+    return f"{B}, m AS (SELECT {K}, class AS label FROM b) SELECT {K}, {', '.join(cols)}, label FROM m"
+
+
 def build() -> dict[str, str]:
     hu = {c: u(Q.WEIGHT_SEED, c) for c in FEATS}
     n = len(FEATS)
@@ -285,6 +294,11 @@ def build() -> dict[str, str]:
                              "count_if(label = 0.0 AND prediction = 1.0) AS fp, count_if(label = 1.0 AND prediction = 0.0) AS fn, "
                              "count_if(label = 0.0 AND prediction = 0.0) AS tn FROM f")
     o["limit_rows"] = f"{B} SELECT * FROM b ORDER BY {K} LIMIT {Q.LIMIT_ROWS}"
+    o["job_nb_accuracy"] = (f"SELECT count(*) AS n, count_if(prediction = label) AS correct, "
+                            f"CASE WHEN count(*) = 0 THEN 'NaN'::DOUBLE ELSE count_if(prediction = label)::DOUBLE "
+                            f"/ count(*)::DOUBLE END AS accuracy FROM ({nb_sql()}) p")
+    o["job_evolved_selection"] = evolved_selection_sql()
+    o["job_synthetic"] = job_synthetic_sql()
     return o
 
 
