@@ -63,6 +63,43 @@ def sql_hash_u(keys: Sequence[str], seed: int, salt: str | None = None) -> str:
             f" / {TWO_POW_32})")
 
 
+DRAWS_PER_DIGEST = 4
+
+
+def hash_u_block(keys: Sequence[str | Column], seed: int, block: str) -> list[Column]:
+    """Four independent draws from one md5 digest (each 32-bit slice is one draw).
+
+    Many draws per row (e.g. 30 synthetic columns) cost a quarter of the
+    digests; the shared digest is computed once per row (subexpression
+    elimination). In ``xxhash64`` mode each slot is its own salted draw.
+    """
+    if _draw_hash() == "xxhash64":
+        return [hash_u(keys, seed, f"{block}.{j}") for j in range(DRAWS_PER_DIGEST)]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *_key_cols(keys), F.lit(block)))
+    return [F.conv(F.substring(digest, 1 + 8 * j, 8), 16, 10).cast("double") / F.lit(TWO_POW_32)
+            for j in range(DRAWS_PER_DIGEST)]
+
+
+def key_text(keys: Sequence[str | Column], seed: int) -> Column:
+    """``seed|k1|k2|...``: the text every draw of a row starts from. Stage it in
+    its own projection when a row needs many draws, so it is built once."""
+    return F.concat_ws("|", F.lit(str(seed)), *_key_cols(keys))
+
+
+def hash_u_block_from_key(key: Column, block: str) -> list[Column]:
+    """:func:`hash_u_block` from a staged :func:`key_text` column (same draws)."""
+    digest = F.md5(F.concat(key, F.lit("|"), F.lit(block)))
+    return [F.conv(F.substring(digest, 1 + 8 * j, 8), 16, 10).cast("double") / F.lit(TWO_POW_32)
+            for j in range(DRAWS_PER_DIGEST)]
+
+
+def sql_hash_u_block(keys: Sequence[str], seed: int, block: str, slot: int) -> str:
+    """DuckDB twin of slot ``slot`` of :func:`hash_u_block`."""
+    parts = ", ".join([f"'{seed}'"] + list(keys) + [f"'{block}'"])
+    return (f"(('0x' || substr(md5(concat_ws('|', {parts})), {1 + 8 * slot}, 8))::BIGINT"
+            f" / {TWO_POW_32})")
+
+
 def copies_from_fraction(u: Column, fraction: float) -> Column:
     """Number of copies of a row for sampling *with replacement* at ``fraction``.
 

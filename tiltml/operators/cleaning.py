@@ -9,7 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiltml.functions.hashing import hash_u
+from tiltml.functions.hashing import (DRAWS_PER_DIGEST, _draw_hash, hash_u_block,
+                                      hash_u_block_from_key, key_text)
 from tiltml.operators.features import maxabs_scale, select_by_chi2, slice_vector
 from tiltml.operators.filters import confident_predicate, noise_retention_predicate
 from tiltml.operators.models import fit_concurrently, gbt_classifier, rf_classifier
@@ -129,13 +130,25 @@ def synthetic_bernoulli(df: DataFrame, n: int = SYNTHETIC_COLUMNS, p_class0: flo
     The original job exploded the first 30 vector elements and then
     overwrote every one of them with a random draw (its second draw, with
     P(1) = 0.7, wins), so only the count survives: the vector is never read
-    here. Draws are hash-u per (row key, column name) when keys are given.
+    here. With keys, draws come four per md5 digest of (row key, block).
     """
     p = F.when(F.col(label_col) == F.lit(1.0), F.lit(p_class1)).otherwise(F.lit(p_class0))
+    staged_key = bool(keys) and _draw_hash() == "md5"
+    if staged_key:
+        # the row's key text is built once, in its own projection
+        df = df.select(*keep, F.col(label_col), key_text(keys, seed).alias("__tilt_key"))
     cols = []
+    draws: list = []
     for i in range(n):
         name = f"{prefix}{i}"
-        u = hash_u(keys, seed, salt=name) if keys else F.rand(seed + i)
+        if keys:
+            if i % DRAWS_PER_DIGEST == 0:
+                block = f"{prefix}.block{i // DRAWS_PER_DIGEST}"
+                draws = (hash_u_block_from_key(F.col("__tilt_key"), block) if staged_key
+                         else hash_u_block(keys, seed, block))
+            u = draws[i % DRAWS_PER_DIGEST]
+        else:
+            u = F.rand(seed + i)
         cols.append(F.when(u >= F.lit(1.0) - p, F.lit(1)).otherwise(F.lit(0)).alias(name))
     wide = df.select(*keep, *cols, F.col(label_col))
     if not assemble:

@@ -7,7 +7,7 @@ Spark side computes them (same double operations, same order).
 
 from __future__ import annotations
 
-from tiltml.functions.hashing import sql_copies_from_fraction, sql_hash_u
+from tiltml.functions.hashing import sql_copies_from_fraction, sql_hash_u, sql_hash_u_block
 from tiltml.operators import evolution as EV
 from tiltml.operators import sampling as S
 from tiltml.plans import catalog as Q
@@ -152,7 +152,7 @@ def chi2_sql() -> str:
 def synthetic_sql() -> str:
     cols = []
     for i in range(30):
-        uu = sql_hash_u(["vec_id"], Q.WEIGHT_SEED, f"label{i}")
+        uu = sql_hash_u_block(["vec_id"], Q.WEIGHT_SEED, f"label.block{i // 4}", i % 4)
         th = (f"(CASE WHEN label = 1.0 THEN {dbl(1.0 - 0.7)} ELSE {dbl(1.0 - 0.7)} END)")
         cols.append(f"CASE WHEN {uu} >= {th} THEN 1 ELSE 0 END AS label{i}")
     return f"SELECT vec_id, {', '.join(cols)}, label FROM ({FX.EMB_BINARY_SQL})"
@@ -205,7 +205,7 @@ def instance_filter_sql() -> str:
 def job_synthetic_sql() -> str:
     cols = []
     for i in range(30):
-        uu = sql_hash_u(KEYS, Q.SYNTHETIC_JOB_SEED, f"label{i}")
+        uu = sql_hash_u_block(KEYS, Q.SYNTHETIC_JOB_SEED, f"label.block{i // 4}", i % 4)
         th = f"(CASE WHEN label = 1.0 THEN {dbl(1.0 - 0.7)} ELSE {dbl(1.0 - 0.7)} END)"
         cols.append(f"(CASE WHEN {uu} >= {th} THEN 1.0 ELSE 0.0 END + 0.0) AS label{i}")
     return f"{B}, m AS (SELECT {K}, class AS label FROM b) SELECT {K}, {', '.join(cols)}, label FROM m"
