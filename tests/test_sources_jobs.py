@@ -104,3 +104,11 @@ def test_gbt_job_variants_prepare_and_pca(spark, tables):
     assert r.tp + r.fp + r.fn + r.tn > 0
     r = J.gbt_job(spark, dict(tables, params={"maxIter": 3, "depth": 3, "stepsize": 0.4, "k": 2})).first()
     assert r.tp + r.fp + r.fn + r.tn > 0
+
+
+def test_delimited_scan_with_explicit_schema(spark, tmp_dir):
+    part = FX.table(spark, "/root/testdata/sf0.001", "part").select("p_partkey", "p_size", "p_retailprice")
+    sink_delimited(part, tmp_dir + "/ps")
+    back = scan_delimited(spark, tmp_dir + "/ps", schema="p_partkey bigint, p_size int, p_retailprice double")
+    assert [f.dataType.simpleString() for f in back.schema.fields] == ["bigint", "int", "double"]
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, part.collect()))
