@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from tiltml.llm.language_id import op1_language_id
+from tiltml.llm.secrets import op8_secret_scan
+from tiltml.llm.simhash_dedup import op4_simhash_dedup
+from tiltml.llm.token_files import op5_token_files
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_token_files": op5_token_files,
+    "op8_secret_scan": op8_secret_scan,
 }
 
 ORACLE: dict[str, str] = {}
