@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from tiltml.llm.language_id import op1_language_id
+from tiltml.llm.piece_sampling import op10_piece_sampling
 from tiltml.llm.secrets import op8_secret_scan
 from tiltml.llm.simhash_dedup import op4_simhash_dedup
+from tiltml.llm.token_counts import op6_token_counts
 from tiltml.llm.token_files import op5_token_files
+from tiltml.llm.top_k import OP3_SQL, op3_top_k
+from tiltml.llm.warc_zip import OP7_SQL, op7_warc_zip
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_top_k": op3_top_k,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_token_files": op5_token_files,
+    "op6_token_counts": op6_token_counts,
+    "op7_warc_zip": op7_warc_zip,
     "op8_secret_scan": op8_secret_scan,
+    "op10_piece_sampling": op10_piece_sampling,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op3_top_k": OP3_SQL, "op7_warc_zip": OP7_SQL}
