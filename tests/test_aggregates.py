@@ -1,5 +1,9 @@
 import math
 
+import pytest
+from pyspark.sql import functions as F
+
+from tiltml.functions.hashing import hash_u
 from tiltml.operators import aggregates as A
 
 
@@ -64,15 +68,21 @@ def test_class_max_values_bounded(spark):
     assert A.class_max_values(df, "v", "class") == {0.0: 5.0, 1.0: 2.0}
 
 
-def test_wide_covariance_matches_pairwise(spark, monkeypatch):
-    from pyspark.sql import functions as F
-    from tiltml.functions.hashing import hash_u
-    df = spark.range(500).select(*[(hash_u(["id"], i) * F.lit(float(i + 1)) + F.col("id") * F.lit(0.01 * i)).alias(f"c{i}")
-                                   for i in range(6)]).cache()
-    cols = [f"c{i}" for i in range(6)]
-    pair = {(r.col_a, r.col_b): r.covariance for r in A.feature_covariance(df, cols).collect()}
-    monkeypatch.setattr(A, "PAIRWISE_LIMIT", 2)
-    gram = {(r.col_a, r.col_b): r.covariance for r in A.feature_covariance(df, cols).collect()}
-    assert set(pair) == set(gram) and len(pair) == 21
-    for k in pair:
-        assert math.isclose(pair[k], gram[k], rel_tol=1e-8, abs_tol=1e-10)
+@pytest.mark.parametrize("n", [2, 31, 32, 33])
+def test_covariance_is_pairwise_at_every_width(spark, n):
+    cols = [f"c.{i}" for i in range(n)]
+    df = spark.range(300).select(*[F.when(F.col("id") % (i + 3) != 0, hash_u(["id"], i) * (i + 1) + F.col("id") * 0.01 * i + 1e6).alias(c)
+                                   for i, c in enumerate(cols)]).cache()
+    got = {(r.col_a, r.col_b): r.covariance for r in A.feature_covariance(df, cols).collect()}
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    want = df.agg(*[F.covar_samp(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
+    assert len(got) == len(pairs)
+    for i, pair in enumerate(pairs):
+        assert math.isclose(got[pair], want[f"p{i}"], rel_tol=1e-7, abs_tol=1e-9)
+
+
+def test_covariance_of_few_rows(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, 3.0), (float("nan"), 5.0)], "a double, b double")
+    got = {(r.col_a, r.col_b): r.covariance for r in A.feature_covariance(df, ["a", "b"]).collect()}
+    assert got[("a", "a")] == 0.5 and got[("a", "b")] is None and got[("b", "b")] == 2.0
+    assert all(r.covariance is None for r in A.feature_covariance(df.limit(0), ["a", "b"]).collect())

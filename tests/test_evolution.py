@@ -42,17 +42,39 @@ def test_top_k_descending_ties_by_name(spark):
 
 
 @pytest.mark.parametrize("mode", ["const", "hash"])
-def test_wide_and_long_sums_agree(spark, small, monkeypatch, mode):
+def test_scores_equal_summed_weights(spark, small, mode):
     feats = ["a", "b"]
     maxima = EV.class_row_maxima(small, feats, "class")
     w = EV.evolved_weights(small, feats, maxima, "class", 10, mode, 3, ["k"])
-    narrow = {r.column: r.score for r in EV.column_scores(small, w).collect()}
-    long = {r.column: r.score for r in EV.long_scores(small, feats, maxima, "class", 10, mode, 3, ["k"]).collect()}
-    monkeypatch.setattr(EV, "WIDE_AGG_LIMIT", 1)
-    stacked = {r.column: r.score for r in EV.column_scores(small, w).collect()}
+    apart = {r.column: r.score for r in EV.column_scores(small, w).collect()}
+    whole = {r.column: r.score for r in EV.weight_evolution(small, feats, "class", 10, mode, 3, ["k"]).collect()}
     for c in feats:
-        assert math.isclose(narrow[c], long[c], rel_tol=1e-12)
-        assert math.isclose(narrow[c], stacked[c], rel_tol=1e-12)
+        assert math.isclose(whole[c], apart[c], rel_tol=1e-12)
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 66])
+def test_one_form_at_every_width(spark, n):
+    feats = [f"c{i}" for i in range(n)]
+    df = spark.range(40).select(F.col("id").alias("k"), (F.col("id") % 2).cast("double").alias("class"),
+                                *[F.when(F.col("id") % 7 != 3, (F.col("id") * (i + 1) % 11).cast("int")).alias(c) for i, c in enumerate(feats)])
+    got = {r.column: r.score for r in EV.weight_evolution(df, feats, "class", 2).collect()}
+    maxima = EV.class_row_maxima(df, feats, "class")
+    for c in feats:
+        want = sum(sum(co * (r[c] / maxima[r["class"]]) ** k for k, co in enumerate(EV.evolution_coefficients(2)))
+                   for r in df.collect() if r[c] is not None)
+        assert math.isclose(got[c], want, rel_tol=1e-9)
+    empty = EV.weight_evolution(df.limit(0), feats, "class").collect()
+    assert len(empty) == n and all(r.score is None for r in empty)
+
+
+def test_zero_and_absent_class_maximum(spark):
+    rows = [(float(i), 1.0) for i in range(5)] + [(0.0, 0.0)] * 3
+    df = spark.createDataFrame(rows, "`a.x` double, class double")
+    score = EV.weight_evolution(df, ["a.x"], "class", 2).first().score
+    want = EV.weight_evolution(df.filter("class = 1"), ["a.x"], "class", 2).first().score
+    assert math.isclose(score, want)  # the all-zero class adds NULLs, no error
+    assert EV.evolved_feature_selection(df, 1, ["a.x"]).count() == 8
+    assert EV.weight_evolution(df.filter("class = 0"), ["a.x"], "class", 2).first().score is None
 
 
 def test_selection_keeps_names_with_sum_suffix(spark):
@@ -72,7 +94,6 @@ def test_instance_filter_keeps_rows(spark, small):
 
 
 def test_wide_table_selection(spark):
-    # 150 features: wide row sums fold over an array, column sums go long-form
     import time
     base = spark.range(400).select(F.col("id").alias("k"), (F.col("id") % 5 == 0).cast("double").alias("class"))
     feats = [(hash_u(["k"], i) * F.lit(float(i % 17 + 1))).alias(f"f{i}") for i in range(150)]

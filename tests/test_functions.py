@@ -113,3 +113,14 @@ def test_wide_row_sum_keeps_left_fold_and_nulls(spark):
             for v in row[1:]:
                 acc = acc + v
             assert g == acc
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 66])
+def test_row_sum_keeps_the_type_at_every_width(spark, n):
+    big = 9007199254740993
+    df = spark.range(2).select(*[F.lit(big if i == 0 else 0).cast("long").alias(f"c.{i}") for i in range(n)])
+    out = df.select(C.row_sum(df.columns).alias("s"))
+    assert out.dtypes == [("s", "bigint")] and out.first().s == big
+    ints = spark.range(3).select(*[F.when(F.col("id") != 1, F.lit(2)).alias(f"c{i}") for i in range(n)])
+    out = ints.select(C.row_sum(ints.columns).alias("s"))
+    assert out.dtypes == [("s", "int")] and [r.s for r in out.collect()] == [2 * n, None, 2 * n]

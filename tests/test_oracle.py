@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from oracle_compare import rows_of
+from tiltml.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 ORACLE = E.oracle_sql()
@@ -23,7 +24,7 @@ def test_query_matches_oracle(spark, duck_small, name):
 
 
 def test_every_query_has_oracle_or_is_a_model_fit():
-    no_sql = set(E.queries()) - set(ORACLE)
+    no_sql = set(QUERIES) - set(ORACLE)
     assert no_sql <= {"gbt_classify", "rf_classify", "mlp_classify", "fm_classify", "weighted_gbt_classify",
                       "pca_project", "noise_filter", "confidence_cascade", "prepare_chain", "chi2_fdr_select",
                       "job_gbt_score", "job_rf_score", "job_mlp_score", "job_fm_score",

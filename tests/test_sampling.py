@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tiltml.functions import hashing as H
 from tiltml.operators import sampling as S
 from tiltml.operators.aggregates import count_by_value
 from tiltml.sources import fixtures as FX
@@ -102,13 +103,15 @@ def test_large_copy_counts_are_split_across_tasks(spark):
     from pyspark.sql import functions as F
     df = spark.range(30003).select(F.col("id").alias("k"),
                                    F.when(F.col("id") < 3, F.lit(1.0)).otherwise(F.lit(0.0)).alias("label"))
-    out = S.oversample(df, 1.5, "label", 7, ["k"])
+    drawn = S.oversample(df, 1.5, "label", 7, ["k"])
+    assert abs(count_by_value(drawn, "label", [1.0])[1.0] - 45000) < 5 * 45000 ** 0.5
+    out = S.oversample(df, 1.5, "label", 7, ["k"], draw="systematic")
     c = count_by_value(out, "label", [0.0, 1.0])
     assert c[0.0] == 30000 and c[1.0] == 45000        # 3 rows x 15000 exact copies (integer fraction)
     per_task = out.filter("label = 1").groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(per_task) > 1 and max(r["count"] for r in per_task) < 45000
     # below the chunk size the copies expand locally: f = 1003 / 3 * 1.5 = 501.5
-    few = S.oversample(df.filter("k < 3 or k >= 29000"), 1.5, "label", 7, ["k"])
+    few = S.oversample(df.filter("k < 3 or k >= 29000"), 1.5, "label", 7, ["k"], draw="systematic")
     assert 3 * 501 <= count_by_value(few, "label", [1.0])[1.0] <= 3 * 502
 
 
@@ -121,3 +124,47 @@ def test_seed_controls_every_draw(mlb, op):
     a, b, c = op(mlb, 1), op(mlb, 1), op(mlb, 2)
     assert _rows(a) == _rows(b)
     assert _rows(a) != _rows(c)
+
+
+@pytest.mark.parametrize("fraction", [0.0, 1e-6, 0.25, 1.0, 6.0, 40.0, 3000.0])
+def test_poisson_copies_follow_the_distribution(spark, fraction):
+    """Counts of copies against the Poisson distribution, at draws on an even grid."""
+    from math import exp, lgamma, log
+    n = 20_000
+    u = (F.col("id") + F.lit(0.5)) / n
+    copies, largest = H.poisson_copies(F.col("u"), fraction)
+    rows = spark.range(n).select(u.alias("u")).select(copies.alias("c")).groupBy("c").count().collect()
+    assert sum(r["c"] * r["count"] for r in rows) == pytest.approx(fraction * n, rel=2e-3, abs=2)
+    assert max(r["c"] for r in rows) <= largest
+    for r in rows:
+        p = exp(-fraction + r["c"] * log(fraction) - lgamma(r["c"] + 1)) if fraction else 1.0
+        assert abs(r["count"] - n * p) <= 1.01
+
+
+def test_with_replacement_loses_and_repeats_rows(mlb):
+    under = S.undersample(mlb, 1.0, "class", S.SAMPLING_SEED, KEYS).filter("class = 0")
+    assert under.count() > under.select(*KEYS).distinct().count()
+    over = S.oversample(mlb.withColumnRenamed("class", "label"), 0.5, "label", S.SAMPLING_SEED, KEYS).filter("label = 1")
+    assert over.select(*KEYS).distinct().count() < 11988 < over.count()
+
+
+def test_null_and_zoned_keys(spark):
+    rows = spark.createDataFrame([(1, None, 2), (1, 2, None), (1, 2, 2)], "a int, b int, c int")
+    assert rows.select(H.hash_u(["a", "b", "c"], 1).alias("u")).distinct().count() == 3
+    stamps = spark.sql("select timestamp'2024-01-01 00:00:00Z' t, 1.0D d, 1.0D class")
+    draws = set()
+    for zone in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            draws.add(S.assign_split(stamps, [1.0] * 1000, 5, ["t"]).first().split)
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert len(draws) == 1
+    with pytest.raises(TypeError):
+        S.assign_split(stamps, [1, 1], 5, ["d"])
+
+
+def test_one_draw_a_row(mlb):
+    for df in (S.kfold_assign(mlb, 4, 1, KEYS), S.random_split(mlb, [0.7, 0.3], 1, KEYS)[1], S.random_split(mlb, [0.25] * 4, 1, KEYS)[2]):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("md5(") == 1

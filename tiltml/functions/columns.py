@@ -7,8 +7,6 @@ plan only adds a projection.
 
 from __future__ import annotations
 
-import functools
-import operator
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.ml.functions import vector_to_array
@@ -60,24 +58,16 @@ def drop_columns(df: DataFrame, *cols: str) -> DataFrame:
     return df.drop(*cols)
 
 
-# Beyond this many terms a row-wise sum folds over an array instead of nesting
-# one addition per column (keeps the expression depth constant for wide tables).
-ROW_FOLD_LIMIT = 64
-
-
 def row_sum(cols: Sequence[str | Column]) -> Column:
     """Row-wise sum of columns, left to right; a NULL cell makes the sum NULL.
 
-    Up to ``ROW_FOLD_LIMIT`` terms this is a plain ``((a + b) + c) ...``
-    expression; wider rows use ``aggregate`` over ``array(...)`` with the same
-    order of addition, so thousands of columns do not build a thousands-deep
-    expression tree.
+    One form at every width: a fold over ``array(...)``, so thousands of columns
+    build no deep expression tree. The sum has the columns' common type (whole
+    numbers stay whole); cast decimals first, since their sums would widen.
     """
     exprs = [F.col(f"`{c}`") if isinstance(c, str) else c for c in cols]
-    if len(exprs) <= ROW_FOLD_LIMIT:
-        return functools.reduce(operator.add, exprs)
-    arr = F.array(*[e.cast("double") for e in exprs])
-    return F.aggregate(F.slice(arr, 2, len(exprs) - 1), F.get(arr, F.lit(0)), lambda acc, x: acc + x)
+    arr = F.array(*exprs)
+    return F.aggregate(F.slice(arr, 2, len(exprs)), F.get(arr, F.lit(0)), lambda acc, x: acc + x)
 
 
 def class_lookup(label: Column, values: Mapping[float, float | Column],

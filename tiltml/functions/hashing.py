@@ -6,8 +6,10 @@ from it is the same at any partitioning, after any repartition, after an
 executor is lost and its tasks rerun, and in any engine that has ``md5``
 (``sql_hash_u`` is the DuckDB twin used by the oracle queries).
 
-Keys must be integral, string or timestamp columns: their text form is the
-same in Spark and DuckDB (doubles are not).
+Keys must be integral, string, date or zone-less timestamp columns: their text
+form is the same in Spark and DuckDB (doubles are not). A NULL key is a value of
+its own. Zoned timestamps would follow the session's time zone: ``key_columns``
+turns them into microseconds and rejects floating-point keys.
 
 The session setting ``spark.tiltml.draw.hash`` picks the hash: ``md5``
 (default; reproducible in DuckDB) or ``xxhash64`` (Spark's built-in, about
@@ -18,10 +20,12 @@ reproducibility set ``xxhash64``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TWO_POW_32 = 4294967296.0
 TWO_POW_53 = 9007199254740992.0
@@ -34,8 +38,31 @@ def _draw_hash() -> str:
     return (s.conf.get(DRAW_HASH_CONF, "md5") if s is not None else "md5").lower()
 
 
+# Fixed value: the text of a NULL key in every draw (the symbol for null).
+NULL_KEY = "\u2400"
+
+
 def _key_cols(keys: Sequence[str | Column]) -> list[Column]:
-    return [F.col(k) if isinstance(k, str) else k for k in keys]
+    cols = [F.col(f"`{k}`") if isinstance(k, str) else k for k in keys]
+    return [F.coalesce(c.cast("string"), F.lit(NULL_KEY)) for c in cols]
+
+
+def _sql_keys(keys: Sequence[str]) -> list[str]:
+    return [f"coalesce(CAST({k} AS VARCHAR), '{NULL_KEY}')" for k in keys]
+
+
+def key_columns(df: DataFrame, keys: Sequence[str | Column] | None) -> list[Column]:
+    """The key columns in a form whose text depends on nothing but the value."""
+    out = []
+    for k in keys or ():
+        if not isinstance(k, str):
+            out.append(k)
+            continue
+        kind = df.schema[k].dataType
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            raise TypeError(f"key column {k!r} is {kind.simpleString()}: its text form differs between engines")
+        out.append(F.unix_micros(F.col(f"`{k}`")) if isinstance(kind, T.TimestampType) else F.col(f"`{k}`"))
+    return out
 
 
 def hash_u(keys: Sequence[str | Column], seed: int, salt: str | None = None) -> Column:
@@ -56,7 +83,7 @@ def hash_u(keys: Sequence[str | Column], seed: int, salt: str | None = None) ->
 
 def sql_hash_u(keys: Sequence[str], seed: int, salt: str | None = None) -> str:
     """DuckDB expression equal to :func:`hash_u` for the same keys and seed."""
-    parts = [f"'{seed}'"] + list(keys)
+    parts = [f"'{seed}'"] + _sql_keys(keys)
     if salt is not None:
         parts.append(f"'{salt}'")
     return (f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT"
@@ -95,23 +122,59 @@ def hash_u_block_from_key(key: Column, block: str) -> list[Column]:
 
 def sql_hash_u_block(keys: Sequence[str], seed: int, block: str, slot: int) -> str:
     """DuckDB twin of slot ``slot`` of :func:`hash_u_block`."""
-    parts = ", ".join([f"'{seed}'"] + list(keys) + [f"'{block}'"])
+    parts = ", ".join([f"'{seed}'"] + _sql_keys(keys) + [f"'{block}'"])
     return (f"(('0x' || substr(md5(concat_ws('|', {parts})), {1 + 8 * slot}, 8))::BIGINT"
             f" / {TWO_POW_32})")
 
 
-def copies_from_fraction(u: Column, fraction: float) -> Column:
-    """Number of copies of a row for sampling *with replacement* at ``fraction``.
+# The draws have 32 bits: probabilities under half a step don't show.
+_STEP = 2.0**-33
 
-    ``floor(f) + (u < f - floor(f))``: the expected count equals ``f`` (the
-    mean of a Poisson draw) with less variance, and it is row-local.
-    """
-    whole = int(fraction // 1)
-    rest = fraction - whole
-    return F.lit(whole) + F.when(u < F.lit(rest), F.lit(1)).otherwise(F.lit(0))
 
+def poisson_thresholds(fraction: float) -> tuple[int, list[float]]:
+    """``(base, cdf(base), cdf(base + 1), ...)`` of a Poisson variable with mean ``fraction``: the copies
+    of a draw u are ``base`` plus the number of values up to u."""
+    if fraction <= 0:
+        return 0, []
+    base, out, total, k = 0, [], 0.0, 0
+    while True:
+        total += math.exp(-fraction + k * math.log(fraction) - math.lgamma(k + 1))
+        if total >= 1.0 - _STEP or (k > fraction and out and total <= out[-1]):
+            return base, out
+        if total < _STEP:
+            base = k + 1
+        else:
+            out.append(total)
+        k += 1
 
-def sql_copies_from_fraction(u_sql: str, fraction_sql: str) -> str:
-    """DuckDB twin of :func:`copies_from_fraction` (fraction given as SQL)."""
-    return (f"(CAST(floor({fraction_sql}) AS BIGINT) + CASE WHEN {u_sql} < "
-            f"({fraction_sql} - floor({fraction_sql})) THEN 1 ELSE 0 END)")
+
+def poisson_copies(u: Column, fraction: float) -> tuple[Column, int]:
+    """Copies of a row for sampling *with replacement* at ``fraction``, and their largest possible
+    number: a Poisson count by inverse distribution from the row's draw, as the
+    native sampler draws it (rows may be lost, rows may come several times)."""
+    base, table = poisson_thresholds(fraction)
+    if not table:
+        return F.lit(base), base
+    more = F.size(F.filter(F.array(*[F.lit(t) for t in table]), lambda t: t <= u))
+    return F.lit(base) + more, base + len(table)
+
+
+def sql_poisson_ctes(fraction_from: str, values: int = 200) -> str:
+    """DuckDB CTE ``pt`` with the list ``cdf`` of :func:`poisson_thresholds`; ``fraction_from`` is a CTE with
+    one row and a column ``frac`` (under 20, so that the base is 0)."""
+    term = "exp(-frac + k * ln(frac) - lgamma(k + 1))"
+    return (f"pk AS (SELECT k, sum({term}) OVER (ORDER BY k) AS c FROM (SELECT frac FROM {fraction_from} WHERE frac > 0), range({values}) AS r(k)), "
+            f"pt AS (SELECT coalesce(list(c ORDER BY k) FILTER (c < 1.0 - {_STEP!r}), []) AS cdf FROM pk)")
+
+
+def sql_poisson_copies(u_sql: str) -> str:
+    """DuckDB twin of :func:`poisson_copies`, with ``pt`` in the FROM clause."""
+    return f"len(list_filter(cdf, lambda t: t <= {u_sql}))"
+
+
+def systematic_copies(u: Column, fraction: float) -> tuple[Column, int]:
+    """``floor(f) + (u < f - floor(f))`` copies: the mean of a Poisson draw with less variance. Rows
+    repeat only above a fraction of 1, and none is lost there."""
+    whole = int(fraction // 1)
+    rest = fraction - whole
+    return F.lit(whole) + F.when(u < F.lit(rest), F.lit(1)).otherwise(F.lit(0)), whole + (rest > 0)

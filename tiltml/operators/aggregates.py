@@ -115,61 +115,67 @@ def accuracy(df: DataFrame, prediction_col: str = "prediction", label_col: str =
     return agg.select("n", "correct", safe_div(F.col("correct"), F.col("n")).alias("accuracy"))
 
 
-# Above this many features the covariance comes from one Gramian aggregate
-# (Correlation over an assembled vector) instead of N*(N+1)/2 separate sums.
-PAIRWISE_LIMIT = 32
-
-
-def _covariance_from_gramian(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``cov_ij = corr_ij * sd_i * sd_j``: Spark's correlation (one tree aggregate
-    of the d x d Gramian) and ``Summarizer`` variances; d x d values reach the driver."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation, Summarizer
-    vec = VectorAssembler(inputCols=cols, outputCol="__cov_v", handleInvalid="skip").transform(df).select("__cov_v")
-    vec = vec.persist()
-    try:
-        corr = Correlation.corr(vec, "__cov_v", "pearson").first()[0].toArray()
-        var = vec.select(Summarizer.variance(F.col("__cov_v")).alias("v")).first()["v"].toArray()
-    finally:
-        vec.unpersist()
-    import math
-    rows = [(a, cols[j], float(corr[i][j] * math.sqrt(var[i]) * math.sqrt(var[j])))
-            for i, a in enumerate(cols) for j in range(i, len(cols))]
-    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, covariance double")
+def _pairwise_covariance(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Covariances from one Gramian of centred values and their masks.
+
+    Row ``z = [x - mean, 0 where NULL | 1 where not NULL]``; the Gramian's blocks
+    hold, for every pair, the sums and the counts over the rows where both are
+    present. One tree aggregate; ``4 d^2`` numbers reach the driver. NaN values count as NULL.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
+
+    d = len(cols)
+    value = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in cols]
+    means = df.select(F.array(*value).alias("v")).agg(*[F.avg(F.get("v", F.lit(i))).alias(f"m{i}") for i in range(d)]).first()
+    centred = [F.coalesce(v - F.lit(means[i] or 0.0), F.lit(0.0)) for i, v in enumerate(value)]
+    masks = [F.when(v.isNull(), F.lit(0.0)).otherwise(F.lit(1.0)) for v in value]
+    rows = MLUtils.convertVectorColumnsFromML(df.select(array_to_vector(F.array(*centred, *masks)).alias("z")), "z")
+    upper = np.triu_indices(d)
+    if all(m is None for m in means):
+        cov = np.full((d, d), np.nan)
+        both = np.zeros((d, d))
+    else:
+        gram = RowMatrix(rows).computeGramianMatrix().toArray()
+        products, sums, both = gram[:d, :d], gram[:d, d:], gram[d:, d:]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cov = (products - sums * sums.T / both) / (both - 1.0)
+    names = np.array(cols, dtype=object)
+    out = pd.DataFrame({"col_a": names[upper[0]], "col_b": names[upper[1]], "covariance": cov[upper], "n": both[upper]})
+    made = df.sparkSession.createDataFrame(out, "col_a string, col_b string, covariance double, n double")
+    return made.select("col_a", "col_b", F.when(F.col("n") > 1, F.col("covariance")).alias("covariance"))
 
 
 def feature_covariance(df: DataFrame, columns: Sequence[str], decimal_scale: int | None = None) -> DataFrame:
     """Sample covariance of every feature pair, long form ``(col_a, col_b, covariance)``.
 
-    One aggregate computes all sums, so the data is read once. With
-    ``decimal_scale`` the sums run in exact DECIMAL arithmetic (order of
+    A pair's covariance is taken over the rows where both features are present,
+    as ``covar_samp`` does, at every width (NULL for fewer than two such rows).
+    With ``decimal_scale`` the sums run in exact DECIMAL arithmetic (order of
     addition no longer matters, so every engine gets the same bits), then
-    ``(n*Sxy - Sx*Sy) / (n*(n-1))`` in double; else built-in ``covar_samp``.
-    Wider than ``PAIRWISE_LIMIT`` features (without ``decimal_scale``), one
-    Gramian aggregate replaces the pairwise sums. Rows with a NULL feature
-    are skipped there (``covar_samp`` skips per pair).
+    ``(n*Sxy - Sx*Sy) / (n*(n-1))`` in double; this form takes features without
+    NULLs, and its aggregate grows with the number of pairs.
     """
     cols = list(columns)
-    if len(cols) > PAIRWISE_LIMIT and decimal_scale is None:
-        return _covariance_from_gramian(df, cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     if decimal_scale is None:
-        row = df.agg(*[F.covar_samp(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-        cov = [F.col(f"c{i}") for i in range(len(pairs))]
-    else:
-        dt = f"decimal(18,{decimal_scale})"
-        d = {c: F.col(c).cast(dt) for c in cols}
-        aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(d[c]).alias(f"s_{j}") for j, c in enumerate(cols)]
-        aggs += [F.sum(d[a] * d[b]).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
-        row = df.agg(*aggs)
-        idx = {c: j for j, c in enumerate(cols)}
-        n = F.col("n").cast("double")
-        cov = []
-        for i, (a, b) in enumerate(pairs):
-            # exact decimal sums, then the same double arithmetic in any engine
-            sa, sb = F.col(f"s_{idx[a]}").cast("double"), F.col(f"s_{idx[b]}").cast("double")
-            num = n * F.col(f"p{i}").cast("double") - sa * sb
-            cov.append(safe_div(num, n * (n - F.lit(1.0))))
+        return _pairwise_covariance(df, cols)
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    dt = f"decimal(18,{decimal_scale})"
+    d = {c: F.col(f"`{c}`").cast(dt) for c in cols}
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(d[c]).alias(f"s_{j}") for j, c in enumerate(cols)]
+    aggs += [F.sum(d[a] * d[b]).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
+    row = df.agg(*aggs)
+    idx = {c: j for j, c in enumerate(cols)}
+    n = F.col("n").cast("double")
+    cov = []
+    for i, (a, b) in enumerate(pairs):
+        # exact decimal sums, then the same double arithmetic in any engine
+        sa, sb = F.col(f"s_{idx[a]}").cast("double"), F.col(f"s_{idx[b]}").cast("double")
+        num = n * F.col(f"p{i}").cast("double") - sa * sb
+        cov.append(safe_div(num, n * (n - F.lit(1.0))))
     stacked = F.explode(F.array(*[
         F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), c.alias("covariance"))
         for (a, b), c in zip(pairs, cov)]))

@@ -31,13 +31,6 @@ CUT_CONSTANT_CLASS1 = 100000
 CUT_CONSTANT_CLASS0 = 10000
 DEFAULT_TOP_K = 200
 
-# Above this many feature columns the per-column sums are computed in long
-# form: cells are unpivoted to (column, value) rows, one weight expression
-# serves every column, and a map-side partial groupBy(column) sums them. The
-# plan then stays the same size whatever the width (a wide aggregate of N
-# polynomial expressions costs seconds of planning and code generation).
-WIDE_AGG_LIMIT = 64
-
 
 def evolution_coefficients(iterations: int) -> list[int]:
     """Integer coefficients ``c_k`` (ascending powers of x) of ``P_T``."""
@@ -101,7 +94,8 @@ def class_row_maxima(df: DataFrame, features: Sequence[str], label_col: str = "c
 def _scaled(feature: str, label_col: str, maxima: dict) -> Column:
     lab = F.col(label_col)
     m = F.when(lab == F.lit(0.0), F.lit(maxima.get(0.0))).when(lab == F.lit(1.0), F.lit(maxima.get(1.0)))
-    return F.col(f"`{feature}`") / m
+    # a class maximum of 0 (or an absent class) gives NULL weights, not an error
+    return F.try_divide(F.col(f"`{feature}`").cast("double"), m)
 
 
 def evolved_weights(df: DataFrame, features: Sequence[str], maxima: dict, label_col: str = "class",
@@ -125,42 +119,32 @@ def evolve_cells(df: DataFrame, features: Sequence[str] | None = None, label_col
                               for c in feats], F.col(label_col))
 
 
-def long_scores(df: DataFrame, features: Sequence[str], maxima: dict, label_col: str = "class",
-                iterations: int = DEFAULT_ITERATIONS, weight_mode: str = "const", seed: int = 0,
-                keys: Sequence[str] | None = None) -> DataFrame:
-    """``(column, score)`` from unpivoted cells with one weight expression."""
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value"))
-                                for c in features]))
-    ids = list(keys or [])
-    long = df.select(*ids, F.col(label_col), cells.alias("c")).select(*ids, label_col, "c.column", "c.value")
-    lab = F.col(label_col)
-    m = F.when(lab == F.lit(0.0), F.lit(maxima.get(0.0))).when(lab == F.lit(1.0), F.lit(maxima.get(1.0)))
-    w0 = initial_weight(weight_mode, F.col("column"), seed, keys) if weight_mode != "rand" else F.rand(seed)
-    w = w0 * horner(F.col("value") / m, evolution_coefficients(iterations))
-    return long.groupBy("column").agg(F.sum(w).alias("score"))
-
-
 def column_scores(df: DataFrame, weights: dict[str, Column]) -> DataFrame:
     """Per-column sum of the given weight expressions, long form ``(column, score)``."""
-    if len(weights) > WIDE_AGG_LIMIT:
-        cells = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), e.cast("double").alias("w"))
-                                    for n, e in weights.items()]))
-        return (df.select(cells.alias("c")).groupBy(F.col("c.column").alias("column"))
-                .agg(F.sum("c.w").alias("score")))
-    names = list(weights)
-    alias = {n: f"s{i}" for i, n in enumerate(names)}
-    row = df.agg(*[F.sum(weights[n]).alias(alias[n]) for n in names])
-    stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(alias[n]).alias("score"))
-                                  for n in names]))
+    return _summed(df.select(F.array(*[e.cast("double") for e in weights.values()]).alias("__tilt_w")), list(weights))
+
+
+def _summed(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``(column, score)`` from the array column ``__tilt_w``: one aggregate with one sum for each
+    place (combined on each task), then one row a name. An empty table gives NULL scores."""
+    row = rows.agg(*[F.sum(F.get("__tilt_w", F.lit(i))).alias(f"s{i}") for i in range(len(names))])
+    stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"s{i}").alias("score"))
+                                  for i, n in enumerate(names)]))
     return row.select(stacked.alias("c")).select("c.column", "c.score")
 
 
 def _scores(df: DataFrame, feats: Sequence[str], maxima: dict, label_col: str, iterations: int,
             weight_mode: str, seed: int, keys: Sequence[str] | None) -> DataFrame:
-    if len(feats) > WIDE_AGG_LIMIT:
-        return long_scores(df, feats, maxima, label_col, iterations, weight_mode, seed, keys)
-    w = evolved_weights(df, feats, maxima, label_col, iterations, weight_mode, seed, keys)
-    return column_scores(df, w)
+    """Summed final weights, one form at every width: the polynomial is one lambda over the row's
+    cells, so the plan doesn't grow by a polynomial for each column and no row is multiplied."""
+    coeffs = evolution_coefficients(iterations)
+    lab = F.col(label_col)
+    m = F.when(lab == F.lit(0.0), F.lit(maxima.get(0.0))).when(lab == F.lit(1.0), F.lit(maxima.get(1.0)))
+    values = F.array(*[F.col(f"`{c}`").cast("double") for c in feats])
+    first = F.array(*[initial_weight(weight_mode, c, seed, keys, i) for i, c in enumerate(feats)])
+    staged = df.select(values.alias("__tilt_v"), first.alias("__tilt_w0"), m.cast("double").alias("__tilt_m"))
+    weights = F.zip_with("__tilt_v", "__tilt_w0", lambda v, w: w * horner(F.try_divide(v, F.col("__tilt_m")), coeffs))
+    return _summed(staged.select(weights.alias("__tilt_w")), list(feats))
 
 
 def weight_evolution(df: DataFrame, features: Sequence[str] | None = None, label_col: str = "class",
@@ -207,8 +191,7 @@ def evolved_feature_selection(df: DataFrame, k: int = DEFAULT_TOP_K, features: S
                               label_col: str = "class", iterations: int = DEFAULT_ITERATIONS,
                               weight_mode: str = "const", seed: int = 0,
                               keys: Sequence[str] | None = None, float32_max: bool = True,
-                              with_instance_filter: bool = False, keep: Sequence[str] = (),
-                              cache_input: bool = True) -> DataFrame:
+                              with_instance_filter: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """Evolve weights, keep the top-``k`` columns by weight total, emit raw values + class.
 
     The name map is kept explicitly, so any column name (including ones
@@ -216,23 +199,14 @@ def evolved_feature_selection(df: DataFrame, k: int = DEFAULT_TOP_K, features: S
     """
     feats = list(features) if features is not None else feature_columns(
         df, exclude=set(keys or ()) | set(keep) | {label_col, "label"})
-    from pyspark import StorageLevel
-    # the maxima and the weight sums both read the input: cache it for those
-    # passes only (unless the caller already did), then release it
-    owned = cache_input and df.storageLevel == StorageLevel(False, False, False, False, 1)
-    src = df.persist(StorageLevel.MEMORY_AND_DISK) if owned else df
-    try:
-        maxima = class_row_maxima(src, feats, label_col, float32_max)
-        scores = _scores(src, feats, maxima, label_col, iterations, weight_mode, seed, keys)
-        chosen = [r["column"] for r in top_k_columns(scores, k).collect()]
-        if with_instance_filter:
-            w = evolved_weights(df, feats, maxima, label_col, iterations, weight_mode, seed, keys)
-            base = instance_filter(df, w)
-        else:
-            base = df
-    finally:
-        if owned:
-            src.unpersist()
+    # The maxima and the weight sums are two column-pruned aggregates: reading the
+    # input twice costs less than caching the raw table (a caller may have cached it).
+    maxima = class_row_maxima(df, feats, label_col, float32_max)
+    scores = _scores(df, feats, maxima, label_col, iterations, weight_mode, seed, keys)
+    chosen = [r["column"] for r in top_k_columns(scores, k).collect()]
+    base = df
+    if with_instance_filter:
+        base = instance_filter(df, evolved_weights(df, feats, maxima, label_col, iterations, weight_mode, seed, keys))
     return project_selected(base, chosen, label_col, keep)
 
 
@@ -246,11 +220,11 @@ def evolve_cells_stepwise(df: DataFrame, features: Sequence[str], maxima: dict,
     cut_c = F.when(lab == F.lit(0.0), F.lit(cut[0.0])).when(lab == F.lit(1.0), F.lit(cut[1.0]))
     max_c = F.when(lab == F.lit(0.0), F.lit(maxima.get(0.0))).when(lab == F.lit(1.0), F.lit(maxima.get(1.0)))
     w0 = w0 or {c: F.lit(1.0) for c in features}
-    cur = df.withColumns({c: F.struct(w0[c].alias("weight"), F.col(c).alias("value"),
-                                      (w0[c] * F.col(c)).alias("res")) for c in features})
+    cur = df.withColumns({c: F.struct(w0[c].alias("weight"), F.col(f"`{c}`").alias("value"),
+                                      (w0[c] * F.col(f"`{c}`")).alias("res")) for c in features})
     for _ in range(iterations):
         cur = cur.withColumns({
-            c: F.col(c).withField("weight", F.col(f"{c}.weight") + (cut_c - (F.col(f"{c}.res") + cut_c)) / max_c)
-                       .withField("res", F.col(f"{c}.weight") * F.col(f"{c}.value"))
+            c: F.col(f"`{c}`").withField("weight", F.col(f"`{c}`.weight") + F.try_divide(cut_c - (F.col(f"`{c}`.res") + cut_c), max_c))
+                              .withField("res", F.col(f"`{c}`.weight") * F.col(f"`{c}`.value"))
             for c in features})
     return cur

@@ -8,6 +8,10 @@ Two draw methods for every operator:
   same rows at any partitioning and after task retries, and reproducible by
   the DuckDB oracle.
 
+Sampling with replacement in hash mode gives every row a Poisson number of copies
+by inverse distribution from its draw (``draw="poisson"``, as the native sampler
+does), or, with ``draw="systematic"``, the fraction's whole part plus at most one.
+
 Neither needs a shuffle or a sort: a draw is a projection + filter (and an
 ``explode`` for copies when sampling with replacement). In hash mode a
 balancing operator is a single pass over its input: each row gets a copy
@@ -24,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiltml.functions.hashing import copies_from_fraction, hash_u
+from tiltml.functions.hashing import hash_u, key_columns, poisson_copies, systematic_copies
 from tiltml.operators.aggregates import count_by_value
 
 # Copies of one row generated inside a single task; beyond this the copies of a
@@ -37,8 +41,19 @@ SPLIT_SEED_70_30 = 1234
 SPLIT_SEED_FOLDS = 123456789
 
 
-def _draw(seed: int, keys: Sequence[str] | None, salt: str | None = None) -> Column:
-    return hash_u(keys, seed, salt) if keys else F.rand(seed)
+DRAWS = {"poisson": poisson_copies, "systematic": systematic_copies}
+
+
+def _draw(df: DataFrame, seed: int, keys: Sequence[str] | None, salt: str | None = None) -> Column:
+    return hash_u(key_columns(df, keys), seed, salt) if keys else F.rand(seed)
+
+
+def _copies(df: DataFrame, fraction: float, seed: int, keys: Sequence[str], draw: str, salt: str | None = None) -> tuple[Column, int]:
+    """Copies column and its bound. The draw is bound as a lambda's variable: one hash a row,
+    however often the count refers to it and wherever the optimizer moves it."""
+    largest = DRAWS[draw](F.lit(0.0), fraction)[1]
+    u = hash_u(key_columns(df, keys), seed, salt)
+    return F.get(F.transform(F.array(u), lambda x: DRAWS[draw](x, fraction)[0]), 0), largest
 
 
 def _expand_copies(staged: DataFrame, cols: Sequence[str], copies_col: str, max_copies: int) -> DataFrame:
@@ -51,10 +66,11 @@ def _expand_copies(staged: DataFrame, cols: Sequence[str], copies_col: str, max_
     round-robin over the shuffle partitions, and each chunk expands there.
     """
     n = F.col(copies_col)
-    if max_copies <= 1:
-        return staged.select(*cols)
+    cols = [F.col(f"`{c}`") for c in cols]
     if max_copies <= COPY_CHUNK:
-        return staged.select(*cols, F.explode(F.sequence(F.lit(1), n)).alias("__tilt_copy")).select(*cols)
+        # no copies: an empty list, which gives no row
+        return staged.select(*cols, F.explode(F.array_repeat(F.lit(True), n)).alias("__tilt_copy")).select(*cols)
+    staged = staged.filter(n >= F.lit(1))
     chunk = F.lit(COPY_CHUNK)
     chunks = staged.select(*cols, n.alias("__tilt_n"),
                            F.explode(F.sequence(F.lit(0), ((n - 1) / chunk).cast("int"))).alias("__tilt_c"))
@@ -66,49 +82,54 @@ def _expand_copies(staged: DataFrame, cols: Sequence[str], copies_col: str, max_
 
 
 def sample_fraction(df: DataFrame, fraction: float, seed: int, with_replacement: bool = False,
-                    keys: Sequence[str] | None = None, salt: str | None = None) -> DataFrame:
+                    keys: Sequence[str] | None = None, salt: str | None = None, draw: str = "poisson") -> DataFrame:
     """Sample rows at ``fraction`` (may exceed 1 with replacement)."""
     if fraction < 0:
         raise ValueError(f"fraction must be >= 0, got {fraction}")
     if not keys:
         return df.sample(withReplacement=with_replacement, fraction=fraction, seed=seed)
-    u = hash_u(keys, seed, salt)
     if not with_replacement:
         if fraction > 1:
             raise ValueError("fraction > 1 needs with_replacement=True")
-        return df.filter(u < F.lit(fraction))
+        return df.filter(_draw(df, seed, keys, salt) < F.lit(fraction))
+    copies, largest = _copies(df, fraction, seed, keys, draw, salt)
+    return _repeat(df, copies, largest)
+
+
+def _repeat(df: DataFrame, copies: Column, largest: int) -> DataFrame:
     n = "__tilt_copies"
-    cols = df.columns
-    staged = df.withColumn(n, copies_from_fraction(u, fraction)).filter(F.col(n) >= F.lit(1))
-    return _expand_copies(staged, cols, n, int(fraction // 1) + 1)
+    staged = df.withColumn(n, copies)
+    if largest <= 1:
+        return staged.filter(F.col(n) >= F.lit(1)).drop(n)
+    return _expand_copies(staged, df.columns, n, largest)
 
 
 def _resample_one_pass(df: DataFrame, label_col: str, keep_all: Sequence[float],
                        sampled: float, fraction: float, seed: int, keys: Sequence[str],
-                       extra_for_kept: bool = False) -> DataFrame:
+                       extra_for_kept: bool = False, draw: str = "poisson") -> DataFrame:
     """One scan: rows of ``keep_all`` classes stay once, rows of ``sampled``
-    get ``floor(f) + (u < frac)`` copies (plus one when ``extra_for_kept``)."""
+    get their drawn copies (plus one when ``extra_for_kept``)."""
+    return _repeat(df, *resample_copies(df, label_col, keep_all, sampled, fraction, seed, keys, extra_for_kept, draw))
+
+
+def resample_copies(df: DataFrame, label_col: str, keep_all: Sequence[float],
+                    sampled: float, fraction: float, seed: int, keys: Sequence[str],
+                    extra_for_kept: bool = False, draw: str = "poisson") -> tuple[Column, int]:
+    """Copies of each row in a resampled table, as a column, and their largest possible number."""
     lab = F.col(label_col)
-    u = hash_u(keys, seed)
-    copies = copies_from_fraction(u, fraction)
+    copies, largest = _copies(df, fraction, seed, keys, draw)
     if extra_for_kept:
-        copies = copies + F.lit(1)
+        copies, largest = copies + F.lit(1), largest + 1
     n = F.when(lab == F.lit(sampled), copies)
     for v in keep_all:
         n = n.when(lab == F.lit(v), F.lit(1))
-    n = n.otherwise(F.lit(0))
-    cols = df.columns
-    staged = df.withColumn("__tilt_copies", n).filter(F.col("__tilt_copies") >= F.lit(1))
-    max_copies = int(fraction // 1) + 1 + (1 if extra_for_kept else 0)
-    if fraction + (1 if extra_for_kept else 0) <= 1:
-        max_copies = 1
-    return _expand_copies(staged, cols, "__tilt_copies", max_copies)
+    return n.otherwise(F.lit(0)), max(1, largest)
 
 
 def undersample(df: DataFrame, ratio: float = 1.0, label_col: str = "class",
                 seed: int = SAMPLING_SEED, keys: Sequence[str] | None = None,
                 minority: float = 1.0, majority: float = 0.0,
-                truncate_ratio: bool = False) -> DataFrame:
+                truncate_ratio: bool = False, draw: str = "poisson") -> DataFrame:
     """Keep every minority row; sample the majority with replacement at
     ``(n_minority / n_majority) * ratio``.
 
@@ -120,7 +141,7 @@ def undersample(df: DataFrame, ratio: float = 1.0, label_col: str = "class",
     factor = float(int(ratio)) if truncate_ratio else float(ratio)
     fraction = (float(n_min) / float(n_maj)) * factor if n_maj else 0.0
     if keys:
-        return _resample_one_pass(df, label_col, [minority], majority, fraction, seed, keys)
+        return _resample_one_pass(df, label_col, [minority], majority, fraction, seed, keys, draw=draw)
     maj = df.filter(F.col(label_col) == F.lit(majority))
     mino = df.filter(F.col(label_col) == F.lit(minority))
     sampled = sample_fraction(maj, fraction, seed, with_replacement=True, keys=keys)
@@ -130,7 +151,7 @@ def undersample(df: DataFrame, ratio: float = 1.0, label_col: str = "class",
 def oversample(df: DataFrame, ratio: float = 1.0, label_col: str = "label",
                seed: int = SAMPLING_SEED, keys: Sequence[str] | None = None,
                minority: float = 1.0, majority: float = 0.0,
-               keep_originals: bool = False) -> DataFrame:
+               keep_originals: bool = False, draw: str = "poisson") -> DataFrame:
     """Replace the minority by a with-replacement sample at
     ``(n_majority / n_minority) * ratio`` and union the majority.
 
@@ -143,8 +164,8 @@ def oversample(df: DataFrame, ratio: float = 1.0, label_col: str = "label",
     if keys:
         if keep_originals and fraction > 1:
             return _resample_one_pass(df, label_col, [majority], minority, fraction - 1.0, seed, keys,
-                                      extra_for_kept=True)
-        return _resample_one_pass(df, label_col, [majority], minority, fraction, seed, keys)
+                                      extra_for_kept=True, draw=draw)
+        return _resample_one_pass(df, label_col, [majority], minority, fraction, seed, keys, draw=draw)
     maj = df.filter(F.col(label_col) == F.lit(majority))
     mino = df.filter(F.col(label_col) == F.lit(minority))
     if keep_originals and fraction > 1:
@@ -155,7 +176,7 @@ def oversample(df: DataFrame, ratio: float = 1.0, label_col: str = "label",
 
 def balance(df: DataFrame, label_col: str = "class", seed: int = SAMPLING_SEED,
             keys: Sequence[str] | None = None, classes: tuple[float, float] = (1.0, 0.0),
-            always_sample_class0: bool = False) -> DataFrame:
+            always_sample_class0: bool = False, draw: str = "poisson") -> DataFrame:
     """Bring the larger class down to the size of the smaller (with replacement).
 
     The larger class is found from the counts. ``always_sample_class0``
@@ -171,10 +192,10 @@ def balance(df: DataFrame, label_col: str = "class", seed: int = SAMPLING_SEED,
     fraction = float(minor_n) / float(major_n) if major_n else 0.0
     sampled_val = 0.0 if always_sample_class0 else major_val
     if keys and sampled_val != minor_val:
-        return _resample_one_pass(df, label_col, [minor_val], sampled_val, fraction, seed, keys)
+        return _resample_one_pass(df, label_col, [minor_val], sampled_val, fraction, seed, keys, draw=draw)
     minor_df = df.filter(F.col(label_col) == F.lit(minor_val))
     sampled = sample_fraction(df.filter(F.col(label_col) == F.lit(sampled_val)), fraction, seed,
-                              with_replacement=True, keys=keys)
+                              with_replacement=True, keys=keys, draw=draw)
     return minor_df.unionByName(sampled)
 
 
@@ -193,13 +214,21 @@ def _bands(weights: Sequence[float]) -> list[tuple[float, float]]:
 def assign_split(df: DataFrame, weights: Sequence[float], seed: int,
                  keys: Sequence[str] | None = None, split_col: str = "split") -> DataFrame:
     """Add the split index (0-based) by cumulative-weight bands of one draw."""
-    u = _draw(seed, keys)
-    bands = _bands(weights)
-    expr = None
-    for i, (lo, hi) in enumerate(bands):
-        cond = u < F.lit(hi) if i < len(bands) - 1 else F.lit(True)
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    return df.withColumn(split_col, expr)
+    return df.withColumn(split_col, _band(_draw(df, seed, keys), _bands(weights)))
+
+
+def _band(u: Column, bands: list[tuple[float, float]]) -> Column:
+    """Index of the band that holds the draw, which is computed once a row."""
+    def index(x: Column) -> Column:
+        if len(bands) == 1:
+            return F.lit(0)
+        expr = F.when(x < F.lit(bands[0][1]), F.lit(0))
+        for i in range(1, len(bands) - 1):
+            expr = expr.when(x < F.lit(bands[i][1]), F.lit(i))
+        return expr.otherwise(F.lit(len(bands) - 1))
+    if len(bands) <= 2:
+        return index(u)
+    return F.get(F.transform(F.array(u), index), 0)
 
 
 def random_split(df: DataFrame, weights: Sequence[float], seed: int,
@@ -212,12 +241,10 @@ def random_split(df: DataFrame, weights: Sequence[float], seed: int,
     if not keys:
         return df.randomSplit(list(weights), seed)
     bands = _bands(weights)
-    u = hash_u(keys, seed)
-    parts = []
-    for i, (lo, hi) in enumerate(bands):
-        cond = (u >= F.lit(lo)) & (u < F.lit(hi)) if i < len(bands) - 1 else (u >= F.lit(lo))
-        parts.append(df.filter(cond))
-    return parts
+    u = _draw(df, seed, keys)
+    if len(bands) == 2:
+        return [df.filter(u < F.lit(bands[0][1])), df.filter(u >= F.lit(bands[0][1]))]
+    return [df.filter(_band(u, bands) == F.lit(i)) for i in range(len(bands))]
 
 
 def kfold_assign(df: DataFrame, k: int, seed: int = SPLIT_SEED_FOLDS,

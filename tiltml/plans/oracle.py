@@ -7,7 +7,7 @@ Spark side computes them (same double operations, same order).
 
 from __future__ import annotations
 
-from tiltml.functions.hashing import sql_copies_from_fraction, sql_hash_u, sql_hash_u_block
+from tiltml.functions.hashing import sql_hash_u, sql_hash_u_block, sql_poisson_copies, sql_poisson_ctes
 from tiltml.operators import evolution as EV
 from tiltml.operators import sampling as S
 from tiltml.plans import catalog as Q
@@ -50,17 +50,16 @@ def band_case(uexpr: str, weights) -> str:
     return f"(CASE {' '.join(parts)} ELSE {len(bands) - 1} END)"
 
 
-def copies_rows(src: str, cols: str, frac_sql: str, uexpr: str, where: str) -> str:
-    """Rows of ``src`` repeated floor(f) + (u < frac) times."""
-    n = sql_copies_from_fraction(uexpr, frac_sql)
+def copies_rows(src: str, cols: str, uexpr: str, where: str) -> str:
+    """Rows of ``src`` (which includes ``pt``) repeated by their Poisson copies."""
     return (f"SELECT {cols} FROM (SELECT {cols}, unnest(range(__n)) AS __i FROM "
-            f"(SELECT *, {n} AS __n FROM {src} WHERE {where}) WHERE __n >= 1)")
+            f"(SELECT *, {sql_poisson_copies(uexpr)} AS __n FROM {src} WHERE {where}) WHERE __n >= 1)")
 
 
 def undersample_sql(ratio: float = 1.0) -> str:
     return (f"{B}, c AS (SELECT count_if(class = 1.0) AS n1, count_if(class = 0.0) AS n0 FROM b), "
             f"f AS (SELECT CASE WHEN n0 = 0 THEN 0.0 ELSE (n1::DOUBLE / n0::DOUBLE) * {dbl(ratio)} END AS frac FROM c), "
-            f"bal AS ({copies_rows('b, f', BCOLS, 'frac', u(Q.SEED), 'class = 0.0')} "
+            f"{sql_poisson_ctes('f')}, bal AS ({copies_rows('b, pt', BCOLS, u(Q.SEED), 'class = 0.0')} "
             f"UNION ALL SELECT {BCOLS} FROM b WHERE class = 1.0)")
 
 
@@ -162,9 +161,9 @@ def oversample_sql() -> str:
     cols = f"{K}, {', '.join(FEATS)}, label"
     return (f"WITH b AS (SELECT {K}, {', '.join(FEATS)}, class AS label FROM ({FX.ML_BINARY_SQL})), "
             f"c AS (SELECT count_if(label = 1.0) AS n1, count_if(label = 0.0) AS n0 FROM b), "
-            f"f AS (SELECT CASE WHEN n1 = 0 THEN 0.0 ELSE (n0::DOUBLE / n1::DOUBLE) * {dbl(Q.OVERSAMPLE_RATIO)} END AS frac FROM c) "
-            f"SELECT {cols} FROM b WHERE label = 0.0 UNION ALL "
-            f"{copies_rows('b, f', cols, 'frac', u(Q.SEED), 'label = 1.0')}")
+            f"f AS (SELECT CASE WHEN n1 = 0 THEN 0.0 ELSE (n0::DOUBLE / n1::DOUBLE) * {dbl(Q.OVERSAMPLE_RATIO)} END AS frac FROM c), "
+            f"{sql_poisson_ctes('f')} SELECT {cols} FROM b WHERE label = 0.0 UNION ALL "
+            f"{copies_rows('b, pt', cols, u(Q.SEED), 'label = 1.0')}")
 
 
 def balance_sql() -> str:
@@ -172,9 +171,9 @@ def balance_sql() -> str:
     uu = sql_hash_u(["doc_id"], Q.SEED)
     return (f"WITH t AS ({FX.TEXT_LABELS_SQL}), c AS (SELECT count_if(class = 1.0) AS na, count_if(class = 0.0) AS nb FROM t), "
             "p AS (SELECT CASE WHEN na < nb THEN 1.0 ELSE 0.0 END AS minor_val, CASE WHEN na < nb THEN 0.0 ELSE 1.0 END AS major_val, "
-            "CASE WHEN greatest(na, nb) = 0 THEN 0.0 ELSE least(na, nb)::DOUBLE / greatest(na, nb)::DOUBLE END AS frac FROM c) "
-            f"SELECT {cols} FROM t, p WHERE t.class = p.minor_val UNION ALL "
-            f"{copies_rows('t, p', cols, 'frac', uu, 'class = major_val')}")
+            "CASE WHEN greatest(na, nb) = 0 THEN 0.0 ELSE least(na, nb)::DOUBLE / greatest(na, nb)::DOUBLE END AS frac FROM c), "
+            f"{sql_poisson_ctes('p')} SELECT {cols} FROM t, p WHERE t.class = p.minor_val UNION ALL "
+            f"{copies_rows('t, p, pt', cols, uu, 'class = major_val')}")
 
 
 def evolved_selection_sql() -> str:

@@ -69,7 +69,7 @@ def prepare_data(spark: SparkSession, config: Mapping, cast_double: bool = False
                  keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Load train (``config['dataset']``) and test (``config['test']``) as ML tables.
 
-    * ``cast_double`` casts every train column to double (bad text -> NULL).
+    * ``cast_double`` casts every train column but ``keep`` to double (bad text -> NULL).
     * ``class`` and ``label`` are both excluded from the features (no leak).
     * The test side assembles its own raw columns in the train's feature
       order; when train is already an ML table, the test's own raw columns
@@ -80,7 +80,8 @@ def prepare_data(spark: SparkSession, config: Mapping, cast_double: bool = False
             raise KeyError(f"config is missing required key {key!r}")
     train_raw = spark.read.parquet(str(config["dataset"]))
     if cast_double:
-        train_raw = cast_all_double(train_raw)
+        # key columns keep their type: a cast would change every draw made from them
+        train_raw = cast_all_double(train_raw, [c for c in train_raw.columns if c not in set(keep)])
     train = to_ml_table(train_raw, keep=keep)
 
     test_raw = spark.read.parquet(str(config["test"]))
