@@ -12,6 +12,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LABEL_COLUMNS = ("class", "label")
 
@@ -33,9 +34,18 @@ def select_except(df: DataFrame, *drop: str) -> DataFrame:
 
 
 def cast_all_double(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Cast every (or the given) column to double; bad text becomes NULL."""
+    """Cast every (or the given) column to double; bad text becomes NULL.
+
+    Dates and timestamps become seconds since 1970-01-01 (zone-less ones as they stand).
+    """
+    def cast(c: str) -> Column:
+        col, kind = F.col(f"`{c}`"), df.schema[c].dataType
+        if isinstance(kind, (T.DateType, T.TimestampNTZType)):
+            since = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), col.cast("timestamp_ntz"))
+            return since / F.lit(1_000_000.0)
+        return col.try_cast("double")
     cols = list(columns) if columns is not None else df.columns
-    return df.withColumns({c: F.col(f"`{c}`").try_cast("double") for c in cols})
+    return df.withColumns({c: cast(c) for c in cols})
 
 
 def derive_label(df: DataFrame, source: str = "class", target: str = "label") -> DataFrame:

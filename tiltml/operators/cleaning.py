@@ -5,18 +5,18 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiltml.functions.hashing import (DRAWS_PER_DIGEST, _draw_hash, hash_u_block,
                                       hash_u_block_from_key, key_text)
-from tiltml.operators.features import maxabs_scale, select_by_chi2, slice_vector
+from tiltml.operators.features import CHI2_BUCKETS, inverse_maxima, scaled_array, select_binned
 from tiltml.operators.filters import confident_predicate, noise_retention_predicate
-from tiltml.operators.models import fit_concurrently, gbt_classifier, rf_classifier
+from tiltml.operators.models import fit_concurrently, gbt_classifier, gbt_prefix, rf_classifier
 from tiltml.operators.sampling import (SAMPLING_SEED, SPLIT_SEED_FOLDS, kfold_assign,
-                                       kfold_complement, oversample, random_split, union_many)
-from tiltml.sources.sinks import persist, share_of_slots, spread
+                                       kfold_complement, oversample_copies, random_split, repeat_rows, union_many)
+from tiltml.sources.sinks import spread
 
 # The cascade's five boosting configurations (cycled over 30 rounds),
 # its 0.3/0.7 split, confidence threshold, and the noise filter's 4 folds of 10 trees.
@@ -39,7 +39,7 @@ SYNTHETIC_P_ONE = 0.7
 def noise_filter(df: DataFrame, k: int = NOISE_FOLDS, seed: int = SPLIT_SEED_FOLDS,
                  keys: Sequence[str] | None = None, num_trees: int = NOISE_TREES,
                  model_seed: int = 42, features_col: str = "features", label_col: str = "label",
-                 keep: Sequence[str] = (), parallelism: int = 4, materialize: bool = True) -> DataFrame:
+                 keep: Sequence[str] = (), parallelism: int = 4, materialize: bool = False) -> DataFrame:
     """Cross-validated majority noise filter.
 
     Rows get a fold in ``0..k-1``; for each fold a random forest is fit on
@@ -47,16 +47,14 @@ def noise_filter(df: DataFrame, k: int = NOISE_FOLDS, seed: int = SPLIT_SEED_FOL
     it is minority (label 1) or a correctly predicted majority row. Every
     minority row survives; the output is a subset of the input.
 
-    One fold column replaces k splits + unions of k-1 parts; the folded
-    input is persisted once and read by all k fits, which are submitted
-    concurrently (``parallelism``). With ``materialize`` the result is written
-    once to the shared checkpoint folder and the folded input is released.
+    One fold column replaces k splits + unions of k-1 parts; each fit reads
+    the rows of the other folds, and the k fits are submitted concurrently
+    (``parallelism``). With ``materialize`` the result is written to the shared
+    checkpoint folder, so that later actions don't score the rows again.
     """
     folded = kfold_assign(df.select(*keep, features_col, label_col), k, seed, keys)
-    folded = persist(spread(folded, share_of_slots(df.sparkSession, min(k, parallelism))))
     est = rf_classifier({"nTrees": num_trees, "seed": model_seed}, features_col, label_col)
-    models = fit_concurrently([(est, kfold_complement(folded, i)) for i in range(k)], parallelism,
-                              cache_input=False)
+    models = fit_concurrently([(est, kfold_complement(folded, i)) for i in range(k)], parallelism)
     parts = []
     for i, model in enumerate(models):
         scored = model.transform(folded.filter(F.col("fold") == F.lit(i)))
@@ -66,7 +64,6 @@ def noise_filter(df: DataFrame, k: int = NOISE_FOLDS, seed: int = SPLIT_SEED_FOL
     if materialize:
         from tiltml.session import materialize as write_table
         out = write_table(out, "noise-filter")
-        folded.unpersist()
     return out
 
 
@@ -86,22 +83,16 @@ def confidence_cascade(df: DataFrame, rounds: int = CASCADE_ROUNDS,
 
     A configuration seen before is the same fit (same data, parameters and
     seed), and its survivors already passed that model, so a repeated round
-    re-emits that round's prediction column without refitting or rescoring:
-    5 fits and 5 scorings for 30 rounds, with identical output. All fits use
-    the same train table and are submitted concurrently (``parallelism``).
+    re-emits that round's prediction column without refitting or rescoring.
+    Configurations that differ in their number of rounds only are prefixes of
+    the longest: 3 fits and 5 scorings for the 30 rounds, with identical output.
     """
     train, test = random_split(df.select(*keep, features_col, label_col), split, seed, keys)
     m = len(configs)
-    distinct = min(rounds, m)
-    train = persist(spread(train, share_of_slots(df.sparkSession, min(distinct, parallelism))))
-    ests = []
-    for ci in range(distinct):
-        params = dict(configs[ci])
-        if model_seed is not None:
-            params["seed"] = model_seed
-        ests.append((gbt_classifier(params, features_col, label_col), train))
-    models = fit_concurrently(ests, parallelism, cache_input=False)
-    train.unpersist()                      # scoring needs only the fitted models
+    distinct = [dict(c) for c in configs[:min(rounds, m)]]
+    if model_seed is not None:
+        distinct = [c | {"seed": model_seed} for c in distinct]
+    models = fit_prefixes(distinct, train, features_col, label_col, parallelism)
     cur = spread(test)
     for i in range(rounds):
         ci = i % m
@@ -120,6 +111,18 @@ def confidence_cascade(df: DataFrame, rounds: int = CASCADE_ROUNDS,
                                          F.array(*[F.col(c) for c in labels]).alias("features"))
 
 
+def fit_prefixes(configs: Sequence[Mapping], train: DataFrame, features_col: str, label_col: str, parallelism: int) -> list:
+    """A boosted model for each configuration; of those that differ in ``maxIter`` only, the longest is fitted."""
+    longest: dict[tuple, dict] = {}
+    names = [tuple(sorted((k, v) for k, v in c.items() if k != "maxIter")) for c in configs]
+    for name, c in zip(names, configs, strict=True):
+        if name not in longest or int(c["maxIter"]) > int(longest[name]["maxIter"]):
+            longest[name] = dict(c)
+    jobs = [(gbt_classifier(c, features_col, label_col), train) for c in longest.values()]
+    models = dict(zip(longest, fit_concurrently(jobs, parallelism), strict=True))
+    return [gbt_prefix(models[name], int(c["maxIter"])) for name, c in zip(names, configs, strict=True)]
+
+
 def synthetic_bernoulli(df: DataFrame, n: int = SYNTHETIC_COLUMNS, p_class0: float = SYNTHETIC_P_ONE,
                         p_class1: float = SYNTHETIC_P_ONE, seed: int = 0,
                         keys: Sequence[str] | None = None, label_col: str = "label",
@@ -160,34 +163,28 @@ def synthetic_bernoulli(df: DataFrame, n: int = SYNTHETIC_COLUMNS, p_class0: flo
 def prepare_chain(train: DataFrame, test: DataFrame, oversample_ratio: float = 1.5,
                   selector_type: str = "percentile", percentile: float = 0.5,
                   num_top_features: int = 50, seed: int = SAMPLING_SEED,
-                  keys: Sequence[str] | None = None, num_buckets: int = 32,
+                  keys: Sequence[str] | None = None, num_buckets: int = CHI2_BUCKETS,
                   refit_on_test: bool = False, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Oversample -> max-abs scale (fit on train) -> chi-square select -> ``(features, label)``.
 
-    The selector ranks quantile-binned copies of the *scaled* features (the
-    chi-square test needs categories) and the chosen indices are sliced out
-    of the scaled vector, so scaling reaches the output.
+    Oversampling gives every row a number of copies. The maxima need only the
+    rows with a copy, and the chi-square test of the binned *scaled* features needs
+    counts weighted by the copies, so both are aggregates over the original rows;
+    rows are repeated once, in the output. The chosen indices are sliced out of the
+    scaled vector, so scaling reaches the output.
     """
-    # train is read by the class counts, the scaler fit and the scaled copy:
-    # spread + persist it once, keep the scaled table, then release train
-    base = persist(spread(train))
-    over = oversample(base, oversample_ratio, "label", seed, keys)
-    tr_s, te_s = maxabs_scale(over, test, refit_on_test=refit_on_test)
-    tr_s = persist(tr_s)
-    tr_s.count()                       # materialise every partition before releasing train
-    first = tr_s.select("scaledFeatures").head(1)
-    base.unpersist()
-    d = len(first[0][0]) if first else 0
-    cols = [f"__f{i}" for i in range(d)]
-    arr = vector_to_array(F.col("scaledFeatures"))
-    wide = tr_s.select(*[F.get(arr, F.lit(i)).alias(c) for i, c in enumerate(cols)], "label")
-    idx = select_by_chi2(wide, cols, "label", selector_type, percentile, num_top_features,
-                         num_buckets=num_buckets) if d else []
-
-    def out(x: DataFrame) -> DataFrame:
-        return slice_vector(x, idx, "scaledFeatures", "selectedFeatures").select(
-            *keep, F.col("selectedFeatures").alias("features"), "label")
-    return out(tr_s), out(te_s)
+    copies, largest = oversample_copies(train, oversample_ratio, "label", seed, keys)
+    counted = train.withColumn("__tilt_copies", copies).filter(F.col("__tilt_copies") >= F.lit(1))
+    scale = inverse_maxima(counted)
+    idx = select_binned(counted.select(scaled_array("features", scale).alias("x"), "label", F.col("__tilt_copies").alias("n")),
+                        "x", "label", "n", selector_type, percentile, num_top_features, num_buckets=num_buckets)
+
+    def out(x: DataFrame, by: list[float]) -> DataFrame:
+        picked = [F.get(vector_to_array(F.col("features")), F.lit(i)) * F.lit(by[i]) for i in idx]
+        return x.select(*keep, array_to_vector(F.array(*picked)).alias("features"), "label")
+
+    repeated = repeat_rows(train, copies, largest)
+    return out(repeated, scale), out(test, inverse_maxima(test) if refit_on_test else scale)
 
 
 def median_band_filter(df: DataFrame, value, float32: bool = True, strict_reference: bool = False,

@@ -9,12 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import (PCA, ChiSqSelector, MaxAbsScaler, QuantileDiscretizer, StringIndexer,
-                                UnivariateFeatureSelector, VectorAssembler, VectorSlicer)
-from pyspark.ml.stat import ChiSquareTest
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.ml.feature import PCA, ChiSqSelector, MaxAbsScaler, QuantileDiscretizer, VectorAssembler, VectorSlicer
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import ChiSquareTest, Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed-width bins of scaled features for the chi-square test. Odd, so that two classes give an
+# even number of degrees of freedom where every bin has rows.
+CHI2_BUCKETS = 33
+
 
 def maxabs_scale(train: DataFrame, test: DataFrame | None = None, input_col: str = "features",
                  output_col: str = "scaledFeatures", refit_on_test: bool = False):
@@ -56,17 +61,6 @@ def chi2_selector(selector_type: str = "percentile", percentile: float = 0.1,
                          featuresCol=features_col, labelCol=label_col, outputCol=output_col)
 
 
-def univariate_selector(feature_type: str = "continuous", label_type: str = "categorical",
-                        selection_mode: str = "percentile", threshold: float = 0.1,
-                        features_col: str = "features", label_col: str = "label",
-                        output_col: str = "selectedFeatures") -> UnivariateFeatureSelector:
-    """ANOVA F-test (continuous) or chi-square (categorical) selector."""
-    sel = UnivariateFeatureSelector(featuresCol=features_col, labelCol=label_col, outputCol=output_col,
-                                    selectionMode=selection_mode)
-    sel.setFeatureType(feature_type).setLabelType(label_type).setSelectionThreshold(threshold)
-    return sel
-
-
 def bin_features(df: DataFrame, columns: Sequence[str], num_buckets: int = 32,
                  relative_error: float = 0.001, suffix: str = "_bin") -> DataFrame:
     """Quantile buckets per column (approximate quantiles: one bounded-memory pass)."""
@@ -89,6 +83,77 @@ def select_by_chi2(train: DataFrame, columns: Sequence[str], label_col: str = "l
     return list(sel.fit(vec.select("__bins", label_col)).selectedFeatures)
 
 
+def inverse_maxima(df: DataFrame, features_col: str = "features") -> list[float]:
+    """1 / max |x| of each feature (1 where all are zero), from one aggregate; as many numbers as features."""
+    if df.isEmpty():
+        return []
+    row = df.select(Summarizer.metrics("max", "min").summary(F.col(features_col)).alias("s")).select("s.max", "s.min").first()
+    return [1.0 if m == 0 else 1.0 / m for m in np.maximum(np.abs(row["max"].toArray()), np.abs(row["min"].toArray())).tolist()]
+
+
+def scaled_array(features_col: str, scale: Sequence[float]) -> Column:
+    """The vector's elements times their factors, as an array."""
+    return F.zip_with(vector_to_array(F.col(features_col)), F.array(*[F.lit(float(x)) for x in scale]), lambda x, f: x * f)
+
+
+def chi2_binned(df: DataFrame, array_col: str, label_col: str = "label", weight_col: str | None = None,
+                num_buckets: int = CHI2_BUCKETS) -> list[tuple[int, float, int, float]]:
+    """(feature, statistic, degrees of freedom, p-value) of each element of an array in [-1, 1], cut into
+    bins of equal width, against the label; rows count ``weight_col`` times.
+
+    One aggregate by (feature, bin, label), combined on each task; features x bins x classes counts
+    reach the driver, where Spark's test of a contingency matrix gives the p-values.
+    """
+    from pyspark.mllib.linalg import DenseMatrix
+    from pyspark.mllib.stat import Statistics
+    place = F.least(F.floor((F.col("__x") + 1.0) / 2.0 * num_buckets), F.lit(num_buckets - 1)).cast("int")
+    weight = F.col(weight_col) if weight_col else F.lit(1)
+    cells = df.select(F.posexplode(F.col(array_col)).alias("feature", "__x"), F.col(label_col).alias("label"), weight.alias("n"))
+    counts = cells.groupBy("feature", place.alias("bin"), "label").agg(F.sum("n").alias("n")).collect()
+    out = []
+    for feature in sorted({r["feature"] for r in counts}):
+        own = [r for r in counts if r["feature"] == feature]
+        bins, labels = sorted({r["bin"] for r in own}), sorted({r["label"] for r in own})
+        table = np.zeros((len(bins), len(labels)))
+        for r in own:
+            table[bins.index(r["bin"]), labels.index(r["label"])] = r["n"]
+        if min(table.shape) < 2:
+            out.append((feature, 0.0, 0, 1.0))
+            continue
+        test = Statistics.chiSqTest(DenseMatrix(*table.shape, table.ravel(order="F").tolist()))
+        out.append((feature, float(test.statistic), int(test.degreesOfFreedom), float(test.pValue)))
+    return out
+
+
+def chosen_features(tests: Sequence[tuple[int, float, int, float]], selector_type: str = "percentile", percentile: float = 0.1,
+                    num_top_features: int = 50, fpr: float = 0.05, fdr: float = 0.05, fwe: float = 0.05) -> list[int]:
+    """Features that a selector keeps, in their order. Ranks: p-value (to 12 places, beyond
+    which the tail of the distribution isn't computed), then the larger statistic, then the index."""
+    ranked = sorted(tests, key=lambda t: (round(t[3], 12), -t[1], t[0]))
+    n = len(ranked)
+    if selector_type == "percentile":
+        kept = ranked[:int(n * percentile)]
+    elif selector_type == "numTopFeatures":
+        kept = ranked[:num_top_features]
+    elif selector_type == "fpr":
+        kept = [t for t in ranked if t[3] < fpr]
+    elif selector_type == "fdr":
+        last = max([i + 1 for i, t in enumerate(ranked) if t[3] <= fdr * (i + 1) / n], default=0)
+        kept = ranked[:last]
+    elif selector_type == "fwe":
+        kept = [t for t in ranked if t[3] < fwe / n]
+    else:
+        raise ValueError(f"unknown selector type {selector_type!r}")
+    return sorted(t[0] for t in kept)
+
+
+def select_binned(df: DataFrame, array_col: str, label_col: str = "label", weight_col: str | None = None, selector_type: str = "percentile",
+                  percentile: float = 0.5, num_top_features: int = 50, fpr: float = 0.05, fdr: float = 0.05, fwe: float = 0.05,
+                  num_buckets: int = CHI2_BUCKETS) -> list[int]:
+    """Elements of a scaled array that a chi-square selector keeps."""
+    return chosen_features(chi2_binned(df, array_col, label_col, weight_col, num_buckets), selector_type, percentile, num_top_features, fpr, fdr, fwe)
+
+
 def slice_vector(df: DataFrame, indices: Sequence[int], input_col: str, output_col: str) -> DataFrame:
     return VectorSlicer(inputCol=input_col, outputCol=output_col, indices=list(indices)).transform(df)
 
@@ -115,10 +180,33 @@ def string_index(df: DataFrame, input_col: str, output_col: str | None = None,
                  order: str = "frequencyDesc", handle_invalid: str = "error") -> DataFrame:
     """Index a string column (most frequent value -> 0.0; ties alphabetical).
 
-    The fit is one aggregate of value counts; only the distinct values reach
-    the driver.
+    Counts by value, ranks and joins back, all in the plan: any number of distinct
+    values. The rank of a value is its place within its task's range of the sorted
+    values plus the sizes of the ranges before it (one number a task). NULLs:
+    "error" fails the job, "skip" drops the rows, "keep" gives them the next index.
     """
     out = output_col or f"{input_col}_idx"
-    model = StringIndexer(inputCol=input_col, outputCol=out, stringOrderType=order,
-                          handleInvalid=handle_invalid).fit(df)
-    return model.transform(df)
+    sort = {"frequencyDesc": [F.desc("__n"), F.asc("__v")], "frequencyAsc": [F.asc("__n"), F.asc("__v")],
+            "alphabetAsc": [F.asc("__v")], "alphabetDesc": [F.desc("__v")]}[order]
+    value = F.col(f"`{input_col}`").cast("string")
+    counts = df.where(value.isNotNull()).groupBy(value.alias("__v")).agg(F.count("*").alias("__n"))
+    index = ranked(counts, sort, "__i").select("__v", "__i")
+    joined = df.join(index, value == F.col("__v"), "left").drop("__v")
+    if handle_invalid == "skip":
+        joined = joined.where(value.isNotNull())
+    missing = F.lit(float(counts.count())) if handle_invalid == "keep" else F.raise_error(F.lit(f"NULL in {input_col}")).cast("double")
+    return joined.withColumn(out, F.coalesce(F.col("__i").cast("double"), missing)).drop("__i")
+
+
+def ranked(df: DataFrame, sort: Sequence[Column], name: str) -> DataFrame:
+    """0-based rank in a total order without a window over one partition: the table is sorted by ranges
+    and written once, so that ranges and ranks agree."""
+    from pyspark.sql import Window
+
+    from tiltml.session import materialize
+    placed = df.repartitionByRange(*sort).sortWithinPartitions(*sort).select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__m"))
+    placed = materialize(placed, "ranks")
+    sizes = placed.groupBy("__p").agg(F.count("*").alias("__c"), F.min("__m").alias("__first"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
+    starts = sizes.select("__p", "__first", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"))
+    return placed.join(starts, "__p").withColumn(name, F.col("__m") - F.col("__first") + F.col("__start")).drop("__p", "__m", "__first", "__start")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.ml.classification import (FMClassifier, GBTClassifier, LinearSVC,
+from pyspark.ml.classification import (FMClassifier, GBTClassificationModel, GBTClassifier,
                                        MultilayerPerceptronClassifier, NaiveBayes,
                                        RandomForestClassifier)
 from pyspark.sql import DataFrame
@@ -90,18 +90,6 @@ def fm_classifier(params: Mapping | None = None, features_col: str = "features",
     return est
 
 
-def linear_svc(params: Mapping | None = None, features_col: str = "features",
-               label_col: str = "label") -> LinearSVC:
-    """Linear SVM, offered next to the FM job under its own name."""
-    p = dict(params or {})
-    est = LinearSVC(featuresCol=features_col, labelCol=label_col)
-    if "maxiter" in p or "maxIter" in p:
-        est.setMaxIter(int(p.get("maxiter", p.get("maxIter"))))
-    if "regParam" in p:
-        est.setRegParam(float(p["regParam"]))
-    return est
-
-
 def nb_classifier(smoothing: float = 1.0, model_type: str = "multinomial",
                   features_col: str = "features", label_col: str = "label") -> NaiveBayes:
     """Naive Bayes (multinomial, smoothing 1); features must be non-negative."""
@@ -133,23 +121,37 @@ def weighted_gbt_classifier(params: Mapping, features_col: str = "features",
     return est
 
 
-def fit(estimator, train: DataFrame, cache_input: bool = True):
-    """Fit with the training input spread over the session's task slots and
-    persisted for the fit's passes (released afterwards; an input the caller
-    already cached is used as is)."""
-    from pyspark import StorageLevel
+# Session setting: partitions of a fit's training rows (default: spark.sql.shuffle.partitions).
+FIT_PARTITIONS_CONF = "spark.tiltml.fit.partitions"
+
+
+def training_rows(estimator, train: DataFrame, partitions: int | None = None) -> DataFrame:
+    """What a fit reads: features, label and weight only.
+
+    An iterative fit's result depends on how its rows are dealt (bags are drawn by
+    partition), so they are dealt by a hash of the whole row over a number of partitions
+    that the caller or the session sets, and ordered within: the same model on any number
+    of cores and from any file layout. Give rows a key column, or equal rows meet in one
+    partition. One-pass fits (naive Bayes) read their input as it is. Nothing is cached
+    here: spark.ml keeps its own points, and the shuffle files serve the passes before.
+    """
+    named = ("featuresCol", "labelCol", "weightCol")
+    cols = [F.col(estimator.getOrDefault(p)) for p in named if estimator.hasParam(p) and estimator.isDefined(p)]
+    if isinstance(estimator, NaiveBayes):
+        return train.select(*cols)
+    conf = train.sparkSession.conf
+    n = partitions or int(conf.get(FIT_PARTITIONS_CONF, conf.get("spark.sql.shuffle.partitions")))
+    place = F.xxhash64(*[F.col(f"`{c}`") for c in train.columns])
+    dealt = train.select(*cols, place.alias("__tilt_place")).repartition(n, "__tilt_place")
+    return dealt.sortWithinPartitions("__tilt_place").drop("__tilt_place")
+
 
-    from tiltml.sources.sinks import spread
-    if not cache_input or train.storageLevel != StorageLevel(False, False, False, False, 1):
-        return estimator.fit(train)
-    data = spread(train).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return estimator.fit(data)
-    finally:
-        data.unpersist()
+def fit(estimator, train: DataFrame, partitions: int | None = None):
+    """Fit on :func:`training_rows`; no job starts before the fit's own."""
+    return estimator.fit(training_rows(estimator, train, partitions))
 
 
-def fit_concurrently(jobs, parallelism: int = 4, cache_input: bool = True) -> list:
+def fit_concurrently(jobs, parallelism: int = 4, partitions: int | None = None) -> list:
     """Fit independent ``(estimator, train)`` pairs from a thread pool.
 
     Each fit is a series of Spark jobs; submitting several at once lets the
@@ -159,9 +161,28 @@ def fit_concurrently(jobs, parallelism: int = 4, cache_input: bool = True) -> li
     from concurrent.futures import ThreadPoolExecutor
     jobs = list(jobs)
     if parallelism <= 1 or len(jobs) <= 1:
-        return [fit(est, df, cache_input) for est, df in jobs]
+        return [fit(est, df, partitions) for est, df in jobs]
     with ThreadPoolExecutor(max_workers=min(parallelism, len(jobs))) as pool:
-        return list(pool.map(lambda job: fit(job[0], job[1], cache_input), jobs))
+        return list(pool.map(lambda job: fit(job[0], job[1], partitions), jobs))
+
+
+def gbt_prefix(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The model of a boosting run that stops after ``rounds``: boosting adds a tree a round, and a round
+    doesn't depend on how many follow, so these are the longer run's first trees and weights."""
+    if rounds >= model.getNumTrees:
+        return model
+    old = model._java_obj
+    gateway, jvm = model._sc._gateway, model._sc._jvm
+    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(jvm.double, rounds)
+    all_trees, all_weights = old.trees(), model.treeWeights
+    for i in range(rounds):
+        trees[i] = all_trees[i]
+        weights[i] = float(all_weights[i])
+    cut = jvm.org.apache.spark.ml.classification.GBTClassificationModel(old.uid(), trees, weights)
+    cut.setFeaturesCol(model.getFeaturesCol())
+    cut.setPredictionCol(model.getPredictionCol())
+    return GBTClassificationModel(cut)
 
 
 def fit_predict(estimator, train: DataFrame, test: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def _copies(df: DataFrame, fraction: float, seed: int, keys: Sequence[str], draw
     """Copies column and its bound. The draw is bound as a lambda's variable: one hash a row,
     however often the count refers to it and wherever the optimizer moves it."""
     largest = DRAWS[draw](F.lit(0.0), fraction)[1]
-    u = hash_u(key_columns(df, keys), seed, salt)
+    u = _draw(df, seed, keys, salt)
     return F.get(F.transform(F.array(u), lambda x: DRAWS[draw](x, fraction)[0]), 0), largest
 
 
@@ -93,10 +93,11 @@ def sample_fraction(df: DataFrame, fraction: float, seed: int, with_replacement:
             raise ValueError("fraction > 1 needs with_replacement=True")
         return df.filter(_draw(df, seed, keys, salt) < F.lit(fraction))
     copies, largest = _copies(df, fraction, seed, keys, draw, salt)
-    return _repeat(df, copies, largest)
+    return repeat_rows(df, copies, largest)
 
 
-def _repeat(df: DataFrame, copies: Column, largest: int) -> DataFrame:
+def repeat_rows(df: DataFrame, copies: Column, largest: int) -> DataFrame:
+    """Each row as often as ``copies`` says (at most ``largest`` times)."""
     n = "__tilt_copies"
     staged = df.withColumn(n, copies)
     if largest <= 1:
@@ -109,7 +110,7 @@ def _resample_one_pass(df: DataFrame, label_col: str, keep_all: Sequence[float],
                        extra_for_kept: bool = False, draw: str = "poisson") -> DataFrame:
     """One scan: rows of ``keep_all`` classes stay once, rows of ``sampled``
     get their drawn copies (plus one when ``extra_for_kept``)."""
-    return _repeat(df, *resample_copies(df, label_col, keep_all, sampled, fraction, seed, keys, extra_for_kept, draw))
+    return repeat_rows(df, *resample_copies(df, label_col, keep_all, sampled, fraction, seed, keys, extra_for_kept, draw))
 
 
 def resample_copies(df: DataFrame, label_col: str, keep_all: Sequence[float],
@@ -174,6 +175,17 @@ def oversample(df: DataFrame, ratio: float = 1.0, label_col: str = "label",
     return maj.unionByName(sample_fraction(mino, fraction, seed, with_replacement=True, keys=keys))
 
 
+def oversample_copies(df: DataFrame, ratio: float = 1.0, label_col: str = "label", seed: int = SAMPLING_SEED,
+                      keys: Sequence[str] | None = None, minority: float = 1.0, majority: float = 0.0,
+                      draw: str = "poisson") -> tuple[Column, int]:
+    """Copies of each row that :func:`oversample` makes, as a column, and their largest possible number.
+    Without keys the draw is ``rand(seed)``, which follows the partitions."""
+    counts = count_by_value(df, label_col, [minority, majority])
+    n_min, n_maj = counts[minority], counts[majority]
+    fraction = (float(n_maj) / float(n_min)) * float(ratio) if n_min else 0.0
+    return resample_copies(df, label_col, [majority], minority, fraction, seed, keys or (), draw=draw)
+
+
 def balance(df: DataFrame, label_col: str = "class", seed: int = SAMPLING_SEED,
             keys: Sequence[str] | None = None, classes: tuple[float, float] = (1.0, 0.0),
             always_sample_class0: bool = False, draw: str = "poisson") -> DataFrame:

@@ -3,7 +3,9 @@
 Every query reads whole driver tables (through the fixtures) and returns
 plain columns (no vectors), aliased the same way as its oracle SQL.
 Randomised operators use hash-u draws keyed by the fixture's unique keys,
-so the oracle reproduces them row for row. Model fits have no oracle.
+so the oracle reproduces them row for row. SQL can't fit the trees, perceptrons
+and machines: their queries run the full fit and return what SQL can check of it
+(which rows were scored, the counts of each class, rules that every row keeps).
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from tiltml.plans import jobs as J
 from tiltml.session import checkpoint_dir
 from tiltml.sources import fixtures as FX
 from tiltml.sources.readers import assemble_features, prepare_data, scan_delimited
-from tiltml.sources.sinks import sink_delimited, sink_parquet
+from tiltml.sources.sinks import preview, schema_table, sink_delimited, sink_parquet
 
 KEYS = FX.LINEITEM_KEYS
 FEATS = FX.ML_BINARY_FEATURES
@@ -52,7 +54,6 @@ PCA_K = 3
 SIG_DIGITS = 9
 LIMIT_ROWS = 1000
 FDR = 0.05
-CHI2_BINARY_FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
 
 def sig_round(x, digits: int = SIG_DIGITS):
@@ -104,13 +105,9 @@ def q_scan_parquet(spark, d):
 
 
 def q_scan_delimited(spark, d):
-    part = FX.table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
     path = _scratch(spark, "part-delimited")
-    sink_delimited(part, path, sep="|")
-    back = scan_delimited(spark, path, sep="|", header=True, infer_schema=True)
-    return back.select(F.col("p_partkey").cast("bigint").alias("p_partkey"),
-                       F.col("p_size").cast("int").alias("p_size"),
-                       F.col("p_retailprice").cast("double").alias("p_retailprice"))
+    sink_delimited(FX.table(spark, d, "part"), path, sep="|")
+    return scan_delimited(spark, path, sep="|", header=True, infer_schema=True)
 
 
 def q_sink_parquet(spark, d):
@@ -133,9 +130,7 @@ def q_prepare_data(spark, d):
 # --------------------------------------------------------------------------- projections
 
 def q_cast_all_double(spark, d):
-    li = FX.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                                               "l_quantity", "l_returnflag", "l_linestatus")
-    return C.cast_all_double(li)
+    return C.cast_all_double(FX.table(spark, d, "lineitem"))
 
 
 def q_derive_label(spark, d):
@@ -386,6 +381,11 @@ def _predictions(pred: DataFrame) -> DataFrame:
     return pred.select(*KEYS, "label", F.col("prediction").cast("double").alias("prediction"))
 
 
+def _scored(pred: DataFrame) -> DataFrame:
+    """Key, label and whether the row got one of the two classes."""
+    return pred.select(*KEYS, "label", F.coalesce(F.col("prediction").isin(0.0, 1.0), F.lit(False)).alias("scored"))
+
+
 def q_nb_classify(spark, d):
     train, test = _ml_split(spark, d, shift=SHIFT)
     return _predictions(MD.fit_predict(MD.nb_classifier(), train, test))
@@ -393,22 +393,22 @@ def q_nb_classify(spark, d):
 
 def q_gbt_classify(spark, d):
     train, test = _ml_split(spark, d)
-    return _predictions(MD.fit_predict(MD.gbt_classifier(GBT_PARAMS), train, test))
+    return _scored(MD.fit_predict(MD.gbt_classifier(GBT_PARAMS), train, test))
 
 
 def q_rf_classify(spark, d):
     train, test = _ml_split(spark, d)
-    return _predictions(MD.fit_predict(MD.rf_classifier(RF_PARAMS), train, test))
+    return _scored(MD.fit_predict(MD.rf_classifier(RF_PARAMS), train, test))
 
 
 def q_mlp_classify(spark, d):
     train, test = _ml_split(spark, d)
-    return _predictions(MD.fit_predict(MD.mlp_classifier(MLP_PARAMS), train, test))
+    return _scored(MD.fit_predict(MD.mlp_classifier(MLP_PARAMS), train, test))
 
 
 def q_fm_classify(spark, d):
     train, test = _ml_split(spark, d)
-    return _predictions(MD.fit_predict(MD.fm_classifier(FM_PARAMS), train, test))
+    return _scored(MD.fit_predict(MD.fm_classifier(FM_PARAMS), train, test))
 
 
 def q_weighted_gbt_classify(spark, d):
@@ -418,21 +418,38 @@ def q_weighted_gbt_classify(spark, d):
     spw = counts[0.0] / counts[1.0] if counts[1.0] else 1.0
     est = MD.weighted_gbt_classifier({"num_round": GBT_PARAMS["maxIter"], "depth": GBT_PARAMS["depth"],
                                       "seed": GBT_PARAMS["seed"]})
-    return _predictions(MD.fit_predict(est, MD.positive_class_weight(ptr, spw), pte))
+    return _scored(MD.fit_predict(est, MD.positive_class_weight(ptr, spw), pte))
 
 
 # --------------------------------------------------------------------------- composites
 
+def _held_against(source: DataFrame, out: DataFrame, rule) -> DataFrame:
+    """Every row of ``source`` with its times in ``out`` and a rule about it; rows of ``out`` that aren't in
+    ``source`` would come on top. ``out`` has keys, label and ``ok``."""
+    times = out.groupBy(*KEYS, "label").agg(F.count("*").alias("n"), F.every("ok").alias("ok"))
+    both = source.select(*KEYS, "label").join(times, [*KEYS, "label"], "full").withColumn("n", F.coalesce("n", F.lit(0)))
+    return both.select(*KEYS, "label", (F.col("n") <= 1).alias("once"), rule(F.col("n"), F.coalesce("ok", F.lit(True))).alias("ok"))
+
+
 def q_noise_filter(spark, d):
     ml = assemble_features(FX.ml_binary(spark, d), FEATS, "class", keep=KEYS)
-    out = X.noise_filter(ml, keys=KEYS, keep=KEYS)
-    return out.select(*KEYS, "label")
+    out = X.noise_filter(ml, keys=KEYS, keep=KEYS, materialize=True)
+    # every minority row stays, no row comes twice, none is added
+    return _held_against(ml, out.withColumn("ok", F.lit(True)), lambda n, ok: ok & ((F.col("label") == 0.0) | (n == 1)))
+
+
+def _cascade_rules(test: DataFrame, out: DataFrame) -> DataFrame:
+    agree = F.lit(True)
+    for i in range(X.CASCADE_ROUNDS):
+        agree = agree & (F.col(f"label{i}") == F.col("label")) & (F.get(F.col("features"), F.lit(i)) == F.col("label"))
+    # a subset of the test band whose rounds all agree with the label
+    return _held_against(test, out.withColumn("ok", agree), lambda n, ok: ok)
 
 
 def q_confidence_cascade(spark, d):
     ml = assemble_features(FX.ml_binary(spark, d), FEATS, "class", keep=KEYS)
     out = X.confidence_cascade(ml, keys=KEYS, keep=KEYS, model_seed=1234)
-    return out.drop("features")
+    return _cascade_rules(S.random_split(ml, X.CASCADE_SPLIT, S.SPLIT_SEED_FOLDS, KEYS)[1], out)
 
 
 def q_synthetic_bernoulli(spark, d):
@@ -440,15 +457,20 @@ def q_synthetic_bernoulli(spark, d):
     return X.synthetic_bernoulli(emb, seed=WEIGHT_SEED, keys=["vec_id"], assemble=False, keep=["vec_id"])
 
 
-def q_prepare_chain(spark, d):
-    train, test = _ml_split(spark, d)
-    tr, te = X.prepare_chain(train, test, OVERSAMPLE_RATIO, "percentile", 0.5, keys=KEYS, keep=KEYS)
-    n = len(tr.select("features").first()[0]) if tr.head(1) else 0
-    names = [f"f{i}" for i in range(n)]
+N_PREPARED = len(FEATS) // 2
+
+
+def _prepared(tr: DataFrame, te: DataFrame) -> DataFrame:
+    names = [f"f{i}" for i in range(N_PREPARED)]
     out = lambda x, part: x.select(*KEYS, *_vec_cols(x, "features", names), "label", F.lit(part).alias("part"))
     return out(tr, "train").unionByName(out(te, "test"))
 
 
+def q_prepare_chain(spark, d):
+    train, test = _ml_split(spark, d)
+    return _prepared(*X.prepare_chain(train, test, OVERSAMPLE_RATIO, "percentile", 0.5, keys=KEYS, keep=KEYS))
+
+
 # --------------------------------------------------------------------------- dormant variants
 
 def q_median_band_filter(spark, d):
@@ -480,14 +502,41 @@ def q_limit_rows(spark, d):
     return C.limit_rows(FX.ml_binary(spark, d), LIMIT_ROWS, KEYS)
 
 
+def _chi2_selection(spark, d, **how) -> DataFrame:
+    """Every feature with its test on 33 bins of equal width of the scaled values, and whether it is kept."""
+    ml = assemble_features(FX.ml_binary(spark, d), FEATS, "class")
+    scaled = ml.select(FT.scaled_array("features", FT.inverse_maxima(ml)).alias("x"), "label")
+    tests = FT.chi2_binned(scaled, "x")
+    kept = FT.chosen_features(tests, **how)
+    rows = [(FEATS[i], round(statistic, 4), dof, i in kept) for i, statistic, dof, _ in tests]
+    return spark.createDataFrame(rows, "feature string, statistic double, dof long, kept boolean")
+
+
 def q_chi2_fdr_select(spark, d):
-    ml = assemble_features(FX.ml_binary(spark, d), CHI2_BINARY_FEATURES, "class")
-    model = FT.chi2_selector("fdr", fdr=FDR).fit(ml)
-    chosen = [CHI2_BINARY_FEATURES[i] for i in model.selectedFeatures]
-    return spark.createDataFrame([(c,) for c in chosen], "feature string")
+    return _chi2_selection(spark, d, selector_type="fdr", fdr=FDR)
+
+
+def q_chi2_percentile_select(spark, d):
+    return _chi2_selection(spark, d, selector_type="percentile", percentile=0.5)
+
+
+def q_chi2_top_select(spark, d):
+    return _chi2_selection(spark, d, selector_type="numTopFeatures", num_top_features=3)
+
+
+def q_sample_with_replacement(spark, d):
+    return S.sample_fraction(FX.ml_binary(spark, d), 1.5, SEED, with_replacement=True, keys=KEYS)
+
 
+def q_schema_table(spark, d):
+    return schema_table(FX.ml_binary(spark, d))
 
-# --------------------------------------------------------------------------- jobs (J1-J9, J11)
+
+def q_preview_rows(spark, d):
+    return preview(FX.ml_binary(spark, d).select(*KEYS[:2], "l_linenumber"), 20, order_by=[*KEYS[:2], "l_linenumber"])
+
+
+# --------------------------------------------------------------------------- jobs (J1-J12)
 
 JOB_PCA_PARAMS = {"k": PCA_K, "scale_pos_weight": 4.0, "num_round": GBT_PARAMS["maxIter"],
                   "depth": GBT_PARAMS["depth"], "seed": GBT_PARAMS["seed"]}
@@ -509,20 +558,58 @@ def _job_full_table(spark, d) -> str:
     return path
 
 
+# What TPR x TNR each job reaches at least (a constant prediction has 0).
+SCORE_GATES = {"gbt": 0.9, "rf": 0.7, "mlp": 0.0, "fm": 0.0, "weighted_gbt": 0.5}
+
+
+def _score_rules(scores: DataFrame, gate: float, *more: str) -> DataFrame:
+    """Test rows of each class, and whether the score reaches the gate."""
+    return scores.select((F.col("tp") + F.col("fn")).alias("n_positive"), (F.col("tn") + F.col("fp")).alias("n_negative"),
+                         ((F.col("score") >= F.lit(gate)) & (F.col("score") <= 1.0)).alias("passed"), *more)
+
+
 def q_job_gbt_score(spark, d):
-    return J.gbt_job(spark, dict(_job_tables(spark, d), params=GBT_PARAMS))
+    return _score_rules(J.gbt_job(spark, dict(_job_tables(spark, d), params=GBT_PARAMS)), SCORE_GATES["gbt"])
+
+
+def q_job_gbt_prepared_score(spark, d):
+    params = GBT_PARAMS | {"prepare": True, "ratio": OVERSAMPLE_RATIO, "percentil": 0.5}
+    return _score_rules(J.gbt_job(spark, dict(_job_tables(spark, d), params=params)), SCORE_GATES["weighted_gbt"])
+
+
+def q_job_gbt_pca_score(spark, d):
+    return _score_rules(J.gbt_job(spark, dict(_job_tables(spark, d), params=GBT_PARAMS | {"k": PCA_K})), SCORE_GATES["weighted_gbt"])
 
 
 def q_job_rf_score(spark, d):
-    return J.rf_job(spark, dict(_job_tables(spark, d), params=RF_PARAMS))
+    return _score_rules(J.rf_job(spark, dict(_job_tables(spark, d), params=RF_PARAMS)), SCORE_GATES["rf"])
 
 
 def q_job_mlp_score(spark, d):
-    return J.mlp_job(spark, dict(_job_tables(spark, d), params=MLP_PARAMS))
+    return _score_rules(J.mlp_job(spark, dict(_job_tables(spark, d), params=MLP_PARAMS)), SCORE_GATES["mlp"], "n_train", "n_test")
 
 
 def q_job_fm_score(spark, d):
-    return J.fm_job(spark, dict(_job_tables(spark, d), params=FM_PARAMS))
+    return _score_rules(J.fm_job(spark, dict(_job_tables(spark, d), params=FM_PARAMS)), SCORE_GATES["fm"])
+
+
+def q_job_cascade(spark, d):
+    ml = assemble_features(FX.ml_binary(spark, d), FEATS, "class", keep=KEYS)
+    src = _scratch(spark, "cascade-in")
+    sink_parquet(ml, src)
+    out = J.cascade_job(spark, {"datasetTrain": src, "output": _scratch(spark, "cascade-out"), "keys": KEYS, "params": {"seed": 1234}})
+    return _cascade_rules(S.random_split(ml, X.CASCADE_SPLIT, S.SPLIT_SEED_FOLDS, KEYS)[1], out)
+
+
+CSV_KEYS = [k for k in KEYS if k != "l_shipdate"]
+
+
+def q_job_csv_mlp(spark, d):
+    path = _scratch(spark, "csv-mlp")
+    rows = FX.ml_binary(spark, d).drop("l_shipdate").withColumn("layers", F.lit("4-8-2")).withColumnRenamed("class", "media")
+    sink_delimited(rows, path, sep="|")
+    out = J.csv_mlp_job(spark, {"dataset": path, "params": MLP_PARAMS, "keys": CSV_KEYS, "schema": ", ".join(f"{c} {t}" for c, t in rows.dtypes)})
+    return out.select(*CSV_KEYS, "label", F.coalesce(F.col("prediction").isin(0.0, 1.0), F.lit(False)).alias("scored"))
 
 
 def q_job_nb_accuracy(spark, d):
@@ -530,7 +617,8 @@ def q_job_nb_accuracy(spark, d):
 
 
 def q_job_pca_weighted_gbt_score(spark, d):
-    return J.pca_weighted_gbt_job(spark, dict(_job_tables(spark, d), params=JOB_PCA_PARAMS))
+    return _score_rules(J.pca_weighted_gbt_job(spark, dict(_job_tables(spark, d), params=JOB_PCA_PARAMS)), SCORE_GATES["weighted_gbt"],
+                        "n_train_0", "n_train_1")
 
 
 def q_job_pca_preview(spark, d):
@@ -544,13 +632,7 @@ def q_job_pca_preview(spark, d):
 def q_job_feature_preparation(spark, d):
     cfg = dict(_job_tables(spark, d), trainOut=_scratch(spark, "prep-train"), testOut=_scratch(spark, "prep-test"),
                params={"percentil": 0.5})
-    J.feature_preparation_job(spark, cfg)
-    tr, te = spark.read.parquet(cfg["trainOut"]), spark.read.parquet(cfg["testOut"])
-    n = len(tr.select("features").first()[0]) if tr.head(1) else 0
-    names = [f"f{i}" for i in range(n)]
-    out = lambda x, part: x.select(*KEYS, *_vec_cols(x, "features", names), "label",
-                                   F.lit(part).alias("part"))
-    return out(tr, "train").unionByName(out(te, "test"))
+    return _prepared(*J.feature_preparation_job(spark, cfg))
 
 
 def q_job_evolved_selection(spark, d):

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from tiltml.operators import models as MD
 from tiltml.operators import sampling as S
 from tiltml.sources import fixtures as FX
 from tiltml.sources.readers import assemble_features, prepare_data, scan_delimited
-from tiltml.sources.sinks import persist, sink_parquet
+from tiltml.sources.sinks import sink_parquet
 
 # Shift applied before naive Bayes (keeps features non-negative),
 # and the flagship slice's forest.
@@ -81,9 +82,8 @@ def mlp_job(spark: SparkSession, config: Mapping) -> DataFrame:
     _require(config, "dataset", "test", "params")
     train, test = _load(spark, config)
     pred = MD.fit_predict(MD.mlp_classifier(_params(config)), train, test)
-    counts = A.count_by_value(train, "label", [0.0, 1.0])
-    return A.evaluate_scores(pred, positive=0.0).select(
-        "*", F.lit(sum(counts.values())).alias("n_train"))
+    sizes = train.agg(F.count("*").alias("n_train")).crossJoin(test.agg(F.count("*").alias("n_test")))  # one row each
+    return A.evaluate_scores(pred, positive=0.0).crossJoin(sizes)
 
 
 def fm_job(spark: SparkSession, config: Mapping) -> DataFrame:
@@ -108,22 +108,25 @@ def nb_job(spark: SparkSession, config: Mapping) -> DataFrame:
 
 
 def pca_weighted_gbt_job(spark: SparkSession, config: Mapping) -> DataFrame:
-    """PCA(k) fit on train, then boosting with a positive-class weight; score."""
+    """PCA(k) fit on train, then boosting with a positive-class weight; score and train counts by class."""
     _require(config, "dataset", "test", "params")
     p = _params(config)
     train, test = _load(spark, config)
     ptr, pte = FT.pca_project(train, test, int(p["k"]))
     weighted = MD.positive_class_weight(ptr, float(p.get("scale_pos_weight", 1.0)))
     pred = MD.fit_predict(MD.weighted_gbt_classifier(p), weighted, pte)
-    return A.evaluate_scores(pred, positive=0.0)
+    counts = train.agg(F.count_if(F.col("label") == 0.0).alias("n_train_0"), F.count_if(F.col("label") == 1.0).alias("n_train_1"))
+    return A.evaluate_scores(pred, positive=0.0).crossJoin(counts)  # one row each
 
 
 def pca_preview_job(spark: SparkSession, config: Mapping, n: int = 20) -> tuple[DataFrame, DataFrame]:
-    """PCA(k) projections of train and test (first ``n`` rows each)."""
+    """PCA(k) projections of train and test: the first ``n`` rows each by the key columns
+    (without keys, by the projection itself)."""
     _require(config, "dataset", "test", "params")
     train, test = _load(spark, config)
     ptr, pte = FT.pca_project(train, test, int(_params(config)["k"]))
-    return ptr.limit(n), pte.limit(n)
+    order = _keys(config) or [vector_to_array(F.col("features"))]
+    return ptr.orderBy(*order).limit(n), pte.orderBy(*order).limit(n)
 
 
 def feature_preparation_job(spark: SparkSession, config: Mapping) -> tuple[DataFrame, DataFrame]:
@@ -136,7 +139,7 @@ def feature_preparation_job(spark: SparkSession, config: Mapping) -> tuple[DataF
                              keys=config.get("keys"), keep=_keys(config))
     sink_parquet(tr, str(config["trainOut"]))
     sink_parquet(te, str(config["testOut"]))
-    return tr, te
+    return spark.read.parquet(str(config["trainOut"])), spark.read.parquet(str(config["testOut"]))
 
 
 def evolved_selection_job(spark: SparkSession, config: Mapping) -> DataFrame:
@@ -145,8 +148,7 @@ def evolved_selection_job(spark: SparkSession, config: Mapping) -> DataFrame:
     p = _params(config)
     keys = config.get("keys")
     raw = spark.read.parquet(str(config["dataset"]))
-    # the balanced table is read by the maxima, the weight sums and the projection
-    bal = persist(S.undersample(raw, 1.0, "class", S.SAMPLING_SEED, keys))
+    bal = S.undersample(raw, 1.0, "class", S.SAMPLING_SEED, keys)
     out = EV.evolved_feature_selection(
         bal, int(p.get("k", EV.DEFAULT_TOP_K)), label_col="class",
         iterations=int(p.get("iterations", EV.DEFAULT_ITERATIONS)),
@@ -154,7 +156,6 @@ def evolved_selection_job(spark: SparkSession, config: Mapping) -> DataFrame:
         seed=int(p.get("seed", 0)), keys=keys,
         with_instance_filter=bool(p.get("instance_filter", False)), keep=list(keys or []))
     sink_parquet(out, str(config["output"]))
-    bal.unpersist()
     return spark.read.parquet(str(config["output"]))
 
 
@@ -166,9 +167,9 @@ def cascade_job(spark: SparkSession, config: Mapping) -> DataFrame:
     keys = config.get("keys")
     out = X.confidence_cascade(ml, rounds=int(p.get("rounds", X.CASCADE_ROUNDS)),
                                configs=p.get("configs", X.CASCADE_CONFIGS), keys=keys,
-                               keep=list(keys or []))
+                               keep=list(keys or []), model_seed=p.get("seed"))
     sink_parquet(out, str(config["output"]))
-    return out
+    return spark.read.parquet(str(config["output"]))
 
 
 def synthetic_job(spark: SparkSession, config: Mapping) -> DataFrame:
@@ -185,20 +186,22 @@ def synthetic_job(spark: SparkSession, config: Mapping) -> DataFrame:
                                 float(p.get("p_class1", X.SYNTHETIC_P_ONE)),
                                 seed=int(p.get("seed", 0)), keys=keys, keep=list(keys or []))
     sink_parquet(out, str(out_path))
-    return out
+    return spark.read.parquet(str(out_path))
 
 
-def csv_mlp_job(spark: SparkSession, config: Mapping):
-    """``|``-separated text -> drop ``layers`` -> label from ``media`` -> assemble -> fit MLP.
+def csv_mlp_job(spark: SparkSession, config: Mapping) -> DataFrame:
+    """``|``-separated text -> drop ``layers`` -> label from ``media`` -> assemble -> fit MLP -> score the rows.
 
-    Features are every column except ``class``, ``label`` and the label
-    source ``media`` (no leak). Returns the fitted model.
+    Features are every column except the keys, ``class``, ``label`` and the label
+    source ``media`` (no leak). ``schema`` (DDL text) spares the pass over the
+    text that infers one. Returns keys, label and prediction of every row.
     """
     _require(config, "dataset", "params")
-    df = scan_delimited(spark, str(config["dataset"]), sep="|", header=True, drop=("layers",))
-    feats = feature_columns(df, exclude={"class", "label", "media"})
-    ml = assemble_features(derive_label(df, "media", "label"), feats, label_source=None)
-    return MD.mlp_classifier(_params(config)).fit(ml)
+    keys = _keys(config)
+    df = scan_delimited(spark, str(config["dataset"]), sep="|", header=True, schema=config.get("schema"), drop=("layers",))
+    feats = feature_columns(df, exclude={"class", "label", "media", *keys})
+    ml = assemble_features(derive_label(df, "media", "label"), feats, label_source=None, keep=keys)
+    return MD.fit_predict(MD.mlp_classifier(_params(config)), ml, ml).select(*keys, "label", "prediction")
 
 
 def flagship_score(spark: SparkSession, sf_dir: str) -> DataFrame:

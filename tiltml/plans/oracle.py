@@ -210,20 +210,62 @@ def job_synthetic_sql() -> str:
     return f"{B}, m AS (SELECT {K}, class AS label FROM b) SELECT {K}, {', '.join(cols)}, label FROM m"
 
 
+CHI2_TESTS = ("r AS (SELECT i, bin, sum(o) AS nr FROM o GROUP BY i, bin), cc AS (SELECT i, label, sum(o) AS nc FROM o GROUP BY i, label), "
+              "tt AS (SELECT i, sum(o) AS nt FROM o GROUP BY i), "
+              "g AS (SELECT r.i, r.bin, cc.label, nr * nc / nt AS e, coalesce(o.o, 0.0) AS obs FROM r JOIN cc USING (i) JOIN tt USING (i) "
+              "LEFT JOIN o ON o.i = r.i AND o.bin = r.bin AND o.label = cc.label), "
+              "st AS (SELECT i, sum((obs - e) * (obs - e) / e) AS stat, (count(DISTINCT bin) - 1) * (count(DISTINCT label) - 1) AS dof FROM g GROUP BY i), "
+              # the upper tail of the distribution in closed form: the degrees of freedom are even
+              "pv AS (SELECT *, CASE WHEN stat = 0 THEN 1.0 ELSE list_sum(list_transform(range(0, dof // 2), "
+              "lambda j: exp(-stat / 2 + j * ln(stat / 2) - lgamma(j + 1)))) END AS p FROM st), "
+              "rk AS (SELECT *, row_number() OVER (ORDER BY round(p, 12), stat DESC, i) AS rk, count(*) OVER () AS nf FROM pv)")
+
+
+def binned_sql(rows: str, maxima: str, weight: str) -> str:
+    """CTEs ``m`` (largest absolute values), ``lg`` and ``o`` (weighted counts by feature, bin and label)."""
+    scaled = [f"{c} * (CASE WHEN m_{c} = 0 THEN 1.0 ELSE 1.0 / m_{c} END)" for c in FEATS]
+    lg = " UNION ALL ".join(f"SELECT {i} AS i, {x} AS x, label, {weight} AS n FROM {rows}, m" for i, x in enumerate(scaled))
+    return (f"m AS (SELECT {', '.join(f'max(abs({c})) AS m_{c}' for c in FEATS)} FROM {maxima}), lg AS ({lg}), "
+            "o AS (SELECT i, least(CAST(floor((x + 1.0) / 2.0 * 33) AS INTEGER), 32) AS bin, label, sum(n)::DOUBLE AS o FROM lg GROUP BY ALL)")
+
+
+def chi2_selection_sql(kept: str) -> str:
+    names = "[" + ", ".join(f"'{c}'" for c in FEATS) + "]"
+    return (f"{B}, t AS (SELECT *, class AS label FROM b), {binned_sql('t', 't', '1')}, {CHI2_TESTS}, "
+            "fd AS (SELECT coalesce(max(rk) FILTER (p <= 0.05 * rk / nf), 0) AS last FROM rk) "
+            f"SELECT {names}[i + 1] AS feature, round(stat, 4) AS statistic, dof, {kept} AS kept FROM rk, fd")
+
+
+def prepare_chain_sql() -> str:
+    scaled = ", ".join(f"{c} * (CASE WHEN m_{c} = 0 THEN 1.0 ELSE 1.0 / m_{c} END)" for c in FEATS)
+    out = ", ".join(f"[{scaled}][l[{j + 1}] + 1] + 0.0 AS f{j}" for j in range(Q.N_PREPARED))
+    return (f"{B}, s AS (SELECT *, class AS label, {u(Q.SPLIT_SEED)} AS su FROM b), "
+            "tr0 AS (SELECT * FROM s WHERE su < 0.7), te AS (SELECT * FROM s WHERE su >= 0.7), "
+            "c AS (SELECT count_if(label = 1.0) AS n1, count_if(label = 0.0) AS n0 FROM tr0), "
+            f"f AS (SELECT CASE WHEN n1 = 0 THEN 0.0 ELSE (n0::DOUBLE / n1::DOUBLE) * {dbl(Q.OVERSAMPLE_RATIO)} END AS frac FROM c), "
+            f"{sql_poisson_ctes('f')}, "
+            f"tr AS (SELECT tr0.*, CASE WHEN label = 1.0 THEN {sql_poisson_copies(u(Q.SEED))} WHEN label = 0.0 THEN 1 ELSE 0 END AS n FROM tr0, pt), "
+            f"kp AS (SELECT * FROM tr WHERE n >= 1), {binned_sql('kp', 'kp', 'n')}, {CHI2_TESTS}, "
+            f"sel AS (SELECT list(i ORDER BY i) AS l FROM rk WHERE rk <= {Q.N_PREPARED}), "
+            "rep AS (SELECT *, unnest(range(n)) AS __i FROM kp) "
+            f"SELECT {K}, {out}, label, 'train' AS part FROM rep, m, sel UNION ALL SELECT {K}, {out}, label, 'test' AS part FROM te, m, sel")
+
+
+def job_score_sql(positive: float, more: str = "") -> str:
+    return (f"{B}, s AS (SELECT *, {u(Q.SPLIT_SEED)} < 0.7 AS tr FROM b) SELECT count_if(NOT tr AND class = {dbl(positive)}) AS n_positive, "
+            f"count_if(NOT tr AND class = {dbl(1.0 - positive)}) AS n_negative, TRUE AS passed{more} FROM s")
+
+
 def build() -> dict[str, str]:
     hu = {c: u(Q.WEIGHT_SEED, c) for c in FEATS}
     n = len(FEATS)
     o: dict[str, str] = {}
     o["scan_parquet"] = FX.ML_BINARY_SQL
-    o["scan_delimited"] = ("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(p_size AS INTEGER) AS p_size, "
-                           "CAST(p_retailprice AS DOUBLE) AS p_retailprice FROM part")
+    o["scan_delimited"] = "SELECT * FROM part"
     o["sink_parquet"] = FX.ML_BINARY_SQL
     o["prepare_data"] = (f"{B} SELECT {K}, {', '.join(f'{vec(c)} AS f{i}' for i, c in enumerate(FEATS))}, class AS label, "
                          f"CASE WHEN {u(Q.SPLIT_SEED)} < 0.7 THEN 'train' ELSE 'test' END AS part FROM b")
-    o["cast_all_double"] = ("SELECT " + ", ".join(
-        f"TRY_CAST({c} AS DOUBLE) AS {c}" for c in
-        ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"])
-        + " FROM lineitem")
+    o["cast_all_double"] = "SELECT TRY_CAST(COLUMNS(* EXCLUDE (l_shipdate)) AS DOUBLE), epoch(l_shipdate)::DOUBLE AS l_shipdate FROM lineitem"
     o["derive_label"] = f"SELECT *, CAST(class AS DOUBLE) AS label FROM ({FX.ORDERS_BINARY_SQL})"
     o["shift_features"] = f"{B} SELECT {K}, {', '.join(f'{c} + 10.0 AS {c}' for c in FEATS)}, class FROM b"
     o["drop_columns"] = f"{B} SELECT {K}, l_quantity, l_extendedprice, class FROM b"
@@ -296,6 +338,29 @@ def build() -> dict[str, str]:
     o["job_nb_accuracy"] = (f"SELECT count(*) AS n, count_if(prediction = label) AS correct, "
                             f"CASE WHEN count(*) = 0 THEN 'NaN'::DOUBLE ELSE count_if(prediction = label)::DOUBLE "
                             f"/ count(*)::DOUBLE END AS accuracy FROM ({nb_sql()}) p")
+    scored = f"{B} SELECT {K}, class AS label, TRUE AS scored FROM b WHERE {u(Q.SPLIT_SEED)} >= 0.7"
+    for name in ("gbt_classify", "rf_classify", "mlp_classify", "fm_classify", "weighted_gbt_classify"):
+        o[name] = scored
+    o["noise_filter"] = f"{B} SELECT {K}, class AS label, TRUE AS once, TRUE AS ok FROM b"
+    o["confidence_cascade"] = f"{B} SELECT {K}, class AS label, TRUE AS once, TRUE AS ok FROM b WHERE {u(Q.FOLD_SEED)} >= 0.3"
+    o["job_cascade"] = o["confidence_cascade"]
+    o["prepare_chain"] = prepare_chain_sql()
+    o["job_feature_preparation"] = o["prepare_chain"]
+    o["chi2_fdr_select"] = chi2_selection_sql("rk <= last")
+    o["chi2_percentile_select"] = chi2_selection_sql(f"rk <= {len(FEATS) // 2}")
+    o["chi2_top_select"] = chi2_selection_sql("rk <= 3")
+    o["sample_with_replacement"] = (f"{B}, f AS (SELECT 1.5::DOUBLE AS frac), {sql_poisson_ctes('f')} {copies_rows('b, pt', BCOLS, u(Q.SEED), 'TRUE')}")
+    types = ["bigint", "bigint", "bigint", "int", "timestamp_ntz", "double", "double", "double", "double", "double"]
+    o["schema_table"] = " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS name, '{t}' AS type, {'FALSE' if c == 'class' else 'TRUE'} AS nullable"
+                                           for i, (c, t) in enumerate(zip([*KEYS, *FEATS, "class"], types, strict=True)))
+    three = ", ".join(f"CAST({k} AS VARCHAR) AS {k}" for k in (*KEYS[:2], "l_linenumber"))
+    o["preview_rows"] = f"SELECT {three} FROM (SELECT * FROM lineitem ORDER BY {', '.join(KEYS[:2])}, l_linenumber LIMIT 20)"
+    for name in ("job_gbt_score", "job_fm_score", "job_gbt_prepared_score", "job_gbt_pca_score"):
+        o[name] = job_score_sql(0.0)
+    o["job_rf_score"] = job_score_sql(1.0)
+    o["job_mlp_score"] = job_score_sql(0.0, ", count_if(tr) AS n_train, count_if(NOT tr) AS n_test")
+    o["job_pca_weighted_gbt_score"] = job_score_sql(0.0, ", count_if(tr AND class = 0.0) AS n_train_0, count_if(tr AND class = 1.0) AS n_train_1")
+    o["job_csv_mlp"] = f"{B} SELECT {', '.join(Q.CSV_KEYS)}, class AS label, TRUE AS scored FROM b"
     o["job_evolved_selection"] = evolved_selection_sql()
     o["job_synthetic"] = job_synthetic_sql()
     return o

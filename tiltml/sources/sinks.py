@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark import StorageLevel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import UserDefinedType
 
 
 def sink_parquet(df: DataFrame, path: str, mode: str = "overwrite",
@@ -20,9 +25,23 @@ def sink_delimited(df: DataFrame, path: str, sep: str = "|", header: bool = True
     df.write.mode(mode).option("header", header).option("sep", sep).csv(path)
 
 
-def preview(df: DataFrame, n: int = 20, truncate: bool = False) -> DataFrame:
-    """First ``n`` rows as a DataFrame (``show`` prints the same rows)."""
-    return df.limit(n)
+def preview(df: DataFrame, n: int = 20, truncate: bool = False, order_by: Sequence[str] = ()) -> DataFrame:
+    """First ``n`` rows as a DataFrame of texts, in the order of ``order_by`` if given.
+
+    ``truncate`` cuts texts of over 20 characters as ``show`` does.
+    """
+    rows = (df.orderBy(*order_by) if order_by else df).limit(n)
+    text = {c: F.col(f"`{c}`").cast("string") for c in df.columns if not isinstance(df.schema[c].dataType, UserDefinedType)}
+    text |= {c: vector_to_array(F.col(f"`{c}`")).cast("string") for c in df.columns if c not in text}
+    if truncate:
+        text = {c: F.when(F.length(t) > 20, F.concat(F.substring(t, 1, 17), F.lit("..."))).otherwise(t) for c, t in text.items()}
+    return rows.select(*[text[c].alias(c) for c in df.columns])
+
+
+def schema_table(df: DataFrame) -> DataFrame:
+    """The schema as rows: position, name, type, nullable (``printSchema`` as data)."""
+    rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(rows, "position int, name string, type string, nullable boolean")
 
 
 def persist(df: DataFrame) -> DataFrame:
@@ -30,23 +49,16 @@ def persist(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def spread(df: DataFrame, target: int | None = None) -> DataFrame:
-    """Round-robin repartition when the input has fewer partitions than the
-    session can run at once (e.g. a single-row-group file).
+# Session setting: partitions that ``spread`` deals a table over (unset: no shuffle).
+SPREAD_CONF = "spark.tiltml.spread.partitions"
 
-    Iterative fits read their input many times, so one shuffle up front buys
-    parallelism for every pass. ``target`` (default: the session's task
-    slots) is lower when several fits share the slots, since each task of a
-    pass carries fixed overhead. On a large input the partition count already
-    exceeds the slots and this is a no-op (no shuffle).
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(target or slots)
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition for work on each row, if the session asks for it.
 
-def share_of_slots(spark, concurrent: int) -> int:
-    """Partitions per input when ``concurrent`` fits share the task slots."""
-    slots = spark.sparkContext.defaultParallelism
-    return max(1, -(-slots // max(1, concurrent)))
+    Only for inputs that can't be split (one file, one row group) and costly
+    work a row: a deployment that reads such a file sets the number; on any
+    other input it stays unset, and this adds nothing to the plan.
+    """
+    n = df.sparkSession.conf.get(SPREAD_CONF, None)
+    return df.repartition(int(n)) if n else df
