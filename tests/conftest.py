@@ -26,6 +26,8 @@ def spark():
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tiltml-test-ckpt-"))
     yield s
+    from tiltml.session import drop_scratch
+    drop_scratch(s)
 
 
 @pytest.fixture(scope="session")

@@ -33,6 +33,16 @@ def test_confidence_cascade_labels_equal_label(ml):
     assert r is None or list(r.features) == [r.label] * 5
 
 
+def test_cascade_by_prefixes_equals_single_fits(ml):
+    base = {"depth": 3, "stepSize": 0.4, "seed": 5}
+    configs = [base | {"maxIter": 2}, base | {"maxIter": 5}, base | {"maxIter": 3, "depth": 2}, base | {"maxIter": 4}]
+    from tiltml.operators.models import fit, gbt_classifier
+    train = ml.filter("l_linenumber > 2")
+    for c, model in zip(configs, X.fit_prefixes(configs, train, "features", "label", 2)):
+        single = fit(gbt_classifier(c), train)
+        assert model.treeWeights == single.treeWeights and model.toDebugString.split("\n")[1:] == single.toDebugString.split("\n")[1:]
+
+
 def test_synthetic_bernoulli_rate(spark):
     df = spark.range(20000).select("id", F.lit(0.0).alias("label"),
                                    F.array_repeat(F.lit(0.0), 30).alias("a"))
@@ -50,6 +60,23 @@ def test_synthetic_bernoulli_per_class(spark):
     assert abs(means[0.0] - 0.1) < 0.02 and abs(means[1.0] - 0.9) < 0.02
 
 
+def test_prepare_chain_equals_the_expanded_form(ml):
+    """Scaling and testing before the copies are made gives what they give after it."""
+    from pyspark.ml.feature import MaxAbsScaler
+    from pyspark.ml.functions import vector_to_array
+
+    from tiltml.operators import features as FT
+    from tiltml.operators import sampling as S
+    tr = ml.filter(F.col("l_linenumber") != 1)
+    otr, _ = X.prepare_chain(tr, ml, 1.5, "numTopFeatures", num_top_features=2, keys=KEYS, keep=KEYS)
+    over = S.oversample(tr, 1.5, "label", S.SAMPLING_SEED, KEYS)
+    scaled = MaxAbsScaler(inputCol="features", outputCol="s").fit(over).transform(over)
+    idx = FT.select_binned(scaled.select(vector_to_array("s").alias("x"), "label"), "x", "label", None, "numTopFeatures", num_top_features=2)
+    want = scaled.select(*KEYS, *[F.get(vector_to_array("s"), F.lit(i)).alias(f"f{i}") for i in idx])
+    got = otr.select(*KEYS, *[F.get(vector_to_array("features"), F.lit(j)).alias(f"f{i}") for j, i in enumerate(idx)])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_prepare_chain_scales_and_selects(ml):
     tr, te = ml.filter(F.col("l_linenumber") != 1), ml.filter(F.col("l_linenumber") == 1)
     otr, ote = X.prepare_chain(tr, te, 1.5, "numTopFeatures", num_top_features=2, keys=KEYS)

@@ -82,3 +82,77 @@ def test_naive_bayes_needs_shift_and_weighted_gbt(spark, split):
     assert w.filter("label = 1").select(F.min("w")).first()[0] == 4.0
     pred = MD.fit_predict(MD.weighted_gbt_classifier({"num_round": 3, "depth": 3}), w, te)
     assert pred.count() == te.count()
+
+
+def _predictions(est, train, test):
+    return sorted(map(tuple, MD.fit_predict(est, train, test).select(*KEYS, "prediction").collect()))
+
+
+@pytest.mark.parametrize("make", [
+    lambda: MD.rf_classifier({"nTrees": 10, "maxDepth": 4, "seed": 1}),
+    lambda: MD.mlp_classifier({"layers": [4, 5, 2], "iter": 30, "seed": 1, "blockSize": 64, "stepsize": 0.03}),
+])
+def test_fits_do_not_depend_on_the_input_partitions(split, make):
+    tr, te = split
+    base = _predictions(make(), tr.repartition(2), te)
+    assert _predictions(make(), tr.repartition(7, "l_orderkey"), te.repartition(3)) == base
+
+
+def test_nothing_runs_before_the_fit(spark, split):
+    tr, _ = split
+    grouped = tr.groupBy("features", "label").count()
+    before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    for est in (MD.gbt_classifier({"maxIter": 2}), MD.nb_classifier()):
+        MD.training_rows(est, grouped)
+    assert spark.sparkContext._jsc.sc().dagScheduler().nextJobId() == before
+
+
+def test_training_rows_hold_needed_columns_only(split):
+    weighted = MD.positive_class_weight(split[0], 2.0)
+    assert MD.training_rows(MD.nb_classifier(), split[0]).columns == ["features", "label"]
+    assert MD.training_rows(MD.weighted_gbt_classifier({}), weighted, 3).columns == ["features", "label", "w"]
+
+
+def test_prefix_of_a_boosting_run_is_the_shorter_run(split):
+    tr, te = split
+    params = {"depth": 3, "stepSize": 0.4, "seed": 7}
+    long = MD.fit(MD.gbt_classifier(params | {"maxIter": 6}), tr)
+    short = MD.fit(MD.gbt_classifier(params | {"maxIter": 3}), tr)
+    cut = MD.gbt_prefix(long, 3)
+    assert cut.treeWeights == short.treeWeights
+    cols = [*KEYS, "prediction", "probability", "rawPrediction"]
+    assert sorted(map(str, cut.transform(te).select(*cols).collect())) == sorted(map(str, short.transform(te).select(*cols).collect()))
+    assert MD.gbt_prefix(short, 3) is short
+
+
+def test_string_index_of_many_values(spark):
+    df = spark.range(5000).select((F.col("id") % 1700).cast("string").alias("v"), "id")
+    counts = {}
+    for r in df.collect():
+        counts[r.v] = counts.get(r.v, 0) + 1
+    want = {v: float(i) for i, (v, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0])))}
+    assert {r.v: r.v_idx for r in FT.string_index(df, "v").collect()} == want
+    nulls = spark.createDataFrame([("a",), (None,), ("a",), ("b",)], "v string")
+    assert sorted(r.v_idx for r in FT.string_index(nulls, "v", handle_invalid="keep").collect()) == [0.0, 0.0, 1.0, 2.0]
+    assert FT.string_index(nulls, "v", handle_invalid="skip").count() == 3
+    with pytest.raises(Exception, match="NULL in v"):
+        FT.string_index(nulls, "v").collect()
+
+
+@pytest.mark.parametrize("kind,want", [("percentile", [0, 2]), ("numTopFeatures", [0, 2, 3]), ("fpr", [0, 2]), ("fdr", [0, 2]), ("fwe", [0])])
+def test_selector_types(kind, want):
+    tests = [(0, 90.0, 4, 1e-9), (1, 0.1, 4, 0.9), (2, 11.0, 4, 0.015), (3, 3.0, 4, 0.5)]
+    assert FT.chosen_features(tests, kind, percentile=0.5, num_top_features=3) == want
+
+
+def test_binned_test_equals_spark_on_repeated_rows(spark):
+    rows = [([float(i % 5) / 5.0, float(i % 3 - 1)], float(i % 2), 1 + i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "x array<double>, label double, n int")
+    got = FT.chi2_binned(df, "x", "label", "n")
+    repeated = df.select(F.explode(F.array_repeat(F.struct("x", "label"), F.col("n"))).alias("r")).select("r.*")
+    bins = repeated.select(FT.F.transform("x", lambda v: F.least(F.floor((v + 1) / 2 * FT.CHI2_BUCKETS), F.lit(32)).cast("double")).alias("b"), "label")
+    from pyspark.ml.functions import array_to_vector
+    want = FT.chi2_test(bins.select(array_to_vector("b").alias("features"), "label")).orderBy("featureIndex").collect()
+    for (i, statistic, dof, p), r in zip(got, want, strict=True):
+        assert (i, dof) == (r.featureIndex, r.degreesOfFreedom)
+        assert statistic == pytest.approx(r.statistic) and p == pytest.approx(r.pValue)

@@ -10,7 +10,11 @@ SF = "/root/testdata/sf0.001"
 ORACLE = E.oracle_sql()
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE))
+# Full cascades of 285 boosting rounds: tools/oracle_compare.py runs them; tests/test_cleaning.py has short ones.
+SLOW = {"confidence_cascade", "job_cascade"}
+
+
+@pytest.mark.parametrize("name", sorted(n for n in ORACLE if n in QUERIES and n not in SLOW))
 def test_query_matches_oracle(spark, duck_small, name):
     sdf = E.queries()[name](spark, SF)
     srecs = [r.asDict() for r in sdf.collect()]
@@ -25,7 +29,4 @@ def test_query_matches_oracle(spark, duck_small, name):
 
 def test_every_query_has_oracle_or_is_a_model_fit():
     no_sql = set(QUERIES) - set(ORACLE)
-    assert no_sql <= {"gbt_classify", "rf_classify", "mlp_classify", "fm_classify", "weighted_gbt_classify",
-                      "pca_project", "noise_filter", "confidence_cascade", "prepare_chain", "chi2_fdr_select",
-                      "job_gbt_score", "job_rf_score", "job_mlp_score", "job_fm_score",
-                      "job_pca_weighted_gbt_score", "job_pca_preview", "job_feature_preparation"}
+    assert no_sql <= {"pca_project", "job_pca_preview"}

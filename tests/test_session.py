@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tiltml.session import checkpoint_dir, cut_lineage, materialize
+from tiltml.session import checkpoint_dir, cut_lineage, drop_scratch, materialize
 
 
 def test_checkpoint_dir_reads_the_session_setting(spark):
@@ -40,3 +40,13 @@ def test_cluster_session_without_checkpoint_dir_fails(monkeypatch, spark):
 
     with pytest.raises(RuntimeError):
         S.checkpoint_dir(FakeSpark())
+
+
+def test_drop_scratch_deletes_what_was_written(spark, monkeypatch):
+    import tiltml.session as S
+    monkeypatch.setattr(S, "_SCRATCH", [])
+    table = materialize(spark.range(5).toDF("x"), "dropped")
+    folder = table.inputFiles()[0].rsplit("/", 1)[0]
+    assert drop_scratch(spark) == 1 and drop_scratch(spark) == 0
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)

@@ -86,8 +86,30 @@ def test_csv_mlp_job(spark, tmp_dir):
     df = spark.range(200).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 3).alias("layers"),
                                  (F.col("id") % 2).cast("double").alias("media"))
     sink_delimited(df, tmp_dir + "/csv")
-    model = J.csv_mlp_job(spark, {"dataset": tmp_dir + "/csv", "params": {"layers": [1, 3, 2], "iter": 5, "seed": 1}})
-    assert model.numFeatures == 1
+    out = J.csv_mlp_job(spark, {"dataset": tmp_dir + "/csv", "params": {"layers": [1, 3, 2], "iter": 5, "seed": 1}})
+    assert out.columns == ["label", "prediction"] and out.count() == 200
+    typed = J.csv_mlp_job(spark, {"dataset": tmp_dir + "/csv", "schema": "x double, layers int, media double",
+                                  "params": {"layers": [1, 3, 2], "iter": 5, "seed": 1}})
+    assert sorted(map(tuple, typed.collect())) == sorted(map(tuple, out.collect()))
+
+
+def test_cast_double_leaves_keys(spark, tables):
+    raw = spark.read.parquet(tables["dataset"]).columns
+    keys = [k for k in FX.LINEITEM_KEYS if k in raw]
+    train, _ = prepare_data(spark, tables, cast_double=True, keep=keys)
+    kinds = dict(spark.read.parquet(tables["dataset"]).dtypes)
+    assert {k: t for k, t in train.dtypes if k in keys} == {k: kinds[k] for k in keys}
+
+
+def test_preview_and_schema(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from tiltml.sources.sinks import preview, schema_table
+    df = spark.createDataFrame([(2, "x" * 30, Vectors.dense([1.0])), (1, None, None)], ["k", "t", "v"])
+    rows = preview(df, 1, truncate=True, order_by=["k"]).collect()
+    assert [tuple(r) for r in rows] == [("1", None, None)]
+    assert preview(df, 2, truncate=True, order_by=["k"]).collect()[1].t == "x" * 17 + "..."
+    assert [r.name for r in schema_table(df).orderBy("position").collect()] == ["k", "t", "v"]
 
 
 def test_flagship_entry(spark):

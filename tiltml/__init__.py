@@ -8,7 +8,7 @@ Layout
                         evaluation, feature transforms, models, cleaning composites)
 - ``tiltml.plans``      end-to-end batch jobs and the query catalogue used by
                         ``__spark_entry__``
-- ``tiltml.streaming``  micro-batch scoring of a fitted model (sink side only)
+- ``tiltml.llm``        operators of a training-data pipeline (optional: nothing else imports it)
 """
 
 from tiltml.session import get_spark, checkpoint_dir  # noqa: F401

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark import SparkContext
 from pyspark.ml.classification import (FMClassifier, GBTClassificationModel, GBTClassifier,
                                        MultilayerPerceptronClassifier, NaiveBayes,
                                        RandomForestClassifier)
@@ -172,7 +173,8 @@ def gbt_prefix(model: GBTClassificationModel, rounds: int) -> GBTClassificationM
     if rounds >= model.getNumTrees:
         return model
     old = model._java_obj
-    gateway, jvm = model._sc._gateway, model._sc._jvm
+    sc = SparkContext.getOrCreate()
+    gateway, jvm = sc._gateway, sc._jvm
     trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
     weights = gateway.new_array(jvm.double, rounds)
     all_trees, all_weights = old.trees(), model.treeWeights

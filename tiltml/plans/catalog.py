@@ -10,7 +10,6 @@ and machines: their queries run the full fit and return what SQL can check of it
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
@@ -27,7 +26,7 @@ from tiltml.operators import filters as FL
 from tiltml.operators import models as MD
 from tiltml.operators import sampling as S
 from tiltml.plans import jobs as J
-from tiltml.session import checkpoint_dir
+from tiltml.session import scratch_path
 from tiltml.sources import fixtures as FX
 from tiltml.sources.readers import assemble_features, prepare_data, scan_delimited
 from tiltml.sources.sinks import preview, schema_table, sink_delimited, sink_parquet
@@ -72,7 +71,7 @@ def sig_round(x, digits: int = SIG_DIGITS):
 
 def _scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's shared checkpoint location."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/tiltml-tables/{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, name)
 
 
 def _u(seed: int = SEED, salt: str | None = None):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,14 +74,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Folders that this process made below the shared folder, to be dropped by drop_scratch.
+_SCRATCH: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared checkpoint folder."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tiltml-tables/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Deletes every scratch table that this process has written so far; returns how many were there.
+    Call it when no DataFrame made before is needed any more (the end of a job)."""
+    jvm = spark.sparkContext._jvm
+    found = 0
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        found += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return found
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
     One pass computes the data (a reliable ``checkpoint()`` computes it twice
     unless cached); the result has no lineage to recompute after an executor
-    loss, and caches it depended on can be released.
+    loss. The table stays until :func:`drop_scratch`.
     """
-    import uuid
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tiltml-tables/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -32,7 +32,7 @@ def preview(df: DataFrame, n: int = 20, truncate: bool = False, order_by: Sequen
     """
     rows = (df.orderBy(*order_by) if order_by else df).limit(n)
     text = {c: F.col(f"`{c}`").cast("string") for c in df.columns if not isinstance(df.schema[c].dataType, UserDefinedType)}
-    text |= {c: vector_to_array(F.col(f"`{c}`")).cast("string") for c in df.columns if c not in text}
+    text |= {c: F.when(F.col(f"`{c}`").isNotNull(), vector_to_array(F.col(f"`{c}`")).cast("string")) for c in df.columns if c not in text}
     if truncate:
         text = {c: F.when(F.length(t) > 20, F.concat(F.substring(t, 1, 17), F.lit("..."))).otherwise(t) for c, t in text.items()}
     return rows.select(*[text[c].alias(c) for c in df.columns])
