@@ -29,4 +29,4 @@ def test_query_matches_oracle(spark, duck_small, name):
 
 def test_every_query_has_oracle_or_is_a_model_fit():
     no_sql = set(QUERIES) - set(ORACLE)
-    assert no_sql <= {"pca_project", "job_pca_preview"}
+    assert no_sql <= {"pca_project"}

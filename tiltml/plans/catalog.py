@@ -366,6 +366,21 @@ def q_pca_project(spark, d):
     return out(ptr, "train").unionByName(out(pte, "test"))
 
 
+PCA_PAIR = ["l_discount", "l_tax"]
+
+
+def _unsigned(x: DataFrame, part: str) -> DataFrame:
+    """Projections on two components without their free signs."""
+    cols = _vec_cols(x, "features", ["pc0", "pc1"])
+    return x.select(*KEYS, *cols, "label").select(*KEYS, *[F.round(F.abs(c), 6).alias(c) for c in ("pc0", "pc1")], "label", F.lit(part).alias("part"))
+
+
+def q_pca_project_pair(spark, d):
+    ml = assemble_features(FX.ml_binary(spark, d), PCA_PAIR, "class", keep=KEYS)
+    train, test = FT.pca_project(*_split_train_test(ml), 2)
+    return _unsigned(train, "train").unionByName(_unsigned(test, "test"))
+
+
 # --------------------------------------------------------------------------- classifiers
 
 def _ml_split(spark, d, shift: float | None = None):
@@ -621,11 +636,13 @@ def q_job_pca_weighted_gbt_score(spark, d):
 
 
 def q_job_pca_preview(spark, d):
-    tr, te = J.pca_preview_job(spark, dict(_job_tables(spark, d), params={"k": PCA_K}))
-    names = [f"pc{i}" for i in range(PCA_K)]
-    out = lambda x, part: x.select(*KEYS, *_vec_cols(x, "features", names), "label",
-                                   F.lit(part).alias("part"))
-    return out(tr, "train").unionByName(out(te, "test"))
+    pair = FX.ml_binary(spark, d).select(*KEYS, *PCA_PAIR, "class")
+    paths = {}
+    for name, part in zip(("dataset", "test"), _split_train_test(pair)):
+        paths[name] = _scratch(spark, f"pca-{name}")
+        sink_parquet(part, paths[name])
+    train, test = J.pca_preview_job(spark, dict(paths, keys=KEYS, params={"k": 2}))
+    return _unsigned(train, "train").unionByName(_unsigned(test, "test"))
 
 
 def q_job_feature_preparation(spark, d):

@@ -251,6 +251,18 @@ def prepare_chain_sql() -> str:
             f"SELECT {K}, {out}, label, 'train' AS part FROM rep, m, sel UNION ALL SELECT {K}, {out}, label, 'test' AS part FROM te, m, sel")
 
 
+def pca_pair_sql(first: int | None = None) -> str:
+    """The two components of two features in closed form, without their signs; of the first rows by key, if given."""
+    x, y = Q.PCA_PAIR
+    out = (f"SELECT {K}, round(abs(cos(th) * {x} + sin(th) * {y}), 6) AS pc0, round(abs(cos(th) * {y} - sin(th) * {x}), 6) AS pc1, "
+           "class AS label, '{p}' AS part FROM s, a WHERE {tr}tr")
+    if first is not None:
+        out += f" ORDER BY {K} LIMIT {first}"
+    parts = [f"SELECT * FROM ({out.format(p=p, tr=tr)})" for p, tr in (("train", ""), ("test", "NOT "))]
+    return (f"{B}, s AS (SELECT *, {u(Q.SPLIT_SEED)} < 0.7 AS tr FROM b), "
+            f"a AS (SELECT 0.5 * atan2(2.0 * covar_samp({x}, {y}), var_samp({x}) - var_samp({y})) AS th FROM s WHERE tr) {' UNION ALL '.join(parts)}")
+
+
 def job_score_sql(positive: float, more: str = "") -> str:
     return (f"{B}, s AS (SELECT *, {u(Q.SPLIT_SEED)} < 0.7 AS tr FROM b) SELECT count_if(NOT tr AND class = {dbl(positive)}) AS n_positive, "
             f"count_if(NOT tr AND class = {dbl(1.0 - positive)}) AS n_negative, TRUE AS passed{more} FROM s")
@@ -345,6 +357,8 @@ def build() -> dict[str, str]:
     o["confidence_cascade"] = f"{B} SELECT {K}, class AS label, TRUE AS once, TRUE AS ok FROM b WHERE {u(Q.FOLD_SEED)} >= 0.3"
     o["job_cascade"] = o["confidence_cascade"]
     o["prepare_chain"] = prepare_chain_sql()
+    o["pca_project_pair"] = pca_pair_sql()
+    o["job_pca_preview"] = pca_pair_sql(20)
     o["job_feature_preparation"] = o["prepare_chain"]
     o["chi2_fdr_select"] = chi2_selection_sql("rk <= last")
     o["chi2_percentile_select"] = chi2_selection_sql(f"rk <= {len(FEATS) // 2}")
