@@ -37,6 +37,14 @@ def maxabs_scale(train: DataFrame, test: DataFrame | None = None, input_col: str
     return train_scaled, test_model.transform(test)
 
 
+def maxabs_scale_columns(train: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with each column times 1 / max |x| over ``train`` (all-zero stays 0): one aggregate and
+    one projection in generated code. Scale before assembling a vector where the columns are at hand."""
+    maxima = train.agg(*[F.max(F.abs(F.col(f"`{c}`"))).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    factors = [1.0 / m if m else 1.0 for m in maxima]
+    return df.withColumns({c: F.col(f"`{c}`") * F.lit(f) for c, f in zip(columns, factors, strict=True)})
+
+
 def chi2_test(df: DataFrame, features_col: str = "features", label_col: str = "label") -> DataFrame:
     """Per-feature Pearson chi-square against the label:
     ``(featureIndex, pValue, degreesOfFreedom, statistic)``.

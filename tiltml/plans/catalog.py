@@ -340,6 +340,12 @@ def q_assemble_features(spark, d):
 
 
 def q_maxabs_scale(spark, d):
+    b = FX.ml_binary(spark, d)
+    scaled = FT.maxabs_scale_columns(_split_train_test(b)[0], b, FEATS)
+    return scaled.select(*KEYS, *[(F.col(c) + F.lit(0.0)).alias(c) for c in FEATS], F.col("class").alias("label"))
+
+
+def q_maxabs_scale_vectors(spark, d):
     ml = assemble_features(FX.ml_binary(spark, d), FEATS, "class", keep=KEYS)
     train, _ = _split_train_test(ml)
     _, scaled = FT.maxabs_scale(train, ml)

@@ -333,6 +333,7 @@ def build() -> dict[str, str]:
                          + f" FROM b WHERE {u(Q.SPLIT_SEED)} < 0.7) SELECT {K}, "
                          + ", ".join(f"{vec(f'{c} * (CASE WHEN m_{c} = 0 THEN 1.0 ELSE 1.0 / m_{c} END)')} AS {c}" for c in FEATS)
                          + ", class AS label FROM b, m")
+    o["maxabs_scale_vectors"] = o["maxabs_scale"]
     o["chi2_statistic"] = chi2_sql()
     o["nb_classify"] = nb_sql()
     o["synthetic_bernoulli"] = synthetic_sql()
