@@ -100,10 +100,13 @@ def drawn_strings(seed: int = 20_24, each: int = 500, length: int = 32) -> list[
     return ["".join(draw.choices(a, k=length)) for a in (ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62], "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(each)]
 
 
-def fit(random_counts: np.ndarray, word_counts: np.ndarray, alpha: float = 0.5, min_ratio: float = 0.75) -> MarkovPair:
+def fit(random_counts: np.ndarray, word_counts: np.ndarray, backoff: float = 10.0, min_ratio: float = 0.75) -> MarkovPair:
+    """Transition probabilities that back off to how often a character follows at all: after a character that
+    ordinary words hardly hold, their model doesn't turn flat."""
     def log_rows(counts):
-        c = counts.reshape(N_CODES, N_CODES) + alpha
-        return np.log(c / c.sum(axis=1, keepdims=True))
+        c = counts.reshape(N_CODES, N_CODES)
+        follows = (c.sum(axis=0) + 0.5) / (c.sum() + 0.5 * N_CODES)
+        return np.log((c + backoff * follows) / (c.sum(axis=1, keepdims=True) + backoff))
     return MarkovPair(log_rows(random_counts) - log_rows(word_counts), min_ratio)
 
 

@@ -82,8 +82,8 @@ class ZipDirectory:
         tail_at = max(0, size - 65_557 - 76)
         tail = read(tail_at, size - tail_at)
         at = tail.rfind(b"PK\x05\x06")
-        while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
-            at = tail.rfind(b"PK\x05\x06", 0, at)
+        while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
+            at = tail.rfind(b"PK\x05\x06", 0, at)  # a comment may look like an end
         if at < 0:
             raise ValueError("no end of central directory")
         entries, length, start = struct.unpack_from("<HII", tail, at + 10)
