@@ -110,12 +110,19 @@ def fit(random_counts: np.ndarray, word_counts: np.ndarray, backoff: float = 10.
     return MarkovPair(log_rows(random_counts) - log_rows(word_counts), min_ratio)
 
 
+def training_texts(docs: DataFrame, text: str, sample_rows: int) -> DataFrame:
+    """About ``sample_rows`` distinct texts, however often one is repeated."""
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text")).where("text is not null").withColumn("h", F.xxhash64("text"))
+    n = rows.agg(F.count_distinct("h")).first()[0]
+    if n > sample_rows:
+        rows = rows.where(F.shiftrightunsigned("h", 1) < (sample_rows << 63) // n)
+    return rows.dropDuplicates(["h"]).select("text")
+
+
 def train(docs: DataFrame, text: str = "text", sample_rows: int = 20_000, min_ratio: float = 0.75) -> MarkovPair:
-    """Fits on about ``sample_rows`` texts, chosen by a hash of the text (all, if there are fewer).
+    """Fits on about ``sample_rows`` distinct texts, chosen by a hash of the text (all, if there are fewer).
     The driver receives one transition matrix for each label."""
-    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
-    share = min(1.0, sample_rows / max(1, rows.count()))
-    rows = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))))
+    rows = training_texts(docs, text, sample_rows)
 
     def count(batches):
         counts = np.zeros((2, N_CODES * N_CODES), np.int64)
