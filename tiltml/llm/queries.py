@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tiltml.llm.conversation_repair import op11_conversation_repair
 from tiltml.llm.decontaminate import OP2_SQL, op2_decontaminate
 from tiltml.llm.language_id import op1_language_id
 from tiltml.llm.passages import op9_passages
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_passages": op9_passages,
     "op10_piece_sampling": op10_piece_sampling,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLE = {"op2_decontaminate": OP2_SQL, "op3_top_k": OP3_SQL, "op7_warc_zip": OP7_SQL}
