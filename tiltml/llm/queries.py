@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from tiltml.llm.conversation_repair import op11_conversation_repair
 from tiltml.llm.decontaminate import OP2_SQL, op2_decontaminate
+from tiltml.llm.hard_negatives import OP12_SQL, op12_hard_negatives
+from tiltml.llm.kmeans_tree import op13_nearest
 from tiltml.llm.language_id import op1_language_id
 from tiltml.llm.passages import op9_passages
 from tiltml.llm.piece_sampling import op10_piece_sampling
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_passages": op9_passages,
     "op10_piece_sampling": op10_piece_sampling,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_nearest": op13_nearest,
 }
 
-ORACLE = {"op2_decontaminate": OP2_SQL, "op3_top_k": OP3_SQL, "op7_warc_zip": OP7_SQL}
+ORACLE = {"op2_decontaminate": OP2_SQL, "op3_top_k": OP3_SQL, "op7_warc_zip": OP7_SQL, "op12_hard_negatives": OP12_SQL}
