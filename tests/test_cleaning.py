@@ -33,14 +33,21 @@ def test_confidence_cascade_labels_equal_label(ml):
     assert r is None or list(r.features) == [r.label] * 5
 
 
-def test_cascade_by_prefixes_equals_single_fits(ml):
+def test_cascade_by_stages_equals_single_fits(ml):
+    """Margins of the stages of the longest runs against separate fits of every configuration."""
     base = {"depth": 3, "stepSize": 0.4, "seed": 5}
     configs = [base | {"maxIter": 2}, base | {"maxIter": 5}, base | {"maxIter": 3, "depth": 2}, base | {"maxIter": 4}]
     from tiltml.operators.models import fit, gbt_classifier
+    from tiltml.operators.tree_tables import staged_margins
     train = ml.filter("l_linenumber > 2")
-    for c, model in zip(configs, X.fit_prefixes(configs, train, "features", "label", 2)):
-        single = fit(gbt_classifier(c), train)
-        assert model.treeWeights == single.treeWeights and model.toDebugString.split("\n")[1:] == single.toDebugString.split("\n")[1:]
+    models, names = X.fit_longest(configs, train, "features", "label", 2)
+    assert len(models) == 2
+    for c, name in zip(configs, names, strict=True):
+        single = fit(gbt_classifier(c), train).transform(ml)
+        both = single.withColumn("margin", F.get(staged_margins(models[name], [c["maxIter"]]), 0))
+        raw = F.get(__import__("pyspark.ml.functions", fromlist=["x"]).vector_to_array("rawPrediction"), 1)
+        assert both.filter(F.abs(F.col("margin") - raw) > 1e-12).count() == 0
+        assert both.filter((F.col("margin") > 0) != (F.col("prediction") == 1.0)).count() == 0
 
 
 def test_synthetic_bernoulli_rate(spark):

@@ -113,16 +113,40 @@ def test_training_rows_hold_needed_columns_only(split):
     assert MD.training_rows(MD.weighted_gbt_classifier({}), weighted, 3).columns == ["features", "label", "w"]
 
 
-def test_prefix_of_a_boosting_run_is_the_shorter_run(split):
-    tr, te = split
-    params = {"depth": 3, "stepSize": 0.4, "seed": 7}
-    long = MD.fit(MD.gbt_classifier(params | {"maxIter": 6}), tr)
-    short = MD.fit(MD.gbt_classifier(params | {"maxIter": 3}), tr)
-    cut = MD.gbt_prefix(long, 3)
-    assert cut.treeWeights == short.treeWeights
-    cols = [*KEYS, "prediction", "probability", "rawPrediction"]
-    assert sorted(map(str, cut.transform(te).select(*cols).collect())) == sorted(map(str, short.transform(te).select(*cols).collect()))
-    assert MD.gbt_prefix(short, 3) is short
+def test_equal_rows_are_dealt_over_the_partitions(spark):
+    """20,000 rows of two kinds without keys: no partition gets more than a fair share and some runs."""
+    df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.0).alias("label")).select(F.array("label").alias("f"), "label")
+    from pyspark.ml.functions import array_to_vector
+    rows = df.select(array_to_vector("f").alias("features"), "label")
+    dealt = MD.training_rows(MD.rf_classifier({}), rows, 8)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) == 8 and max(sizes) <= 2 * 20_000 / 8
+    again = MD.training_rows(MD.rf_classifier({}), rows.repartition(3, "label"), 8)
+    place = lambda x: sorted(tuple(r) for r in x.groupBy(F.spark_partition_id().alias("p"), "label").count().collect())
+    assert place(again) == place(dealt)
+    assert dealt.groupBy("label").count().select("count").distinct().collect()[0][0] == 10_000
+
+
+def test_held_rows_are_released_after_a_fit(spark, split):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    MD.fit(MD.gbt_classifier({"maxIter": 2, "depth": 2}), split[0])
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+@pytest.mark.parametrize("make,least", [(lambda: MD.gbt_classifier({"maxIter": 4, "depth": 3, "stepsize": 0.4, "seed": 3}), 4),
+                                        (lambda: MD.rf_classifier({"nTrees": 3, "maxDepth": 3, "seed": 3}), 3)])
+def test_tables_of_trees_score_like_the_model(split, make, least):
+    from pyspark.ml.functions import vector_to_array
+
+    from tiltml.operators import tree_tables as TT
+    model = MD.fit(make(), split[0])
+    nodes = TT.tree_nodes(model).cache()
+    assert nodes.select("tree").distinct().count() == least
+    root = TT.numbered(nodes).filter("node = 1")
+    assert root.count() == least and root.filter("id != 0").count() == 0
+    if "GBT" in type(model).__name__:
+        got = model.transform(split[1]).withColumn("m", F.get(TT.staged_margins(model, [least]), 0))
+        assert got.filter(F.abs(F.col("m") - F.get(vector_to_array("rawPrediction"), 1)) > 1e-12).count() == 0
 
 
 def test_string_index_of_many_values(spark):

@@ -126,21 +126,52 @@ def test_seed_controls_every_draw(mlb, op):
     assert _rows(a) != _rows(c)
 
 
-@pytest.mark.parametrize("fraction", [0.0, 1e-6, 0.25, 1.0, 6.0, 40.0, 3000.0])
-def test_poisson_copies_follow_the_distribution(spark, fraction):
+@pytest.mark.parametrize("fraction", [0.0, 1e-6, 0.25, 1.0, 6.0, 8.0])
+def test_one_draw_follows_the_distribution(spark, fraction):
     """Counts of copies against the Poisson distribution, at draws on an even grid."""
     from math import exp, lgamma, log
     n = 20_000
     u = (F.col("id") + F.lit(0.5)) / n
-    copies, largest = H.poisson_copies(F.col("u"), fraction)
-    rows = spark.range(n).select(u.alias("u")).select(copies.alias("c")).groupBy("c").count().collect()
+    rows = spark.range(n).select(u.alias("u")).select(H.poisson_copies(F.col("u"), fraction).alias("c")).groupBy("c").count().collect()
     assert sum(r["c"] * r["count"] for r in rows) == pytest.approx(fraction * n, rel=2e-3, abs=2)
-    assert max(r["c"] for r in rows) <= largest
+    assert max(r["c"] for r in rows) <= len(H.poisson_table(fraction))
     for r in rows:
         p = exp(-fraction + r["c"] * log(fraction) - lgamma(r["c"] + 1)) if fraction else 1.0
         assert abs(r["count"] - n * p) <= 1.01
 
 
+@pytest.mark.parametrize("fraction,rows", [(9.0, 20_000), (40.0, 20_000), (2000.0, 2000), (1e6, 3)])
+def test_sums_of_draws_have_the_mean_and_variance(spark, fraction, rows):
+    df = spark.range(rows).withColumnRenamed("id", "k")
+    copies, largest = S.copies_of(df, fraction, 3, ["k"])
+    got = df.select(copies.alias("c")).agg(F.avg("c").alias("m"), F.var_pop("c").alias("v"), F.max("c").alias("top")).first()
+    assert abs(got.m - fraction) < 5 * (fraction / rows) ** 0.5 and got.top <= largest
+    if rows > 100:
+        assert got.v == pytest.approx(fraction, rel=5 * (2 / rows) ** 0.5)
+
+
+def test_poisson_tables_are_short_at_any_fraction():
+    for fraction in (1e-9, 0.3, 8.0, 8.0001, 50.0, 1e6, 3e6, 1e9, 1e15):
+        draws, mean = H.poisson_parts(fraction)
+        assert draws * mean == pytest.approx(fraction) and len(H.poisson_table(mean)) <= 40
+    with pytest.raises(ValueError):
+        H.poisson_table(8.5)
+
+
+def test_plan_does_not_grow_with_the_fraction(spark):
+    df = spark.range(10).withColumnRenamed("id", "k")
+    size = lambda f: len(df.select(S.copies_of(df, f, 3, ["k"])[0])._jdf.queryExecution().optimizedPlan().toString())
+    assert size(1e9) < size(9.0) * 1.5
+
+
+def test_oversampling_a_tiny_class_against_a_huge_one(spark):
+    """Two rows get about 150,000 copies each, spread over tasks."""
+    df = spark.range(300_002).select(F.col("id").alias("k"), F.when(F.col("id") < 2, 1.0).otherwise(0.0).alias("label"))
+    out = S.oversample(df, 1.0, "label", 5, ["k"]).filter("label = 1")
+    n = {r.k: r["count"] for r in out.groupBy("k").count().collect()}
+    assert set(n) == {0, 1} and all(abs(x - 150_000) < 5 * 150_000 ** 0.5 for x in n.values())
+
+
 def test_with_replacement_loses_and_repeats_rows(mlb):
     under = S.undersample(mlb, 1.0, "class", S.SAMPLING_SEED, KEYS).filter("class = 0")
     assert under.count() > under.select(*KEYS).distinct().count()

@@ -130,46 +130,98 @@ def sql_hash_u_block(keys: Sequence[str], seed: int, block: str, slot: int) -> s
 # The draws have 32 bits: probabilities under half a step don't show.
 _STEP = 2.0**-33
 
-
-def poisson_thresholds(fraction: float) -> tuple[int, list[float]]:
-    """``(base, cdf(base), cdf(base + 1), ...)`` of a Poisson variable with mean ``fraction``: the copies
-    of a draw u are ``base`` plus the number of values up to u."""
-    if fraction <= 0:
-        return 0, []
-    base, out, total, k = 0, [], 0.0, 0
-    while True:
-        total += math.exp(-fraction + k * math.log(fraction) - math.lgamma(k + 1))
-        if total >= 1.0 - _STEP or (k > fraction and out and total <= out[-1]):
-            return base, out
-        if total < _STEP:
-            base = k + 1
-        else:
-            out.append(total)
-        k += 1
+# The largest mean that one draw stands for. A count of a larger mean is the sum of the counts of several
+# draws with equal shares of it, so the table below has some 35 values at most.
+POISSON_MEAN = 8.0
+
+
+def poisson_parts(fraction: float) -> tuple[int, float]:
+    """Number of draws of a Poisson count with mean ``fraction``, and the mean of each."""
+    draws = max(1, math.ceil(fraction / POISSON_MEAN))
+    return draws, fraction / draws
+
+
+def poisson_table(mean: float) -> list[float]:
+    """cdf(0), cdf(1), ... of a Poisson variable with a mean up to ``POISSON_MEAN``: the count of a draw u
+    is the number of values up to u."""
+    if not 0 <= mean <= POISSON_MEAN:
+        raise ValueError(f"one draw stands for a mean of 0 to {POISSON_MEAN}, got {mean}")
+    out, total = [], 0.0
+    while mean > 0:
+        k = len(out)
+        total += math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1))
+        if total >= 1.0 - _STEP:
+            break
+        out.append(total)
+    return out
 
 
-def poisson_copies(u: Column, fraction: float) -> tuple[Column, int]:
-    """Copies of a row for sampling *with replacement* at ``fraction``, and their largest possible
-    number: a Poisson count by inverse distribution from the row's draw, as the
-    native sampler draws it (rows may be lost, rows may come several times)."""
-    base, table = poisson_thresholds(fraction)
+def poisson_copies(u: Column, mean: float) -> Column:
+    """Copies that one draw gives: a Poisson count by inverse distribution, as the native sampler
+    draws it (rows may be lost, rows may come several times). Small counts come first in the CASE."""
+    table = poisson_table(mean)
     if not table:
-        return F.lit(base), base
-    more = F.size(F.filter(F.array(*[F.lit(t) for t in table]), lambda t: t <= u))
-    return F.lit(base) + more, base + len(table)
+        return F.lit(0)
+    out = F.when(u < F.lit(table[0]), F.lit(0))
+    for k, t in enumerate(table[1:], 1):
+        out = out.when(u < F.lit(t), F.lit(k))
+    return out.otherwise(F.lit(len(table)))
 
 
-def sql_poisson_ctes(fraction_from: str, values: int = 200) -> str:
-    """DuckDB CTE ``pt`` with the list ``cdf`` of :func:`poisson_thresholds`; ``fraction_from`` is a CTE with
-    one row and a column ``frac`` (under 20, so that the base is 0)."""
-    term = "exp(-frac + k * ln(frac) - lgamma(k + 1))"
-    return (f"pk AS (SELECT k, sum({term}) OVER (ORDER BY k) AS c FROM (SELECT frac FROM {fraction_from} WHERE frac > 0), range({values}) AS r(k)), "
-            f"pt AS (SELECT coalesce(list(c ORDER BY k) FILTER (c < 1.0 - {_STEP!r}), []) AS cdf FROM pk)")
+def _bound(x: Column, use) -> Column:
+    """``use(x)`` with ``x`` computed once, however often ``use`` refers to it and wherever the optimizer moves it."""
+    return F.get(F.transform(F.array(x), use), 0)
 
 
-def sql_poisson_copies(u_sql: str) -> str:
-    """DuckDB twin of :func:`poisson_copies`, with ``pt`` in the FROM clause."""
-    return f"len(list_filter(cdf, lambda t: t <= {u_sql}))"
+def poisson_count(u: Column, key: Column, fraction: float) -> tuple[Column, int]:
+    """Copies of a row for sampling *with replacement* at ``fraction``, and their largest possible number.
+
+    Up to ``POISSON_MEAN`` the row's draw ``u`` decides. Beyond, the draws come four a hash of the row's ``key`` text and a
+    block number, and their counts are added up in two nested steps, so that neither the plan nor a row's
+    memory grows with the fraction; the work of a row does, as its copies do.
+    """
+    draws, mean = poisson_parts(fraction)
+    largest = draws * len(poisson_table(mean))
+    if draws == 1:
+        return _bound(u, lambda x: poisson_copies(x, mean)), largest
+    blocks = -(-draws // DRAWS_PER_DIGEST)
+    inner = math.isqrt(blocks - 1) + 1
+    zero = F.lit(0).cast("long")
+    plus = lambda a, x: a + x
+
+    def block(k: Column, b: Column) -> Column:
+        places = F.sequence(F.lit(0), F.least(F.lit(DRAWS_PER_DIGEST - 1), F.lit(draws - 1) - b * DRAWS_PER_DIGEST).cast("int"))
+        if _draw_hash() == "xxhash64":
+            us = F.transform(places, lambda j: F.shiftrightunsigned(F.xxhash64(k, b, j), 11).cast("double") / F.lit(TWO_POW_53))
+        else:
+            digest = F.md5(F.concat_ws("|", k, F.lit("poisson"), b.cast("string")))
+            us = _bound(digest, lambda d: F.transform(places, lambda j: F.conv(F.substr(d, j * 8 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(TWO_POW_32)))
+        return F.aggregate(F.transform(us, lambda x: poisson_copies(x, mean).cast("long")), zero, plus)
+
+    def row(k: Column) -> Column:
+        def some(o: Column) -> Column:
+            last = F.least(F.lit(inner - 1).cast("long"), F.lit(blocks - 1) - o * inner)
+            return F.aggregate(F.sequence(zero, last), zero, lambda a, i: a + block(k, o * inner + i))
+        return F.aggregate(F.sequence(zero, F.lit((blocks - 1) // inner).cast("long")), zero, lambda a, o: a + some(o))
+
+    return _bound(key, row), largest
+
+
+def sql_poisson_ctes(fraction_from: str, tag: str = "", values: int = 60) -> str:
+    """DuckDB CTE ``pt`` (with ``tag`` behind its name) with ``draws`` and the list ``cdf`` of :func:`poisson_table`;
+    ``fraction_from`` is a CTE with one row and a column ``frac``."""
+    term = "exp(-mean + k * ln(mean) - lgamma(k + 1))"
+    return (f"pd{tag} AS (SELECT *, frac / draws AS mean FROM (SELECT frac, greatest(1, ceil(frac / {POISSON_MEAN!r}))::BIGINT AS draws FROM {fraction_from})), "
+            f"pk{tag} AS (SELECT k, sum({term}) OVER (ORDER BY k) AS c FROM (SELECT mean FROM pd{tag} WHERE mean > 0), range({values}) AS r(k)), "
+            f"pt{tag} AS (SELECT (SELECT draws FROM pd{tag}) AS draws, coalesce(list(c ORDER BY k) FILTER (c < 1.0 - {_STEP!r}), []) AS cdf FROM pk{tag})")
+
+
+def sql_poisson_copies(keys: Sequence[str], seed: int, salt: str | None = None) -> str:
+    """DuckDB twin of :func:`poisson_count` with the draws of :func:`hash_u`, with ``pt`` in the FROM clause."""
+    key = ", ".join([f"'{seed}'", *_sql_keys(keys), *([f"'{salt}'"] if salt is not None else [])])
+    draw = f"(('0x' || substr(md5(concat_ws('|', {key}, 'poisson', j // {DRAWS_PER_DIGEST})), 1 + 8 * (j % {DRAWS_PER_DIGEST}), 8))::BIGINT / {TWO_POW_32})"
+    many = f"list_sum(list_transform(range(0, draws), lambda j: len(list_filter(cdf, lambda t: t <= {draw}))))"
+    return f"CASE WHEN draws = 1 THEN len(list_filter(cdf, lambda t: t <= {sql_hash_u(keys, seed, salt)})) ELSE {many} END::BIGINT"
 
 
 def systematic_copies(u: Column, fraction: float) -> tuple[Column, int]:

@@ -6,16 +6,17 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiltml.functions.hashing import (DRAWS_PER_DIGEST, _draw_hash, hash_u_block,
                                       hash_u_block_from_key, key_text)
 from tiltml.operators.features import CHI2_BUCKETS, inverse_maxima, scaled_array, select_binned
 from tiltml.operators.filters import confident_predicate, noise_retention_predicate
-from tiltml.operators.models import fit_concurrently, gbt_classifier, gbt_prefix, rf_classifier
+from tiltml.operators.models import deal, fit_dealt, gbt_classifier, held, rf_classifier
 from tiltml.operators.sampling import (SAMPLING_SEED, SPLIT_SEED_FOLDS, kfold_assign,
                                        kfold_complement, oversample_copies, random_split, repeat_rows, union_many)
+from tiltml.operators.tree_tables import staged_margins
 from tiltml.sources.sinks import spread
 
 # The cascade's five boosting configurations (cycled over 30 rounds),
@@ -39,7 +40,7 @@ SYNTHETIC_P_ONE = 0.7
 def noise_filter(df: DataFrame, k: int = NOISE_FOLDS, seed: int = SPLIT_SEED_FOLDS,
                  keys: Sequence[str] | None = None, num_trees: int = NOISE_TREES,
                  model_seed: int = 42, features_col: str = "features", label_col: str = "label",
-                 keep: Sequence[str] = (), parallelism: int = 4, materialize: bool = False) -> DataFrame:
+                 keep: Sequence[str] = (), parallelism: int = 4, materialize: bool = False, estimator=None) -> DataFrame:
     """Cross-validated majority noise filter.
 
     Rows get a fold in ``0..k-1``; for each fold a random forest is fit on
@@ -47,14 +48,16 @@ def noise_filter(df: DataFrame, k: int = NOISE_FOLDS, seed: int = SPLIT_SEED_FOL
     it is minority (label 1) or a correctly predicted majority row. Every
     minority row survives; the output is a subset of the input.
 
-    One fold column replaces k splits + unions of k-1 parts; each fit reads
-    the rows of the other folds, and the k fits are submitted concurrently
-    (``parallelism``). With ``materialize`` the result is written to the shared
-    checkpoint folder, so that later actions don't score the rows again.
+    One fold column replaces k splits + unions of k-1 parts. The training rows are dealt
+    once, with their fold, and held while the k fits read the rows of the other folds;
+    the fits are submitted concurrently (``parallelism``). With ``materialize`` the result is written
+    to the shared checkpoint folder, so that later actions don't score the rows again.
+    ``estimator`` replaces the random forest of ``num_trees``.
     """
     folded = kfold_assign(df.select(*keep, features_col, label_col), k, seed, keys)
-    est = rf_classifier({"nTrees": num_trees, "seed": model_seed}, features_col, label_col)
-    models = fit_concurrently([(est, kfold_complement(folded, i)) for i in range(k)], parallelism)
+    est = estimator or rf_classifier({"nTrees": num_trees, "seed": model_seed}, features_col, label_col)
+    with held(deal(folded, [features_col, label_col, "fold"])) as rows:
+        models = fit_dealt([(est, kfold_complement(rows, i).drop("fold")) for i in range(k)], parallelism)
     parts = []
     for i, model in enumerate(models):
         scored = model.transform(folded.filter(F.col("fold") == F.lit(i)))
@@ -84,43 +87,49 @@ def confidence_cascade(df: DataFrame, rounds: int = CASCADE_ROUNDS,
     A configuration seen before is the same fit (same data, parameters and
     seed), and its survivors already passed that model, so a repeated round
     re-emits that round's prediction column without refitting or rescoring.
-    Configurations that differ in their number of rounds only are prefixes of
-    the longest: 3 fits and 5 scorings for the 30 rounds, with identical output.
+    Configurations that differ in their number of rounds only are stages of
+    the longest: 3 fits on rows dealt and held once, and 3 walks over 285 trees,
+    for the 30 rounds of the original configurations.
     """
     train, test = random_split(df.select(*keep, features_col, label_col), split, seed, keys)
     m = len(configs)
     distinct = [dict(c) for c in configs[:min(rounds, m)]]
     if model_seed is not None:
         distinct = [c | {"seed": model_seed} for c in distinct]
-    models = fit_prefixes(distinct, train, features_col, label_col, parallelism)
+    models, names = fit_longest(distinct, train, features_col, label_col, parallelism)
     cur = spread(test)
+    ready: dict[int, Column] = {}
     for i in range(rounds):
         ci = i % m
         if i >= m:
             cur = cur.withColumn(f"label{i}", F.col(f"label{ci}"))
             continue
-        scored = models[ci].transform(cur).withColumn("probability", vector_to_array(F.col("probability")))
-        cur = (scored.filter(confident_predicate("probability", label_col, threshold))
-               .withColumnRenamed("prediction", f"label{i}")
-               .drop("rawPrediction", "probability", "prediction"))
+        if i not in ready:
+            same = [j for j in range(len(distinct)) if names[j] == names[i]]
+            walk = f"__tilt_walk{i}"
+            cur = cur.withColumn(walk, staged_margins(models[names[i]], [int(distinct[j]["maxIter"]) for j in same], features_col))
+            ready |= {j: F.get(F.col(walk), F.lit(at)) for at, j in enumerate(same)}
+        sure = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * ready[i]))
+        cur = (cur.withColumn("__tilt_p", F.array(F.lit(1.0) - sure, sure)).filter(confident_predicate("__tilt_p", label_col, threshold)).drop("__tilt_p")
+               .withColumn(f"label{i}", F.when(ready[i] > F.lit(0.0), F.lit(1.0)).otherwise(F.lit(0.0))))
         if cut_lineage_every and (i + 1) % cut_lineage_every == 0:
             from tiltml.session import cut_lineage
             cur = cut_lineage(cur)
     labels = [f"label{i}" for i in range(rounds)]
-    return cur.drop(features_col).select(*keep, label_col, *labels,
-                                         F.array(*[F.col(c) for c in labels]).alias("features"))
+    return cur.select(*keep, label_col, *labels, F.array(*[F.col(c) for c in labels]).alias("features"))
 
 
-def fit_prefixes(configs: Sequence[Mapping], train: DataFrame, features_col: str, label_col: str, parallelism: int) -> list:
-    """A boosted model for each configuration; of those that differ in ``maxIter`` only, the longest is fitted."""
+def fit_longest(configs: Sequence[Mapping], train: DataFrame, features_col: str, label_col: str, parallelism: int) -> tuple[dict, list[tuple]]:
+    """(models by name, the name of each configuration): of configurations that differ in ``maxIter`` only, the longest is fitted. The
+    training rows are dealt and held once for all fits."""
     longest: dict[tuple, dict] = {}
     names = [tuple(sorted((k, v) for k, v in c.items() if k != "maxIter")) for c in configs]
     for name, c in zip(names, configs, strict=True):
         if name not in longest or int(c["maxIter"]) > int(longest[name]["maxIter"]):
             longest[name] = dict(c)
-    jobs = [(gbt_classifier(c, features_col, label_col), train) for c in longest.values()]
-    models = dict(zip(longest, fit_concurrently(jobs, parallelism), strict=True))
-    return [gbt_prefix(models[name], int(c["maxIter"])) for name, c in zip(names, configs, strict=True)]
+    with held(deal(train, [features_col, label_col])) as rows:
+        models = fit_dealt([(gbt_classifier(c, features_col, label_col), rows) for c in longest.values()], parallelism)
+    return dict(zip(longest, models, strict=True)), names
 
 
 def synthetic_bernoulli(df: DataFrame, n: int = SYNTHETIC_COLUMNS, p_class0: float = SYNTHETIC_P_ONE,

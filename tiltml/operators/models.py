@@ -9,19 +9,18 @@ the driver only holds the model.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
-from pyspark import SparkContext
-from pyspark.ml.classification import (FMClassifier, GBTClassificationModel, GBTClassifier,
-                                       MultilayerPerceptronClassifier, NaiveBayes,
-                                       RandomForestClassifier)
+from pyspark import StorageLevel
+from pyspark.ml.classification import FMClassifier, GBTClassifier, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def gbt_classifier(params: Mapping | None = None, features_col: str = "features",
                    label_col: str = "label", weight_col: str | None = None) -> GBTClassifier:
-    """Gradient-boosted trees: ``maxIter``, ``depth`` (maxDepth), ``stepsize``/``stepSize``, ``seed``."""
+    """Gradient-boosted trees: ``maxIter``, ``depth`` (maxDepth), ``stepsize``/``stepSize``, ``maxBins``, ``seed``."""
     p = dict(params or {})
     est = GBTClassifier(featuresCol=features_col, labelCol=label_col, featureSubsetStrategy="auto")
     if "maxIter" in p:
@@ -31,6 +30,8 @@ def gbt_classifier(params: Mapping | None = None, features_col: str = "features"
     step = p.get("stepsize", p.get("stepSize"))
     if step is not None:
         est.setStepSize(float(step))
+    if "maxBins" in p:
+        est.setMaxBins(int(p["maxBins"]))
     if "seed" in p:
         est.setSeed(int(p["seed"]))
     if weight_col:
@@ -40,7 +41,7 @@ def gbt_classifier(params: Mapping | None = None, features_col: str = "features"
 
 def rf_classifier(params: Mapping | None = None, features_col: str = "features",
                   label_col: str = "label") -> RandomForestClassifier:
-    """Random forest: ``impurity``, ``maxDepth``, ``nTrees``, ``strategy``, ``seed``.
+    """Random forest: ``impurity``, ``maxDepth``, ``nTrees``, ``strategy``, ``maxBins``, ``bootstrap``, ``seed``.
 
     Missing keys keep spark.ml's defaults (depth 5, 20 trees, "auto"); the
     original job's fallbacks (0 trees, depth 0) could not train.
@@ -54,6 +55,10 @@ def rf_classifier(params: Mapping | None = None, features_col: str = "features",
         est.setNumTrees(int(p.get("nTrees", p.get("numTrees"))))
     if "strategy" in p:
         est.setFeatureSubsetStrategy(str(p["strategy"]))
+    if "maxBins" in p:
+        est.setMaxBins(int(p["maxBins"]))
+    if "bootstrap" in p:
+        est.setBootstrap(bool(p["bootstrap"]))
     if "seed" in p:
         est.setSeed(int(p["seed"]))
     return est
@@ -79,13 +84,18 @@ def mlp_classifier(params: Mapping, features_col: str = "features",
 
 def fm_classifier(params: Mapping | None = None, features_col: str = "features",
                   label_col: str = "label") -> FMClassifier:
-    """Factorization machine: ``maxiter``, ``regParam`` (the original job called it "SVM")."""
+    """Factorization machine: ``maxiter``, ``regParam``, ``stepSize``, ``factorSize`` (the original job called it "SVM").
+    Scale the features first: with raw prices and the default step the weights run away."""
     p = dict(params or {})
     est = FMClassifier(featuresCol=features_col, labelCol=label_col)
     if "maxiter" in p or "maxIter" in p:
         est.setMaxIter(int(p.get("maxiter", p.get("maxIter"))))
     if "regParam" in p:
         est.setRegParam(float(p["regParam"]))
+    if "stepSize" in p:
+        est.setStepSize(float(p["stepSize"]))
+    if "factorSize" in p:
+        est.setFactorSize(int(p["factorSize"]))
     if "seed" in p:
         est.setSeed(int(p["seed"]))
     return est
@@ -126,65 +136,91 @@ def weighted_gbt_classifier(params: Mapping, features_col: str = "features",
 FIT_PARTITIONS_CONF = "spark.tiltml.fit.partitions"
 
 
-def training_rows(estimator, train: DataFrame, partitions: int | None = None) -> DataFrame:
-    """What a fit reads: features, label and weight only.
+# Equal rows without keys are dealt in runs of so many.
+EQUAL_RUN = 256
 
-    An iterative fit's result depends on how its rows are dealt (bags are drawn by
-    partition), so they are dealt by a hash of the whole row over a number of partitions
-    that the caller or the session sets, and ordered within: the same model on any number
-    of cores and from any file layout. Give rows a key column, or equal rows meet in one
-    partition. One-pass fits (naive Bayes) read their input as it is. Nothing is cached
-    here: spark.ml keeps its own points, and the shuffle files serve the passes before.
-    """
+
+def _needed(estimator) -> list[str]:
     named = ("featuresCol", "labelCol", "weightCol")
-    cols = [F.col(estimator.getOrDefault(p)) for p in named if estimator.hasParam(p) and estimator.isDefined(p)]
-    if isinstance(estimator, NaiveBayes):
-        return train.select(*cols)
+    return [estimator.getOrDefault(p) for p in named if estimator.hasParam(p) and estimator.isDefined(p)]
+
+
+def deal(train: DataFrame, columns: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """The named columns of a fit's rows, dealt by a hash of the whole row over a number of partitions that the caller or
+    the session sets, and ordered within: the same on any number of cores and from any file layout.
+
+    Where a table has no other columns (no keys), equal rows are counted first, which also takes them out of the shuffle,
+    and are dealt in runs by the hash of the row and the run's number: no partition gets all copies of a row.
+    """
     conf = train.sparkSession.conf
     n = partitions or int(conf.get(FIT_PARTITIONS_CONF, conf.get("spark.sql.shuffle.partitions")))
-    place = F.xxhash64(*[F.col(f"`{c}`") for c in train.columns])
-    dealt = train.select(*cols, place.alias("__tilt_place")).repartition(n, "__tilt_place")
-    return dealt.sortWithinPartitions("__tilt_place").drop("__tilt_place")
+    cols = [F.col(f"`{c}`") for c in columns]
+    if set(train.columns) - set(columns):
+        place = F.xxhash64(*[F.col(f"`{c}`") for c in train.columns])
+        dealt = train.select(*cols, place.alias("__tilt_place")).repartition(n, "__tilt_place")
+        return dealt.sortWithinPartitions("__tilt_place").drop("__tilt_place")
+    counted = train.groupBy(*cols).agg(F.count("*").alias("__tilt_n"))
+    run = F.lit(EQUAL_RUN)
+    runs = counted.withColumn("__tilt_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__tilt_n") - 1) / run))))
+    runs = runs.withColumn("__tilt_place", F.xxhash64(*cols, F.col("__tilt_run"))).repartition(n, "__tilt_place").sortWithinPartitions("__tilt_place", "__tilt_run")
+    size = F.least(run, F.col("__tilt_n") - F.col("__tilt_run") * run).cast("int")
+    return runs.select(*cols, F.explode(F.array_repeat(F.lit(True), size)).alias("__tilt_copy")).drop("__tilt_copy")
+
+
+@contextmanager
+def held(rows: DataFrame) -> Iterator[DataFrame]:
+    """The rows kept in memory and on disk while fits read them, and released after."""
+    rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
+def training_rows(estimator, train: DataFrame, partitions: int | None = None) -> DataFrame:
+    """What a fit reads: features, label and weight only.
+
+    An iterative fit's result depends on how its rows are dealt (bags are drawn by partition),
+    so they go through :func:`deal`. One-pass fits (naive Bayes) read their input as it is.
+    """
+    cols = _needed(estimator)
+    return train.select(*[F.col(f"`{c}`") for c in cols]) if isinstance(estimator, NaiveBayes) else deal(train, cols, partitions)
+
+
+def reads_often(estimator) -> bool:
+    """Tree fits go over their input several times before they have points of their own; the others keep what they read first."""
+    return isinstance(estimator, (GBTClassifier, RandomForestClassifier))
 
 
 def fit(estimator, train: DataFrame, partitions: int | None = None):
-    """Fit on :func:`training_rows`; no job starts before the fit's own."""
-    return estimator.fit(training_rows(estimator, train, partitions))
+    """Fit on :func:`training_rows`, held for the length of a tree fit; no job starts before the fit's own."""
+    rows = training_rows(estimator, train, partitions)
+    if not reads_often(estimator):
+        return estimator.fit(rows)
+    with held(rows):
+        return estimator.fit(rows)
 
 
-def fit_concurrently(jobs, parallelism: int = 4, partitions: int | None = None) -> list:
-    """Fit independent ``(estimator, train)`` pairs from a thread pool.
+def fit_dealt(jobs, parallelism: int = 4) -> list:
+    """Fit independent ``(estimator, dealt rows)`` pairs from a thread pool, in the order given.
 
     Each fit is a series of Spark jobs; submitting several at once lets the
     scheduler interleave them across idle task slots (the same scheme as
-    ``CrossValidator(parallelism=...)``). Results keep the input order.
+    ``CrossValidator(parallelism=...)``).
     """
     from concurrent.futures import ThreadPoolExecutor
     jobs = list(jobs)
     if parallelism <= 1 or len(jobs) <= 1:
-        return [fit(est, df, partitions) for est, df in jobs]
+        return [est.fit(rows) for est, rows in jobs]
     with ThreadPoolExecutor(max_workers=min(parallelism, len(jobs))) as pool:
-        return list(pool.map(lambda job: fit(job[0], job[1], partitions), jobs))
-
-
-def gbt_prefix(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
-    """The model of a boosting run that stops after ``rounds``: boosting adds a tree a round, and a round
-    doesn't depend on how many follow, so these are the longer run's first trees and weights."""
-    if rounds >= model.getNumTrees:
-        return model
-    old = model._java_obj
-    sc = SparkContext.getOrCreate()
-    gateway, jvm = sc._gateway, sc._jvm
-    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
-    weights = gateway.new_array(jvm.double, rounds)
-    all_trees, all_weights = old.trees(), model.treeWeights
-    for i in range(rounds):
-        trees[i] = all_trees[i]
-        weights[i] = float(all_weights[i])
-    cut = jvm.org.apache.spark.ml.classification.GBTClassificationModel(old.uid(), trees, weights)
-    cut.setFeaturesCol(model.getFeaturesCol())
-    cut.setPredictionCol(model.getPredictionCol())
-    return GBTClassificationModel(cut)
+        return list(pool.map(lambda job: job[0].fit(job[1]), jobs))
+
+
+def scaled_split(train: DataFrame, test: DataFrame, features_col: str = "features") -> tuple[DataFrame, DataFrame]:
+    """Train and test with features scaled by train's largest absolute values."""
+    from tiltml.operators.features import maxabs_scale
+    parts = maxabs_scale(train, test, features_col, "__tilt_scaled")
+    return tuple(p.drop(features_col).withColumnRenamed("__tilt_scaled", features_col) for p in parts)
 
 
 def fit_predict(estimator, train: DataFrame, test: DataFrame) -> DataFrame:

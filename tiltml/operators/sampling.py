@@ -10,7 +10,7 @@ Two draw methods for every operator:
 
 Sampling with replacement in hash mode gives every row a Poisson number of copies
 by inverse distribution from its draw (``draw="poisson"``, as the native sampler
-does), or, with ``draw="systematic"``, the fraction's whole part plus at most one.
+does; beyond a mean of 8 the sum of counts of several draws), or, with ``draw="systematic"``, the fraction's whole part plus at most one.
 
 Neither needs a shuffle or a sort: a draw is a projection + filter (and an
 ``explode`` for copies when sampling with replacement). In hash mode a
@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiltml.functions.hashing import hash_u, key_columns, poisson_copies, systematic_copies
+from tiltml.functions.hashing import _bound, hash_u, key_columns, key_text, poisson_count, systematic_copies
 from tiltml.operators.aggregates import count_by_value
 
 # Copies of one row generated inside a single task; beyond this the copies of a
@@ -41,19 +41,19 @@ SPLIT_SEED_70_30 = 1234
 SPLIT_SEED_FOLDS = 123456789
 
 
-DRAWS = {"poisson": poisson_copies, "systematic": systematic_copies}
-
-
 def _draw(df: DataFrame, seed: int, keys: Sequence[str] | None, salt: str | None = None) -> Column:
     return hash_u(key_columns(df, keys), seed, salt) if keys else F.rand(seed)
 
 
-def _copies(df: DataFrame, fraction: float, seed: int, keys: Sequence[str], draw: str, salt: str | None = None) -> tuple[Column, int]:
-    """Copies column and its bound. The draw is bound as a lambda's variable: one hash a row,
-    however often the count refers to it and wherever the optimizer moves it."""
-    largest = DRAWS[draw](F.lit(0.0), fraction)[1]
+def copies_of(df: DataFrame, fraction: float, seed: int, keys: Sequence[str] | None, draw: str = "poisson", salt: str | None = None) -> tuple[Column, int]:
+    """Copies column and its bound; a row's draw is computed once."""
     u = _draw(df, seed, keys, salt)
-    return F.get(F.transform(F.array(u), lambda x: DRAWS[draw](x, fraction)[0]), 0), largest
+    if draw == "systematic":
+        return _bound(u, lambda x: systematic_copies(x, fraction)[0]), systematic_copies(F.lit(0.0), fraction)[1]
+    if draw != "poisson":
+        raise ValueError(f"unknown draw {draw!r}")
+    key = key_text([*(key_columns(df, keys) if keys else [F.rand(seed)]), *([F.lit(salt)] if salt is not None else [])], seed)
+    return poisson_count(u, key, fraction)
 
 
 def _expand_copies(staged: DataFrame, cols: Sequence[str], copies_col: str, max_copies: int) -> DataFrame:
@@ -69,7 +69,7 @@ def _expand_copies(staged: DataFrame, cols: Sequence[str], copies_col: str, max_
     cols = [F.col(f"`{c}`") for c in cols]
     if max_copies <= COPY_CHUNK:
         # no copies: an empty list, which gives no row
-        return staged.select(*cols, F.explode(F.array_repeat(F.lit(True), n)).alias("__tilt_copy")).select(*cols)
+        return staged.select(*cols, F.explode(F.array_repeat(F.lit(True), n.cast("int"))).alias("__tilt_copy")).select(*cols)
     staged = staged.filter(n >= F.lit(1))
     chunk = F.lit(COPY_CHUNK)
     chunks = staged.select(*cols, n.alias("__tilt_n"),
@@ -92,7 +92,7 @@ def sample_fraction(df: DataFrame, fraction: float, seed: int, with_replacement:
         if fraction > 1:
             raise ValueError("fraction > 1 needs with_replacement=True")
         return df.filter(_draw(df, seed, keys, salt) < F.lit(fraction))
-    copies, largest = _copies(df, fraction, seed, keys, draw, salt)
+    copies, largest = copies_of(df, fraction, seed, keys, draw, salt)
     return repeat_rows(df, copies, largest)
 
 
@@ -118,7 +118,7 @@ def resample_copies(df: DataFrame, label_col: str, keep_all: Sequence[float],
                     extra_for_kept: bool = False, draw: str = "poisson") -> tuple[Column, int]:
     """Copies of each row in a resampled table, as a column, and their largest possible number."""
     lab = F.col(label_col)
-    copies, largest = _copies(df, fraction, seed, keys, draw)
+    copies, largest = copies_of(df, fraction, seed, keys, draw)
     if extra_for_kept:
         copies, largest = copies + F.lit(1), largest + 1
     n = F.when(lab == F.lit(sampled), copies)

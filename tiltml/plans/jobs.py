@@ -22,6 +22,7 @@ from tiltml.operators import evolution as EV
 from tiltml.operators import features as FT
 from tiltml.operators import models as MD
 from tiltml.operators import sampling as S
+from tiltml.operators.certificates import fm_certificate, mlp_certificate
 from tiltml.sources import fixtures as FX
 from tiltml.sources.readers import assemble_features, prepare_data, scan_delimited
 from tiltml.sources.sinks import sink_parquet
@@ -77,21 +78,33 @@ def rf_job(spark: SparkSession, config: Mapping) -> DataFrame:
     return A.evaluate_scores(pred, positive=1.0)
 
 
+def _scaled(p: Mapping, train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Train and test, scaled by train's largest absolute values if the job's ``scale`` says ``maxabs``."""
+    if p.get("scale") not in (None, "maxabs"):
+        raise ValueError(f"unknown scale {p['scale']!r}")
+    return MD.scaled_split(train, test) if p.get("scale") else (train, test)
+
+
 def mlp_job(spark: SparkSession, config: Mapping) -> DataFrame:
-    """Multilayer perceptron train + score (with the train/test row counts)."""
+    """Multilayer perceptron train + score, with the train/test row counts and what the fit has reached on
+    train: loss, prior_loss (of the class shares alone) and the gradient's norm. ``scale: maxabs`` scales first."""
     _require(config, "dataset", "test", "params")
-    train, test = _load(spark, config)
-    pred = MD.fit_predict(MD.mlp_classifier(_params(config)), train, test)
-    sizes = train.agg(F.count("*").alias("n_train")).crossJoin(test.agg(F.count("*").alias("n_test")))  # one row each
-    return A.evaluate_scores(pred, positive=0.0).crossJoin(sizes)
+    p = _params(config)
+    train, test = _scaled(p, *_load(spark, config))
+    model = MD.fit(MD.mlp_classifier(p), train)
+    reached = mlp_certificate(train, model, [int(x) for x in p["layers"]]).withColumnRenamed("n", "n_train")
+    sizes = reached.crossJoin(test.agg(F.count("*").alias("n_test")))  # one row each
+    return A.evaluate_scores(model.transform(test), positive=0.0).crossJoin(sizes)
 
 
 def fm_job(spark: SparkSession, config: Mapping) -> DataFrame:
-    """Factorization machine train + score."""
+    """Factorization machine train + score, with what the fit has reached on train: loss, prior_loss and the
+    gradient's norm. ``scale: maxabs`` scales first."""
     _require(config, "dataset", "test", "params")
-    train, test = _load(spark, config)
-    pred = MD.fit_predict(MD.fm_classifier(_params(config)), train, test)
-    return A.evaluate_scores(pred, positive=0.0)
+    p = _params(config)
+    train, test = _scaled(p, *_load(spark, config))
+    model = MD.fit(MD.fm_classifier(p), train)
+    return A.evaluate_scores(model.transform(test), positive=0.0).crossJoin(fm_certificate(train, model).withColumnRenamed("n", "n_train"))  # one row each
 
 
 def nb_job(spark: SparkSession, config: Mapping) -> DataFrame:
@@ -201,6 +214,7 @@ def csv_mlp_job(spark: SparkSession, config: Mapping) -> DataFrame:
     df = scan_delimited(spark, str(config["dataset"]), sep="|", header=True, schema=config.get("schema"), drop=("layers",))
     feats = feature_columns(df, exclude={"class", "label", "media", *keys})
     ml = assemble_features(derive_label(df, "media", "label"), feats, label_source=None, keep=keys)
+    ml, _ = _scaled(_params(config), ml, ml)
     return MD.fit_predict(MD.mlp_classifier(_params(config)), ml, ml).select(*keys, "label", "prediction")
 
 

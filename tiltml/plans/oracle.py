@@ -11,6 +11,7 @@ from tiltml.functions.hashing import sql_hash_u, sql_hash_u_block, sql_poisson_c
 from tiltml.operators import evolution as EV
 from tiltml.operators import sampling as S
 from tiltml.plans import catalog as Q
+from tiltml.plans.oracle_trees import boosted_ctes, nodes_sql, tree_ctes
 from tiltml.sources import fixtures as FX
 
 KEYS = FX.LINEITEM_KEYS
@@ -25,6 +26,10 @@ def u(seed: int, salt: str | None = None, keys=KEYS) -> str:
     return sql_hash_u(keys, seed, salt)
 
 
+def poisson(keys=KEYS) -> str:
+    return sql_poisson_copies(keys, Q.SEED)
+
+
 def sig(x: str, digits: int) -> str:
     """Twin of ``catalog.sig_round``: round to ``digits`` significant digits."""
     p = f"ceil(log10(abs({x})))"
@@ -50,16 +55,16 @@ def band_case(uexpr: str, weights) -> str:
     return f"(CASE {' '.join(parts)} ELSE {len(bands) - 1} END)"
 
 
-def copies_rows(src: str, cols: str, uexpr: str, where: str) -> str:
+def copies_rows(src: str, cols: str, copies: str, where: str) -> str:
     """Rows of ``src`` (which includes ``pt``) repeated by their Poisson copies."""
     return (f"SELECT {cols} FROM (SELECT {cols}, unnest(range(__n)) AS __i FROM "
-            f"(SELECT *, {sql_poisson_copies(uexpr)} AS __n FROM {src} WHERE {where}) WHERE __n >= 1)")
+            f"(SELECT *, {copies} AS __n FROM {src} WHERE {where}) WHERE __n >= 1)")
 
 
 def undersample_sql(ratio: float = 1.0) -> str:
     return (f"{B}, c AS (SELECT count_if(class = 1.0) AS n1, count_if(class = 0.0) AS n0 FROM b), "
             f"f AS (SELECT CASE WHEN n0 = 0 THEN 0.0 ELSE (n1::DOUBLE / n0::DOUBLE) * {dbl(ratio)} END AS frac FROM c), "
-            f"{sql_poisson_ctes('f')}, bal AS ({copies_rows('b, pt', BCOLS, u(Q.SEED), 'class = 0.0')} "
+            f"{sql_poisson_ctes('f')}, bal AS ({copies_rows('b, pt', BCOLS, poisson(), 'class = 0.0')} "
             f"UNION ALL SELECT {BCOLS} FROM b WHERE class = 1.0)")
 
 
@@ -163,17 +168,16 @@ def oversample_sql() -> str:
             f"c AS (SELECT count_if(label = 1.0) AS n1, count_if(label = 0.0) AS n0 FROM b), "
             f"f AS (SELECT CASE WHEN n1 = 0 THEN 0.0 ELSE (n0::DOUBLE / n1::DOUBLE) * {dbl(Q.OVERSAMPLE_RATIO)} END AS frac FROM c), "
             f"{sql_poisson_ctes('f')} SELECT {cols} FROM b WHERE label = 0.0 UNION ALL "
-            f"{copies_rows('b, pt', cols, u(Q.SEED), 'label = 1.0')}")
+            f"{copies_rows('b, pt', cols, poisson(), 'label = 1.0')}")
 
 
 def balance_sql() -> str:
     cols = "doc_id, n_chars, class"
-    uu = sql_hash_u(["doc_id"], Q.SEED)
     return (f"WITH t AS ({FX.TEXT_LABELS_SQL}), c AS (SELECT count_if(class = 1.0) AS na, count_if(class = 0.0) AS nb FROM t), "
             "p AS (SELECT CASE WHEN na < nb THEN 1.0 ELSE 0.0 END AS minor_val, CASE WHEN na < nb THEN 0.0 ELSE 1.0 END AS major_val, "
             "CASE WHEN greatest(na, nb) = 0 THEN 0.0 ELSE least(na, nb)::DOUBLE / greatest(na, nb)::DOUBLE END AS frac FROM c), "
             f"{sql_poisson_ctes('p')} SELECT {cols} FROM t, p WHERE t.class = p.minor_val UNION ALL "
-            f"{copies_rows('t, p, pt', cols, uu, 'class = major_val')}")
+            f"{copies_rows('t, p, pt', cols, poisson(['doc_id']), 'class = major_val')}")
 
 
 def evolved_selection_sql() -> str:
@@ -244,7 +248,7 @@ def prepare_chain_sql() -> str:
             "c AS (SELECT count_if(label = 1.0) AS n1, count_if(label = 0.0) AS n0 FROM tr0), "
             f"f AS (SELECT CASE WHEN n1 = 0 THEN 0.0 ELSE (n0::DOUBLE / n1::DOUBLE) * {dbl(Q.OVERSAMPLE_RATIO)} END AS frac FROM c), "
             f"{sql_poisson_ctes('f')}, "
-            f"tr AS (SELECT tr0.*, CASE WHEN label = 1.0 THEN {sql_poisson_copies(u(Q.SEED))} WHEN label = 0.0 THEN 1 ELSE 0 END AS n FROM tr0, pt), "
+            f"tr AS (SELECT tr0.*, CASE WHEN label = 1.0 THEN {poisson()} WHEN label = 0.0 THEN 1 ELSE 0 END AS n FROM tr0, pt), "
             f"kp AS (SELECT * FROM tr WHERE n >= 1), {binned_sql('kp', 'kp', 'n')}, {CHI2_TESTS}, "
             f"sel AS (SELECT list(i ORDER BY i) AS l FROM rk WHERE rk <= {Q.N_PREPARED}), "
             "rep AS (SELECT *, unnest(range(n)) AS __i FROM kp) "
@@ -263,6 +267,51 @@ def pca_pair_sql(first: int | None = None) -> str:
             f"a AS (SELECT 0.5 * atan2(2.0 * covar_samp({x}, {y}), var_samp({x}) - var_samp({y})) AS th FROM s WHERE tr) {' UNION ALL '.join(parts)}")
 
 
+def pca_first_sql(first: int, rounds: int = 60) -> str:
+    """The first component of all features by power iteration, without its sign, of the first rows by key."""
+    d = range(len(FEATS))
+    cov = ", ".join(f"covar_samp({FEATS[i]}, {FEATS[j]}) AS c{i}{j}" for i in d for j in d)
+    step = [" + ".join(f"c{i}{j} * v{j}" for j in d) for i in d]
+    norm = "sqrt(" + " + ".join(f"({x}) * ({x})" for x in step) + ")"
+    value = sig(f"abs({' + '.join(f'{c} * v{i}' for i, c in enumerate(FEATS))})", 6)
+    out = (f"SELECT {K}, {value} AS pc0, {Q.PCA_K}::INTEGER AS n_components, class AS label, '{{p}}' AS part FROM s, top WHERE {{tr}}tr ORDER BY {K} LIMIT {first}")
+    parts = [f"SELECT * FROM ({out.format(p=p, tr=tr)})" for p, tr in (("train", ""), ("test", "NOT "))]
+    return (f"WITH RECURSIVE b AS ({FX.ML_BINARY_SQL}), s AS (SELECT *, {u(Q.SPLIT_SEED)} < 0.7 AS tr FROM b), cv AS MATERIALIZED (SELECT {cov} FROM s WHERE tr), "
+            f"pw AS (SELECT 0 AS i, {', '.join(f'0.5::DOUBLE AS v{i}' for i in d)} UNION ALL SELECT i + 1, {', '.join(f'({x}) / {norm}' for x in step)} FROM pw, cv WHERE i < {rounds}), "
+            f"top AS (SELECT * FROM pw WHERE i = {rounds}) {' UNION ALL '.join(parts)}")
+
+
+def grown_rows(train: str, groups: str = "0") -> str:
+    """CTEs ``bn`` (ml_binned with an id and the draws su, fu) and ``w`` (rows for the growth of trees; ``groups`` numbers them)."""
+    feats = ", ".join(FX.ML_BINNED_FEATURES)
+    return (f"bn AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {K}) AS id, {u(Q.SPLIT_SEED)} AS su, {u(Q.FOLD_SEED)} AS fu, "
+            f"{band_case(u(Q.FOLD_SEED), [1.0] * 4)} AS fold FROM ({FX.ML_BINNED_SQL})), "
+            f"w AS MATERIALIZED (SELECT g, id, {train} AS tr, {feats}, class AS y, class::INTEGER AS k, class AS r FROM bn, (SELECT unnest([{groups}]) AS g))")
+
+
+def grown_predictions(kind: str) -> str:
+    """CTE ``pr`` (id, prediction, probability) of the test rows under the grown forest or boosting run."""
+    if kind == "forest":
+        grow = tree_ctes("f", "w", FX.ML_BINNED_FEATURES, Q.GROWN_DEPTH, True)
+        return f"WITH {grown_rows('su < 0.7')}, {grow}, pr AS (SELECT id, pred AS prediction, s / n AS probability FROM fout)"
+    grow = boosted_ctes("b", "w", FX.ML_BINNED_FEATURES, Q.GROWN_BOOSTS[-1]["depth"], Q.GROWN_STEP)
+    return (f"WITH {grown_rows('su < 0.7')}, {grow}, "
+            "pr AS (SELECT id, CASE WHEN m2 > 0 THEN 1.0 ELSE 0.0 END AS prediction, 1 / (1 + exp(-2 * m2)) AS probability FROM bm)")
+
+
+def grown_scores(kind: str, positive: float) -> str:
+    out = (f"{grown_predictions(kind)}, f AS (SELECT class AS label, prediction::DOUBLE AS prediction FROM bn JOIN pr USING (id) WHERE su >= 0.7)")
+    return evaluate_sql(positive).replace(FP, out, 1)
+
+
+def grown_cascade() -> str:
+    sure = "((label = 1.0 AND 1 / (1 + exp(-2 * {m})) > 0.6) OR (label = 0.0 AND 1 - 1 / (1 + exp(-2 * {m})) > 0.6))"
+    labels = ", ".join(f"CASE WHEN m{i % 2 + 1} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label{i}" for i in range(Q.GROWN_ROUNDS))
+    return (f"WITH {grown_rows('fu < 0.3')}, {boosted_ctes('b', 'w', FX.ML_BINNED_FEATURES, Q.GROWN_BOOSTS[-1]['depth'], Q.GROWN_STEP)}, "
+            f"e AS (SELECT bn.*, class AS label, m1, m2 FROM bn JOIN bm ON bm.id = bn.id WHERE fu >= 0.3) "
+            f"SELECT {K}, label, {labels}, {Q.GROWN_ROUNDS}::INTEGER AS n_features FROM e WHERE {sure.format(m='m1')} AND {sure.format(m='m2')}")
+
+
 def job_score_sql(positive: float, more: str = "") -> str:
     return (f"{B}, s AS (SELECT *, {u(Q.SPLIT_SEED)} < 0.7 AS tr FROM b) SELECT count_if(NOT tr AND class = {dbl(positive)}) AS n_positive, "
             f"count_if(NOT tr AND class = {dbl(1.0 - positive)}) AS n_negative, TRUE AS passed{more} FROM s")
@@ -351,31 +400,46 @@ def build() -> dict[str, str]:
     o["job_nb_accuracy"] = (f"SELECT count(*) AS n, count_if(prediction = label) AS correct, "
                             f"CASE WHEN count(*) = 0 THEN 'NaN'::DOUBLE ELSE count_if(prediction = label)::DOUBLE "
                             f"/ count(*)::DOUBLE END AS accuracy FROM ({nb_sql()}) p")
-    scored = f"{B} SELECT {K}, class AS label, TRUE AS scored FROM b WHERE {u(Q.SPLIT_SEED)} >= 0.7"
+    scored = f"{B} SELECT {K}, class AS label, TRUE AS scored, TRUE AS passed FROM b WHERE {u(Q.SPLIT_SEED)} >= 0.7"
     for name in ("gbt_classify", "rf_classify", "mlp_classify", "fm_classify", "weighted_gbt_classify"):
         o[name] = scored
-    o["noise_filter"] = f"{B} SELECT {K}, class AS label, TRUE AS once, TRUE AS ok FROM b"
-    o["confidence_cascade"] = f"{B} SELECT {K}, class AS label, TRUE AS once, TRUE AS ok FROM b WHERE {u(Q.FOLD_SEED)} >= 0.3"
+    o["noise_filter"] = f"{B} SELECT {K}, class AS label, TRUE AS once, TRUE AS ok, TRUE AS share FROM b"
+    o["confidence_cascade"] = f"{B} SELECT {K}, class AS label, TRUE AS once, TRUE AS ok, TRUE AS share FROM b WHERE {u(Q.FOLD_SEED)} >= 0.3"
     o["job_cascade"] = o["confidence_cascade"]
     o["prepare_chain"] = prepare_chain_sql()
     o["pca_project_pair"] = pca_pair_sql()
-    o["job_pca_preview"] = pca_pair_sql(20)
+    o["job_pca_preview"] = pca_first_sql(20)
+    o["job_pca_preview_pair"] = pca_pair_sql(20)
     o["job_feature_preparation"] = o["prepare_chain"]
     o["chi2_fdr_select"] = chi2_selection_sql("rk <= last")
     o["chi2_percentile_select"] = chi2_selection_sql(f"rk <= {len(FEATS) // 2}")
     o["chi2_top_select"] = chi2_selection_sql("rk <= 3")
-    o["sample_with_replacement"] = (f"{B}, f AS (SELECT 1.5::DOUBLE AS frac), {sql_poisson_ctes('f')} {copies_rows('b, pt', BCOLS, u(Q.SEED), 'TRUE')}")
+    o["sample_with_replacement"] = (f"{B}, f AS (SELECT 1.5::DOUBLE AS frac), {sql_poisson_ctes('f')} {copies_rows('b, pt', BCOLS, poisson(), 'TRUE')}")
+    for kind in ("forest", "boosting"):
+        o[f"{kind}_grown"] = (f"{grown_predictions(kind)} SELECT {K}, class AS label, prediction::DOUBLE AS prediction, round(probability, 9) AS probability "
+                              "FROM bn JOIN pr USING (id) WHERE su >= 0.7")
+    o["forest_nodes"] = (f"WITH {grown_rows('su < 0.7')}, {tree_ctes('f', 'w', FX.ML_BINNED_FEATURES, Q.GROWN_DEPTH, True)}, nodes AS (WITH {nodes_sql('f', Q.GROWN_DEPTH)}) "
+                         f"SELECT tree, nodes.* FROM nodes, range({Q.GROWN_FOREST['nTrees']}) AS t(tree)")
+    o["noise_filter_grown"] = (f"WITH {grown_rows('bn.fold <> g', '0, 1, 2, 3')}, {tree_ctes('f', 'w', FX.ML_BINNED_FEATURES, Q.GROWN_DEPTH, True)} "
+                               f"SELECT {K}, class AS label FROM bn JOIN fout o ON o.id = bn.id AND o.g = bn.fold WHERE class = 1.0 OR o.pred = class")
+    o["cascade_grown"] = o["job_cascade_grown"] = grown_cascade()
+    o["job_rf_grown"], o["job_gbt_grown"] = grown_scores("forest", 1.0), grown_scores("boosting", 0.0)
+    counts = ", ".join(f"(SELECT {sql_poisson_copies(['o_orderkey'], Q.SEED)} FROM pt{i}) AS n{i}" for i in range(len(Q.POISSON_FRACTIONS)))
+    tables = ", ".join(f"f{i} AS (SELECT {dbl(f)} AS frac), {sql_poisson_ctes(f'f{i}', str(i))}" for i, f in enumerate(Q.POISSON_FRACTIONS))
+    o["poisson_counts"] = f"WITH {tables} SELECT o_orderkey, {counts} FROM orders"
     types = ["bigint", "bigint", "bigint", "int", "timestamp_ntz", "double", "double", "double", "double", "double"]
-    o["schema_table"] = " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS name, '{t}' AS type, {'FALSE' if c == 'class' else 'TRUE'} AS nullable"
-                                           for i, (c, t) in enumerate(zip([*KEYS, *FEATS, "class"], types, strict=True)))
-    three = ", ".join(f"CAST({k} AS VARCHAR) AS {k}" for k in (*KEYS[:2], "l_linenumber"))
-    o["preview_rows"] = f"SELECT {three} FROM (SELECT * FROM lineitem ORDER BY {', '.join(KEYS[:2])}, l_linenumber LIMIT 20)"
-    for name in ("job_gbt_score", "job_fm_score", "job_gbt_prepared_score", "job_gbt_pca_score"):
+    o["schema_table"] = f"{B} " + " UNION ALL ".join(
+        f"SELECT {i}::INTEGER AS position, '{c}' AS name, '{t}' AS type, {'FALSE' if c == 'class' else 'TRUE'} AS nullable, count(*) AS n_rows, count({c}) AS n_present FROM b"
+        for i, (c, t) in enumerate(zip([*KEYS, *FEATS, "class"], types, strict=True)))
+    texts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in (*KEYS, *FEATS, "class"))
+    o["preview_rows"] = f"{B} SELECT {texts} FROM (SELECT * FROM b ORDER BY {K} LIMIT 20)"
+    for name in ("job_gbt_score", "job_gbt_prepared_score", "job_gbt_pca_score"):
         o[name] = job_score_sql(0.0)
     o["job_rf_score"] = job_score_sql(1.0)
+    o["job_fm_score"] = job_score_sql(0.0, ", count_if(tr) AS n_train")
     o["job_mlp_score"] = job_score_sql(0.0, ", count_if(tr) AS n_train, count_if(NOT tr) AS n_test")
     o["job_pca_weighted_gbt_score"] = job_score_sql(0.0, ", count_if(tr AND class = 0.0) AS n_train_0, count_if(tr AND class = 1.0) AS n_train_1")
-    o["job_csv_mlp"] = f"{B} SELECT {', '.join(Q.CSV_KEYS)}, class AS label, TRUE AS scored FROM b"
+    o["job_csv_mlp"] = f"{B} SELECT {', '.join(Q.CSV_KEYS)}, class AS label, TRUE AS scored, TRUE AS passed FROM b"
     o["job_evolved_selection"] = evolved_selection_sql()
     o["job_synthetic"] = job_synthetic_sql()
     return o

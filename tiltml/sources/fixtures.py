@@ -66,6 +66,22 @@ FROM lineitem"""
 ML_DISCRETE_FEATURE_COLS = ["l_quantity", "l_discount", "l_tax", "l_linenumber_f"]
 
 
+ML_BINNED_FEATURES = ["l_quantity", "price_step", "l_discount", "l_tax"]
+PRICE_STEP = 2500
+
+
+def ml_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ml_binary`` with the price in steps, so that every feature has some 50 values at most and
+    the first levels of a tree can be grown exactly in SQL."""
+    b = ml_binary(spark, sf_dir)
+    return b.select(*LINEITEM_KEYS, "l_quantity", F.floor(F.col("l_extendedprice") / PRICE_STEP).cast("double").alias("price_step"), "l_discount", "l_tax", "class")
+
+
+ML_BINNED_SQL = f"""
+SELECT {', '.join(LINEITEM_KEYS)}, l_quantity, floor(l_extendedprice / {PRICE_STEP})::DOUBLE AS price_step, l_discount, l_tax, class
+FROM ({ML_BINARY_SQL})"""
+
+
 def ml_highcard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One high-cardinality feature (``l_extendedprice``) against ``ml_binary``'s class."""
     return ml_binary(spark, sf_dir).select(*LINEITEM_KEYS, "l_extendedprice", "class")

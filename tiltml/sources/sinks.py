@@ -38,10 +38,16 @@ def preview(df: DataFrame, n: int = 20, truncate: bool = False, order_by: Sequen
     return rows.select(*[text[c].alias(c) for c in df.columns])
 
 
-def schema_table(df: DataFrame) -> DataFrame:
-    """The schema as rows: position, name, type, nullable (``printSchema`` as data)."""
+def schema_table(df: DataFrame, counts: bool = False) -> DataFrame:
+    """The schema as rows: position, name, type, nullable (``printSchema`` as data). With ``counts`` also the
+    table's rows and each column's non-null values, from one aggregate over the whole table."""
     rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "position int, name string, type string, nullable boolean")
+    schema = df.sparkSession.createDataFrame(rows, "position int, name string, type string, nullable boolean")
+    if not counts:
+        return schema
+    row = df.agg(F.count("*").alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    found = row.select("n", F.posexplode(F.array(*[F.col(f"c{i}") for i in range(len(df.columns))])).alias("position", "present"))
+    return schema.join(found, "position").withColumnsRenamed({"n": "n_rows", "present": "n_present"})
 
 
 def persist(df: DataFrame) -> DataFrame:
