@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -163,18 +164,21 @@ class TokenFileReader:
 
 # --- encoding -------------------------------------------------------------------------------
 
-# A piece between white space made of Latin-1 letters, then ASCII marks other than an apostrophe:
+# A plain piece between white space is made of Latin-1 letters, then ASCII marks other than an apostrophe:
 # the tokenizer cuts it after the letters, whatever stands around it.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class PieceEncoder:
     """Ids of texts under a word-end BPE of the tokenizers library.
 
     Such a tokenizer drops white space and never joins pieces across it, so a text's ids are the
-    ids of its pieces in order. The library encodes each distinct piece once, and the bounded
-    cache serves repetitions. Plain words go to the library many at a time and are told apart by
-    their word-end tokens; if those don't add up, and for every other piece, one by one.
+    ids of its pieces in order. Each batch's different pieces are told apart once; the library encodes those
+    that the cache doesn't know, and the texts' ids are gathered from them as arrays. The cache is bounded: two
+    generations of half its size, so that pieces in use stay when it is full. Plain words go to the library
+    many at a time and are told apart by their word-end tokens; if those don't add up, and for every
+    other piece, one by one.
     """
 
     def __init__(self, path: str, cache_size: int = 1_000_000):
@@ -184,7 +188,11 @@ class PieceEncoder:
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.cache: dict[bytes, bytes] = {}
+        # plain words, other pieces; the generation before of both
+        self.plain: dict[str, bytes] = {}
+        self.other: dict[str, bytes] = {}
+        self.older: tuple[dict, dict] = {}, {}
+        self.marks: dict[str, bytes] = {}
         self.cache_size = cache_size
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -200,39 +208,59 @@ class PieceEncoder:
         data, cuts = ids.tobytes(), [0, *stops.tolist()]
         return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _learn(self, missing: list[bytes]) -> None:
-        if len(self.cache) + len(missing) > self.cache_size:
-            self.cache.clear()
-        parts: dict[str, bytes] = {}
-        plain: list[tuple[bytes, str, str]] = []
-        other: list[bytes] = []
-        for piece in missing:
-            m = _PLAIN.fullmatch(piece.decode()) if len(piece) < 200 else None
-            if m:
-                plain.append((piece, m[1], m[2]))
-                parts[m[1]] = b""
-                if m[2]:
-                    parts[m[2]] = b""
-            else:
-                other.append(piece)
-        words = list(parts)
+    def _learn(self, words: list[str], others: list[str], marks: list[str]) -> None:
         for i in range(0, len(words), 1000):
-            parts.update(zip(words[i:i + 1000], self._words(words[i:i + 1000]), strict=True))
-        for piece, word, mark in plain:
-            self.cache[piece] = parts[word] + parts[mark] if mark else parts[word]
-        self.cache.update(zip(other, self._library([p.decode() for p in other]), strict=True))
+            self.plain.update(zip(words[i:i + 1000], self._words(words[i:i + 1000]), strict=True))
+        self.other.update(zip(others, self._library(others), strict=True))
+        self.marks.update(zip(marks, self._library(marks), strict=True))
+
+    def _pieces(self, distinct: list[str]) -> list[bytes]:
+        if len(self.plain) + len(self.other) > self.cache_size // 2:
+            self.older, self.plain, self.other = (self.plain, self.other), {}, {}
+        if len(self.marks) > self.cache_size // 10:
+            self.marks = {}
+        plain, other, marks = self.plain, self.other, self.marks
+        cut = [piece.rstrip(_MARKS) for piece in distinct]
+        words: dict[str, None] = {}
+        others: dict[str, None] = {}
+        ends: dict[str, None] = {}
+        for piece, word in zip(distinct, cut, strict=True):
+            if word not in plain and piece not in other:
+                if word in self.older[0]:
+                    plain[word] = self.older[0][word]
+                elif piece in self.older[1]:
+                    other[piece] = self.older[1][piece]
+                elif len(piece) < 200 and _PLAIN.fullmatch(word):
+                    words[word] = None
+                else:
+                    others[piece] = None
+                    continue
+            if len(word) != len(piece) and piece[len(word):] not in marks:
+                ends[piece[len(word):]] = None
+        self._learn(list(words), list(others), list(ends))
+        out = []
+        for piece, word in zip(distinct, cut, strict=True):
+            ids = plain.get(word)
+            out.append(other[piece] if ids is None else ids if len(word) == len(piece) else ids + marks[piece[len(word):]])
+        return out
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each text starts and the end) of an array without nulls."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = pc.dictionary_encode(split.flatten())
+        found = self._pieces(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool = np.frombuffer(b"".join(found), "<u4")
+        piece = coded.indices.to_numpy()
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes[piece])])
+        place = np.repeat((np.cumsum(sizes) - sizes)[piece] - ends[:-1], sizes[piece]) + np.arange(ends[-1])
+        starts = split.offsets.to_numpy()
+        return pool[place], ends[starts - starts[0]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.encode().split() for t in texts]
-        wanted = set().union(*split)
-        missing = wanted.difference(self.cache)
-        if missing:
-            if len(self.cache) + len(missing) > self.cache_size:
-                missing = wanted
-            self._learn(list(missing))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        ids, starts = self.ids(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -254,10 +282,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: Callable[[], str], end
     rows = rows.repartitionByRange("doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").drop("h", "row")
 
     def write(batches):
-        encode = encoder(tokenizer()).encode
+        encode = encoder(tokenizer()).ids
         task = TaskContext.get()
         fs, root = filesystem(folder)
-        tail = np.array([end_id], "<u4").tobytes()
+        tail = np.array([end_id], "<u4")
         name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.pfor"
         writer = out = None
         for batch in pieces(batches, "text"):
@@ -265,8 +293,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: Callable[[], str], end
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(f"{root}/{name}")
                 writer = TokenFileWriter(out)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                writer.add(doc_id, np.frombuffer(ids + tail, "<u4"))
+            ids, starts = encode(batch.column(1))
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), starts.tolist(), starts[1:].tolist(), strict=False):
+                writer.add(doc_id, np.concatenate([ids[a:b], tail]))
         if writer is not None:
             writer.close()
             out.close()
