@@ -7,6 +7,25 @@ from tiltml.functions.hashing import hash_u
 from tiltml.operators import evolution as EV
 
 
+def evolve_cells_stepwise(df, features, maxima, label_col="class", iterations=EV.DEFAULT_ITERATIONS, w0=None):
+    """The round-by-round form (struct ``withField`` updates), against which the
+    closed form is held. Plan depth grows with rounds."""
+    n = len(features)
+    cut = {0.0: EV.CUT_CONSTANT_CLASS0 / n, 1.0: EV.CUT_CONSTANT_CLASS1 / n}
+    lab = F.col(label_col)
+    cut_c = F.when(lab == F.lit(0.0), F.lit(cut[0.0])).when(lab == F.lit(1.0), F.lit(cut[1.0]))
+    max_c = F.when(lab == F.lit(0.0), F.lit(maxima.get(0.0))).when(lab == F.lit(1.0), F.lit(maxima.get(1.0)))
+    w0 = w0 or {c: F.lit(1.0) for c in features}
+    cur = df.withColumns({c: F.struct(w0[c].alias("weight"), F.col(f"`{c}`").alias("value"),
+                                      (w0[c] * F.col(f"`{c}`")).alias("res")) for c in features})
+    for _ in range(iterations):
+        cur = cur.withColumns({
+            c: F.col(f"`{c}`").withField("weight", F.col(f"`{c}`.weight") + F.try_divide(cut_c - (F.col(f"`{c}`.res") + cut_c), max_c))
+                              .withField("res", F.col(f"`{c}`.weight") * F.col(f"`{c}`.value"))
+            for c in features})
+    return cur
+
+
 def test_coefficients_closed_form():
     assert EV.evolution_coefficients(10) == [1, -10, 36, -56, 35, -6]
     # P_T(x) = sum_k (-1)^k C(T+1-k, k) x^k
@@ -27,7 +46,7 @@ def test_closed_form_equals_stepwise(spark, small, iterations):
     feats = ["a", "b"]
     maxima = EV.class_row_maxima(small, feats, "class", float32=True)
     w0 = {c: hash_u(["k"], 3, c) for c in feats}
-    step = EV.evolve_cells_stepwise(small, feats, maxima, "class", iterations, w0)
+    step = evolve_cells_stepwise(small, feats, maxima, "class", iterations, w0)
     closed = EV.evolved_weights(small, feats, maxima, "class", iterations, "hash", 3, ["k"])
     got = step.select("k", *[F.col(f"{c}.weight").alias(c) for c in feats]).orderBy("k").collect()
     exp = small.select("k", *[closed[c].alias(c) for c in feats]).orderBy("k").collect()
@@ -46,7 +65,7 @@ def test_scores_equal_summed_weights(spark, small, mode):
     feats = ["a", "b"]
     maxima = EV.class_row_maxima(small, feats, "class")
     w = EV.evolved_weights(small, feats, maxima, "class", 10, mode, 3, ["k"])
-    apart = {r.column: r.score for r in EV.column_scores(small, w).collect()}
+    apart = {r.column: r.score for r in EV._summed(small.select(F.array(*w.values()).alias("__tilt_w")), list(w)).collect()}
     whole = {r.column: r.score for r in EV.weight_evolution(small, feats, "class", 10, mode, 3, ["k"]).collect()}
     for c in feats:
         assert math.isclose(whole[c], apart[c], rel_tol=1e-12)

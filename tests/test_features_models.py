@@ -180,3 +180,54 @@ def test_binned_test_equals_spark_on_repeated_rows(spark):
     for (i, statistic, dof, p), r in zip(got, want, strict=True):
         assert (i, dof) == (r.featureIndex, r.degreesOfFreedom)
         assert statistic == pytest.approx(r.statistic) and p == pytest.approx(r.pValue)
+
+
+def test_wide_tables_are_counted_without_repeating_rows(spark):
+    """2,000 columns: counts by numpy, statistics and p-values by Spark's own test on a few of them."""
+    import numpy as np
+    from pyspark.mllib.linalg import DenseMatrix
+    from pyspark.mllib.stat import Statistics
+    d = 2000
+    rows = spark.range(400).select((F.col("id") % 3).cast("double").alias("label"), F.transform(F.sequence(F.lit(1), F.lit(d)), lambda j: F.sin(F.col("id") * j * j)).alias("x"))
+    got = FT.chi2_binned(rows, "x")
+    assert [t[0] for t in got] == list(range(d))
+    local = rows.collect()
+    x, y = np.array([r.x for r in local]), np.array([r.label for r in local])
+    bins = np.minimum(np.floor((x + 1) / 2 * FT.CHI2_BUCKETS), FT.CHI2_BUCKETS - 1).astype(int)
+    for j in (0, 1, 255, 256, 1023, 1999):
+        table = np.array([[np.sum((bins[:, j] == b) & (y == label)) for label in range(3)] for b in np.unique(bins[:, j])], float)
+        want = Statistics.chiSqTest(DenseMatrix(*table.shape, table.ravel(order="F").tolist()))
+        assert got[j][1] == pytest.approx(want.statistic) and got[j][2] == want.degreesOfFreedom and got[j][3] == pytest.approx(want.pValue, abs=1e-12)
+
+
+def test_chi_square_tail():
+    import math
+
+    import numpy as np
+    for dof in (2, 4, 32, 64, 1000):  # closed form for even degrees
+        x = np.array([0.0, 0.1, 1.0, dof * 0.5, dof * 1.0, dof * 1.5, dof * 3.0])
+        want = [math.fsum(math.exp(-v / 2 + j * math.log(v / 2) - math.lgamma(j + 1)) for j in range(dof // 2)) if v else 1.0 for v in x.tolist()]
+        assert FT.chi2_tail(x, np.full(len(x), dof)) == pytest.approx(want, rel=1e-9, abs=1e-14)
+    assert FT.chi2_tail(np.array([1.0, 4.0]), np.array([1, 1])) == pytest.approx([math.erfc(math.sqrt(0.5)), math.erfc(math.sqrt(2.0))], rel=1e-12)
+
+
+def test_weighted_fit_equals_the_fit_of_repeated_rows(spark):
+    rows = [([float(i % 7), float(i % 11), float(i * i % 13)], float((i % 7) * (i % 11) > 18), float(1 + i % 3)) for i in range(300)]
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    df = spark.createDataFrame(rows, "f array<double>, label double, w double").select(array_to_vector("f").alias("features"), "label", "w")
+    repeated = df.select("features", "label", F.explode(F.array_repeat(F.lit(1), F.col("w").cast("int")))).drop("col")
+    params = {"maxIter": 4, "depth": 3, "seed": 2}
+    a = MD.fit(MD.gbt_classifier(params, weight_col="w"), df).transform(df)
+    b = MD.fit(MD.gbt_classifier(params), repeated).transform(df)
+    raw = lambda x: sorted(tuple(round(v, 9) for v in (*r.f, r.m)) for r in x.select(vector_to_array("features").alias("f"), F.get(vector_to_array("rawPrediction"), 1).alias("m")).collect())
+    assert raw(a) == raw(b)
+
+
+def test_preparation_with_weights_repeats_no_row(split):
+    from tiltml.operators import cleaning as X
+    tr, te = split
+    weighted, _ = X.prepare_chain(tr, te, 1.5, "percentile", 0.5, keys=KEYS, keep=KEYS, weight_col="w")
+    repeated, _ = X.prepare_chain(tr, te, 1.5, "percentile", 0.5, keys=KEYS, keep=KEYS)
+    assert weighted.select(*KEYS).distinct().count() == weighted.count()
+    n = lambda x, v: sorted(map(tuple, x.groupBy(*KEYS).agg(v.alias("n")).collect()))
+    assert n(weighted, F.sum("w").cast("long")) == n(repeated, F.count("*"))

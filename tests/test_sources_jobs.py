@@ -134,3 +134,15 @@ def test_delimited_scan_with_explicit_schema(spark, tmp_dir):
     back = scan_delimited(spark, tmp_dir + "/ps", schema="p_partkey bigint, p_size int, p_retailprice double")
     assert [f.dataType.simpleString() for f in back.schema.fields] == ["bigint", "int", "double"]
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, part.collect()))
+
+
+def test_bad_lines_are_quarantined(spark, tmp_dir):
+    from tiltml.sources.readers import quarantined, scan_checked
+    lines = ["k|x|media", "1|2.5|0", "2|oops|1", "3|1.5", "4|1.0|1|more", "5||1", "six|1|1", "7|2|0"]
+    spark.createDataFrame([("\n".join(lines),)], "t string").coalesce(1).write.text(tmp_dir + "/in")
+    good = scan_checked(spark, tmp_dir + "/in", "k long, x double, media double", tmp_dir + "/bad", drop=("media",))
+    assert sorted(map(tuple, good.collect())) == [(1, 2.5), (5, None), (7, 2.0)]
+    bad = quarantined(spark, tmp_dir + "/bad").collect()
+    assert sorted(r.line for r in bad) == sorted([lines[2], lines[3], lines[4], lines[6]]) and all("/in/" in r.file for r in bad)
+    with pytest.raises(ValueError):
+        scan_checked(spark, tmp_dir + "/in", "k long, _corrupt_record string", tmp_dir + "/bad")

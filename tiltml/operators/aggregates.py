@@ -115,6 +115,14 @@ def accuracy(df: DataFrame, prediction_col: str = "prediction", label_col: str =
     return agg.select("n", "correct", safe_div(F.col("correct"), F.col("n")).alias("accuracy"))
 
 
+def summed_arrays(parts: DataFrame, keys: Sequence[str], array_col: str, *more: Column) -> DataFrame:
+    """Element-wise sums of arrays by ``keys``: (keys, place, total). ``parts`` has a few rows a task, so there are as many
+    cells as places for each task, and they are added up on the map side first. ``more`` are aggregates of its other columns."""
+    others = [c for c in parts.columns if c not in (*keys, array_col)]
+    cells = parts.select(*[F.col(f"`{c}`") for c in (*keys, *others)], F.posexplode(F.col(f"`{array_col}`")).alias("place", "__tilt_x"))
+    return cells.groupBy(*[F.col(f"`{c}`") for c in keys], "place").agg(F.sum("__tilt_x").alias("total"), *more)
+
+
 def _pairwise_covariance(df: DataFrame, cols: list[str]) -> DataFrame:
     """Covariances from one Gramian of centred values and their masks.
 

@@ -173,14 +173,15 @@ def prepare_chain(train: DataFrame, test: DataFrame, oversample_ratio: float = 1
                   selector_type: str = "percentile", percentile: float = 0.5,
                   num_top_features: int = 50, seed: int = SAMPLING_SEED,
                   keys: Sequence[str] | None = None, num_buckets: int = CHI2_BUCKETS,
-                  refit_on_test: bool = False, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+                  refit_on_test: bool = False, keep: Sequence[str] = (), weight_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Oversample -> max-abs scale (fit on train) -> chi-square select -> ``(features, label)``.
 
     Oversampling gives every row a number of copies. The maxima need only the
     rows with a copy, and the chi-square test of the binned *scaled* features needs
     counts weighted by the copies, so both are aggregates over the original rows;
     rows are repeated once, in the output. The chosen indices are sliced out of the
-    scaled vector, so scaling reaches the output.
+    scaled vector, so scaling reaches the output. With ``weight_col`` no row is repeated: train comes with
+    its copies as a weight, for fits that take weights, and test with weight 1.
     """
     copies, largest = oversample_copies(train, oversample_ratio, "label", seed, keys)
     counted = train.withColumn("__tilt_copies", copies).filter(F.col("__tilt_copies") >= F.lit(1))
@@ -188,12 +189,14 @@ def prepare_chain(train: DataFrame, test: DataFrame, oversample_ratio: float = 1
     idx = select_binned(counted.select(scaled_array("features", scale).alias("x"), "label", F.col("__tilt_copies").alias("n")),
                         "x", "label", "n", selector_type, percentile, num_top_features, num_buckets=num_buckets)
 
-    def out(x: DataFrame, by: list[float]) -> DataFrame:
+    def out(x: DataFrame, by: list[float], *more: Column) -> DataFrame:
         picked = [F.get(vector_to_array(F.col("features")), F.lit(i)) * F.lit(by[i]) for i in idx]
-        return x.select(*keep, array_to_vector(F.array(*picked)).alias("features"), "label")
+        return x.select(*keep, array_to_vector(F.array(*picked)).alias("features"), "label", *more)
 
-    repeated = repeat_rows(train, copies, largest)
-    return out(repeated, scale), out(test, inverse_maxima(test) if refit_on_test else scale)
+    test_scale = inverse_maxima(test) if refit_on_test else scale
+    if weight_col:
+        return out(counted, scale, F.col("__tilt_copies").cast("double").alias(weight_col)), out(test, test_scale, F.lit(1.0).alias(weight_col))
+    return out(repeat_rows(train, copies, largest), scale), out(test, test_scale)
 
 
 def median_band_filter(df: DataFrame, value, float32: bool = True, strict_reference: bool = False,

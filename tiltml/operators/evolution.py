@@ -18,12 +18,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiltml.functions.columns import feature_columns, row_sum
 from tiltml.functions.hashing import hash_u
-from tiltml.operators.aggregates import class_max_values
+from tiltml.operators.aggregates import class_max_values, summed_arrays
 
 # The round count and per-class cut constants of the original job.
 DEFAULT_ITERATIONS = 10
@@ -107,23 +109,6 @@ def evolved_weights(df: DataFrame, features: Sequence[str], maxima: dict, label_
             for i, c in enumerate(features)}
 
 
-def evolve_cells(df: DataFrame, features: Sequence[str] | None = None, label_col: str = "class",
-                 iterations: int = DEFAULT_ITERATIONS, weight_mode: str = "const", seed: int = 0,
-                 keys: Sequence[str] | None = None, float32_max: bool = True,
-                 keep: Sequence[str] = ()) -> DataFrame:
-    """Each feature becomes ``struct(weight, value)`` after ``iterations`` rounds."""
-    feats = list(features) if features is not None else feature_columns(df, exclude=set(keep) | {label_col, "label"})
-    maxima = class_row_maxima(df, feats, label_col, float32_max)
-    w = evolved_weights(df, feats, maxima, label_col, iterations, weight_mode, seed, keys)
-    return df.select(*keep, *[F.struct(w[c].alias("weight"), F.col(f"`{c}`").alias("value")).alias(c)
-                              for c in feats], F.col(label_col))
-
-
-def column_scores(df: DataFrame, weights: dict[str, Column]) -> DataFrame:
-    """Per-column sum of the given weight expressions, long form ``(column, score)``."""
-    return _summed(df.select(F.array(*[e.cast("double") for e in weights.values()]).alias("__tilt_w")), list(weights))
-
-
 def _summed(rows: DataFrame, names: list[str]) -> DataFrame:
     """``(column, score)`` from the array column ``__tilt_w``: one aggregate with one sum for each
     place (combined on each task), then one row a name. An empty table gives NULL scores."""
@@ -143,15 +128,64 @@ def _scores(df: DataFrame, feats: Sequence[str], maxima: dict, label_col: str, i
     values = F.array(*[F.col(f"`{c}`").cast("double") for c in feats])
     first = F.array(*[initial_weight(weight_mode, c, seed, keys, i) for i, c in enumerate(feats)])
     staged = df.select(values.alias("__tilt_v"), first.alias("__tilt_w0"), m.cast("double").alias("__tilt_m"))
-    weights = F.zip_with("__tilt_v", "__tilt_w0", lambda v, w: w * horner(F.try_divide(v, F.col("__tilt_m")), coeffs))
+    # the quotient is bound once a cell, not in every step of the polynomial
+    shares = F.transform("__tilt_v", lambda v: F.try_divide(v, F.col("__tilt_m")))
+    weights = F.zip_with(shares, "__tilt_w0", lambda x, w: w * horner(x, coeffs))
     return _summed(staged.select(weights.alias("__tilt_w")), list(feats))
 
 
+def moment_scores(df: DataFrame, features: Sequence[str], label_col: str = "class", iterations: int = DEFAULT_ITERATIONS, float32_max: bool = True) -> DataFrame:
+    """``(column, score)`` for starting weights of 1 from one scan: a score is a combination of the sums of a column's
+    powers in each class, so the class maxima and those sums are gathered together, in one array a class and task; the plan is the
+    same at every width. NULL and NaN values count for nothing."""
+    coeffs = evolution_coefficients(iterations)
+    d, size = len(features), len(coeffs)
+
+    def moments(batches):
+        found: dict[float, tuple[float | None, np.ndarray]] = {}
+        for b in batches:
+            classes, sums = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            for c in np.unique(classes).tolist():
+                own = classes == c
+                highest, totals = found.get(c, (None, np.zeros((size, d))))
+                row, v = sums[own], x[own]
+                row = row[~np.isnan(row)]
+                if len(row):
+                    highest = max(row.max(), -np.inf if highest is None else highest)
+                there = ~np.isnan(v)
+                v = np.where(there, v, 0.0)
+                power = there.astype(np.float64)
+                for k in range(size):
+                    totals[k] += power.sum(axis=0)
+                    power *= v
+                found[c] = highest, totals
+        if found:
+            cols = [pa.array(list(found), pa.float64()), pa.array([m for m, _ in found.values()], pa.float64()), pa.array([t.ravel().tolist() for _, t in found.values()], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["c", "m", "p"])
+
+    label = F.col(label_col).cast("double")
+    values = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
+    rows = df.filter(label.isin(0.0, 1.0)).select(label.alias("c"), row_sum(features).cast("double").alias("s"), values.alias("x"))
+    totals = summed_arrays(rows.mapInArrow(moments, "c double, m double, p array<double>"), ["c"], "p", F.max("m").alias("m"))
+    m = F.col("m").cast("float").cast("double") if float32_max else F.col("m")
+    names = F.array(*[F.lit(c) for c in features])
+    power = F.floor(F.col("place") / d).cast("int")
+    factor = F.get(F.array(*[F.lit(float(c)) for c in coeffs]), power) * F.pow(F.try_divide(F.lit(1.0), m), power)
+    # a class maximum of 0 gives NULL weights, which count for nothing; a column without values has a NULL score
+    cells = totals.select(F.get(names, F.col("place") % d).alias("column"), (F.col("total") * factor).alias("cell"), F.when((power == 0) & (m != 0), F.col("total")).alias("n"))
+    # every column has its row, also where the table has no rows of the two classes
+    every = df.sparkSession.range(1).select(F.explode(names).alias("column"), F.lit(None).cast("double").alias("cell"), F.lit(None).cast("double").alias("n"))
+    return cells.unionByName(every).groupBy("column").agg(F.when(F.sum("n") > 0, F.sum("cell")).alias("score"))
+
+
 def weight_evolution(df: DataFrame, features: Sequence[str] | None = None, label_col: str = "class",
                      iterations: int = DEFAULT_ITERATIONS, weight_mode: str = "const", seed: int = 0,
                      keys: Sequence[str] | None = None, float32_max: bool = True) -> DataFrame:
-    """Per-feature evolved weight totals ``(column, score)``."""
+    """Per-feature evolved weight totals ``(column, score)``; equal starting weights take one scan."""
     feats = list(features) if features is not None else feature_columns(df, exclude=set(keys or ()) | {label_col, "label"})
+    if weight_mode == "const":
+        return moment_scores(df, feats, label_col, iterations, float32_max)
     maxima = class_row_maxima(df, feats, label_col, float32_max)
     return _scores(df, feats, maxima, label_col, iterations, weight_mode, seed, keys)
 
@@ -199,32 +233,10 @@ def evolved_feature_selection(df: DataFrame, k: int = DEFAULT_TOP_K, features: S
     """
     feats = list(features) if features is not None else feature_columns(
         df, exclude=set(keys or ()) | set(keep) | {label_col, "label"})
-    # The maxima and the weight sums are two column-pruned aggregates: reading the
-    # input twice costs less than caching the raw table (a caller may have cached it).
-    maxima = class_row_maxima(df, feats, label_col, float32_max)
-    scores = _scores(df, feats, maxima, label_col, iterations, weight_mode, seed, keys)
+    scores = weight_evolution(df, feats, label_col, iterations, weight_mode, seed, keys, float32_max)
     chosen = [r["column"] for r in top_k_columns(scores, k).collect()]
     base = df
     if with_instance_filter:
+        maxima = class_row_maxima(df, feats, label_col, float32_max)
         base = instance_filter(df, evolved_weights(df, feats, maxima, label_col, iterations, weight_mode, seed, keys))
     return project_selected(base, chosen, label_col, keep)
-
-
-def evolve_cells_stepwise(df: DataFrame, features: Sequence[str], maxima: dict, label_col: str = "class",
-                          iterations: int = DEFAULT_ITERATIONS, w0: dict[str, Column] | None = None) -> DataFrame:
-    """The round-by-round form (struct ``withField`` updates), kept as the
-    reference for the closed form in tests. Plan depth grows with rounds."""
-    n = len(features)
-    cut = {0.0: CUT_CONSTANT_CLASS0 / n, 1.0: CUT_CONSTANT_CLASS1 / n}
-    lab = F.col(label_col)
-    cut_c = F.when(lab == F.lit(0.0), F.lit(cut[0.0])).when(lab == F.lit(1.0), F.lit(cut[1.0]))
-    max_c = F.when(lab == F.lit(0.0), F.lit(maxima.get(0.0))).when(lab == F.lit(1.0), F.lit(maxima.get(1.0)))
-    w0 = w0 or {c: F.lit(1.0) for c in features}
-    cur = df.withColumns({c: F.struct(w0[c].alias("weight"), F.col(f"`{c}`").alias("value"),
-                                      (w0[c] * F.col(f"`{c}`")).alias("res")) for c in features})
-    for _ in range(iterations):
-        cur = cur.withColumns({
-            c: F.col(f"`{c}`").withField("weight", F.col(f"`{c}`.weight") + F.try_divide(cut_c - (F.col(f"`{c}`.res") + cut_c), max_c))
-                              .withField("res", F.col(f"`{c}`.weight") * F.col(f"`{c}`.value"))
-            for c in features})
-    return cur

@@ -7,15 +7,19 @@ by the feature count, not by the row count.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import PCA, ChiSqSelector, MaxAbsScaler, QuantileDiscretizer, VectorAssembler, VectorSlicer
+import pyarrow as pa
+from pyspark.ml.feature import PCA, ChiSqSelector, MaxAbsScaler, QuantileDiscretizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import ChiSquareTest, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiltml.operators.aggregates import summed_arrays
+
 # Fixed-width bins of scaled features for the chi-square test. Odd, so that two classes give an
 # even number of degrees of freedom where every bin has rows.
 CHI2_BUCKETS = 33
@@ -104,33 +108,99 @@ def scaled_array(features_col: str, scale: Sequence[float]) -> Column:
     return F.zip_with(vector_to_array(F.col(features_col)), F.array(*[F.lit(float(x)) for x in scale]), lambda x, f: x * f)
 
 
+def contingency(df: DataFrame, array_col: str, label_col: str = "label", weight_col: str | None = None, num_buckets: int = CHI2_BUCKETS) -> DataFrame:
+    """label, place (feature times ``num_buckets`` plus bin), total of an array in [-1, 1], cut into bins of equal width.
+
+    Each task adds its rows into one array a label, so rows aren't multiplied: what is shuffled are counts. Null and NaN elements aren't counted. Memory: features x bins numbers for each label.
+    """
+    weight = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+
+    def count(batches):
+        found: dict[float, np.ndarray] = {}
+        for b in batches:
+            values, labels, weights = b.column(0), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+            sizes = np.diff(values.offsets.to_numpy())
+            x = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            feature = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            with np.errstate(invalid="ignore"):
+                bins = np.clip(np.floor((x + 1.0) / 2.0 * num_buckets), 0, num_buckets - 1)
+            there = ~np.isnan(x)
+            for label in np.unique(labels[~np.isnan(labels)]).tolist():
+                own = there & (labels[row] == label)
+                at = feature[own] * num_buckets + bins[own].astype(np.int64)
+                new = np.bincount(at, weights[row[own]], minlength=num_buckets * int(sizes.max(initial=0)))
+                old = found.get(label, np.zeros(0))
+                if len(old) < len(new):
+                    old, new = new, old
+                old[:len(new)] += new
+                found[label] = old
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.float64()), pa.array([x.tolist() for x in found.values()], pa.list_(pa.float64()))], ["label", "counts"])
+
+    parts = df.select(F.col(array_col).cast("array<double>").alias("x"), F.col(label_col).cast("double").alias("label"), weight.alias("n"))
+    return summed_arrays(parts.mapInArrow(count, "label double, counts array<double>"), ["label"], "counts").filter(F.col("total") > 0)
+
+
+def chi2_tail(statistic: np.ndarray, dof: np.ndarray) -> np.ndarray:
+    """Upper tail of the chi-square distribution: the regularised incomplete gamma function, by its series
+    below the mean and by its continued fraction above."""
+    a, x = np.maximum(np.asarray(dof, np.float64), 1e-300) / 2.0, np.asarray(statistic, np.float64) / 2.0
+    front = np.exp(np.where(x > 0, a * np.log(np.where(x > 0, x, 1.0)), -np.inf) - x - np.array([math.lgamma(v) for v in a.tolist()]))
+    low = x < a + 1.0
+    term = total = 1.0 / a
+    xs = np.where(low, x, 0.0)
+    n = 0
+    while n < 100_000 and (np.abs(term) > 1e-17 * np.abs(total)).any():
+        n += 1
+        term = term * xs / (a + n)
+        total = total + term
+    xf = np.where(low, a + 2.0, x)
+    tiny = 1e-300
+    b = xf + 1.0 - a
+    c, d = np.full_like(b, 1.0 / tiny), 1.0 / b
+    h, n = d.copy(), 0
+    move = np.full_like(b, 2.0)
+    while n < 100_000 and (np.abs(move - 1.0) > 1e-16).any():
+        n += 1
+        k = -n * (n - a)
+        b = b + 2.0
+        d = 1.0 / np.where(np.abs(k * d + b) < tiny, tiny, k * d + b)
+        c = np.where(np.abs(b + k / c) < tiny, tiny, b + k / c)
+        move = c * d
+        h = h * move
+        if n > 400 and (np.abs(move - 1.0) < 1e-14).all():
+            break
+    return np.where(x <= 0, 1.0, np.clip(np.where(low, 1.0 - front * total, front * h), 0.0, 1.0))
+
+
 def chi2_binned(df: DataFrame, array_col: str, label_col: str = "label", weight_col: str | None = None,
                 num_buckets: int = CHI2_BUCKETS) -> list[tuple[int, float, int, float]]:
     """(feature, statistic, degrees of freedom, p-value) of each element of an array in [-1, 1], cut into
     bins of equal width, against the label; rows count ``weight_col`` times.
 
-    One aggregate by (feature, bin, label), combined on each task; features x bins x classes counts
-    reach the driver, where Spark's test of a contingency matrix gives the p-values.
+    The counts are those of :func:`contingency`; features x bins x classes numbers reach the driver, where all
+    statistics and p-values are computed at once.
     """
-    from pyspark.mllib.linalg import DenseMatrix
-    from pyspark.mllib.stat import Statistics
-    place = F.least(F.floor((F.col("__x") + 1.0) / 2.0 * num_buckets), F.lit(num_buckets - 1)).cast("int")
-    weight = F.col(weight_col) if weight_col else F.lit(1)
-    cells = df.select(F.posexplode(F.col(array_col)).alias("feature", "__x"), F.col(label_col).alias("label"), weight.alias("n"))
-    counts = cells.groupBy("feature", place.alias("bin"), "label").agg(F.sum("n").alias("n")).collect()
-    out = []
-    for feature in sorted({r["feature"] for r in counts}):
-        own = [r for r in counts if r["feature"] == feature]
-        bins, labels = sorted({r["bin"] for r in own}), sorted({r["label"] for r in own})
-        table = np.zeros((len(bins), len(labels)))
-        for r in own:
-            table[bins.index(r["bin"]), labels.index(r["label"])] = r["n"]
-        if min(table.shape) < 2:
-            out.append((feature, 0.0, 0, 1.0))
-            continue
-        test = Statistics.chiSqTest(DenseMatrix(*table.shape, table.ravel(order="F").tolist()))
-        out.append((feature, float(test.statistic), int(test.degreesOfFreedom), float(test.pValue)))
-    return out
+    rows = contingency(df, array_col, label_col, weight_col, num_buckets).collect()
+    if not rows:
+        return []
+    labels = sorted({r["label"] for r in rows})
+    features = max(r["place"] for r in rows) // num_buckets + 1
+    table = np.zeros((len(labels), features * num_buckets))
+    number = {label: i for i, label in enumerate(labels)}
+    table[[number[r["label"]] for r in rows], [r["place"] for r in rows]] = [r["total"] for r in rows]
+    table = table.reshape(len(labels), features, num_buckets).transpose(1, 2, 0)
+    by_bin, by_label = table.sum(axis=2), table.sum(axis=1)
+    total = by_bin.sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        expected = by_bin[:, :, None] * by_label[:, None, :] / total[:, None, None]
+        cells = np.where(expected > 0, np.square(table - expected) / expected, 0.0)
+    dof = ((by_bin > 0).sum(axis=1) - 1) * ((by_label > 0).sum(axis=1) - 1)
+    tested = dof > 0
+    statistic = np.where(tested, cells.sum(axis=(1, 2)), 0.0)
+    p = np.where(tested, chi2_tail(statistic, np.where(tested, dof, 1)), 1.0)
+    return [(i, float(s), int(max(k, 0)), float(v)) for i, (s, k, v) in enumerate(zip(statistic, dof, p, strict=True))]
 
 
 def chosen_features(tests: Sequence[tuple[int, float, int, float]], selector_type: str = "percentile", percentile: float = 0.1,
@@ -162,10 +232,6 @@ def select_binned(df: DataFrame, array_col: str, label_col: str = "label", weigh
     return chosen_features(chi2_binned(df, array_col, label_col, weight_col, num_buckets), selector_type, percentile, num_top_features, fpr, fdr, fwe)
 
 
-def slice_vector(df: DataFrame, indices: Sequence[int], input_col: str, output_col: str) -> DataFrame:
-    return VectorSlicer(inputCol=input_col, outputCol=output_col, indices=list(indices)).transform(df)
-
-
 def pca_fit(train: DataFrame, k: int, input_col: str = "features", output_col: str = "pcaFeatures"):
     """PCA fit on train (covariance by one tree aggregate of a d x d Gramian)."""
     return PCA(k=k, inputCol=input_col, outputCol=output_col).fit(train)

@@ -30,7 +30,7 @@ from tiltml.operators import tree_tables as TT
 from tiltml.plans import jobs as J
 from tiltml.session import materialize, scratch_path
 from tiltml.sources import fixtures as FX
-from tiltml.sources.readers import assemble_features, prepare_data, scan_delimited
+from tiltml.sources.readers import assemble_features, prepare_data, quarantined, scan_checked, scan_delimited
 from tiltml.sources.sinks import preview, schema_table, sink_delimited, sink_parquet
 
 KEYS = FX.LINEITEM_KEYS
@@ -114,6 +114,20 @@ def q_scan_delimited(spark, d):
     return scan_delimited(spark, path, sep="|", header=True, infer_schema=True)
 
 
+CHECKED_SCHEMA = "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string"
+
+
+def q_scan_checked(spark, d):
+    """Lines of which some have text for a number (orders divisible by 97) or lack a field (by 101): good rows and quarantined lines."""
+    text, apart = _scratch(spark, "lines"), _scratch(spark, "quarantine")
+    li = FX.table(spark, d, "lineitem")
+    part = F.when(F.col("l_orderkey") % 97 == 0, F.concat(F.lit("x"), F.col("l_partkey").cast("string"))).otherwise(F.col("l_partkey").cast("string"))
+    flag = F.when(F.col("l_orderkey") % 101 != 0, F.col("l_returnflag"))
+    li.select(F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), part, flag)).write.text(text)
+    good = scan_checked(spark, text, CHECKED_SCHEMA, apart, header=False).withColumn("line", F.lit(None).cast("string"))
+    return good.unionByName(quarantined(spark, apart).select("line"), allowMissingColumns=True)
+
+
 def q_sink_parquet(spark, d):
     path = _scratch(spark, "ml-binary")
     sink_parquet(FX.ml_binary(spark, d), path)

@@ -24,7 +24,7 @@ from tiltml.operators import models as MD
 from tiltml.operators import sampling as S
 from tiltml.operators.certificates import fm_certificate, mlp_certificate
 from tiltml.sources import fixtures as FX
-from tiltml.sources.readers import assemble_features, prepare_data, scan_delimited
+from tiltml.sources.readers import assemble_features, prepare_data, scan_checked, scan_delimited
 from tiltml.sources.sinks import sink_parquet
 
 # Shift applied before naive Bayes (keeps features non-negative),
@@ -58,15 +58,17 @@ def gbt_job(spark: SparkSession, config: Mapping) -> DataFrame:
     _require(config, "dataset", "test", "params")
     p = _params(config)
     train, test = _load(spark, config)
+    weight = None
     if p.get("prepare"):
-        # variant: oversample -> scale -> chi-square selection before boosting
+        # variant: oversample -> scale -> chi-square selection before boosting; copies go into the fit as weights
+        weight = "w"
         train, test = X.prepare_chain(train, test, float(p.get("ratio", 1.5)),
                                       str(p.get("selectorType", "percentile")), float(p.get("percentil", 0.5)),
-                                      keys=config.get("keys"))
+                                      keys=config.get("keys"), keep=_keys(config), weight_col=weight)
     if p.get("k"):
         # variant: PCA(k) fit on train before boosting
         train, test = FT.pca_project(train, test, int(p["k"]))
-    pred = MD.fit_predict(MD.gbt_classifier(p), train, test)
+    pred = MD.fit_predict(MD.gbt_classifier(p, weight_col=weight), train, test)
     return A.evaluate_scores(pred, positive=0.0)
 
 
@@ -207,11 +209,15 @@ def csv_mlp_job(spark: SparkSession, config: Mapping) -> DataFrame:
 
     Features are every column except the keys, ``class``, ``label`` and the label
     source ``media`` (no leak). ``schema`` (DDL text) spares the pass over the
-    text that infers one. Returns keys, label and prediction of every row.
+    text that infers one; with ``quarantine`` too, lines that don't fit it go there. Returns keys, label and prediction of every row.
     """
     _require(config, "dataset", "params")
     keys = _keys(config)
-    df = scan_delimited(spark, str(config["dataset"]), sep="|", header=True, schema=config.get("schema"), drop=("layers",))
+    if config.get("quarantine"):
+        _require(config, "schema")
+        df = scan_checked(spark, str(config["dataset"]), config["schema"], str(config["quarantine"]), drop=("layers",))
+    else:
+        df = scan_delimited(spark, str(config["dataset"]), sep="|", header=True, schema=config.get("schema"), drop=("layers",))
     feats = feature_columns(df, exclude={"class", "label", "media", *keys})
     ml = assemble_features(derive_label(df, "media", "label"), feats, label_source=None, keep=keys)
     ml, _ = _scaled(_params(config), ml, ml)

@@ -323,6 +323,10 @@ def build() -> dict[str, str]:
     o: dict[str, str] = {}
     o["scan_parquet"] = FX.ML_BINARY_SQL
     o["scan_delimited"] = "SELECT * FROM part"
+    o["scan_checked"] = ("WITH t AS (SELECT *, l_orderkey % 97 = 0 OR l_orderkey % 101 = 0 AS bad, concat_ws('|', l_orderkey, l_linenumber, "
+                         "CASE WHEN l_orderkey % 97 = 0 THEN 'x' || l_partkey ELSE l_partkey::VARCHAR END, CASE WHEN l_orderkey % 101 <> 0 THEN l_returnflag END) AS text FROM lineitem) "
+                         + "SELECT " + ", ".join(f"CASE WHEN NOT bad THEN {c} END AS {c}" for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"))
+                         + ", CASE WHEN bad THEN text END AS line FROM t")
     o["sink_parquet"] = FX.ML_BINARY_SQL
     o["prepare_data"] = (f"{B} SELECT {K}, {', '.join(f'{vec(c)} AS f{i}' for i, c in enumerate(FEATS))}, class AS label, "
                          f"CASE WHEN {u(Q.SPLIT_SEED)} < 0.7 THEN 'train' ELSE 'test' END AS part FROM b")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tiltml.functions.columns import cast_all_double, feature_columns
+from tiltml.session import materialize
 
 
 def scan_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -34,6 +35,33 @@ def scan_delimited(spark: SparkSession, path: str, sep: str = "|", header: bool
     return df.drop(*drop) if drop else df
 
 
+# Fixed value: the column that holds a line which doesn't fit the schema.
+BAD_LINE = "_corrupt_record"
+
+
+def scan_checked(spark: SparkSession, path: str, schema: StructType | str, quarantine: str, sep: str = "|", header: bool = True,
+                 drop: Sequence[str] = ()) -> DataFrame:
+    """Delimited text under an explicit schema: the rows that fit it. Lines that don't (a value of another type, too few or
+    too many fields) go to ``quarantine`` as a parquet table of line and file; :func:`quarantined` reads it.
+
+    The text is parsed once, with all its columns, into the shared folder; both parts are read from there.
+    """
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    if BAD_LINE in kind.names or "__tilt_file" in kind.names:
+        raise ValueError(f"the schema may not name {BAD_LINE!r} or '__tilt_file'")
+    reader = spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_LINE)
+    parsed = reader.schema(StructType([*kind.fields]).add(BAD_LINE, "string")).csv(path)
+    parsed = materialize(parsed.withColumn("__tilt_file", F.input_file_name()), "checked-lines")
+    bad = F.col(BAD_LINE).isNotNull()
+    parsed.filter(bad).select(F.col(BAD_LINE).alias("line"), F.col("__tilt_file").alias("file")).write.mode("overwrite").parquet(quarantine)
+    return parsed.filter(~bad).drop(BAD_LINE, "__tilt_file", *drop)
+
+
+def quarantined(spark: SparkSession, path: str) -> DataFrame:
+    """line, file of the lines that :func:`scan_checked` put apart."""
+    return spark.read.parquet(path)
+
+
 def is_ml_table(df: DataFrame) -> bool:
     return "features" in df.columns and "label" in df.columns
 
