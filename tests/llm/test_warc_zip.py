@@ -1,5 +1,6 @@
 import hashlib
 import io
+import re
 import struct
 import zipfile
 
@@ -33,6 +34,8 @@ def test_record_round_trip():
         assert fields["warc-type"] == ("response" if refers is None else "revisit")
         assert payload.decode() == ("" if refers else html)
         assert fields["warc-payload-digest"] == "sha256:d"
+        # what the format asks of every record
+        assert {"warc-type", "warc-record-id", "warc-date", "content-length"} <= set(fields) and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["warc-date"])
 
 
 def test_members_of_a_plain_package():

@@ -22,6 +22,7 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -34,17 +35,18 @@ from tiltml.llm.common import filesystem, load, materialize, pieces, shared_path
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 MIN_REVISIT = 100
 _RUN_RECORDS, _RUN_BYTES = 512, 8 << 20
+READERS = 4  # tasks that read, for each package
 
 
 # --- records --------------------------------------------------------------------------------
 
-def record(page_id: int | None, url: str | None, html: str, digest: str, refers_to: int | None) -> bytes:
-    """One gzip member holding a response or, if it refers to a page, a revisit record."""
+def record(page_id: int | None, url: str | None, html: str, digest: str, refers_to: int | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """One gzip member holding a response or, if it refers to a page, a revisit record; ``date`` is its time in UTC."""
     payload = html.encode()
     name = lambda i: f"<urn:page:{'' if i is None else i}>"
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     fields = {
-        "WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": name(page_id),
+        "WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": name(page_id), "WARC-Date": date,
         "WARC-Target-URI": quote(url or "", safe="".join(chr(c) for c in range(33, 127))), "WARC-Payload-Digest": f"sha256:{digest}",
         "Content-Type": "application/http; msgtype=response",
     }
@@ -146,7 +148,10 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 
 
 def write_packages(rows: DataFrame, folder: str) -> DataFrame:
-    """One package a partition below ``folder``, named after the task's attempt; the manifest: path, n_records."""
+    """One package a partition below ``folder``, named after the task's attempt; the manifest: path, n_records. All records bear
+    the time of the call, so a repeated task writes the same."""
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
     def write(batches):
         task, (fs, root) = TaskContext.get(), filesystem(folder)
         name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.zip"
@@ -160,7 +165,7 @@ def write_packages(rows: DataFrame, folder: str) -> DataFrame:
                 package = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
                 member = package.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = record(*row)
+                data = record(*row, date)
                 member.write(data)
                 lines.append(json.dumps({"page_id": row[0], "offset": place, "length": len(data)}))
                 place += len(data)
@@ -205,8 +210,10 @@ def read_packages(manifest: DataFrame) -> DataFrame:
                     ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
 
     files = manifest.select("path")
-    found = files.repartition(max(1, files.count())).mapInArrow(runs, "path string, offsets array<long>, lengths array<long>")
-    return found.repartition("path", F.col("offsets")[0]).mapInArrow(
+    n = max(1, files.count())
+    found = files.repartition(n).mapInArrow(runs, "path string, offsets array<long>, lengths array<long>")
+    # places are small, what they stand for isn't: a number of partitions that isn't merged by size
+    return found.repartition(READERS * n, "path", F.col("offsets")[0]).mapInArrow(
         read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
