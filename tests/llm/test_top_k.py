@@ -45,5 +45,21 @@ def test_most_candidates_are_pruned():
         assert [(i, s) for p, i, s in got if p == j] == [(i, -s) for s, i in scores[:5]]
 
 
+def test_blocks_never_go_through_the_driver(spark, tables):
+    """A side that is small at run time isn't broadcast either: it grows with the product of both sides."""
+    found = QUERIES["op3_top_k"](spark, tables)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_blocks_are_packed_narrowly():
+    for high, size in ((100, 1), (300, 2), (40_000, 4), (2**40, 8)):
+        matrix = np.array([[-high, 0, high], [1, 2, 3]])
+        data = K.narrowed(matrix)
+        assert len(data) == 1 + 6 * size and (K.widened(data, 3) == matrix).all()
+    assert K.widened(K.narrowed(np.array([[-128, 127]])), 2).tolist() == [[-128, 127]] and len(K.narrowed(np.array([[128]]))) == 3
+
+
 def test_empty_table(spark, empty_tables):
     assert QUERIES["op3_top_k"](spark, empty_tables).count() == 0

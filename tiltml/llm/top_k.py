@@ -1,8 +1,8 @@
 """Exact top-k inner products by columnar branch and bound.
 
 Vectors become integers, floor(256 * x). Candidates are packed into blocks in vertical layout
-(one row a dimension), queries into blocks of their own, and every pair of blocks is met once by
-an equi-join on its two numbers; a pair is one bounded unit of work. In it, scores are added up
+(one row a dimension, in the fewest bytes that hold the block's numbers), queries into blocks of their own, and every pair
+of blocks is met once by a sort-merge join on its two numbers, so no table goes through the driver; a pair is one bounded unit of work. In it, scores are added up
 dimension block by dimension block, the heaviest dimensions first. What the dimensions left can
 still add is at most the product of the remaining norms, so a candidate whose partial score and
 bound stay under the query's k-th best known score is dropped, and the survivors are compacted.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tiltml.llm.common import load
 
-CANDIDATES, QUERIES, DIMENSIONS = 4096, 1024, 16
+CANDIDATES, QUERIES, DIMENSIONS = 4096, 4096, 16
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -35,6 +35,18 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return rows.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * 256)).alias("v"))
 
 
+def narrowed(matrix: np.ndarray) -> bytes:
+    """The matrix in the narrowest integers that hold it, behind one byte with their size."""
+    low, high = matrix.min(initial=0), matrix.max(initial=0)
+    size = next(n for n in (1, 2, 4, 8) if n == 8 or (low >= -(1 << 8 * n - 1) and high < 1 << 8 * n - 1))
+    return bytes([size]) + matrix.astype(f"<i{size}").tobytes()
+
+
+def widened(data: bytes, columns: int) -> np.ndarray:
+    """The matrix of :func:`narrowed`, as 64-bit integers."""
+    return np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64).reshape(-1, columns)
+
+
 def packed(rows: DataFrame, blocks: int, block: str, names: tuple[str, str, str]) -> DataFrame:
     """Deals rows evenly over ``blocks`` partitions and makes each one row: number, ids, dimensions by rows."""
     def pack(batches):
@@ -52,7 +64,7 @@ def packed(rows: DataFrame, blocks: int, block: str, names: tuple[str, str, str]
             place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
             matrix[place, row] = np.concatenate(values)
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.concatenate(ids).astype("<i8").tobytes()]),
-                                              pa.array([matrix.tobytes()])], [block, *names[:2]])
+                                              pa.array([narrowed(matrix)])], [block, *names[:2]])
 
     return rows.repartition(blocks).mapInArrow(pack, f"{block} int, {names[0]} binary, {names[1]} binary")
 
@@ -109,14 +121,15 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         for b in batches:
             for q_no, *data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 q_ids, c_ids = np.frombuffer(data[0], "<i8"), np.frombuffer(data[2], "<i8")
-                q, c = np.frombuffer(data[1], "<i8").reshape(-1, len(q_ids)), np.frombuffer(data[3], "<i8").reshape(-1, len(c_ids))
+                q, c = widened(data[1], len(q_ids)), widened(data[3], len(c_ids))
                 found = block_top_k(q_ids, q, c_ids, c, k)
                 place = np.array([x[0] for x in found], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(found), q_no, np.int32)), pa.array(place), pa.array(q_ids[place], pa.int64()), pa.array([x[1] for x in found], pa.int64()),
                      pa.array([x[2] for x in found], pa.int64())], ["q", "place", "query_id", "vec_id", "score"])
 
-    met = queries.join(candidates, ["q", "c"]).select("q", "q_ids", "q_v", "c_ids", "c_v")
+    # a broadcast of either side would grow with the product of both through the driver
+    met = queries.hint("merge").join(candidates, ["q", "c"]).select("q", "q_ids", "q_v", "c_ids", "c_v")
     found = met.mapInArrow(work, "q int, place long, query_id long, vec_id long, score long")
     order = Window.partitionBy("q", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
