@@ -199,3 +199,21 @@ def test_one_draw_a_row(mlb):
     for df in (S.kfold_assign(mlb, 4, 1, KEYS), S.random_split(mlb, [0.7, 0.3], 1, KEYS)[1], S.random_split(mlb, [0.25] * 4, 1, KEYS)[2]):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("md5(") == 1
+
+
+def test_large_poisson_counts_are_the_sums_of_md5_draws(spark):
+    """Counts of many draws against plain md5; they come from batches, not from lambdas that Spark interprets draw by draw."""
+    import bisect
+    from hashlib import md5
+    rows = spark.range(20).withColumn("id", F.when(F.col("id") > 0, F.col("id")))
+    for fraction in (9.0, 2000.0, 600_000.0):
+        draws, mean = H.poisson_parts(fraction)
+        table = H.poisson_table(mean)
+        some = rows.limit(20 if fraction < 10_000 else 2)
+        out = some.select("id", S.copies_of(some, fraction, 7, ["id"])[0].alias("n"))
+        assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+        for r in out.collect():
+            key = f"7|{H.NULL_KEY if r.id is None else r.id}"
+            digests = [md5(f"{key}|poisson|{b}".encode()).digest() for b in range(-(-draws // 4))]
+            us = [int.from_bytes(digests[j // 4][j % 4 * 4:j % 4 * 4 + 4], "big") / 2**32 for j in range(draws)]
+            assert r.n == sum(bisect.bisect_right(table, u) for u in us)

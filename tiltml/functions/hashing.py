@@ -22,7 +22,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from hashlib import md5
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,11 +118,25 @@ def key_text(keys: Sequence[str | Column], seed: int) -> Column:
 
 def hash_u_block_from_key(key: Column, block: str) -> list[Column]:
     """:func:`hash_u_block` from a staged :func:`key_text` column (same draws)."""
-    digest = F.md5(F.concat(key, F.lit("|"), F.lit(block)))
+    digest = digest_from_key(key, block)
     return [F.conv(F.substring(digest, 1 + 8 * j, 8), 16, 10).cast("double") / F.lit(TWO_POW_32)
             for j in range(DRAWS_PER_DIGEST)]
 
 
+def digest_from_key(key: Column, block: str) -> Column:
+    """The md5 digest whose slots are the draws of :func:`hash_u_block_from_key`."""
+    return F.md5(F.concat(key, F.lit("|"), F.lit(block)))
+
+
+def digest_draw_at_least(digest: Column, slot: int, least: float) -> Column:
+    """Whether draw ``slot`` of a digest is ``least`` or more, by comparing its eight digits as text: a draw is
+    their number over 2^32, which is exact, so no digits are converted."""
+    number = math.ceil(least * TWO_POW_32)
+    if number <= 0 or number >= 1 << 32:
+        return F.lit(number <= 0)
+    return F.substring(digest, 1 + 8 * slot, 8) >= F.lit(f"{number:08x}")
+
+
 def sql_hash_u_block(keys: Sequence[str], seed: int, block: str, slot: int) -> str:
     """DuckDB twin of slot ``slot`` of :func:`hash_u_block`."""
     parts = ", ".join([f"'{seed}'"] + _sql_keys(keys) + [f"'{block}'"])
@@ -177,13 +194,16 @@ def poisson_count(u: Column, key: Column, fraction: float) -> tuple[Column, int]
     """Copies of a row for sampling *with replacement* at ``fraction``, and their largest possible number.
 
     Up to ``POISSON_MEAN`` the row's draw ``u`` decides. Beyond, the draws come four a hash of the row's ``key`` text and a
-    block number, and their counts are added up in two nested steps, so that neither the plan nor a row's
-    memory grows with the fraction; the work of a row does, as its copies do.
+    block number, and their counts are added up; neither the plan nor a task's memory grows with the fraction,
+    the work of a row does, as its copies do. md5 draws are counted on Arrow batches, as the lambdas that Spark interprets take
+    some ten times as long.
     """
     draws, mean = poisson_parts(fraction)
     largest = draws * len(poisson_table(mean))
     if draws == 1:
         return _bound(u, lambda x: poisson_copies(x, mean)), largest
+    if _draw_hash() != "xxhash64":
+        return _poisson_sums(draws, mean)(key), largest
     blocks = -(-draws // DRAWS_PER_DIGEST)
     inner = math.isqrt(blocks - 1) + 1
     zero = F.lit(0).cast("long")
@@ -191,11 +211,7 @@ def poisson_count(u: Column, key: Column, fraction: float) -> tuple[Column, int]
 
     def block(k: Column, b: Column) -> Column:
         places = F.sequence(F.lit(0), F.least(F.lit(DRAWS_PER_DIGEST - 1), F.lit(draws - 1) - b * DRAWS_PER_DIGEST).cast("int"))
-        if _draw_hash() == "xxhash64":
-            us = F.transform(places, lambda j: F.shiftrightunsigned(F.xxhash64(k, b, j), 11).cast("double") / F.lit(TWO_POW_53))
-        else:
-            digest = F.md5(F.concat_ws("|", k, F.lit("poisson"), b.cast("string")))
-            us = _bound(digest, lambda d: F.transform(places, lambda j: F.conv(F.substr(d, j * 8 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(TWO_POW_32)))
+        us = F.transform(places, lambda j: F.shiftrightunsigned(F.xxhash64(k, b, j), 11).cast("double") / F.lit(TWO_POW_53))
         return F.aggregate(F.transform(us, lambda x: poisson_copies(x, mean).cast("long")), zero, plus)
 
     def row(k: Column) -> Column:
@@ -207,6 +223,33 @@ def poisson_count(u: Column, key: Column, fraction: float) -> tuple[Column, int]
     return _bound(key, row), largest
 
 
+# Digests that a task holds at once while it counts draws.
+_DIGESTS = 1 << 14
+
+
+def _poisson_sums(draws: int, mean: float):
+    """UDF: the sum of ``draws`` Poisson counts from the md5 digests of a row's key text and the block numbers."""
+    table = np.array(poisson_table(mean)) * TWO_POW_32
+    blocks = -(-draws // DRAWS_PER_DIGEST)
+
+    @F.pandas_udf("long")
+    def sums(keys: pd.Series) -> pd.Series:
+        starts = [f"{k}|poisson|".encode() for k in keys]
+        out = np.zeros(len(starts), np.int64)
+        for first in range(0, blocks, _DIGESTS):
+            ends = [str(b).encode() for b in range(first, min(blocks, first + _DIGESTS))]
+            wanted = min(draws - first * DRAWS_PER_DIGEST, len(ends) * DRAWS_PER_DIGEST)
+            rows = max(1, _DIGESTS // len(ends))
+            for low in range(0, len(starts), rows):
+                some = starts[low:low + rows]
+                data = b"".join([md5(s + e).digest() for s in some for e in ends])
+                us = np.frombuffer(data, ">u4").reshape(len(some), -1)[:, :wanted].astype(np.float64)
+                out[low:low + rows] += np.searchsorted(table, us.ravel(), side="right").reshape(us.shape).sum(axis=1)
+        return pd.Series(out)
+
+    return sums
+
+
 def sql_poisson_ctes(fraction_from: str, tag: str = "", values: int = 60) -> str:
     """DuckDB CTE ``pt`` (with ``tag`` behind its name) with ``draws`` and the list ``cdf`` of :func:`poisson_table`;
     ``fraction_from`` is a CTE with one row and a column ``frac``."""
