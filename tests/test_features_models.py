@@ -231,3 +231,41 @@ def test_preparation_with_weights_repeats_no_row(split):
     assert weighted.select(*KEYS).distinct().count() == weighted.count()
     n = lambda x, v: sorted(map(tuple, x.groupBy(*KEYS).agg(v.alias("n")).collect()))
     assert n(weighted, F.sum("w").cast("long")) == n(repeated, F.count("*"))
+
+
+def test_tree_fits_read_a_row_a_cell(spark):
+    """200,000 rows, all their prices different: the fit reads as many weighted rows as there are pairs of bins and labels, no row is
+    lost, and the model scores the rows as they are."""
+    from pyspark.ml.functions import array_to_vector
+    rows = spark.range(200_000).select("id", array_to_vector(F.array(F.pmod(F.xxhash64("id"), F.lit(10**9)) / 1000.0, (F.col("id") % 7).cast("double"))).alias("features"),
+                                       F.when(F.pmod(F.xxhash64("id"), F.lit(10**9)) < 3 * 10**8, 1.0).otherwise(0.0).alias("label"))
+    est = MD.gbt_classifier({"maxIter": 2, "depth": 3})
+    with MD.tree_cells(est, rows) as cells:
+        assert cells.count() <= 32 * 7 * 2
+        assert cells.agg(F.sum(MD.CELL_WEIGHT)).first()[0] == 200_000
+        first = sorted((list(r.features), r.label, r[MD.CELL_WEIGHT]) for r in cells.collect())
+    with MD.tree_cells(est, rows.repartition(5)) as cells:
+        assert sorted((list(r.features), r.label, r[MD.CELL_WEIGHT]) for r in cells.collect()) == first
+    assert A.evaluate(MD.fit(est, rows).transform(rows))[2] > 0.9
+    copies = rows.select("features", "label").where("id < 3").union(rows.select("features", "label").where("id < 3"))
+    with MD.tree_cells(est, copies) as cells:
+        assert sorted(r[MD.CELL_WEIGHT] for r in cells.collect()) == [2.0, 2.0, 2.0]
+
+
+def test_bags_draw_rows_one_by_one_or_runs_of_equal_ones(spark, split, monkeypatch):
+    est = MD.rf_classifier({"nTrees": 3, "maxDepth": 3, "seed": 3})
+    n = split[0].count()
+    with MD.tree_cells(est, split[0]) as cells:
+        assert cells.count() == n and cells.select(MD.CELL_WEIGHT).distinct().collect()[0][0] == 1.0
+    monkeypatch.setattr(MD, "BAG_ROWS", n // 4)
+    binned = split[0].select(*KEYS, "label", F.lit(1.0).alias("x")).where("l_linenumber is not null")
+    from pyspark.ml.functions import array_to_vector
+    same = binned.select(*KEYS, array_to_vector(F.array("x")).alias("features"), "label")
+    with MD.tree_cells(est, same) as cells:
+        assert cells.count() <= n // 4 + 3 and cells.agg(F.sum(MD.CELL_WEIGHT)).first()[0] == n
+
+
+def test_fits_refuse_rows_without_a_label(spark, split):
+    bad = split[0].withColumn("label", F.when(F.col("l_linenumber") > 1, F.col("label")))
+    with pytest.raises(Exception, match="label in every row"):
+        MD.fit(MD.gbt_classifier({"maxIter": 1}), bad)

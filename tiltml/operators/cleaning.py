@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiltml.functions.hashing import (DRAWS_PER_DIGEST, _draw_hash, hash_u_block,
-                                      hash_u_block_from_key, key_text)
+                                      digest_draw_at_least, digest_from_key, key_text)
 from tiltml.operators.features import CHI2_BUCKETS, inverse_maxima, scaled_array, select_binned
 from tiltml.operators.filters import confident_predicate, noise_retention_predicate
-from tiltml.operators.models import deal, fit_dealt, gbt_classifier, held, rf_classifier
+from tiltml.operators.models import fit, fit_dealt, gbt_classifier, rf_classifier, tree_cells, weighted
 from tiltml.operators.sampling import (SAMPLING_SEED, SPLIT_SEED_FOLDS, kfold_assign,
                                        kfold_complement, oversample_copies, random_split, repeat_rows, union_many)
 from tiltml.operators.tree_tables import staged_margins
@@ -48,16 +47,16 @@ def noise_filter(df: DataFrame, k: int = NOISE_FOLDS, seed: int = SPLIT_SEED_FOL
     it is minority (label 1) or a correctly predicted majority row. Every
     minority row survives; the output is a subset of the input.
 
-    One fold column replaces k splits + unions of k-1 parts. The training rows are dealt
-    once, with their fold, and held while the k fits read the rows of the other folds;
+    One fold column replaces k splits + unions of k-1 parts. The training rows become weighted cells
+    once, with their fold, and are held while the k fits read those of the other folds;
     the fits are submitted concurrently (``parallelism``). With ``materialize`` the result is written
     to the shared checkpoint folder, so that later actions don't score the rows again.
     ``estimator`` replaces the random forest of ``num_trees``.
     """
     folded = kfold_assign(df.select(*keep, features_col, label_col), k, seed, keys)
     est = estimator or rf_classifier({"nTrees": num_trees, "seed": model_seed}, features_col, label_col)
-    with held(deal(folded, [features_col, label_col, "fold"])) as rows:
-        models = fit_dealt([(est, kfold_complement(rows, i).drop("fold")) for i in range(k)], parallelism)
+    with tree_cells(est, folded, ["fold"]) as cells:
+        models = fit_dealt([(weighted(est), kfold_complement(cells, i).drop("fold")) for i in range(k)], parallelism)
     parts = []
     for i, model in enumerate(models):
         scored = model.transform(folded.filter(F.col("fold") == F.lit(i)))
@@ -88,7 +87,7 @@ def confidence_cascade(df: DataFrame, rounds: int = CASCADE_ROUNDS,
     seed), and its survivors already passed that model, so a repeated round
     re-emits that round's prediction column without refitting or rescoring.
     Configurations that differ in their number of rounds only are stages of
-    the longest: 3 fits on rows dealt and held once, and 3 walks over 285 trees,
+    the longest: 3 fits on weighted cells made and held once, and 3 walks over 285 trees,
     for the 30 rounds of the original configurations.
     """
     train, test = random_split(df.select(*keep, features_col, label_col), split, seed, keys)
@@ -121,14 +120,18 @@ def confidence_cascade(df: DataFrame, rounds: int = CASCADE_ROUNDS,
 
 def fit_longest(configs: Sequence[Mapping], train: DataFrame, features_col: str, label_col: str, parallelism: int) -> tuple[dict, list[tuple]]:
     """(models by name, the name of each configuration): of configurations that differ in ``maxIter`` only, the longest is fitted. The
-    training rows are dealt and held once for all fits."""
+    training rows become weighted cells once for all fits."""
     longest: dict[tuple, dict] = {}
     names = [tuple(sorted((k, v) for k, v in c.items() if k != "maxIter")) for c in configs]
     for name, c in zip(names, configs, strict=True):
         if name not in longest or int(c["maxIter"]) > int(longest[name]["maxIter"]):
             longest[name] = dict(c)
-    with held(deal(train, [features_col, label_col])) as rows:
-        models = fit_dealt([(gbt_classifier(c, features_col, label_col), rows) for c in longest.values()], parallelism)
+    fits = [gbt_classifier(c, features_col, label_col) for c in longest.values()]
+    if len({est.getMaxBins() for est in fits}) > 1:
+        models = [fit(est, train) for est in fits]
+    else:
+        with tree_cells(fits[0], train) as cells:
+            models = fit_dealt([(weighted(est), cells) for est in fits], parallelism)
     return dict(zip(longest, models, strict=True)), names
 
 
@@ -142,31 +145,42 @@ def synthetic_bernoulli(df: DataFrame, n: int = SYNTHETIC_COLUMNS, p_class0: flo
     The original job exploded the first 30 vector elements and then
     overwrote every one of them with a random draw (its second draw, with
     P(1) = 0.7, wins), so only the count survives: the vector is never read
-    here. With keys, draws come four per md5 digest of (row key, block).
+    here. With keys, draws come four per md5 digest of (row key, block) and are
+    compared as text; the vectors are dense.
     """
-    p = F.when(F.col(label_col) == F.lit(1.0), F.lit(p_class1)).otherwise(F.lit(p_class0))
+    one = F.col(label_col) == F.lit(1.0)
+    least = [(p_class1, one), (p_class0, None)] if p_class1 != p_class0 else [(p_class0, None)]
+
+    def drawn(at_least) -> Column:
+        """Whether the draw is at least 1 - p of the row's class."""
+        out = at_least(1.0 - least[-1][0])
+        return out if len(least) == 1 else F.when(one, at_least(1.0 - least[0][0])).otherwise(out)
+
     staged_key = bool(keys) and _draw_hash() == "md5"
     if staged_key:
-        # the row's key text is built once, in its own projection
+        # the row's key text is built once, in its own projection, and so are the digests
+        blocks = range(-(-n // DRAWS_PER_DIGEST))
         df = df.select(*keep, F.col(label_col), key_text(keys, seed).alias("__tilt_key"))
+        df = df.select(*keep, F.col(label_col), *[digest_from_key(F.col("__tilt_key"), f"{prefix}.block{b}").alias(f"__tilt_md5_{b}") for b in blocks])
     cols = []
     draws: list = []
     for i in range(n):
-        name = f"{prefix}{i}"
-        if keys:
-            if i % DRAWS_PER_DIGEST == 0:
-                block = f"{prefix}.block{i // DRAWS_PER_DIGEST}"
-                draws = (hash_u_block_from_key(F.col("__tilt_key"), block) if staged_key
-                         else hash_u_block(keys, seed, block))
-            u = draws[i % DRAWS_PER_DIGEST]
+        slot = i % DRAWS_PER_DIGEST
+        if staged_key:
+            digest = F.col(f"__tilt_md5_{i // DRAWS_PER_DIGEST}")
+            hit = drawn(lambda x, d=digest, j=slot: digest_draw_at_least(d, j, x))
+        elif keys:
+            if slot == 0:
+                draws = hash_u_block(keys, seed, f"{prefix}.block{i // DRAWS_PER_DIGEST}")
+            hit = drawn(lambda x, u=draws[slot]: u >= F.lit(x))
         else:
-            u = F.rand(seed + i)
-        cols.append(F.when(u >= F.lit(1.0) - p, F.lit(1)).otherwise(F.lit(0)).alias(name))
+            hit = F.rand(seed + i) >= F.lit(1.0) - F.when(one, F.lit(p_class1)).otherwise(F.lit(p_class0))
+        cols.append(F.when(hit, F.lit(1)).otherwise(F.lit(0)).alias(f"{prefix}{i}"))
     wide = df.select(*keep, *cols, F.col(label_col))
     if not assemble:
         return wide
-    names = [f"{prefix}{i}" for i in range(n)]
-    return VectorAssembler(inputCols=names, outputCol="features").transform(wide).select(*keep, "features", label_col)
+    names = [F.col(f"{prefix}{i}").cast("double") for i in range(n)]
+    return wide.select(*keep, array_to_vector(F.array(*names)).alias("features"), label_col)
 
 
 def prepare_chain(train: DataFrame, test: DataFrame, oversample_ratio: float = 1.5,

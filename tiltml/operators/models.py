@@ -12,8 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.classification import FMClassifier, GBTClassifier, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,18 +191,148 @@ def training_rows(estimator, train: DataFrame, partitions: int | None = None) ->
     return train.select(*[F.col(f"`{c}`") for c in cols]) if isinstance(estimator, NaiveBayes) else deal(train, cols, partitions)
 
 
-def reads_often(estimator) -> bool:
-    """Tree fits go over their input several times before they have points of their own; the others keep what they read first."""
+# Rows from which a feature's bins are chosen: so many, or fewer if there are many features.
+BIN_ROWS, BIN_VALUES = 100_000, 5_000_000
+# Rows that a bagged fit draws one by one; of larger tables it draws runs of equal binned rows, about so many and one a cell more.
+BAG_ROWS = 1 << 21
+# Cells in a partition of a tree fit's input.
+CELL_ROWS = 1 << 14
+CELL_WEIGHT = "__tilt_weight"
+
+
+def is_tree_fit(estimator) -> bool:
     return isinstance(estimator, (GBTClassifier, RandomForestClassifier))
 
 
+def is_bagged(estimator) -> bool:
+    return isinstance(estimator, RandomForestClassifier) and estimator.getBootstrap()
+
+
 def fit(estimator, train: DataFrame, partitions: int | None = None):
-    """Fit on :func:`training_rows`, held for the length of a tree fit; no job starts before the fit's own."""
-    rows = training_rows(estimator, train, partitions)
-    if not reads_often(estimator):
-        return estimator.fit(rows)
-    with held(rows):
-        return estimator.fit(rows)
+    """Fit on :func:`training_rows`, or a tree fit on :func:`tree_cells`."""
+    if not is_tree_fit(estimator):
+        return estimator.fit(training_rows(estimator, train, partitions))
+    with tree_cells(estimator, train) as cells:
+        return weighted(estimator).fit(cells)
+
+
+def weighted(estimator):
+    """The estimator for rows of :func:`tree_cells`."""
+    return estimator.copy({estimator.weightCol: CELL_WEIGHT})
+
+
+def bin_values(sample: np.ndarray, times: np.ndarray, bins: int) -> list[np.ndarray]:
+    """Each feature's values that stand for its bins: all values of the sample, or as many quantiles as there are bins.
+    A value belongs to the nearest one (the lower one in the middle), where a tree fit on these values puts its thresholds."""
+    out = []
+    for x in sample.T:
+        here = ~np.isnan(x)
+        values, place = np.unique(x[here], return_inverse=True)
+        if len(values) > bins:
+            share = np.cumsum(np.bincount(place, times[here])) / times[here].sum()
+            values = np.unique(values[np.searchsorted(share, (np.arange(bins) + 0.5) / bins)])
+        out.append(values if len(values) else np.zeros(1))
+    return out
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _coded(rows: DataFrame, values: Sequence[np.ndarray], names: Sequence[str]) -> DataFrame:
+    """``code`` (the bins of the array in the first column, two bytes a feature) and the other columns."""
+    cuts = [(v[1:] + v[:-1]) / 2 for v in values]
+    schema = ", ".join(["code binary", *[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]])
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _matrix(b.column(0))
+            codes = np.empty(x.shape, "<u2")
+            for j, c in enumerate(cuts):
+                codes[:, j] = np.searchsorted(c, x[:, j])
+            ends = np.arange(len(x) + 1, dtype=np.int32) * (2 * len(cuts))
+            code = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(codes.tobytes())])
+            yield pa.RecordBatch.from_arrays([code, *b.columns[1:]], ["code", *names])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _decoded(values: Sequence[np.ndarray]):
+    """UDF: the values that stand for a code's bins."""
+    width = max(len(v) for v in values)
+    table = np.array([np.pad(v, (0, width - len(v))) for v in values])
+
+    @F.pandas_udf("array<double>")
+    def run(code: pd.Series) -> pd.Series:
+        codes = np.frombuffer(b"".join(code), "<u2").reshape(len(code), len(table))
+        return pd.Series(list(table[np.arange(len(table)), codes]), dtype=object)
+
+    return run
+
+
+@contextmanager
+def tree_cells(estimator, train: DataFrame, keep: Sequence[str] = ()) -> Iterator[DataFrame]:
+    """What a tree fit reads: features, label, ``keep`` and a weight, a row for all rows that it can't tell apart.
+
+    A tree sees no more of a feature than its bin (``maxBins``). The bins are chosen here, once, from a sample by a hash of the
+    row as the fit itself does; every row of the table is put into its bins, and equal rows become one with their number (or the sum
+    of their weights) as its weight. The table is read once; what the fit goes over at each level of each tree is bounded by the bins, whatever the
+    number of rows, and by the rows if there are many features. Thresholds lie between the values that stand for bins, so
+    the model scores rows as they are. A bagged fit gets runs of equal rows, as long as leaves about ``BAG_ROWS`` of them, dealt as by :func:`deal`; up to
+    that number of rows a run is one row. The cells are dealt by a hash and held for the length of the fits.
+    """
+    columns = _needed(estimator)
+    features, others = columns[0], [*columns[1:], *keep]
+    if estimator.isDefined(estimator.weightCol) and estimator.getOrDefault(estimator.weightCol):
+        weight = F.col(f"`{estimator.getWeightCol()}`")
+    else:
+        weight = F.lit(1.0)
+    bagged = is_bagged(estimator)
+    named = [F.col(f"`{c}`") for c in others]
+    needed = {features, *others}
+    slim = train.select(vector_to_array(F.col(f"`{features}`")).alias("__tilt_x"), *named, F.xxhash64(*[F.col(f"`{c}`") for c in train.columns]).alias("__tilt_place"))
+    checked = F.when(F.col("__tilt_x").isNull() | F.col(f"`{columns[1]}`").isNull() | F.isnan(F.col(f"`{columns[1]}`")),
+                     F.raise_error(F.lit("a fit needs features and a label in every row"))).otherwise(F.col("__tilt_x"))
+    slim = slim.withColumn("__tilt_x", checked)
+    if set(train.columns) - needed:
+        slim = slim.withColumn("__tilt_n", F.lit(1).cast("long"))
+    else:
+        slim = slim.groupBy("__tilt_x", *named, "__tilt_place").agg(F.count("*").alias("__tilt_n"))
+    with held(slim):
+        distinct, rows, width = slim.agg(F.count("*"), F.sum("__tilt_n"), F.max(F.size("__tilt_x"))).first()
+        if not rows:
+            raise ValueError("a fit needs rows")
+        wanted = min(BIN_ROWS, max(10_000, BIN_VALUES // max(1, width)))
+        some = slim.where(F.pmod("__tilt_place", F.lit(max(1, distinct // wanted))) == 0).select("__tilt_x", "__tilt_n").toArrow()
+        if some.num_rows < min(distinct, wanted) // 4:  # few different rows, often repeated: all of them
+            some = slim.groupBy("__tilt_x").agg(F.sum("__tilt_n").alias("__tilt_n")).toArrow()
+        values = bin_values(_matrix(some.column(0).combine_chunks()), some.column(1).to_numpy().astype(np.float64), estimator.getMaxBins())
+        cells = _coded(slim.select("__tilt_x", *others, "__tilt_n"), values, [*others, "__tilt_n"])
+        total = F.sum("__tilt_n") if bagged else F.sum(weight * F.col("__tilt_n"))
+        by = [c for c in others if bagged or c not in columns[2:]]
+        cells = cells.groupBy("code", *[F.col(f"`{c}`") for c in by]).agg(total.alias(CELL_WEIGHT))
+        cells = cells.where(F.col(CELL_WEIGHT) > 0)
+        with held(cells):
+            place = [F.col("code"), *[F.col(f"`{c}`") for c in by]]
+            parts = max(1, -(-cells.count() // CELL_ROWS))
+            if bagged:
+                run = F.lit(max(1, rows // BAG_ROWS))
+                parts = max(parts, -(-min(rows, BAG_ROWS) // (2 * CELL_ROWS)))
+                runs = cells.withColumn("__tilt_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(CELL_WEIGHT) - 1) / run))))
+                size = F.least(run.cast("long"), F.col(CELL_WEIGHT) - F.col("__tilt_run") * run)
+                cells, place = runs.withColumn(CELL_WEIGHT, size * weight), [*place, F.col("__tilt_run")]
+            dealt = cells.withColumn("__tilt_place", F.xxhash64(*place)).repartition(parts, "__tilt_place").sortWithinPartitions("__tilt_place", *place)
+            vector = array_to_vector(_decoded(values)(F.col("code"))).alias(features)
+            out = dealt.select(vector, *[F.col(f"`{c}`") for c in [columns[1], *keep]], F.col(CELL_WEIGHT).cast("double").alias(CELL_WEIGHT))
+            out.persist(StorageLevel.MEMORY_AND_DISK)
+            out.count()
+    try:
+        yield out
+    finally:
+        out.unpersist()
 
 
 def fit_dealt(jobs, parallelism: int = 4) -> list:

@@ -20,7 +20,8 @@ from tiltml.session import scratch_path
 
 def tree_nodes(model) -> DataFrame:
     """tree, id, feature (-1 in a leaf), threshold, left, right, prediction, impurity, gain, n, weight of every node of a
-    fitted tree, forest or boosted model; ``id`` 0 is a tree's root. Splits must be by thresholds."""
+    fitted tree, forest or boosted model; ``id`` 0 is a tree's root, ``n`` the
+    weight of the rows that reach a node. Splits must be by thresholds."""
     spark = SparkSession.active()
     path = scratch_path(spark, "tree-model")
     model.write().overwrite().save(path)
@@ -31,12 +32,16 @@ def tree_nodes(model) -> DataFrame:
     else:
         data, weights = data.withColumn("tree", F.lit(0)), [1.0]
     split = F.col("split")
+    # a fit on cells counts their weights, not the cells: sums of the classes, or the first of a regression's three sums
+    stats = F.col("impurityStats")
+    total = F.get(stats, 0) if "GBT" in type(model).__name__ or "Regress" in type(model).__name__ else F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)
+    reached = F.round(total).cast("long")
     leaf = F.col("leftChild") < 0
     threshold = F.get(split["leftCategoriesOrThreshold"], 0)
     checked = F.when(split["numCategories"] >= 0, F.raise_error(F.lit("a split by categories has no threshold")).cast("double")).otherwise(threshold)
     return data.select("tree", "id", F.when(leaf, -1).otherwise(split["featureIndex"]).alias("feature"), F.when(~leaf, checked).alias("threshold"),
                        F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), "prediction", "impurity", F.when(~leaf, F.col("gain")).alias("gain"),
-                       F.col("rawCount").alias("n"), F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("tree")).alias("weight"))
+                       reached.alias("n"), F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("tree")).alias("weight"))
 
 
 def numbered(nodes: DataFrame) -> DataFrame:
