@@ -91,3 +91,16 @@ def test_prepare_chain_scales_and_selects(ml):
     assert len(otr.first().features) == 2
     mx = otr.select(F.max(F.abs(F.get(__import__("pyspark.ml.functions", fromlist=["x"]).vector_to_array("features"), 0)))).first()[0]
     assert mx <= 1.0
+
+
+def test_synthetic_draws_are_compared_as_text(spark):
+    """No digits are converted, the draws are those of hash_u_block, and a probability of 0 or 1 is sure."""
+    from tiltml.functions.hashing import hash_u_block
+    df = spark.range(300).select("id", (F.col("id") % 3).cast("double").alias("label"))
+    for p0, p1 in ((0.7, 0.7), (0.25, 0.9), (0.0, 1.0), (1.0, 0.0)):
+        out = X.synthetic_bernoulli(df, n=6, p_class0=p0, p_class1=p1, seed=5, keys=["id"], assemble=False, keep=["id"])
+        assert "conv(" not in out._jdf.queryExecution().optimizedPlan().toString()
+        p = F.when(F.col("label") == 1.0, F.lit(p1)).otherwise(F.lit(p0))
+        us = [u for b in (0, 1) for u in hash_u_block(["id"], 5, f"label.block{b}")]
+        want = df.select("id", *[F.when(u >= 1.0 - p, 1).otherwise(0).alias(f"label{i}") for i, u in enumerate(us[:6])], "label")
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))

@@ -796,7 +796,9 @@ def q_job_synthetic(spark, d):
     out = J.synthetic_job(spark, {"dataset": src, "output": _scratch(spark, "synthetic-out"), "keys": KEYS,
                                   "params": {"seed": SYNTHETIC_JOB_SEED}})
     names = [f"label{i}" for i in range(X.SYNTHETIC_COLUMNS)]
-    return out.select(*KEYS, *_vec_cols(out, "features", names), "label")
+    # the vector becomes an array once a row
+    arrays = out.select(*KEYS, vector_to_array("features").alias("x"), "label")
+    return arrays.select(*KEYS, *[(F.get("x", F.lit(i)) + F.lit(0.0)).alias(name) for i, name in enumerate(names)], "label")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
