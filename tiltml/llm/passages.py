@@ -20,7 +20,8 @@ words stand. Two texts that share the run hold, under every function, windows wi
    settled ones and the first included, are grouped anew, by every run of ``min_words`` words in their
    window (who shares one repeats it exactly, so again one comparison with the first of a group settles
    it). No exact repetition is given up because a third text came first.
-5. Keys with such a member are settled by near-equal passages too, whatever else its centre repeats:
+5. Keys with such a member are settled by near-equal passages too, whatever else its centre repeats,
+   and once more without the keys whose centres all lie in some verified stretch:
    their members are compared again, on a passage's length to either side of the centre, with the first
    one of the key, and with the first one of the key and the smallest hash, under ``NEAR_FUNCTIONS``
    other functions, of a run around the centre. Near-equal members mostly share the latter; a third text
@@ -370,6 +371,30 @@ def near_runs(rest: DataFrame, table: DataFrame, width: int) -> DataFrame:
     return rows.select("key", _member()).distinct()
 
 
+def uncovered(rest: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``rest`` (key, doc_id, text_hash, window) whose centre lies in no verified stretch, on either side."""
+    stretches = found.select("doc_id", "text_hash", "start_word", "end_word").union(found.select("of_doc_id", "of_text_hash", "of_start_word", "of_end_word")).distinct()
+    # a text's stretches hold its centres, its windows are at most as many as its words
+    by_text = stretches.groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).agg(F.collect_list("start_word").alias("starts"), F.collect_list("end_word").alias("ends"))
+    held = rest.groupBy("doc_id", "text_hash").agg(F.collect_list("key").alias("keys"), F.collect_list("window").alias("windows"))
+    both = held.join(by_text, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__t")), "left").select("doc_id", "text_hash", "keys", "windows", "starts", "ends")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, windows = (batch.column(j)[i].values.to_numpy() for j in (2, 3))
+                open_ = np.ones(len(windows), bool)
+                if batch.column(4)[i].is_valid:
+                    starts, ends = (batch.column(j)[i].values.to_numpy() for j in (4, 5))
+                    order = np.argsort(starts)
+                    reach = np.concatenate(([0], np.maximum.accumulate(ends[order] - SHINGLE + 1)))
+                    open_ = reach[np.searchsorted(starts[order], windows >> 32, side="right")] <= windows >> 32
+                at = pa.array(np.full(int(open_.sum()), i))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[open_]), batch.column(0).take(at), batch.column(1).take(at), pa.array(windows[open_])], ["key", "doc_id", "text_hash", "window"])
+
+    return both.mapInArrow(run, "key long, doc_id long, text_hash long, window long")
+
+
 _COLUMNS = ["doc_id", "text_hash", "start_word", "end_word", "of_doc_id", "of_text_hash", "of_start_word", "of_end_word", "similarity", "n_functions"]
 _CHECKED = ("doc_id long, text_hash long, start_word int, end_word int, of_doc_id long, of_text_hash long, of_start_word int, of_end_word int, "
             "similarity double, n_functions int, open array<struct<key: long, window: long>>")
@@ -398,10 +423,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, functions: in
     exact = materialize(_verify(_anew(exact_runs(members, table, width)), table, width, threshold), "passages")
     found = checked.unionByName(exact).where("start_word is not null")
     # Near-equal texts of these keys too, also where a member's centre lies in a repetition with some other text: that one says
-    # nothing about the member and the rest of the key.
-    keys = rest.select("key").distinct()
-    members = pending.join(keys, "key", "left_semi").select("key", "m.doc_id", "m.text_hash", "m.window")
-    near = materialize(_verify(_anew(near_runs(members, table, width)), table, width, threshold, width - 1), "passages")
+    # nothing about the member and the rest of the key. Members of keys with a centre in no repetition are also grouped among
+    # themselves: the others may stand first in a group of all.
+    links = None
+    for keys in (rest, uncovered(rest, found)):
+        members = pending.join(keys.select("key").distinct(), "key", "left_semi").select("key", "m.doc_id", "m.text_hash", "m.window")
+        more = _anew(near_runs(members, table, width))
+        links = links.unionByName(more).distinct() if links else more
+    near = materialize(_verify(links, table, width, threshold, width - 1), "passages")
     near = near.where("start_word is not null")
     return found.unionByName(near).where("start_word is not null").select(*_COLUMNS).distinct()
 
