@@ -2,9 +2,9 @@
 
 Each ``*_classifier(params)`` returns an unfitted estimator; ``fit_predict``
 fits on train and scores test, adding ``rawPrediction, probability,
-prediction``. Training is spark.ml's distributed implementation (tree
-statistics aggregated per level, L-BFGS gradients by tree aggregation);
-the driver only holds the model.
+prediction``. Trees and naive Bayes are trained by spark.ml's distributed
+implementation, machines and perceptrons over blocks of rows
+(:mod:`tiltml.operators.block_fits`); the driver only holds the model.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiltml.operators import block_fits
+
 
 def gbt_classifier(params: Mapping | None = None, features_col: str = "features",
                    label_col: str = "label", weight_col: str | None = None) -> GBTClassifier:
@@ -209,7 +211,12 @@ def is_bagged(estimator) -> bool:
 
 
 def fit(estimator, train: DataFrame, partitions: int | None = None):
-    """Fit on :func:`training_rows`, or a tree fit on :func:`tree_cells`."""
+    """Fit on :func:`training_rows` (machines and perceptrons over blocks of them), or a tree fit on :func:`tree_cells`."""
+    if block_fits.takes(estimator):
+        first = train.select(F.col(f"`{estimator.getFeaturesCol()}`")).head()
+        if first is None or first[0] is None:
+            raise ValueError("a fit needs rows with features")
+        return block_fits.fit(estimator, training_rows(estimator, train, partitions), first[0])
     if not is_tree_fit(estimator):
         return estimator.fit(training_rows(estimator, train, partitions))
     with tree_cells(estimator, train) as cells:
