@@ -5,7 +5,7 @@ from pyspark.sql.types import DoubleType, StructType
 
 from tiltml.operators import block_fits
 from tiltml.operators import models as MD
-from tiltml.operators.certificates import mlp_certificate
+from tiltml.operators.certificates import fm_certificate, mlp_certificate
 
 ROW = StructType().add("features", VectorUDT()).add("label", DoubleType())
 
@@ -51,3 +51,11 @@ def test_rows_that_a_fit_cannot_use_are_errors(spark, row):
     for est in (MD.fm_classifier({"maxiter": 2}), MD.mlp_classifier({"layers": [3, 2], "iter": 2})):
         with pytest.raises(Exception, match="features|labels"):
             MD.fit(est, train)
+
+
+def test_a_machines_certificate_of_no_rows_and_of_no_labels(spark):
+    model = MD.fit(MD.fm_classifier({"maxiter": 2, "factorSize": 3, "seed": 5}), _separable(spark, 200))
+    empty = spark.createDataFrame([], ROW)
+    assert fm_certificate(empty, model).first().n == 0 and fm_certificate(empty, model).first().loss is None
+    unknown = spark.createDataFrame([(Vectors.dense(0.1, 0.2, 0.3), None)], ROW)
+    assert fm_certificate(unknown, model).first().n == 1 and fm_certificate(unknown, model).first().loss is None

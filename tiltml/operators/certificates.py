@@ -1,6 +1,6 @@
 """What a fit has reached, from its weights: loss and gradient in one aggregate.
 
-The forward pass of a factorization machine or of a perceptron is written as columns, so one pass over a table
+The forward pass of a perceptron is written as columns, that of a factorization machine goes over batches, so one pass over a table
 gives its mean logistic loss, the loss of the class shares alone (what a model that has learnt nothing
 reaches), and the gradient's norm. An untrained or constant model shows: its loss isn't under
 the shares' one.
@@ -10,10 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiltml.operators.block_fits import machine_sums
+
 
 def _sum(xs: Sequence[Column]) -> Column:
     out = xs[0]
@@ -28,30 +32,43 @@ def _soft_loss(margin: Column, label: Column) -> Column:
     return F.when(z > 0, F.log1p(F.exp(-z))).otherwise(F.log1p(F.exp(z)) - z)
 
 
-def _certificate(staged: DataFrame, terms: Sequence[Column], constant: Sequence[float]) -> DataFrame:
-    """One row n, loss, prior_loss, gradient from columns loss and label: the norm of the terms' means plus constants."""
-    row = staged.agg(F.count("*").alias("n"), F.avg("loss").alias("loss"), F.avg("label").alias("p"), *[F.avg(t).alias(f"g{i}") for i, t in enumerate(terms)])
+def _reached(means: DataFrame, gradient: Sequence[str]) -> DataFrame:
+    """One row n, loss, prior_loss, gradient from the means loss, p (of the label) and those of the gradient."""
     p = F.col("p")
     prior = F.when((p <= 0) | (p >= 1), F.lit(0.0)).otherwise(-(p * F.log(p) + (1 - p) * F.log(1 - p)))
-    norm = F.sqrt(_sum([(F.col(f"g{i}") + F.lit(c)) * (F.col(f"g{i}") + F.lit(c)) for i, c in enumerate(constant)]))
-    return row.select("n", "loss", prior.alias("prior_loss"), norm.alias("gradient"))
+    return means.select("n", "loss", prior.alias("prior_loss"), F.sqrt(_sum([F.col(g) * F.col(g) for g in gradient])).alias("gradient"))
+
+
+def _certificate(staged: DataFrame, terms: Sequence[Column]) -> DataFrame:
+    """One row n, loss, prior_loss, gradient from columns loss and label: the norm of the terms' means."""
+    row = staged.agg(F.count("*").alias("n"), F.avg("loss").alias("loss"), F.avg("label").alias("p"), *[F.avg(t).alias(f"g{i}") for i, t in enumerate(terms)])
+    return _reached(row, [f"g{i}" for i in range(len(terms))])
 
 
 def fm_certificate(df: DataFrame, model, features_col: str = "features", label_col: str = "label") -> DataFrame:
-    """Certificate of a factorization machine over ``df``: the gradient is that of the loss in every weight."""
+    """Certificate of a factorization machine over ``df``: the gradient is that of the loss in every weight. Losses and
+    gradients are added up by the batch, as in the fit; rows without a label count in n alone."""
     linear, factors = model.linear.toArray(), model.factors.toArray()
     d, k = factors.shape
-    x = [F.col(f"x{i}") for i in range(d)]
-    array = vector_to_array(F.col(features_col))
-    staged = df.select(F.col(label_col).alias("label"), array.alias("x")).select("label", *[F.get("x", F.lit(i)).alias(f"x{i}") for i in range(d)])
-    staged = staged.select("*", *[_sum([F.lit(float(factors[i, f])) * x[i] for i in range(d)]).alias(f"s{f}") for f in range(k)])
-    pairs = [F.col(f"s{f}") * F.col(f"s{f}") - _sum([F.lit(float(factors[i, f] ** 2)) * x[i] * x[i] for i in range(d)]) for f in range(k)]
-    margin = F.lit(float(model.intercept)) + _sum([F.lit(float(linear[i])) * x[i] for i in range(d)]) + F.lit(0.5) * _sum(pairs)
-    staged = staged.withColumn("margin", margin)
-    staged = staged.withColumns({"loss": _soft_loss(F.col("margin"), F.col("label")), "e": F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin"))) - F.col("label")})
-    e = F.col("e")
-    terms = [e, *[e * x[i] for i in range(d)], *[e * x[i] * (F.col(f"s{f}") - F.lit(float(factors[i, f])) * x[i]) for i in range(d) for f in range(k)]]
-    return _certificate(staged, terms, [0.0] * len(terms))
+    weights = np.concatenate((factors.ravel(), linear, [model.intercept]))
+    sums = machine_sums(weights, d, k, with_loss=True)
+
+    def run(batches):
+        for b in batches:
+            y = b.column(1).to_numpy(zero_copy_only=False)
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d).T
+            here = ~np.isnan(y)
+            y, x = y[here], np.ascontiguousarray(x[:, here])
+            with np.errstate(over="ignore"):
+                loss, gradient = sums(x, y)
+            row = [np.array([v]) for v in (len(here), len(y), y.sum(), loss, *gradient)]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in row], ["n", "m", "p", "loss", *[f"g{i}" for i in range(len(gradient))]])
+
+    names = ["p", "loss", *[f"g{i}" for i in range(len(weights))]]
+    rows = df.select(vector_to_array(F.col(features_col)), F.col(label_col).cast("double"))
+    parts = rows.mapInArrow(run, ", ".join(["n long", "m long", *[f"{c} double" for c in names]]))
+    means = parts.agg(F.sum("n").alias("n"), *[F.try_divide(F.sum(c), F.sum("m")).alias(c) for c in names])
+    return _reached(means.withColumn("n", F.coalesce("n", F.lit(0).cast("long"))), [f"g{i}" for i in range(len(weights))])
 
 
 def mlp_certificate(df: DataFrame, model, layers: Sequence[int], features_col: str = "features", label_col: str = "label") -> DataFrame:
@@ -71,4 +88,4 @@ def mlp_certificate(df: DataFrame, model, layers: Sequence[int], features_col: s
     margin = F.col(f"h{n}_1") - F.col(f"h{n}_0")
     staged = staged.withColumns({"loss": _soft_loss(margin, F.col("label")), "e": F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)) - F.col("label")})
     terms = [F.col("e"), *[F.col("e") * F.col(f"h{n - 1}_{i}") for i in range(layers[-2])]]
-    return _certificate(staged, terms, [0.0] * len(terms))
+    return _certificate(staged, terms)
