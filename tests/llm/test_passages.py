@@ -1,5 +1,7 @@
 import random
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -159,5 +161,27 @@ def test_inserted_words_and_a_passage_over_the_window_bound(spark):
     assert any({f.doc_id, f.of_doc_id} == {100, 101} and f.end_word - f.start_word >= 40_000 for f in found)
 
 
+def test_steps_leave_no_shuffle_files(spark):
+    """What a step has shuffled goes when the step is written, and so do the windows that only the next step reads."""
+    r = random.Random(5)
+    passage = [f"p{r.randrange(10**9)}" for _ in range(70)]
+    texts = [" ".join([f"w{r.randrange(10**9)}" for _ in range(40)] + passage[:70 - i] + [f"w{r.randrange(10**9)}" for _ in range(40)]) for i in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {p for d in folders for p in Path(d).rglob("shuffle_*.data")}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, conf = files(), spark.conf.get(name, None)
+    found = P.repeated_passages(docs)
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(name, None) == conf
+    first = sorted(map(tuple, found.collect()))
+    assert {(x[0], x[4]) for x in first} == {(i, 0) for i in range(1, 6)}
+    assert sorted(map(tuple, found.collect())) == first  # a result can be read again
+
+
 def test_empty_table(spark, empty_tables):
     assert QUERIES["op9_passages"](spark, empty_tables).count() == 0

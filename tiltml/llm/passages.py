@@ -36,7 +36,8 @@ part. Empty tables give no rows. Texts are searched whole.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ from pyspark.sql import functions as F
 from tiltml.llm.common import load, materialize, pieces
 
 SHINGLE, MIN_WORDS, FUNCTIONS, THRESHOLD = 5, 50, 2, 0.8
+PIECE = 512 << 10  # bytes of text that numpy works on at once; more don't stay in a core's cache
 NEAR_FUNCTIONS = 4  # by whose minima open members are grouped anew
 # A window in one long: centre << 32 | function << 30 | extent to the left << 15 | to the right.
 _FAR = (1 << 15) - 1
@@ -96,53 +98,66 @@ def compact_windows(values: np.ndarray, counts: np.ndarray, width: int) -> tuple
     ``counts`` values that follow one another. Of equal values the leftmost is the smallest.
 
     A centre is the smallest of some run of ``width``. The smaller value next to either side is a centre too
-    if it is a run or more away; so the Cartesian tree of the centres alone gives the far extents, and
-    the nearer ones are looked up within a run. The values are only scanned for the runs' smallest.
+    if it is a run or more away; so the centres alone give the far extents, and the nearer ones are looked up
+    within a run. Extents are found by halving steps over the smallest of blocks.
     """
     n = len(values)
     starts = np.cumsum(counts) - counts
     valid = _spans(starts, np.maximum(counts - width + 1, 0))
     if not len(valid):
         return (np.empty(0, np.int64),) * 3
-    # Smallest of every run: blocks of ``width`` hold prefix and suffix minima.
-    order = np.argsort(values, kind="stable")
-    rank = np.full(n + -n % width, n)
-    rank[order] = np.arange(n)  # distinct, the leftmost of equal values first
-    grid = rank.reshape(-1, width)
-    before = np.minimum.accumulate(grid, axis=1).ravel()
-    after = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    is_centre = np.zeros(n, bool)
-    is_centre[order[np.minimum(after[valid], before[valid + width - 1])]] = True
-    centres = np.flatnonzero(is_centre)
+    # A centre is as small as the smallest of some run, which is the largest of its runs' smallest.
+    least = np.zeros(n + width - 1, values.dtype)  # by run, at its first place + width - 1
+    least[valid + width - 1] = ~_run_largest(~values, width)[valid]
+    centres = np.flatnonzero(_run_largest(least, width)[:n] == values)
     owner = np.repeat(np.arange(len(counts)), counts)[centres]
     first, last = starts[owner], starts[owner] + counts[owner] - 1
-    # Far extents: the next centre of smaller rank in the same list.
-    left, right = first.copy(), last.copy()
-    stack: list[tuple[int, int, int]] = []
-    for i, (c, r, own) in enumerate(zip(centres.tolist(), rank[centres].tolist(), owner.tolist(), strict=True)):
-        while stack and (stack[-1][2] != own or stack[-1][1] > r):
-            j, _, other = stack.pop()
-            if other == own:
-                right[j] = c - 1
-        if stack:
-            left[i] = centres[stack[-1][0]] + 1
-        stack.append((i, r, own))
+    own = values[centres]
+    near = (width - 1).bit_length()
+    # Far extents: the next smaller centre of the same list. Of equal values the left one is the smaller.
+    held = np.bincount(owner, minlength=len(counts))
+    far = int(held.max()).bit_length()
+    low = (np.cumsum(held) - held)[owner]
+    number = np.arange(len(centres))
+    after = _reach(own, number, own, low + held[owner] - number - 1, far, 1)
+    before = _reach(own, number, own, number - low, far, -1)
+    right = np.where(number + after + 1 < low + held[owner], centres[np.minimum(number + after + 1, len(centres) - 1)] - 1, last)
+    left = np.where(number - before - 1 >= low, centres[np.maximum(number - before - 1, 0)] + 1, first)
     # Nearer extents: the first smaller value within a run.
-    step = np.arange(1, width)
-    for low in range(0, len(centres), 8192):
-        part = slice(low, low + 8192)
-        c = centres[part, None]
-        for sign, end in ((-1, first), (1, last)):
-            place = c + sign * step
-            inside = place >= end[part, None] if sign < 0 else place <= end[part, None]
-            smaller = inside & (rank[np.clip(place, 0, n - 1)] < rank[c])
-            near = np.flatnonzero(smaller.any(axis=1))
-            gap = smaller[near].argmax(axis=1)
-            if sign < 0:
-                left[low + near] = centres[low + near] - gap
-            else:
-                right[low + near] = centres[low + near] + gap
-    return left, centres, right
+    for sign, end in ((1, right), (-1, left)):
+        steps = np.minimum(np.abs(end - centres), (1 << near) - 1)
+        got = _reach(values, centres, own, steps, near, sign)
+        end[:] = np.where(got < steps, centres + sign * got, end)
+    wide = right - left + 1 >= width
+    return left[wide], centres[wide], right[wide]
+
+
+def _run_largest(values: np.ndarray, width: int) -> np.ndarray:
+    """The largest of each run of ``width`` values, by its first place (of 0 behind the last one): blocks of
+    ``width`` hold prefix and suffix maxima."""
+    n = len(values)
+    grid = np.concatenate((values, np.zeros(-n % width + width, values.dtype))).reshape(-1, width)
+    before = np.maximum.accumulate(grid, axis=1).ravel()
+    after = np.maximum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.maximum(after[:n], before[width - 1:width - 1 + n])
+
+
+def _reach(values: np.ndarray, at: np.ndarray, own: np.ndarray, most: np.ndarray, bits: int, sign: int) -> np.ndarray:
+    """How many values in a row beside each place, ``most`` at most (under 2 ** ``bits``), aren't smaller than
+    its own; to the left (``sign`` -1) equal ones are smaller."""
+    blocks = [values]  # blocks[k][i]: the smallest of 2 ** k values from i
+    for k in range(bits - 1):
+        b = blocks[-1]
+        blocks.append(np.minimum(b[:-(1 << k)], b[1 << k:]) if len(b) > 1 << k else b[:0])
+    got = np.zeros(len(at), np.int64)
+    for k in reversed(range(bits)):
+        size, b = 1 << k, blocks[k]
+        if not len(b):
+            continue
+        start = at + got + 1 if sign > 0 else at - got - size
+        smallest = b[np.clip(start, 0, len(b) - 1)]
+        got += size * ((got + size <= most) & ((smallest >= own) if sign > 0 else (smallest > own)))
+    return got
 
 
 def _rolling(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,19 +225,22 @@ def verified(a: np.ndarray, b: np.ndarray, spots: list[tuple[int, int, int, int]
         if np.array_equal(x, y):
             out.append((low, high, low + shift, high + shift, 1.0))
             continue
-        hits = np.concatenate(([0], np.cumsum(np.isin(x, y))))
-        good = (hits[width:] - hits[:-width]) >= need
         same = np.concatenate(([0], np.cumsum(x == y)))
-        runs = np.flatnonzero(good)
-        sure = (same[width:] - same[:-width]) >= need
-        if not sure[runs].all():
-            good &= sure | (sliding_overlap(x, y, width) >= need)
+        good = (same[width:] - same[:-width]) >= need
+        if not good.all():
+            hits = np.concatenate(([0], np.cumsum(_among(x, y))))
+            unsure = np.flatnonzero(~good & ((hits[width:] - hits[:-width]) >= need))
+            # Runs near one another are counted together.
+            for part in np.split(unsure, np.flatnonzero(np.diff(unsure) > width) + 1) if len(unsure) else ():
+                i, j = int(part[0]), int(part[-1])
+                good[i:j + 1] |= sliding_overlap(x[i:j + width], y[i:j + width], width) >= need
         edge = np.flatnonzero(np.diff(np.concatenate(([0], good.astype(np.int8), [0]))))
         for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             stop = j - 1 + width
             # Only words that both have end a stretch.
-            inside = np.flatnonzero(np.isin(x[i:stop], y[i:stop]))
-            i, stop = i + int(inside[0]), i + int(inside[-1]) + 1
+            if x[i] != y[i] or x[stop - 1] != y[stop - 1]:
+                inside = np.flatnonzero(_among(x[i:stop], y[i:stop]))
+                i, stop = i + int(inside[0]), i + int(inside[-1]) + 1
             score = similarity(x[i:stop], y[i:stop])
             if score < threshold:  # each run reaches it, but not all together: the best run stands
                 i = int(i + np.argmax(same[i + width:stop + 1] - same[i:stop + 1 - width])) if stop - i >= width else j - 1
@@ -233,6 +251,12 @@ def verified(a: np.ndarray, b: np.ndarray, spots: list[tuple[int, int, int, int]
     return out
 
 
+def _among(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of x are in y (not empty)."""
+    held = np.sort(y)
+    return held[np.minimum(np.searchsorted(held, x), len(held) - 1)] == x
+
+
 def sliding_overlap(x: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
     """Size of the common bag of x[i:i + width] and y[i:i + width], for every i, by one step from the last."""
     out, both = [], 0
@@ -260,6 +284,8 @@ def sliding_overlap(x: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
 
 
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    if np.array_equal(x, y):
+        return 1.0
     values, n = np.unique(x, return_counts=True)
     others, m = np.unique(y, return_counts=True)
     _, i, j = np.intersect1d(values, others, assume_unique=True, return_indices=True)
@@ -281,7 +307,7 @@ def unpacked(window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 def windows_of(texts: DataFrame, functions: int, width: int, threshold: float) -> DataFrame:
     """key, doc_id, text_hash, window for each compact window side of ``texts`` (doc_id, text_hash, text)."""
     def run(batches):
-        for batch in pieces(batches, "text", 2 << 20):
+        for batch in pieces(batches, "text", PIECE):
             with np.errstate(over="ignore"):
                 key, window, who = window_rows(*shingle_hashes(batch.column(2).to_pylist()), functions, width, threshold)
             at = pa.array(who)
@@ -294,7 +320,7 @@ def windows_of(texts: DataFrame, functions: int, width: int, threshold: float) -
 def shingles_table(texts: DataFrame) -> DataFrame:
     """doc_id, text_hash, shingles: the upper halves of the shingle hashes, to verify passages by."""
     def run(batches):
-        for batch in pieces(batches, "text", 2 << 20):
+        for batch in pieces(batches, "text", PIECE):
             with np.errstate(over="ignore"):
                 hashes, counts = shingle_hashes(batch.column(2).to_pylist())
             short = (hashes >> np.uint64(32)).astype("<u4")
@@ -347,7 +373,7 @@ def exact_runs(rest: DataFrame, table: DataFrame, width: int) -> DataFrame:
                                                  ["key", "doc_id", "text_hash", "window"])
 
     rows = _with_shingles(held, table).mapInArrow(run, "key long, doc_id long, text_hash long, window long")
-    return rows.select("key", _member()).distinct()
+    return rows.select("key", _member())
 
 
 def near_runs(rest: DataFrame, table: DataFrame, width: int) -> DataFrame:
@@ -367,7 +393,7 @@ def near_runs(rest: DataFrame, table: DataFrame, width: int) -> DataFrame:
                                                  ["key", "doc_id", "text_hash", "window"])
 
     rows = _with_shingles(held, table).mapInArrow(run, "key long, doc_id long, text_hash long, window long")
-    return rows.select("key", _member()).distinct()
+    return rows.select("key", _member())
 
 
 def uncovered(rest: DataFrame, found: DataFrame) -> DataFrame:
@@ -410,45 +436,88 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, functions: in
     width = min_words - SHINGLE + 1
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    with _shuffles_freed(docs.sparkSession):
+        steps = _steps(texts, functions, width, threshold)
+    found = steps[0]
+    for step in steps[1:]:
+        found = found.unionByName(step)
+    return found.where("start_word is not null").select(*_COLUMNS).distinct()
+
+
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """While a step is written, only its own shuffle files lie on disk: Spark deletes them when the step ends. Pairs of a task,
+    each with few collisions, are gathered by hash."""
+    ours = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384"}
+    before = {name: spark.conf.get(name, None) for name in ours}
+    try:
+        for name, value in ours.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def _steps(texts: DataFrame, functions: int, width: int, threshold: float) -> list[DataFrame]:
+    """Verified stretches and open collisions of the first comparison, of exact repetitions and of near-equal passages. What
+    Python makes and two branches read (windows, runs) is written once."""
+    windows = materialize(windows_of(texts, functions, width, threshold), "windows")
     # Keys with more than one window; equal rows are one member.
-    windows = windows_of(texts, functions, width, threshold)
-    keys = windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    pending = materialize(windows.join(keys, "key", "left_semi").select("key", _member()).distinct(), "windows")
-    table = materialize(shingles_table(_semi(texts, pending.select("m.doc_id", "m.text_hash").distinct())).dropDuplicates(["doc_id", "text_hash"]), "shingles")
+    keys = materialize(windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
+    pending = materialize(windows.join(keys.hint("shuffle_hash"), "key", "left_semi").select("key", _member()).distinct(), "windows")
+    _drop(windows)
+    _drop(keys)
+    table = materialize(_semi(shingles_table(texts), pending.select("m.doc_id", "m.text_hash").distinct()).dropDuplicates(["doc_id", "text_hash"]), "shingles")
     checked = materialize(_verify(_links(pending), table, width, threshold), "passages")
     rest = checked.where("start_word is null").select("doc_id", "text_hash", F.explode("open").alias("hit")).select("hit.key", "doc_id", "text_hash", "hit.window")
     # All members of a key with an open one: it may repeat a text that the first one settles.
     members = pending.join(rest.select("key").distinct(), "key", "left_semi").select("m.doc_id", "m.text_hash", "m.window")
-    exact = materialize(_verify(_anew(exact_runs(members, table, width)), table, width, threshold), "passages")
+    runs = materialize(exact_runs(members, table, width), "runs")
+    exact = materialize(_verify(_anew(runs), table, width, threshold), "passages")
+    _drop(runs)
     found = checked.unionByName(exact).where("start_word is not null")
     # Centres in no exact repetition: their texts are near-equal to another of the key, or to none.
     keys = uncovered(rest, found).select("key").distinct()
     members = pending.join(keys, "key", "left_semi").select("key", "m.doc_id", "m.text_hash", "m.window")
-    near = materialize(_verify(_anew(near_runs(members, table, width)), table, width, threshold, width - 1), "passages")
-    near = near.where("start_word is not null")
-    return found.unionByName(near).where("start_word is not null").select(*_COLUMNS).distinct()
+    runs = materialize(near_runs(members, table, width), "runs")
+    near = materialize(_verify(_anew(runs), table, width, threshold, width - 1), "passages")
+    _drop(runs)
+    return [checked, exact, near]
+
+
+def _drop(table: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote, once nothing reads it any more."""
+    spark = table.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(folder))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _links(members: DataFrame) -> DataFrame:
     """Every member of a key's group with the group's first one."""
     first = members.groupBy("key").agg(F.min("m").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    return members.join(first, "key").where(F.col("m") != F.col("first")).select(
+    return members.join(first.hint("shuffle_hash"), "key").where(F.col("m") != F.col("first")).select(
         "key",
         F.col("m.doc_id").alias("doc_id"), F.col("m.text_hash").alias("text_hash"), F.col("m.window").alias("window"),
         F.col("first.doc_id").alias("of_doc_id"), F.col("first.text_hash").alias("of_text_hash"), F.col("first.window").alias("of_window"))
 
 
 def _anew(members: DataFrame) -> DataFrame:
-    """The links of members that stood under many keys, each once."""
-    return _links(members).withColumn("key", F.lit(0).cast("long")).distinct()
+    """The links of members that stood under many keys."""
+    return _links(members).withColumn("key", F.lit(0).cast("long"))
 
 
 def _verify(links: DataFrame, table: DataFrame, width: int, threshold: float, reach: int = 0) -> DataFrame:
     """Verified stretches of every pair, and one row with the collisions that lie in none (start_word null). They
     are looked for where both windows lie, and ``reach`` shingles from their centre to either side."""
     pair = ["doc_id", "text_hash", "of_doc_id", "of_text_hash"]
-    # A pair's collisions are at most as many as its texts have windows.
-    pairs = links.groupBy(*pair).agg(F.collect_list("window").alias("hits"), F.collect_list("of_window").alias("of_hits"), F.collect_list("key").alias("keys"))
+    # A pair's collisions are at most as many as its texts have windows. Members that stand under many keys meet the same one often.
+    hits = F.collect_set(F.struct("window", "of_window", "key"))
+    pairs = links.groupBy(*pair).agg(hits.alias("h")).select(*pair, F.col("h.window").alias("hits"), F.col("h.of_window").alias("of_hits"), F.col("h.key").alias("keys"))
     own = table.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), F.col("shingles").alias("a"))
     other = table.select(F.col("doc_id").alias("__e"), F.col("text_hash").alias("__u"), F.col("shingles").alias("b"))
     both = pairs.join(own, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__t"))).drop("__d", "__t")
