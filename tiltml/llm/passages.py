@@ -286,10 +286,10 @@ def sliding_overlap(x: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
     if np.array_equal(x, y):
         return 1.0
-    values, n = np.unique(x, return_counts=True)
-    others, m = np.unique(y, return_counts=True)
-    _, i, j = np.intersect1d(values, others, assume_unique=True, return_indices=True)
-    both = int(np.minimum(n[i], m[j]).sum())
+    x, y = np.sort(x), np.sort(y)
+    # The k-th of equal values of x has a partner if y holds more than k.
+    nth = np.arange(len(x)) - np.searchsorted(x, x)
+    both = int((nth < np.searchsorted(y, x, side="right") - np.searchsorted(y, x)).sum())
     return both / (len(x) + len(y) - both)
 
 
@@ -472,7 +472,7 @@ def _steps(texts: DataFrame, functions: int, width: int, threshold: float) -> li
     _drop(windows)
     _drop(keys)
     table = materialize(_semi(shingles_table(texts), pending.select("m.doc_id", "m.text_hash").distinct()).dropDuplicates(["doc_id", "text_hash"]), "shingles")
-    checked = materialize(_verify(_links(pending), table, width, threshold), "passages")
+    checked = materialize(_verify(_links(pending), table, width, threshold, repeated=False), "passages")
     rest = checked.where("start_word is null").select("doc_id", "text_hash", F.explode("open").alias("hit")).select("hit.key", "doc_id", "text_hash", "hit.window")
     # All members of a key with an open one: it may repeat a text that the first one settles.
     members = pending.join(rest.select("key").distinct(), "key", "left_semi").select("m.doc_id", "m.text_hash", "m.window")
@@ -511,12 +511,12 @@ def _anew(members: DataFrame) -> DataFrame:
     return _links(members).withColumn("key", F.lit(0).cast("long"))
 
 
-def _verify(links: DataFrame, table: DataFrame, width: int, threshold: float, reach: int = 0) -> DataFrame:
+def _verify(links: DataFrame, table: DataFrame, width: int, threshold: float, reach: int = 0, repeated: bool = True) -> DataFrame:
     """Verified stretches of every pair, and one row with the collisions that lie in none (start_word null). They
-    are looked for where both windows lie, and ``reach`` shingles from their centre to either side."""
+    are looked for where both windows lie, and ``reach`` shingles from their centre to either side. A link may come twice if ``repeated``."""
     pair = ["doc_id", "text_hash", "of_doc_id", "of_text_hash"]
     # A pair's collisions are at most as many as its texts have windows. Members that stand under many keys meet the same one often.
-    hits = F.collect_set(F.struct("window", "of_window", "key"))
+    hits = (F.collect_set if repeated else F.collect_list)(F.struct("window", "of_window", "key"))
     pairs = links.groupBy(*pair).agg(hits.alias("h")).select(*pair, F.col("h.window").alias("hits"), F.col("h.of_window").alias("of_hits"), F.col("h.key").alias("keys"))
     own = table.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), F.col("shingles").alias("a"))
     other = table.select(F.col("doc_id").alias("__e"), F.col("text_hash").alias("__u"), F.col("shingles").alias("b"))
