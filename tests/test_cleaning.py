@@ -50,6 +50,80 @@ def test_cascade_by_stages_equals_single_fits(ml):
         assert both.filter((F.col("margin") > 0) != (F.col("prediction") == 1.0)).count() == 0
 
 
+def _two_trees():
+    """Two small trees as nodes: on features 0 and 2, with a threshold that both have."""
+    import pandas as pd
+    cols = ["tree", "id", "feature", "threshold", "left", "right", "prediction", "weight"]
+    return pd.DataFrame([(0, 0, 0, 1.5, 1, 2, 0.0, 1.0), (0, 1, -1, None, -1, -1, -0.3, 1.0), (0, 2, 2, -4.0, 3, 4, 0.0, 1.0), (0, 3, -1, None, -1, -1, 0.1, 1.0),
+                         (0, 4, -1, None, -1, -1, 0.7, 1.0), (1, 0, 2, 0.25, 1, 2, 0.0, 0.4), (1, 1, 0, 1.5, 3, 4, 0.0, 0.4), (1, 2, -1, None, -1, -1, 1.1, 0.4),
+                         (1, 3, -1, None, -1, -1, 1e-9, 0.4), (1, 4, -1, None, -1, -1, -2.0, 0.4)], columns=cols)
+
+
+@pytest.mark.parametrize("kept", [1 << 22, 8, 0])
+def test_trees_are_walked_once_a_cell(monkeypatch, kept):
+    """2 x 3 cells of any number of rows: bit for bit the margins of the walk over every row, values on and beside thresholds included."""
+    import numpy as np
+
+    from tiltml.operators import tree_tables as TT
+    monkeypatch.setattr(TT, "KEPT_MARGINS", kept)
+    table = TT.TreeTable(_two_trees())
+    scorer = TT.CellScorer([(table, [1, 2]), (table, [2])])
+    walked = []
+    plain = TT.TreeTable.sums
+    monkeypatch.setattr(TT.TreeTable, "sums", lambda self, x, stages: walked.append(len(x)) or plain(self, x, stages))
+    edges = [1.5, np.nextafter(1.5, 2), np.nextafter(1.5, 1), -4.0, 0.25, np.nextafter(0.25, 1), 0.0, -0.0, np.nan, np.inf, -np.inf]
+    x = np.array([(a, b, c) for a in edges for b in (0.0, np.nan) for c in edges])
+    rng = np.random.default_rng(1)
+    for rows in (x, x[rng.permutation(len(x))], rng.normal(size=(5000, 3)) * 3, x[:1]):
+        want = np.hstack([plain(table, rows, [1, 2]), plain(table, rows, [2])])
+        assert scorer.margins(rows).tobytes() == want.tobytes()
+    assert max(walked) <= 6 and (kept < 18 or sum(walked) == 12)  # each cell once for either run
+
+
+def test_rows_of_more_cells_than_numbers_are_walked(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from tiltml.operators import tree_tables as TT
+    stumps = [r for j in range(70) for r in ((j, 0, j, 0.0, 1, 2, 0.0, 1.0), (j, 1, -1, None, -1, -1, -1.0, 1.0), (j, 2, -1, None, -1, -1, j / 7, 1.0))]
+    table = TT.TreeTable(pd.DataFrame(stumps, columns=_two_trees().columns))
+    x = np.random.default_rng(2).normal(size=(300, 70))
+    scorer = TT.CellScorer([(table, [3, 70])])
+    assert not scorer.numbered and scorer.margins(x).tobytes() == table.sums(x, [3, 70]).tobytes()
+
+
+def test_cascade_scores_each_row_once(ml):
+    """The filter on the margins is above them: they aren't made once for it and once for the labels, and all models have one pass."""
+    cfg = ({"maxIter": 2, "depth": 2, "stepSize": 0.4}, {"maxIter": 2, "depth": 3, "stepSize": 0.4}, {"maxIter": 3, "depth": 2, "stepSize": 0.4})
+    out = X.confidence_cascade(ml, rounds=4, configs=cfg, keys=KEYS, keep=KEYS, model_seed=1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("margins(") == 1
+
+
+def test_scoring_needs_features_of_one_length(spark):
+    from tiltml.operators import models as MD
+    from tiltml.operators.tree_tables import staged_margins
+    rows = spark.createDataFrame([(Vectors.dense([float(i % 5), float(i % 3)]), float(i % 2)) for i in range(30)], ["features", "label"])
+    margin = staged_margins(MD.fit(MD.gbt_classifier({"maxIter": 2, "seed": 1}), rows), [1, 2])
+    assert rows.select(F.size(margin).alias("n")).distinct().collect()[0].n == 2
+    assert rows.limit(0).select(margin.alias("m")).collect() == []
+    more = rows.limit(1).union(spark.createDataFrame([(Vectors.dense([1.0]), 0.0)], rows.schema)).coalesce(1)
+    with pytest.raises(Exception, match="scoring needs features"):
+        more.select(margin.alias("m")).collect()
+
+
+def test_rules_see_one_wrong_round(ml):
+    """A label of one round, or an element of the features, that isn't the row's label turns the row red."""
+    from tiltml.plans import catalog as Q
+    names = [f"label{i}" for i in range(X.CASCADE_ROUNDS)]
+    right = ml.select(*KEYS, "label", *[F.col("label").alias(c) for c in names], F.array_repeat("label", X.CASCADE_ROUNDS).alias("features"))
+    n = ml.count()
+    for out, wrong in ((right, 0), (right.withColumn("label7", F.when(F.col("l_linenumber") == 1, 1 - F.col("label")).otherwise(F.col("label"))), 1),
+                       (right.withColumn("features", F.transform("features", lambda x, i: F.when((i == 29) & (F.col("l_linenumber") == 1), 1 - x).otherwise(x))), 1)):
+        rows = Q._cascade_rules(ml, out).collect()
+        assert len(rows) == n and sum(not r.ok for r in rows) == (ml.filter("l_linenumber = 1").count() if wrong else 0)
+
+
 def test_synthetic_bernoulli_rate(spark):
     df = spark.range(20000).select("id", F.lit(0.0).alias("label"),
                                    F.array_repeat(F.lit(0.0), 30).alias("a"))

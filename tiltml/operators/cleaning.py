@@ -15,7 +15,7 @@ from tiltml.operators.filters import confident_predicate, noise_retention_predic
 from tiltml.operators.models import fit, fit_dealt, gbt_classifier, rf_classifier, tree_cells, weighted
 from tiltml.operators.sampling import (SAMPLING_SEED, SPLIT_SEED_FOLDS, kfold_assign,
                                        kfold_complement, oversample_copies, random_split, repeat_rows, union_many)
-from tiltml.operators.tree_tables import staged_margins
+from tiltml.operators.tree_tables import margins_of
 from tiltml.sources.sinks import spread
 
 # The cascade's five boosting configurations (cycled over 30 rounds),
@@ -87,7 +87,7 @@ def confidence_cascade(df: DataFrame, rounds: int = CASCADE_ROUNDS,
     seed), and its survivors already passed that model, so a repeated round
     re-emits that round's prediction column without refitting or rescoring.
     Configurations that differ in their number of rounds only are stages of
-    the longest: 3 fits on weighted cells made and held once, and 3 walks over 285 trees,
+    the longest: 3 fits on weighted cells made and held once, and one walk over 285 trees a cell
     for the 30 rounds of the original configurations.
     """
     train, test = random_split(df.select(*keep, features_col, label_col), split, seed, keys)
@@ -96,18 +96,15 @@ def confidence_cascade(df: DataFrame, rounds: int = CASCADE_ROUNDS,
     if model_seed is not None:
         distinct = [c | {"seed": model_seed} for c in distinct]
     models, names = fit_longest(distinct, train, features_col, label_col, parallelism)
-    cur = spread(test)
-    ready: dict[int, Column] = {}
+    same = {name: [j for j in range(len(distinct)) if names[j] == name] for name in models}
+    walked = margins_of([(models[name], [int(distinct[j]["maxIter"]) for j in js]) for name, js in same.items()], features_col)
+    cur = spread(test).withColumn("__tilt_walk", walked)
+    ready = {j: F.get(F.col("__tilt_walk"), F.lit(at)) for at, j in enumerate(j for js in same.values() for j in js)}
     for i in range(rounds):
         ci = i % m
         if i >= m:
             cur = cur.withColumn(f"label{i}", F.col(f"label{ci}"))
             continue
-        if i not in ready:
-            same = [j for j in range(len(distinct)) if names[j] == names[i]]
-            walk = f"__tilt_walk{i}"
-            cur = cur.withColumn(walk, staged_margins(models[names[i]], [int(distinct[j]["maxIter"]) for j in same], features_col))
-            ready |= {j: F.get(F.col(walk), F.lit(at)) for at, j in enumerate(same)}
         sure = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * ready[i]))
         cur = (cur.withColumn("__tilt_p", F.array(F.lit(1.0) - sure, sure)).filter(confident_predicate("__tilt_p", label_col, threshold)).drop("__tilt_p")
                .withColumn(f"label{i}", F.when(ready[i] > F.lit(0.0), F.lit(1.0)).otherwise(F.lit(0.0))))

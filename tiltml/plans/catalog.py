@@ -488,9 +488,9 @@ def q_noise_filter(spark, d):
 
 
 def _cascade_rules(test: DataFrame, out: DataFrame) -> DataFrame:
-    agree = F.lit(True)
-    for i in range(X.CASCADE_ROUNDS):
-        agree = agree & (F.col(f"label{i}") == F.col("label")) & (F.get(F.col("features"), F.lit(i)) == F.col("label"))
+    # arrays are compared whole: 60 comparisons, one by one, make code that is too long to be compiled
+    labels = F.array_repeat(F.col("label"), X.CASCADE_ROUNDS)
+    agree = (F.array(*[F.col(f"label{i}") for i in range(X.CASCADE_ROUNDS)]) == labels) & (F.slice("features", 1, X.CASCADE_ROUNDS) == labels)
     # a subset of the test band whose rounds all agree with the label, and most of it
     return _held_against(test, out.withColumn("ok", agree), lambda n, ok: ok, lambda x: x >= 0.5)
 
