@@ -197,8 +197,8 @@ def training_rows(estimator, train: DataFrame, partitions: int | None = None) ->
 BIN_ROWS, BIN_VALUES = 100_000, 5_000_000
 # Rows that a bagged fit draws one by one; of larger tables it draws runs of equal binned rows, about so many and one a cell more.
 BAG_ROWS = 1 << 21
-# Cells in a partition of a tree fit's input.
-CELL_ROWS = 1 << 14
+# Cells in a partition of a bagged and of any other tree fit's input: a boosted fit has thousands of short stages, whose tasks take longer to send than to run.
+CELL_ROWS, BOOSTED_ROWS = 1 << 14, 1 << 16
 CELL_WEIGHT = "__tilt_weight"
 
 
@@ -324,7 +324,7 @@ def tree_cells(estimator, train: DataFrame, keep: Sequence[str] = ()) -> Iterato
         cells = cells.where(F.col(CELL_WEIGHT) > 0)
         with held(cells):
             place = [F.col("code"), *[F.col(f"`{c}`") for c in by]]
-            parts = max(1, -(-cells.count() // CELL_ROWS))
+            parts = max(1, -(-cells.count() // (CELL_ROWS if bagged else BOOSTED_ROWS)))
             if bagged:
                 run = F.lit(max(1, rows // BAG_ROWS))
                 parts = max(parts, -(-min(rows, BAG_ROWS) // (2 * CELL_ROWS)))
